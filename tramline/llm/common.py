@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,3 +55,8 @@ def batches_of(values: list, sizes: list[int], most: int) -> Iterator[list]:
         total += size
     if run:
         yield run
+
+
+def id_remainder(divisor: int, column: str = "doc_id") -> Column:
+    """crc32 of the id as text modulo divisor; -1 for a null id."""
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % divisor, F.lit(-1))

@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import sharding, simhash
-from tramline.llm.common import table
+import corpus_pipeline
+from tramline.llm import dac, mixing, quality, sharding, simhash, tiling
+from tramline.llm.common import id_remainder, new_path, table
+
+
+def op1_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op2_nonnegative_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), may_learn=id_remainder(3) != 1)
+    rows = quality.scored(docs, model)
+    return rows.select("doc_id", (id_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op4_simhash_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +32,24 @@ def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
 
 
+def op7_directly_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = new_path(spark, "tokens")
+    dac.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return dac.read_documents(spark, path)
+
+
+def op8_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = tiling.tiled(docs, table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", (F.col("tiling.coverage") >= tiling.THRESHOLD).alias("contaminated"), "tiling.coverage", "tiling.item_id", "tiling.tiles", "tiling.items")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash_deletion_variants, op5_sampled_splitters)}
+    ops = (op1_pfair_mixing, op2_nonnegative_pu, op4_simhash_deletion_variants, op5_sampled_splitters, op7_directly_addressable_codes, op8_greedy_string_tiling)
+    return {"pipeline": corpus_pipeline.run, **{f.__name__: f for f in ops}}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
