@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tramline.llm import dac, mixing, quality, sharding, simhash, tiling
+from tramline.llm import dac, htmltext, langid, mixing, quality, sharding, simhash, tiling
 from tramline.llm.common import id_remainder, new_path, table
 
 
@@ -46,8 +46,20 @@ def op8_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.col("tiling.coverage") >= tiling.THRESHOLD).alias("contaminated"), "tiling.coverage", "tiling.item_id", "tiling.tiles", "tiling.items")
 
 
+def op9_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs, may_learn=id_remainder(4) != 2)
+    rows = langid.predicted(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", (id_remainder(4) == 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+def op10_text_to_tag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmltext.extracted(pages).select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_pfair_mixing, op2_nonnegative_pu, op4_simhash_deletion_variants, op5_sampled_splitters, op7_directly_addressable_codes, op8_greedy_string_tiling)
+    ops = (op1_pfair_mixing, op2_nonnegative_pu, op4_simhash_deletion_variants, op5_sampled_splitters, op7_directly_addressable_codes, op8_greedy_string_tiling, op9_kneser_ney_language, op10_text_to_tag_ratio)
     return {"pipeline": corpus_pipeline.run, **{f.__name__: f for f in ops}}
 
 
