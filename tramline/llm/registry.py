@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tramline.llm import dac, htmltext, langid, mixing, quality, sharding, simhash, tiling
+from tramline.llm import dac, htmltext, langid, mixing, quality, secretscan, sharding, simhash, tiling
 from tramline.llm.common import id_remainder, new_path, table
 
 
@@ -32,6 +32,12 @@ def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
 
 
+def op6_conditional_random_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = secretscan.scanned(docs, secretscan.train(docs))
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_field")
+
+
 def op7_directly_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,7 +65,7 @@ def op10_text_to_tag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_pfair_mixing, op2_nonnegative_pu, op4_simhash_deletion_variants, op5_sampled_splitters, op7_directly_addressable_codes, op8_greedy_string_tiling, op9_kneser_ney_language, op10_text_to_tag_ratio)
+    ops = (op1_pfair_mixing, op2_nonnegative_pu, op4_simhash_deletion_variants, op5_sampled_splitters, op6_conditional_random_field, op7_directly_addressable_codes, op8_greedy_string_tiling, op9_kneser_ney_language, op10_text_to_tag_ratio)
     return {"pipeline": corpus_pipeline.run, **{f.__name__: f for f in ops}}
 
 
