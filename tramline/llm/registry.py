@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tramline.llm import dac, htmltext, langid, mixing, quality, secretscan, sharding, simhash, tiling
+from tramline.llm import chroma, dac, htmltext, langid, mixing, quality, secretscan, sharding, simhash, tiling
 from tramline.llm.common import id_remainder, new_path, table
 
 
@@ -23,6 +23,11 @@ def op2_nonnegative_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (id_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("values"))
+    return chroma.align(chroma.fingerprints(chroma.recordings(vectors)))
+
+
 def op4_simhash_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -65,7 +70,7 @@ def op10_text_to_tag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_pfair_mixing, op2_nonnegative_pu, op4_simhash_deletion_variants, op5_sampled_splitters, op6_conditional_random_field, op7_directly_addressable_codes, op8_greedy_string_tiling, op9_kneser_ney_language, op10_text_to_tag_ratio)
+    ops = (op1_pfair_mixing, op2_nonnegative_pu, op3_chroma_fingerprints, op4_simhash_deletion_variants, op5_sampled_splitters, op6_conditional_random_field, op7_directly_addressable_codes, op8_greedy_string_tiling, op9_kneser_ney_language, op10_text_to_tag_ratio)
     return {"pipeline": corpus_pipeline.run, **{f.__name__: f for f in ops}}
 
 
