@@ -34,7 +34,9 @@ def test_too_large():
 @given(st.text("ab,.' \n\t  \x1cé1$<|endoftx>", max_size=30))
 def test_words_encode_as_the_whole(text):
     encoder = dac._encoder(PATH)
-    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    texts = [text, None, text + " " + text, "word " + text + ". Word's"]
+    for own, ids in zip(texts, encoder.encode_all(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(own or "", add_special_tokens=False).ids
 
 
 def _expected(docs, key):

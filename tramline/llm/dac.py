@@ -5,7 +5,7 @@ those that go on; level 1 holds the second chunks of only these, and so on. A di
 RANK_BITS bits of a bitmap turns a place in one level into the place in the next.
 
 A token file is a Parquet table with one row for each segment of whole documents (SEGMENT_TOKENS ids or one long
-document): part and seq give the segments' order, doc_ids and counts its documents, payload the codes.
+document): part and seq give the segments' order, before the ids ahead of a segment in its part, doc_ids and counts its documents, payload the codes.
 """
 
 from __future__ import annotations
@@ -26,7 +26,11 @@ RANK_BITS = 512
 SEGMENT_TOKENS = 1 << 18
 END_ID = 0
 #: Words whose ids a worker keeps; beyond it a word is encoded each time.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+#: Words up to this length are kept with the signs after them too, as they come often.
+SHORT = 10
+#: Texts that are encoded together.
+TEXTS_AT_ONCE = 256
 MAGIC = b"DAC1"
 
 
@@ -36,9 +40,11 @@ def _pack(values: np.ndarray, width: int) -> bytes:
 
 
 def _unpack(data: memoryview, width: int, n: int) -> np.ndarray:
-    bits = np.zeros((n, 16), np.uint8)
-    bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width, bitorder="little").reshape(n, width)
-    return np.packbits(bits, axis=1, bitorder="little").view("<u2").reshape(-1).astype(np.uint32)
+    # a chunk of 16 bits or less lies within three bytes
+    octets = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(2, np.uint8)]).astype(np.uint32)
+    first = np.arange(n, dtype=np.int64) * width
+    words = (octets[:-2] | octets[1:-1] << np.uint32(8) | octets[2:] << np.uint32(16))[first >> 3]
+    return words >> (first & 7).astype(np.uint32) & np.uint32((1 << width) - 1)
 
 
 def dump(ids: np.ndarray, level_bits: tuple[int, ...] = LEVEL_BITS) -> bytes:
@@ -115,52 +121,106 @@ class Codes:
 
 
 class WordEncoder:
-    """Encodes texts by a byte-level BPE tokenizer of the tokenizers library, one word at a time.
+    """Encodes texts by a byte-level BPE tokenizer of the tokenizers library, one distinct word at a time.
 
-    Its pre-tokenizer always breaks before a lone space or newline that stands between other characters, so a text with
-    no other white space is the sequence of its words, each with the space before it, and a word's ids can be kept.
-    Any other text, and one that holds an added token, is encoded whole.
+    Its pre-tokenizer always breaks before a lone space or newline that stands between other characters, and between a
+    letter and the signs of TAIL after it. So a text with no other white space is the sequence of its words, each with
+    the space before it, and a word's ids can be kept. Any other text, and one that holds an added token, is encoded
+    whole.
     """
 
+    TAIL = ".,;:!?#$%&*|"
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
+        self.kept: dict[bool, dict[str, bytes]] = {True: {}, False: {}}  # by whether a space stands before the word
+        self.tails: dict[str, bytes] = {}
         self.newline = self._whole("\n")
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, n in self.tokenizer.get_vocab().items():
+            self.spaced[n] = token.startswith("\u0120")  # how the vocabulary spells a space
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _words(self, words: list[str], kept: dict[str, bytes], space: str) -> list[bytes]:
-        out = list(map(kept.get, words))
-        if None in out:
-            new = list({w for w, x in zip(words, out) if x is None})
-            found = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast([space + w for w in new], add_special_tokens=False))}
+    def _new(self, spaced: list[str], bare: list[str]) -> dict[bool, dict[str, bytes]]:
+        """Ids of words that are not kept; those after a space are encoded as one text and parted at their spaces."""
+        out: dict[bool, dict[str, bytes]] = {True: {}, False: {}}
+        if spaced:
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(spaced)], add_special_tokens=False)[0].ids, "<u4")
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != len(spaced):
+                raise AssertionError("a word does not begin with one token of a space")
+            data, ends = ids.tobytes(), (4 * np.append(starts[1:], len(ids))).tolist()
+            out[True] = {w: data[a:b] for w, a, b in zip(spaced, (4 * starts).tolist(), ends)}
+        if bare:
+            out[False] = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(bare, self.tokenizer.encode_batch_fast(bare, add_special_tokens=False))}
+        for space, kept in self.kept.items():
             if len(kept) < CACHE_WORDS:
-                kept.update(found)
-            out = [x if x is not None else found[w] for w, x in zip(words, out)]
+                kept.update(out[space])
         return out
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers; nothing for a null or empty text."""
-        if not text:
-            return b""
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or any(a in text for a in self.added):
-            return self._whole(text)
-        lines = text.split("\n")
-        words = [line.split(" ") for line in lines]
-        first = self._words([w[0] for w in words], self.bare, "")
-        rest = iter(self._words([x for w in words for x in w[1:]], self.spaced, " "))
+    def _parts(self, chunk: str, space: bool) -> list[tuple[str, str, bool]] | None:
+        """(word, tail, space before) of the lines of a chunk between spaces; null if there is other white space."""
         out = []
-        for w, x in zip(words, first):
-            out.append(x)
-            out += [next(rest) for _ in w[1:]]
-            out.append(self.newline)
-        return b"".join(out[:-1])
+        for line in chunk.split("\n"):
+            if line.split() != [line]:
+                return None
+            word = line.rstrip(self.TAIL)
+            out.append((word, line[len(word) :], space) if word and word[-1].isalpha() else (line, "", space))
+            space = False
+        return out
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; nothing for a null or empty text."""
+        get = self.kept[True].get
+        out: list = []
+        rare: list[tuple[list, int, list]] = []  # places that the kept words do not fill, with their parts
+        missing: dict[bool, dict[str, None]] = {True: {}, False: {}}
+        for text in texts:
+            if not text:
+                out.append([b""])
+                continue
+            if len(text.split()) != text.count(" ") + text.count("\n") + 1 or any(a in text for a in self.added):
+                out.append([self._whole(text)])
+                continue
+            chunks = text.split(" ")
+            ids = list(map(get, chunks))
+            ids[0] = None
+            at, own_rare = -1, len(rare)
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                chunk = chunks[at]
+                if at and "\n" not in chunk:
+                    word = chunk.rstrip(self.TAIL)
+                    own, tail = get(word), self.tails.get(chunk[len(word) :])
+                    if own and tail and word[-1].isalpha():
+                        ids[at] = own + tail
+                        if len(chunk) <= SHORT and len(self.kept[True]) < CACHE_WORDS:
+                            self.kept[True][chunk] = ids[at]
+                        continue
+                parts = self._parts(chunk, at > 0)
+                if parts is None:
+                    del rare[own_rare:]
+                    ids = [self._whole(text)]
+                    break
+                rare.append((ids, at, parts))
+                for word, tail, space in parts:
+                    if word not in self.kept[space]:
+                        missing[space][word] = None
+                    if tail and tail not in self.tails:
+                        self.tails[tail] = self._whole(tail)
+            out.append(ids)
+        new = self._new(list(missing[True]), list(missing[False]))
+        for ids, at, parts in rare:
+            ids[at] = self.newline.join((self.kept[space].get(word) or new[space][word]) + (self.tails[tail] if tail else b"") for word, tail, space in parts)
+        if len(self.tails) > 10_000:
+            self.tails.clear()
+        return [b"".join(x) for x in out]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -178,20 +238,20 @@ def _writer(path: str, end_id: int, level_bits: tuple[int, ...], segment: int):
 
         encoder, part, seq = _encoder(path), TaskContext.get().partitionId(), 0
         end = struct.pack("<I", end_id)
-        doc_ids, held, size = [], [], 0
+        doc_ids, held, size, before = [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(held), "<u4")
-            row = [[part], [seq], [len(ids)], [doc_ids], [[len(x) // 4 for x in held]], [dump(ids, level_bits)]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["part", "seq", "n_tokens", "doc_ids", "counts", "payload"])
+            row = [[part], [seq], [before], [len(ids)], [doc_ids], [[len(x) // 4 for x in held]], [dump(ids, level_bits)]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["part", "seq", "before", "n_tokens", "doc_ids", "counts", "payload"])
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = encoder.encode(text.as_py()) + end
+        for batch in (b.slice(n, TEXTS_AT_ONCE) for b in batches for n in range(0, b.num_rows, TEXTS_AT_ONCE)):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(batch.column("text").to_pylist())):
+                ids += end
                 if held and size + len(ids) > 4 * segment:
                     yield flush()
-                    seq, doc_ids, held, size = seq + 1, [], [], 0
+                    seq, before, doc_ids, held, size = seq + 1, before + size // 4, [], [], 0
                 doc_ids.append(doc_id)
                 held.append(ids)
                 size += len(ids)
@@ -211,7 +271,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, order: tuple[Col
     keys = [f"order_{n}" for n in range(len(order))]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c.alias(k) for c, k in zip(order, keys)])
     rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, F.crc32(F.coalesce("text", F.lit("")))).select("doc_id", "text")
-    kinds = "part int, seq int, n_tokens long, doc_ids array<long>, counts array<long>, payload binary"
+    kinds = "part int, seq int, before long, n_tokens long, doc_ids array<long>, counts array<long>, payload binary"
     rows.mapInArrow(_writer(tokenizer, end_id, level_bits, segment), kinds).write.option("compression", "none").parquet(path)
 
 
@@ -231,12 +291,10 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def segments(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a token file with `start`, the ids of all segments before each."""
     rows = spark.read.parquet(path)
-    # one row for each task that wrote: the windows over segments stay inside a part
+    # one row for each task that wrote, which is what Spark's driver keeps of tasks anyway
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("ids"))
-    parts = parts.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before"))
-    own = Window.partitionBy("part").orderBy("seq")
-    starts = rows.select("part", "seq", "n_tokens").withColumn("inside", F.sum("n_tokens").over(own) - F.col("n_tokens")).join(parts, "part")
-    return rows.join(starts.select("part", "seq", (F.col("before") + F.col("inside")).alias("start")), ["part", "seq"])
+    parts = parts.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("parts_before"))
+    return rows.join(F.broadcast(parts), "part").withColumn("start", F.col("parts_before") + F.col("before")).drop("parts_before", "before")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
