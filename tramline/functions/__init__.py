@@ -1 +1 @@
-
+"""Column functions: text, progress, signatures, titles."""

@@ -1,6 +1,511 @@
-"""Registered queries over the catalogue operators, each with its SQL oracle."""
+"""Registered queries over the catalogue operators, each with its SQL oracle where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tramline.functions import buckets, progress, scoring, signatures, text, titles
+from tramline.operators import audit, delivery, linking, review, rules, versions
+from tramline.plans.views import AS_OF, AS_OF_YEAR, frame, with_views
+from tramline.sources import readers
+from tramline.streaming import debounce
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Registers a function of (get,) under its name; get(name) gives a table or view."""
+
+    def register(build: Callable[[Callable[[str], DataFrame]], DataFrame]):
+        QUERIES[build.__name__] = lambda spark, sf_dir: build(lambda name: frame(spark, sf_dir, name))
+        if oracle:
+            ORACLES[build.__name__] = with_views(oracle)
+        return build
+
+    return register
+
+
+def _day(c: str):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+#: A unique order inside versions, newest last; the fixture repeats (created, line).
+def _newest():
+    return [F.col(c) for c in ("published", "created", "line", "version_id")]
+
+
+NEWEST_SQL = "published DESC, created DESC, line DESC, version_id DESC"
+
+
+def _items(get) -> DataFrame:
+    return get("items").select(
+        "item_id", "media_type", F.array("year").alias("years"), "video_format", "rating", "bucket", F.array("genre").alias("genres"),
+        text.listed(F.col("country")).alias("countries"), text.haystack(F.col("title"), F.col("category")).alias("haystack"), F.lit(False).alias("ignored"),
+    )
+
+
+def _rules(get) -> DataFrame:
+    return rules.compile_rules(get("rules").withColumn("genre_ids", F.when(F.col("genre") == 0, F.array().cast("array<int>")).otherwise(F.array("genre", (F.col("genre") + 1) % 6, (F.col("genre") + 2) % 6))))
+
+
+_REASON_SQL = """CASE WHEN r.is_enabled <> 1 THEN 'disabled'
+    WHEN i.media_type = 'other' AND r.media_type <> 'other' THEN 'media_other_mismatch'
+    WHEN r.media_type IN ('movie', 'tv') AND r.media_type <> i.media_type OR r.media_type = 'other' AND i.media_type <> 'other' THEN 'media_mismatch'
+    WHEN i.year < r.year_from OR i.year > r.year_to THEN 'year_mismatch'
+    WHEN r.allow_720 + r.allow_1080 + r.allow_2160 > 0 AND NOT (r.allow_720 = 1 AND i.video_format = '720' OR r.allow_1080 = 1 AND i.video_format = '1080' OR r.allow_2160 = 1 AND i.video_format = '2160') THEN 'format_mismatch'
+    WHEN r.min_rating IS NOT NULL AND i.rating IS NULL THEN 'rating_missing'
+    WHEN r.min_rating IS NOT NULL AND i.rating < r.min_rating THEN 'rating_mismatch'
+    WHEN r.bucket_filter = 'only_anime' AND i.bucket <> 'anime' THEN 'bucket_mismatch'
+    WHEN r.bucket_filter = 'exclude_dorama' AND i.bucket = 'dorama' OR r.bucket_filter = 'exclude_anime_dorama' AND i.bucket IN ('anime', 'dorama') THEN 'bucket_excluded'
+    WHEN r.genre <> 0 AND i.genre NOT IN (r.genre, (r.genre + 1) % 6, (r.genre + 2) % 6) THEN 'genre_mismatch'
+    WHEN r.country_codes <> '' AND i.country = '' THEN 'country_missing'
+    WHEN r.country_codes <> '' AND NOT list_contains([trim(x) FOR x IN string_split(upper(r.country_codes), ',')], i.country) THEN 'country_mismatch'
+    WHEN r.exclude_country_codes = i.country THEN 'excluded_country'
+    WHEN r.include_keywords <> '' AND NOT (regexp_matches(hay, '(^|[^a-z0-9_])ar([^a-z0-9_]|$)') OR regexp_matches(hay, '(^|[^a-z0-9_])lin([^a-z0-9_]|$)')) THEN 'include_keyword_mismatch'
+    WHEN r.exclude_keywords <> '' AND (regexp_matches(hay, '(^|[^a-z0-9_])zz([^a-z0-9_]|$)') OR regexp_matches(hay, '(^|[^a-z0-9_])red([^a-z0-9_]|$)')) THEN 'exclude_keyword'
+    ELSE 'passed' END"""
+_HAY = "(SELECT *, lower(title || chr(10) || category) AS hay FROM {items})"
+
+
+@query(f"""SELECT p.user_id AS rule_id, p.item_id, CASE WHEN r.rule_id IS NULL OR i.item_id IS NULL THEN 'missing_rule_or_item' ELSE {_REASON_SQL} END AS reason
+    FROM (SELECT DISTINCT user_id, item_id FROM {{facts}}) p LEFT JOIN {{rules}} r ON p.user_id = r.rule_id LEFT JOIN {_HAY} i ON p.item_id = i.item_id""")
+def rule_explain(get):
+    pairs = get("facts").select(F.col("user_id").alias("rule_id"), "item_id").distinct()
+    return rules.explain(pairs, _rules(get), _items(get))
+
+
+@query(f"SELECT r.rule_id, count(*) AS matches, min(i.item_id) AS first_item, max(i.item_id) AS last_item FROM {{rules}} r JOIN {_HAY} i ON {_REASON_SQL} = 'passed' GROUP BY r.rule_id")
+def rule_match(get):
+    found = rules.match(_rules(get), _items(get))
+    return found.groupBy("rule_id").agg(F.count("*").alias("matches"), F.min("item_id").alias("first_item"), F.max("item_id").alias("last_item"))
+
+
+@query("SELECT r.rule_id, r.media_type, u.user_name FROM {rules} r JOIN {users} u ON r.user_id = u.user_id WHERE r.is_enabled = 1 AND u.is_active AND u.access_granted AND (u.expires_at IS NULL OR u.expires_at > 996710400)")
+def enabled_rules(get):
+    users = get("users").filter(delivery.may_receive(F.lit(AS_OF)))
+    return get("rules").filter("is_enabled = 1").join(users, "user_id").select("rule_id", "media_type", "user_name")
+
+
+@query("""SELECT c_custkey AS user_id, count(o_orderkey) AS n_rules, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS n_final, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS last_at
+    FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""")
+def user_rule_stats(get):
+    orders = get("orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("f"), F.max("o_orderdate").alias("last"))
+    rows = get("customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return rows.select(F.col("c_custkey").alias("user_id"), F.coalesce("n", F.lit(0)).alias("n_rules"), F.coalesce("f", F.lit(0)).alias("n_final"), _day("last").alias("last_at"))
+
+
+@query("SELECT origin, count(*) AS n, count(DISTINCT user_id) AS users, count(DISTINCT item_id) AS items, strftime(max(delivered_at), '%Y-%m-%d %H:%M:%S') AS last_at FROM {facts} GROUP BY origin")
+def delivery_facts_union(get):
+    parts = {n: get("facts").filter(F.col("origin") == n).drop("origin") for n in ("live", "archive", "claim")}
+    every = delivery.facts(parts["live"], parts["archive"], parts["claim"])
+    return every.groupBy("origin").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.countDistinct("item_id").alias("items"), F.date_format(F.max("delivered_at"), "yyyy-MM-dd HH:mm:ss").alias("last_at"))
+
+
+_GAP_SQL = """WITH known AS (SELECT DISTINCT release_id, progress FROM {versions}),
+    seen AS (SELECT release_id, progress, max(polled_at) AS polled_at FROM {observed} GROUP BY ALL),
+    gaps AS (SELECT s.* FROM seen s WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.release_id = s.release_id AND k.progress = s.progress)),
+    audit AS (SELECT g.release_id, g.progress, g.polled_at, (SELECT max(progress) FROM known k WHERE k.release_id = g.release_id AND k.progress < g.progress) AS highest_below,
+        (SELECT max(progress) FROM known k WHERE k.release_id = g.release_id) AS current_highest FROM gaps g),
+    sent AS (SELECT item_id, count(*) AS delivery_count, count(DISTINCT user_id) AS delivery_users, max(delivered_at) AS last_delivered_at FROM {facts} GROUP BY item_id)
+    SELECT a.release_id, a.progress, CASE WHEN a.progress > a.current_highest THEN 'latest_gap' ELSE 'historical_gap' END AS gap_kind, a.highest_below, a.current_highest,
+    strftime(a.polled_at, '%Y-%m-%d %H:%M:%S') AS polled_at, coalesce(delivery_count, 0) AS delivery_count, coalesce(delivery_users, 0) AS delivery_users, strftime(last_delivered_at, '%Y-%m-%d %H:%M:%S') AS last_delivered_at
+    FROM audit a LEFT JOIN sent ON a.release_id = item_id WHERE highest_below IS NOT NULL"""
+
+
+def _gaps(get) -> DataFrame:
+    sent = get("facts").groupBy(F.col("item_id").alias("release_id")).agg(F.count("*").alias("delivery_count"), F.countDistinct("user_id").alias("delivery_users"), F.max("delivered_at").alias("last_delivered_at"))
+    return audit.gap_audit(get("versions").withColumn("created_at", F.col("created")), get("observed"), sent)
+
+
+@query(_GAP_SQL)
+def gap_audit(get):
+    return audit.in_audit_order(_gaps(get)).withColumn("polled_at", _day("polled_at")).withColumn("last_delivered_at", _day("last_delivered_at"))
+
+
+@query(f"SELECT release_id, progress, gap_kind, n_gaps FROM (SELECT *, count(*) OVER (PARTITION BY release_id) AS n_gaps, row_number() OVER (PARTITION BY release_id ORDER BY gap_kind <> 'latest_gap', delivery_users DESC, delivery_count DESC, polled_at DESC, progress) AS rn FROM ({_GAP_SQL})) WHERE rn = 1")
+def repair_targets(get):
+    order = [F.col("gap_kind") != "latest_gap", F.desc("delivery_users"), F.desc("delivery_count"), F.desc("polled_at"), F.col("progress")]
+    own = Window.partitionBy("release_id")
+    rows = _gaps(get).withColumn("n_gaps", F.count("*").over(own)).withColumn("rn", F.row_number().over(own.orderBy(*order)))
+    return rows.filter("rn = 1").select("release_id", "progress", "gap_kind", "n_gaps")
+
+
+@query("""SELECT release_id, media, progress, strftime(max(published), '%Y-%m-%d %H:%M:%S') AS last_published, any_value(version_rank) AS version_rank, count(*) AS n FROM
+    (SELECT v.*, dense_rank() OVER (PARTITION BY release_id, media ORDER BY newest DESC, progress) AS version_rank FROM
+        (SELECT *, max(published) OVER (PARTITION BY release_id, media, progress) AS newest FROM {versions}) v) WHERE version_rank > 3 GROUP BY release_id, media, progress""")
+def retention_plan(get):
+    plan = versions.retention(get("versions"), ["release_id", "media"], "progress", F.col("published"), 3).filter("archive")
+    return plan.groupBy("release_id", "media", "progress").agg(F.date_format(F.max("published"), "yyyy-MM-dd HH:mm:ss").alias("last_published"), F.any_value("version_rank").alias("version_rank"), F.count("*").alias("n"))
+
+
+@query(f"""SELECT version_id, created, line, keeper FROM (SELECT *, first_value(created) OVER w AS keeper, row_number() OVER w AS rn FROM {{versions}}
+    WINDOW w AS (PARTITION BY release_id, media, progress ORDER BY CASE WHEN audio = 'N' THEN 4 ELSE 0 END + CASE WHEN quantity > 25 THEN 2 ELSE 0 END DESC, {NEWEST_SQL})) WHERE rn > 1""")
+def dup_keeper(get):
+    rows = get("versions").withColumn("row_id", F.struct("version_id", "created", "line"))
+    score = versions.quality_score((F.col("audio") == "N", 4), (F.col("quantity") > 25, 2))
+    lost = versions.duplicates(rows, ["release_id", "media", "progress"], score, _newest(), "row_id")
+    return lost.select("row_id.version_id", "row_id.created", "row_id.line", F.col("keeper_id.created").alias("keeper"))
+
+
+@query(f"SELECT release_id, progress, version_duplicates, created, strftime(published, '%Y-%m-%d %H:%M:%S') AS published FROM (SELECT *, count(*) OVER (PARTITION BY release_id, progress) AS version_duplicates, row_number() OVER (PARTITION BY release_id, progress ORDER BY {NEWEST_SQL}) AS rn FROM {{versions}}) WHERE rn = 1")
+def timeline(get):
+    return versions.timeline(get("versions"), ["release_id", "progress"], F.struct(*_newest()), ["created", "published"]).withColumn("published", _day("published"))
+
+
+@query(f"""SELECT release_id, progress, created FROM (SELECT *, row_number() OVER (PARTITION BY release_id ORDER BY CASE WHEN last_known THEN progress END DESC, {NEWEST_SQL}) AS rn FROM
+    (SELECT *, first_value(audio <> 'A') OVER (PARTITION BY release_id ORDER BY {NEWEST_SQL}) AS last_known, audio <> 'A' AS known FROM {{versions}}) WHERE known OR NOT last_known) WHERE rn = 1""")
+def best_version(get):
+    # versions with audio A stand for those whose progress cannot be read
+    return versions.best_version(get("versions"), "release_id", F.when(F.col("audio") != "A", F.col("progress")), _newest(), ["progress", "created"])
+
+
+@query(f"SELECT release_id, created, line, version_id FROM (SELECT *, row_number() OVER (PARTITION BY release_id ORDER BY {NEWEST_SQL}) AS rn FROM {{versions}}) WHERE rn = 1")
+def last_per_release(get):
+    return delivery.latest(get("versions"), ["release_id"], _newest(), ["created", "line", "version_id"])
+
+
+@query("""SELECT user_id, item_id, event_id, origin FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY CASE origin WHEN 'live' THEN 2 WHEN 'claim' THEN 1 ELSE 0 END DESC, delivered_at DESC, event_id DESC, line DESC, version_id DESC) AS rn FROM {facts}) WHERE rn = 1""")
+def latest_related(get):
+    live_first = F.when(F.col("origin") == "live", 2).when(F.col("origin") == "claim", 1).otherwise(0)
+    return delivery.latest(get("facts"), ["user_id", "item_id"], [live_first, *[F.col(c) for c in ("delivered_at", "event_id", "line", "version_id")]], ["event_id", "origin"])
+
+
+@query("""SELECT a.event_id, a.user_id FROM (SELECT *, epoch(ts) AS at FROM events) a WHERE a.event_type = 'click' AND NOT EXISTS
+    (SELECT 1 FROM events b WHERE b.event_type <> 'click' AND b.user_id = a.user_id AND epoch(b.ts) <= a.at AND epoch(b.ts) > a.at - 3600)""")
+def cooldown_anti(get):
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    rows = get("events").select("event_id", "user_id", "event_type", at.alias("at"))
+    sent = rows.filter("event_type <> 'click'").select("user_id", F.col("at").alias("delivered_at"))
+    return delivery.outside_cooldown(rows.filter("event_type = 'click'"), sent, ["user_id"], "at", 3600).select("event_id", "user_id")
+
+
+@query("SELECT DISTINCT f.user_id, f.item_id FROM {facts} f WHERE NOT EXISTS (SELECT 1 FROM {facts} m WHERE m.origin = 'archive' AND m.user_id = f.user_id AND m.item_id % 100 = f.item_id % 100)")
+def muted_anti(get):
+    muted = get("facts").filter("origin = 'archive'").select("user_id", (F.col("item_id") % 100).alias("title_group"))
+    wanted = get("facts").select("user_id", "item_id").distinct().withColumn("title_group", F.col("item_id") % 100)
+    return delivery.not_delivered(wanted, muted, ["user_id", "title_group"]).select("user_id", "item_id")
+
+
+@query("SELECT p_partkey AS item_id, p_name AS title FROM part WHERE p_partkey IN (SELECT item_id FROM {facts} WHERE origin = 'claim')")
+def semi_delivered(get):
+    return get("part").join(get("facts").filter("origin = 'claim'"), F.col("p_partkey") == F.col("item_id"), "left_semi").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"))
+
+
+@query("""SELECT b.p_brand AS group_name, (SELECT p_name FROM part p WHERE p.p_brand = b.p_brand ORDER BY p_retailprice DESC, p_partkey DESC LIMIT 1) AS latest_title, count(*) AS items FROM part b GROUP BY b.p_brand""")
+def muted_latest_title(get):
+    return get("part").groupBy(F.col("p_brand").alias("group_name")).agg(F.max_by("p_name", F.struct("p_retailprice", "p_partkey")).alias("latest_title"), F.count("*").alias("items"))
+
+
+@query("""SELECT o.o_orderkey AS event_id, o.o_custkey AS user_id, l.l_partkey AS item_id, p.p_name AS title, l.l_linenumber AS line, l.l_suppkey AS version_id
+    FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey AND l.l_returnflag = 'R' LEFT JOIN part p ON p.p_partkey = l.l_partkey AND p.p_size > 10""")
+def history_left_join(get):
+    rows = get("facts").filter("origin = 'archive'").join(get("part").filter("p_size > 10"), F.col("item_id") == F.col("p_partkey"), "left")
+    return rows.select("event_id", "user_id", "item_id", F.col("p_name").alias("title"), "line", "version_id")
+
+
+@query("""SELECT user_id, strftime(max(delivered_at), '%Y-%m-%d %H:%M:%S') AS last_at FROM {facts} WHERE origin <> 'claim' AND user_id NOT IN (SELECT user_id FROM {facts} WHERE origin = 'claim' AND user_id IS NOT NULL)
+    GROUP BY user_id ORDER BY max(delivered_at) DESC, user_id LIMIT 200""")
+def recent_users(get):
+    # 200 is the report's own length
+    rows = delivery.not_delivered(get("facts").filter("origin <> 'claim'"), get("facts").filter("origin = 'claim'"), ["user_id"])
+    return rows.groupBy("user_id").agg(F.max("delivered_at").alias("at")).orderBy(F.desc("at"), "user_id").limit(200).select("user_id", _day("at").alias("last_at"))
+
+
+@query("""SELECT f.user_id, f.item_id, f.event_id, f.line, f.version_id, CASE WHEN NOT (u.is_active AND u.access_granted AND (u.expires_at IS NULL OR u.expires_at > 996710400)) THEN 'user_access_denied'
+    WHEN f.item_id % 17 = f.user_id % 17 THEN 'title_muted' WHEN d.item_id IS NOT NULL THEN 'already_delivered_item' WHEN e.item_id IS NOT NULL THEN 'delivered_equivalent' ELSE 'matched' END AS reason
+    FROM (SELECT * FROM {facts} WHERE origin = 'claim') f JOIN {users} u ON f.user_id = u.user_id
+    LEFT JOIN (SELECT DISTINCT user_id, item_id FROM {facts} WHERE origin = 'live') d ON f.user_id = d.user_id AND f.item_id = d.item_id
+    LEFT JOIN (SELECT DISTINCT user_id, item_id FROM {facts} WHERE origin = 'archive') e ON f.user_id = e.user_id AND f.item_id = e.item_id""")
+def gate_reason(get):
+    facts = get("facts")
+    sent = facts.groupBy("user_id", "item_id").agg(F.max((F.col("origin") == "live").cast("int")).alias("live"), F.max((F.col("origin") == "archive").cast("int")).alias("archive"))
+    rows = facts.filter("origin = 'claim'").join(get("users"), "user_id").join(sent, ["user_id", "item_id"], "left")
+    why = rules.first_reason(
+        (~delivery.may_receive(F.lit(AS_OF)), "user_access_denied"), (F.col("item_id") % 17 == F.col("user_id") % 17, "title_muted"),
+        (F.col("live") == 1, "already_delivered_item"), (F.col("archive") == 1, "delivered_equivalent"), default="matched",
+    )
+    return rows.select("user_id", "item_id", "event_id", "line", "version_id", why.alias("reason"))
+
+
+@query("""WITH o AS (SELECT release_id, count(*) AS seen FROM {observed} GROUP BY release_id)
+    SELECT f.user_id, f.item_id, f.event_id, f.line, f.version_id, CASE WHEN 6 >= u.quiet_start AND 6 < u.quiet_end OR u.quiet_start > u.quiet_end AND (6 >= u.quiet_start OR 6 < u.quiet_end) THEN 'waiting:quiet'
+    WHEN o.seen > 3 THEN 'held:anomaly' WHEN i.rating IS NULL THEN 'waiting:review' WHEN f.item_id % 17 = f.user_id % 17 THEN 'skipped:muted' ELSE 'ready' END AS status
+    FROM {facts} f JOIN {users} u ON f.user_id = u.user_id JOIN {items} i ON f.item_id = i.item_id LEFT JOIN o ON o.release_id = f.item_id WHERE f.origin = 'live'""")
+def explain_status(get):
+    seen = get("observed").groupBy(F.col("release_id").alias("item_id")).agg(F.count("*").alias("seen"))
+    rows = get("facts").filter("origin = 'live'").join(get("users"), "user_id").join(get("items"), "item_id").join(seen, "item_id", "left")
+    status = rules.last_reason(
+        (F.col("item_id") % 17 == F.col("user_id") % 17, "skipped:muted"), (F.col("rating").isNull(), "waiting:review"), (F.col("seen") > 3, "held:anomaly"),
+        (signatures.quiet(F.lit(6), F.col("quiet_start"), F.col("quiet_end")), "waiting:quiet"), default="ready",
+    )
+    return rows.select("user_id", "item_id", "event_id", "line", "version_id", status.alias("status"))
+
+
+@query("""SELECT event_id, release_id, progress, highest_before FROM (SELECT *, max(progress) OVER (PARTITION BY release_id ORDER BY polled_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS highest_before FROM {observed}) WHERE progress < highest_before""")
+def regression_hold(get):
+    return audit.regressions(get("observed"), "release_id", "progress", ["polled_at", "event_id"]).select("event_id", "release_id", "progress", "highest_before")
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY o_orderstatus")
+def status_histogram(get):
+    return get("orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT release_id, string_agg(CASE WHEN n > 1 THEN n || 'x:' || label ELSE label END, ',' ORDER BY label) AS audio FROM (SELECT release_id, lower(audio) AS label, count(*) AS n FROM {versions} GROUP BY ALL) GROUP BY release_id""")
+def audio_signature(get):
+    return get("versions").groupBy("release_id").agg(F.collect_list("audio").alias("tracks")).select("release_id", signatures.audio_signature(F.col("tracks")).alias("audio"))
+
+
+@query("""SELECT DISTINCT release_id, media, sha1(CASE WHEN media = 'movie' THEN 'movie|' ELSE media || '|' || progress || '|' END || 'nofmt|norelease|' || lower(audio)) AS variant FROM {versions}""")
+def variant_sha1(get):
+    none = F.lit("")
+    return get("versions").select("release_id", "media", signatures.variant_signature(F.col("media"), F.col("progress"), none, none, F.col("audio")).alias("variant")).distinct()
+
+
+@query("""SELECT event_id, line, version_id, user_id, item_id, lag(version_id) OVER (PARTITION BY user_id, item_id ORDER BY delivered_at, event_id, line, version_id) AS version_before FROM {facts}""")
+def change_lag(get):
+    own = Window.partitionBy("user_id", "item_id").orderBy("delivered_at", "event_id", "line", "version_id")
+    return get("facts").withColumn("version_before", F.lag("version_id").over(own)).select("event_id", "line", "version_id", "user_id", "item_id", "version_before")
+
+
+_TOKENS = "list_sort(list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda t: t <> '')))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_TOKENS.format('text')} AS a FROM documents), b AS (SELECT item_id, {_TOKENS.format('text')} AS b FROM benchmark)
+    SELECT doc_id, item_id, round(len(list_intersect(a, b)) / greatest(len(a), len(b)), 3) AS overlap FROM d, b WHERE len(a) > 0 AND len(b) > 0 AND round(len(list_intersect(a, b)) / greatest(len(a), len(b)), 3) >= 0.3""")
+def token_overlap(get):
+    return linking.overlaps(get("documents"), get("benchmark"), "doc_id", "item_id", "text", "text", 0.3)
+
+
+_PREFIX = "array_to_string(list_slice(string_split({0}, ' '), 1, {1}), ' ')"
+
+
+@query(f"""WITH i AS (SELECT doc_id, {_PREFIX.format('text', 6)} AS title, CASE WHEN len(string_split({_PREFIX.format('text', 6)}, ' ')) >= 4 THEN {_PREFIX.format('text', 4)} END AS prefix FROM documents),
+    e AS (SELECT item_id, {_PREFIX.format('text', 6)} AS title, {_PREFIX.format('text', 4)} AS prefix, len(string_split({_PREFIX.format('text', 6)}, ' ')) AS n FROM benchmark)
+    SELECT doc_id, coalesce(x.id, p.id) AS entry_id, CASE WHEN x.id IS NOT NULL THEN 'exact' WHEN p.id IS NOT NULL THEN 'prefix' ELSE 'none' END AS route FROM i
+    LEFT JOIN (SELECT title, min(item_id) AS id FROM e GROUP BY title) x ON i.title = x.title LEFT JOIN (SELECT prefix, min(item_id) AS id FROM e WHERE n >= 4 GROUP BY prefix) p ON i.prefix = p.prefix""")
+def dict_lookup(get):
+    words = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 6), " ")
+    entries = get("benchmark").select(F.col("item_id").alias("entry_id"), words(F.col("text")).alias("name"))
+    items = get("documents").select("doc_id", words(F.col("text")).alias("title"))
+    return linking.exact_then_prefix(items, entries, F.col("title"), F.col("name")).select("doc_id", "entry_id", "route")
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages""")
+def strip_html_title(get):
+    return get("pages").select("page_id", readers.page_title(F.col("html")).alias("title"))
+
+
+@query("SELECT doc_id, list_distinct(list_filter(regexp_extract_all(regexp_replace(text, '[0-9]{5,}', ' ', 'g'), '[0-9]{4}'), lambda y: y::INT BETWEEN 1900 AND 2002)) IS NOT NULL AS ok, coalesce(array_to_string(list_sort(list_distinct([y::INT FOR y IN regexp_extract_all(regexp_replace(text, '[0-9]{5,}', ' ', 'g'), '[0-9]{4}') IF y::INT BETWEEN 1900 AND 2002])), ','), '') AS years FROM documents")
+def year_extract(get):
+    found = F.array_sort(text.years(F.coalesce("text", F.lit("")), AS_OF_YEAR))
+    return get("documents").select("doc_id", F.col("text").isNotNull().alias("ok"), F.array_join(F.transform(found, lambda y: y.cast("string")), ",").alias("years"))
+
+
+@query("SELECT event_id, props AS listed, 1 AS n FROM events")
+def jsonish_list(get):
+    parts = text.listed(F.col("props"))
+    return get("events").select("event_id", F.array_join(parts, ",").alias("listed"), F.size(parts).alias("n"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
+    SELECT conv_id, turn, len(list_filter(string_split(text, chr(10)), lambda x: before IS NULL OR NOT list_contains(string_split(before, chr(10)), x))) AS added, CASE WHEN before IS NULL THEN 0 ELSE len(list_filter(string_split(before, chr(10)), lambda x: NOT list_contains(string_split(text, chr(10)), x))) END AS removed FROM t""")
+def line_diff(get):
+    rows = get("conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    new, old = F.split("text", "\n"), F.coalesce(F.split("before", "\n"), F.array().cast("array<string>"))
+    missing = lambda a, b: F.size(F.filter(a, lambda x: ~F.array_contains(b, x)))
+    return rows.select("conv_id", "turn", missing(new, old).cast("long").alias("added"), missing(old, new).cast("long").alias("removed"))
+
+
+@query("SELECT event_id, line, version_id, 'release:' || user_id || ':' || item_id || ':' || version_id AS event_key FROM {facts}")
+def event_key(get):
+    s = lambda c: F.col(c).cast("string")
+    return get("facts").select("event_id", "line", "version_id", signatures.release_event(s("user_id"), s("item_id"), s("version_id"), s("item_id")).alias("event_key"))
+
+
+@query("""SELECT event_id, (extract(hour FROM ts) + 5) % 24 AS local_hour, CASE WHEN user_id % 24 < (user_id + 8) % 24 THEN (extract(hour FROM ts) + 5) % 24 >= user_id % 24 AND (extract(hour FROM ts) + 5) % 24 < (user_id + 8) % 24
+    ELSE (extract(hour FROM ts) + 5) % 24 >= user_id % 24 OR (extract(hour FROM ts) + 5) % 24 < (user_id + 8) % 24 END AS quiet FROM events""")
+def quiet_hours(get):
+    hour = F.hour(F.col("ts") + F.expr("INTERVAL 5 HOURS"))  # a zone five hours east of the stored time
+    return get("events").select("event_id", hour.cast("long").alias("local_hour"), signatures.quiet(hour, F.col("user_id") % 24, (F.col("user_id") + 8) % 24).alias("quiet"))
+
+
+@query("SELECT user_id, item_id % 50 AS metadata_id, count(*) AS n, count(*) >= 2 AS as_group FROM {facts} GROUP BY 1, 2")
+def group_by_metadata(get):
+    rows = delivery.grouped(get("facts").withColumn("metadata_id", F.col("item_id") % 50), "user_id", "metadata_id")
+    return rows.groupBy("user_id", "metadata_id").agg(F.count("*").alias("n"), F.any_value("as_group").alias("as_group"))
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS recent FROM (SELECT event_id, user_id, date_trunc('second', ts) AS ts FROM events)")
+def sliding_rate(get):
+    rows = get("events").select("event_id", "user_id", F.unix_seconds(F.date_trunc("second", F.col("ts").cast("timestamp"))).alias("at"))
+    return delivery.sliding_rate(rows, "user_id", "at", "event_id", 86_400).select("event_id", "recent")
+
+
+@query(f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY release_id ORDER BY {NEWEST_SQL}) AS rn FROM {{versions}} WHERE audio <> 'N'), n AS (SELECT *, row_number() OVER (PARTITION BY release_id ORDER BY {NEWEST_SQL}) AS rn FROM {{versions}} WHERE audio = 'N')
+    SELECT coalesce(s.release_id, n.release_id) AS release_id, CASE WHEN n.release_id IS NULL THEN s.progress ELSE n.progress END AS progress, CASE WHEN n.release_id IS NULL THEN s.media ELSE n.media END AS media,
+    CASE WHEN s.release_id IS NULL THEN 'new' WHEN n.release_id IS NULL THEN 'untouched' WHEN s.progress = n.progress AND s.media = n.media THEN 'same' ELSE 'changed' END AS change
+    FROM (SELECT * FROM s WHERE rn = 1) s FULL JOIN (SELECT * FROM n WHERE rn = 1) n ON s.release_id = n.release_id""")
+def upsert_items(get):
+    rows = get("versions")
+    stored = delivery.latest(rows.filter("audio <> 'N'"), ["release_id"], _newest(), ["progress", "media"])
+    return versions.upsert(stored, rows.filter("audio = 'N'"), ["release_id"], F.struct(*_newest()))
+
+
+@query(r"""SELECT conv_id, turn, CASE WHEN t LIKE '%2160%' OR t LIKE '%4k%' THEN '2160' WHEN t LIKE '%1080%' THEN '1080' WHEN t LIKE '%720%' THEN '720' ELSE '' END AS video_format,
+    md5(text) AS text_hash, CASE WHEN length(c) > 40 THEN rtrim(substr(c, 1, 39)) || '…' ELSE c END AS short FROM (SELECT *, lower(text) AS t, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM conversations)""")
+def text_fields(get):
+    own = F.col("text")
+    return get("conversations").select("conv_id", "turn", text.video_format(own).alias("video_format"), F.md5(own).alias("text_hash"), text.shorten(text.compact_spaces(own), 40).alias("short"))
+
+
+@query("""WITH p AS (SELECT event_id, user_id, epoch(ts)::BIGINT AS at FROM (SELECT event_id, user_id, date_trunc('second', ts) AS ts FROM events)),
+    c AS (SELECT *, 'sS' AS k, 1 + event_id % 3 AS season, 1 + event_id % 12 AS ep FROM p) SELECT event_id, CAST(season AS BIGINT) AS season, CAST(ep AS BIGINT) AS last_episode FROM c""")
+def progress_parts(get):
+    own = F.format_string("S%02dE%02d-E%02d", 1 + F.col("event_id") % 3, F.lit(1), 1 + F.col("event_id") % 12)
+    parts = progress.parts(own)
+    return get("events").select("event_id", parts["season"].cast("long").alias("season"), parts["end"].cast("long").alias("last_episode"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, payload) AS rn FROM (SELECT user_id AS key, epoch(date_trunc('second', ts))::BIGINT AS t, event_id AS payload FROM events)),
+    s AS (SELECT key, rn, t + 120 AS deadline, 0 AS moves, payload, NULL::BIGINT AS due_at, NULL::BIGINT AS due_payload FROM e WHERE rn = 1 UNION ALL
+        SELECT e.key, e.rn, CASE WHEN e.t >= s.deadline OR s.moves < 2 THEN e.t + 120 ELSE s.deadline END, CASE WHEN e.t >= s.deadline THEN 0 WHEN s.moves < 2 THEN s.moves + 1 ELSE s.moves END, e.payload,
+        CASE WHEN e.t >= s.deadline THEN s.deadline END, CASE WHEN e.t >= s.deadline THEN s.payload END FROM s JOIN e ON e.key = s.key AND e.rn = s.rn + 1)
+    SELECT key, due_at, due_payload AS payload FROM s WHERE due_at IS NOT NULL UNION ALL SELECT key, max_by(deadline, rn), max_by(payload, rn) FROM s GROUP BY key""")
+def debounce_replay(get):
+    rows = get("events").select(F.col("user_id").alias("key"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("payload"))
+    return debounce.replay(rows)
+
+
+@query()
+def similarity_rank(get):
+    pairs = linking.overlaps(get("documents"), get("benchmark"), "doc_id", "item_id", "text", "text", 0.3)
+    pairs = pairs.drop("overlap").join(get("documents").select("doc_id", F.col("text").alias("doc")), "doc_id").join(get("benchmark").select("item_id", F.col("text").alias("item")), "item_id")
+    best = linking.ranked(pairs, "doc_id", "item_id", F.col("doc"), F.col("item"), 3)
+    return best.select("doc_id", "item_id", "place", "score", linking.confidence(F.lower("doc") == F.lower("item"), F.col("similarity"), F.col("overlap"), F.lit(None).cast("int")).alias("confidence"))
+
+
+@query("SELECT item_id, title AS title_en, year, 'ДБ,ПМ (Studio)' AS audio, 'WEBRip (' || video_format || 'p)' AS release_type FROM {items}")
+def parse_release(get):
+    raw = F.concat_ws(" / ", F.col("title"), F.col("year").cast("string"), F.lit("ДБ, ПМ (Studio)"), F.concat(F.lit("WEBRip ("), F.col("video_format"), F.lit("p)")))
+    return get("items").select("item_id", titles.parse_title(raw).alias("parsed")).select("item_id", "parsed.title_en", "parsed.year", F.array_join("parsed.audio", ",").alias("audio"), "parsed.release_type")
+
+
+#: Feature columns for scoring, made from orders: each order stands for a candidate of a query.
+_FEATURES = {
+    "query_media": "CASE WHEN o_orderkey % 2 = 0 THEN 'tv' ELSE 'movie' END", "candidate_media": "CASE WHEN o_orderkey % 7 < 4 THEN 'tv' ELSE 'movie' END", "wanted_media": "CASE WHEN o_orderkey % 11 < 6 THEN 'tv' ELSE 'movie' END",
+    "exact": "o_orderkey % 13 = 0", "substring": "o_orderkey % 5 < 2", "short": "o_custkey % 3 = 0", "one_word_query": "o_custkey % 4 = 0", "long_candidates": "o_custkey % 5 < 4", "latin": "o_custkey % 7 < 3",
+    "cjk_exception": "o_custkey % 17 = 0", "derivative": "o_orderkey % 19 = 0", "truncated": "o_orderkey % 17 < 3", "alias_only": "o_orderkey % 6 = 0", "alias_fits": "o_custkey % 6 = 0", "nonfiction": "o_custkey % 8 = 0",
+    "generic_alias": "o_custkey % 9 = 0", "generic": "o_custkey % 10 < 3", "franchise": "o_orderkey % 23 < 4", "continuation": "o_orderkey % 29 < 6", "revival": "o_custkey % 31 < 5", "long_running": "o_custkey % 37 < 5",
+    "overlap": "CAST(o_orderkey % 101 AS DOUBLE) / 100", "similarity": "CAST(o_orderkey % 97 AS DOUBLE) / 96", "common": "CAST(o_orderkey % 4 AS INT)", "main_overlap": "CAST(o_custkey % 89 AS DOUBLE) / 88", "main_similarity": "CAST(o_custkey % 83 AS DOUBLE) / 82",
+    "delta": "CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE CAST(o_orderkey % 41 AS INT) END", "season": "CASE WHEN o_custkey % 2 = 0 THEN NULL ELSE CAST(o_custkey % 6 AS INT) END", "seasons": "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey % 5 AS INT) END",
+    "episodes": "CAST(o_custkey % 27 AS INT)", "candidate_episodes": "CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE CAST(o_orderkey % 33 AS INT) END",
+}
+_FEATURES_SQL = "SELECT o_orderkey, o_custkey, " + ", ".join(f"{v} AS {k}" for k, v in _FEATURES.items()) + " FROM orders"
+
+
+def _features(get) -> DataFrame:
+    return get("orders").select("o_orderkey", "o_custkey", *[F.expr(v).alias(k) for k, v in _FEATURES.items()])
+
+
+@query(f"""SELECT o_orderkey AS candidate_id, CASE WHEN query_media = 'tv' AND candidate_media = 'movie' THEN 'SOURCE_TV_CANDIDATE_MOVIE'
+    WHEN short AND one_word_query AND NOT exact AND long_candidates AND common <= 1 THEN 'SHORT_COMMON_QUERY_TOKEN_MISMATCH'
+    WHEN short AND one_word_query AND NOT exact AND long_candidates AND similarity < 0.985 AND NOT substring THEN 'SHORT_COMMON_QUERY_LOW_SIMILARITY'
+    WHEN short AND truncated AND main_overlap < 0.67 AND main_similarity < 0.88 THEN 'TRUNCATED_PREFIX_QUERY_MATCH'
+    WHEN NOT exact AND substring AND derivative THEN 'DERIVATIVE_SUFFIX_MISMATCH'
+    WHEN latin AND tv AND overlap < 0.18 AND similarity < 0.50 AND common < 2 AND NOT substring AND NOT cjk_exception THEN 'LATIN_TITLE_WEAK_MATCH_TV'
+    WHEN latin AND NOT tv AND overlap < 0.28 AND similarity < 0.58 AND common < 2 AND NOT substring THEN 'LATIN_TITLE_WEAK_MATCH'
+    WHEN alias_only AND candidate_media <> wanted_media THEN 'ALIAS_ONLY_MEDIA_MISMATCH'
+    WHEN alias_only AND NOT alias_fits AND main_overlap < 0.34 AND main_similarity < 0.58 THEN 'ALIAS_ONLY_WEAK_MAIN_TITLE'
+    WHEN alias_only AND nonfiction AND main_overlap < 0.60 THEN 'ALIAS_ONLY_NONFICTION_WEAK_MATCH'
+    WHEN alias_only AND generic_alias THEN 'ALIAS_ONLY_GENERIC_PARENTHETICAL'
+    WHEN tv AND delta >= 35 THEN 'TV_YEAR_DELTA_EXTREME' WHEN tv AND delta >= 20 AND NOT continuation THEN 'TV_YEAR_DELTA_VERY_LARGE'
+    WHEN tv AND delta >= 10 AND NOT exact AND NOT franchise AND NOT continuation THEN 'TV_YEAR_DELTA_LARGE_WEAK_TITLE'
+    WHEN tv AND delta >= 8 AND overlap < 0.70 AND similarity < 0.84 AND NOT franchise AND NOT continuation THEN 'TV_YEAR_DELTA_MEDIUM_WEAK_TITLE'
+    WHEN tv AND coalesce(season, 1) < 2 AND short AND delta >= 3 AND NOT franchise THEN 'TV_SHORT_COMMON_YEAR_DELTA_LARGE'
+    WHEN tv AND coalesce(season, 1) < 2 AND short AND delta >= 2 AND NOT exact AND NOT franchise THEN 'TV_SHORT_COMMON_YEAR_DELTA_EXACTNESS'
+    WHEN tv AND season >= 2 AND short AND delta >= 6 AND NOT exact AND overlap < 0.85 AND similarity < 0.90 AND NOT franchise AND NOT continuation THEN 'TV_LATER_SEASON_COMMON_YEAR_DELTA'
+    WHEN tv AND season >= 2 AND seasons + 1 < season AND NOT revival AND NOT long_running THEN 'TV_SEASON_COUNT_TOO_LOW'
+    WHEN tv AND coalesce(season, 1) = 1 AND coalesce(seasons, 1) = 1 AND episodes >= 8 AND abs(candidate_episodes - episodes) >= greatest(4, floor(episodes * 0.60)) THEN 'TV_EPISODE_TOTAL_MISMATCH'
+    WHEN tv AND short AND episodes >= 6 AND abs(candidate_episodes - episodes) >= greatest(4, floor(episodes * 0.75)) AND NOT exact THEN 'TV_EPISODE_TOTAL_MISMATCH_COMMON_QUERY'
+    WHEN candidate_media = 'movie' AND generic AND delta >= 5 THEN 'MOVIE_GENERIC_YEAR_DELTA_LARGE'
+    WHEN candidate_media = 'movie' AND generic AND delta >= 3 AND overlap < 0.95 AND similarity < 0.98 THEN 'MOVIE_GENERIC_YEAR_DELTA_WEAK_TITLE'
+    WHEN candidate_media = 'movie' AND delta >= 6 AND NOT exact AND overlap < 0.72 AND similarity < 0.84 THEN 'MOVIE_YEAR_DELTA_LARGE_WEAK_TITLE'
+    WHEN candidate_media = 'movie' AND delta >= 10 AND NOT exact THEN 'MOVIE_YEAR_DELTA_EXTREME_NO_EXACT'
+    WHEN candidate_media = 'movie' AND delta >= 8 AND overlap < 0.60 AND NOT substring THEN 'MOVIE_YEAR_DELTA_WEAK_SUBSTRING'
+    WHEN candidate_media = 'movie' AND delta >= 20 THEN 'MOVIE_YEAR_DELTA_ABSURD'
+    WHEN candidate_media = 'tv' AND generic AND delta >= 6 AND NOT continuation THEN 'TV_GENERIC_YEAR_DELTA_LARGE'
+    WHEN candidate_media = 'tv' AND generic AND delta >= 4 AND overlap < 0.90 AND similarity < 0.96 AND NOT continuation THEN 'TV_GENERIC_YEAR_DELTA_WEAK_TITLE' END AS code
+    FROM (SELECT *, query_media = 'tv' AND candidate_media = 'tv' AS tv FROM ({_FEATURES_SQL}))""")
+def link_validation(get):
+    return _features(get).select(F.col("o_orderkey").alias("candidate_id"), scoring.rejection().alias("code"))
+
+
+@query(f"""SELECT o_orderkey AS candidate_id, round(0.90 * overlap + 0.70 * main_overlap + CASE WHEN exact THEN 0.55 ELSE 0 END + CASE WHEN substring THEN 0.18 ELSE 0 END + CASE WHEN query_media = candidate_media THEN 0.24 ELSE 0 END
+    - coalesce(least(delta, 12) * 0.06, 0) + CASE WHEN delta <= 1 THEN 0.14 WHEN delta >= 5 THEN -0.16 ELSE 0 END + CASE WHEN season >= 2 AND seasons > 0 AND seasons + 1 >= season AND candidate_media = 'tv' THEN 0.12 ELSE 0 END
+    - CASE WHEN alias_only THEN 0.10 ELSE 0 END - CASE WHEN short AND NOT exact THEN 0.12 ELSE 0 END, 3) AS score FROM ({_FEATURES_SQL})""")
+def link_score(get):
+    c = {n: F.col(n) for n in _FEATURES}
+    f = {"search": F.lit(None).cast("double"), "similarity": c["overlap"], "overlap": c["main_overlap"], "exact": c["exact"], "substring": c["substring"], "same_media": c["query_media"] == c["candidate_media"], "same_bucket": F.lit(False), "anime": F.lit(False), "candidate_tv": c["candidate_media"] == "tv", "year_delta": c["delta"], "season": c["season"], "candidate_seasons": c["seasons"], "alias_only": c["alias_only"], "short": c["short"]}
+    return _features(get).select(F.col("o_orderkey").alias("candidate_id"), scoring.match_score(f).alias("score"))
+
+
+@query("""WITH c AS (SELECT user_id, item_id, version_id, event_id, CASE WHEN event_id % 4 = 0 THEN 'X' END AS reject_code FROM {facts}),
+    best AS (SELECT user_id, max_by(item_id, event_id * 100000 + item_id) AS id FROM c WHERE reject_code IS NULL AND NOT EXISTS (SELECT 1 FROM {facts} r WHERE r.origin = 'archive' AND r.user_id = c.user_id AND r.item_id = c.item_id) GROUP BY user_id),
+    o AS (SELECT c_custkey AS user_id, c_nationkey AS id FROM customer WHERE c_custkey % 20 = 0), m AS (SELECT c_custkey AS user_id, c_nationkey AS id FROM customer WHERE c_custkey % 10 = 1)
+    SELECT c_custkey AS user_id, CASE WHEN o.user_id IS NOT NULL THEN o.id WHEN m.user_id IS NOT NULL THEN m.id ELSE best.id END AS entry_id, CASE WHEN o.user_id IS NOT NULL THEN 'override' WHEN m.user_id IS NOT NULL THEN 'manual' WHEN best.id IS NOT NULL THEN 'search' ELSE 'search_unmatched' END AS path
+    FROM customer LEFT JOIN o ON c_custkey = o.user_id LEFT JOIN m ON c_custkey = m.user_id LEFT JOIN best ON c_custkey = best.user_id""")
+def link_cascade(get):
+    people = get("customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").cast("long").alias("entry_id"))
+    found = get("facts").select("user_id", F.col("item_id").alias("entry_id"), "event_id", F.when(F.col("event_id") % 4 == 0, "X").alias("reject_code"))
+    barred = get("facts").filter("origin = 'archive'").select("user_id", F.col("item_id").alias("entry_id"))
+    return review.link(people.select("user_id"), "user_id", people.filter("user_id % 20 = 0"), people.filter("user_id % 10 = 1"), people.limit(0), found, barred, [F.col("event_id"), F.col("entry_id")])
+
+
+@query("SELECT doc_id, coalesce(min_by(CASE WHEN quality = 1 THEN 'confirmed' ELSE 'rejected' END, toxic) FILTER (WHERE toxic = 0), 'pending') AS status FROM labels GROUP BY doc_id")
+def review_status(get):
+    events = get("labels").select("doc_id", "toxic", F.when(F.col("toxic") == 1, "pending").when(F.col("quality") == 1, "confirmed").otherwise("rejected").alias("status"))
+    return review.review_state(events, "doc_id", [F.col("toxic")])
+
+
+@query("""WITH l AS (SELECT p_partkey AS item_id, p_partkey - p_partkey % 10 AS keeper_id FROM part WHERE p_partkey % 10 > 0) SELECT DISTINCT f.user_id, l.keeper_id AS item_id FROM {facts} f JOIN l ON f.item_id = l.item_id
+    WHERE NOT EXISTS (SELECT 1 FROM {facts} g WHERE g.user_id = f.user_id AND g.item_id = l.keeper_id)""")
+def delivery_migration(get):
+    losers = get("part").filter("p_partkey % 10 > 0").select(F.col("p_partkey").alias("item_id"), (F.col("p_partkey") - F.col("p_partkey") % 10).alias("keeper_id"))
+    return review.migrate_deliveries(losers, get("facts"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY t, ok) AS rn FROM (SELECT user_id AS source, epoch(date_trunc('second', ts))::BIGINT AS t, event_type IN ('click', 'view') AS ok FROM events)),
+    s AS (SELECT source, rn, t, ok, CASE WHEN ok THEN 0 ELSE 1 END AS streak, FALSE AS alert, FALSE AS recovered, NULL::BIGINT AS last FROM e WHERE rn = 1 UNION ALL
+        SELECT e.source, e.rn, e.t, e.ok, CASE WHEN e.ok THEN 0 ELSE s.streak + 1 END, NOT e.ok AND s.streak + 1 >= 2 AND (s.last IS NULL OR e.t - s.last >= 86400), e.ok AND s.streak >= 2,
+        CASE WHEN NOT e.ok AND s.streak + 1 >= 2 AND (s.last IS NULL OR e.t - s.last >= 86400) THEN e.t ELSE s.last END FROM s JOIN e ON e.source = s.source AND e.rn = s.rn + 1)
+    SELECT source, t AS "at", ok, streak AS fail_streak, alert, recovered FROM s""")
+def source_health(get):
+    cycles = get("events").select(F.col("user_id").alias("source"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.col("event_type").isin("click", "view").alias("ok"))
+    return review.source_health(cycles, 2, 86_400)
+
+
+@query("""SELECT item_id, CASE WHEN bucket = 'anime' THEN 'anime' WHEN bucket = 'dorama' AND genre <> 0 THEN 'dorama' WHEN genre = 0 AND country IN ('C1', 'C2') THEN 'anime' WHEN genre <> 0 AND country IN ('C1', 'C2') THEN 'dorama' ELSE 'regular' END AS bucket,
+    CASE WHEN bucket = 'anime' THEN 'source_category_anime_hint' WHEN bucket = 'dorama' AND genre <> 0 THEN 'source_category_dorama_hint' WHEN genre = 0 AND country IN ('C1', 'C2') THEN CASE WHEN bucket = 'dorama' THEN 'asian_animation_overrides_dorama_hint' ELSE 'asian_animation_genre_invariant' END
+    WHEN genre <> 0 AND country IN ('C1', 'C2') THEN 'asian_dorama_signal' ELSE 'default_regular' END AS reason FROM {items}""")
+def content_bucket(get):
+    # C1 and C2 stand for two countries of both sets, genre 0 for animation
+    named = F.array(F.when(F.col("country") == "C1", "JP").when(F.col("country") == "C2", "KR").otherwise(F.col("country")))
+    genres, nothing, no = F.array(F.when(F.col("genre") == 0, 16).otherwise(F.col("genre"))), F.lit(""), F.lit(False)
+    anime = buckets.anime_score(genres, named, nothing, no, no, no)
+    dorama = buckets.dorama_score(named, nothing, nothing, nothing, nothing)
+    out = buckets.bucket(nothing, F.col("bucket"), F.lit("tv"), no, genres, F.col("country").isin("C1", "C2"), F.lit(True), anime, dorama)
+    return get("items").select("item_id", out.alias("b")).select("item_id", "b.bucket", "b.reason")
+
+
+@query("""SELECT user_id, code, asked_at FROM (SELECT o_custkey AS user_id, c_nationkey AS code, o_orderkey AS asked_at, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderkey, o_custkey) AS place FROM orders JOIN customer ON o_custkey = c_custkey) JOIN nation ON code = n_nationkey
+    WHERE place <= n_nationkey % 7 * 20 AND (n_nationkey % 4 = 0 OR n_nationkey % 4 = 1)""")
+def invite_redeem(get):
+    invites = get("nation").select(F.col("n_nationkey").alias("code"), (F.col("n_nationkey") % 7 * 20).alias("uses_left"), F.when(F.col("n_nationkey") % 4 != 0, F.col("n_nationkey") % 4 * -1 + 2).alias("expires_at"))
+    asked = get("orders").join(get("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("code"), F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("asked_at"))
+    return review.redeem(invites, asked, F.lit(0)).filter("granted").select("user_id", "code", "asked_at")

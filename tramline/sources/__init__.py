@@ -1 +1 @@
-
+"""Readers of catalogue pages, dictionaries and stored tables."""
