@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tramline.functions import buckets, progress, scoring, signatures, text, titles
-from tramline.operators import audit, delivery, linking, review, rules, versions
+from tramline.functions import buckets, detection, progress, scoring, signatures, text, titles
+from tramline.operators import aliases, audit, delivery, leases, linking, review, rules, versions
 from tramline.plans.views import AS_OF, AS_OF_YEAR, frame, with_views
 from tramline.sources import readers
 from tramline.streaming import debounce
@@ -509,3 +509,32 @@ def invite_redeem(get):
     invites = get("nation").select(F.col("n_nationkey").alias("code"), (F.col("n_nationkey") % 7 * 20).alias("uses_left"), F.when(F.col("n_nationkey") % 4 != 0, F.col("n_nationkey") % 4 * -1 + 2).alias("expires_at"))
     asked = get("orders").join(get("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("code"), F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("asked_at"))
     return review.redeem(invites, asked, F.lit(0)).filter("granted").select("user_id", "code", "asked_at")
+
+
+@query("""SELECT user_id || ':' || item_id AS event_key, CASE WHEN status = 'sending' AND at_ <= 4100 THEN 'stale' ELSE status END AS status, at_ AS "at" FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY (status = 'sent')::INT DESC, at_ DESC, CASE status WHEN 'sent' THEN 2 WHEN 'sending' THEN 1 ELSE 0 END DESC) AS rn FROM
+    (SELECT user_id, item_id, event_id AS at_, CASE origin WHEN 'live' THEN 'sent' WHEN 'claim' THEN 'sending' ELSE 'failed' END AS status FROM {facts})) WHERE rn = 1""")
+def claim_states(get):
+    status = F.when(F.col("origin") == "live", "sent").when(F.col("origin") == "claim", "sending").otherwise("failed")
+    log = get("facts").select(F.concat_ws(":", F.col("user_id").cast("string"), F.col("item_id").cast("string")).alias("event_key"), status.alias("status"), F.col("event_id").alias("at"))
+    return leases.claim_states(log, F.lit(5000))
+
+
+@query("""SELECT event_id, CAST(sum(step) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS BIGINT) AS increase FROM (SELECT *, CASE WHEN lag(v) OVER w IS NULL THEN 0 WHEN v < lag(v) OVER w THEN v ELSE v - lag(v) OVER w END AS step FROM
+    (SELECT event_id, user_id, epoch_us(ts) AS t, CAST(floor(value) AS BIGINT) AS v FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY t))""")
+def metric_increase(get):
+    rows = get("events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.floor("value").cast("long").alias("v"))
+    return leases.increase(rows, "user_id", "t", "v", 86_400_000_000).select("event_id", F.col("increase").cast("long").alias("increase"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_TOKENS.format('text')} AS a FROM documents), b AS (SELECT item_id, {_TOKENS.format(_PREFIX.format('text', 3))} AS b FROM benchmark)
+    SELECT DISTINCT doc_id, item_id FROM d, b WHERE len(b) > 0 AND list_has_all(a, b)""")
+def alias_hits(get):
+    names = get("benchmark").select(F.col("item_id").alias("alias"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("name"))
+    return aliases.alias_hits(get("documents"), "doc_id", "text", names).select("doc_id", F.col("alias").alias("item_id"))
+
+
+@query("""SELECT item_id, CASE WHEN category LIKE '%STEEL%' THEN 'other' WHEN category LIKE '%BRASS%' OR category LIKE '%COPPER%' THEN 'tv' ELSE 'movie' END AS media FROM {items}""")
+def media_detection(get):
+    # the part's type decides which words its title gets
+    words = F.when(F.col("category").contains("STEEL"), " / PC (Windows) / RPG").when(F.col("category").contains("BRASS") | F.col("category").contains("COPPER"), " / 1 сезон: 1-3 серии из 8").otherwise(" / WEB")
+    return get("items").select("item_id", detection.media_type(F.concat(F.lit("Название / "), F.col("item_id").cast("string"), words)).alias("media"))
