@@ -22,11 +22,12 @@ RATE = 11_025
 FRAME, HOP = 4096, 1365
 LOWEST, HIGHEST = 28.0, 3520.0
 WINDOW = 16
-#: A filter value beyond it, either way, is an outer quarter of the two-bit scale.
-OUTER = 0.25
+#: A filter value beyond it, either way, is an outer quarter of the two-bit scale; by the height of the filter, so that
+#: on unrelated tones about half of the values are outer.
+OUTER = {2: 0.45, 4: 0.30, 6: 0.22, 8: 0.18}
 #: An alignment needs so many overlapping frames and at most this share of differing bits.
-LEAST_OVERLAP = 8
-MOST_ERRORS = 0.35
+LEAST_OVERLAP = 16
+MOST_ERRORS = 0.25
 
 
 def filters() -> list[tuple[int, int, int]]:
@@ -38,6 +39,11 @@ def filters() -> list[tuple[int, int, int]]:
     return [(n % 4, (5 * n) % (13 - height), height) for n in range(16) for height in (2 + 2 * (n // 4),)]
 
 
+@lru_cache(1)
+def _window() -> np.ndarray:
+    return np.hanning(FRAME).astype(np.float32)
+
+
 @lru_cache(4)
 def _classes(rate: int) -> np.ndarray:
     """Maps the bins of a frame's spectrum to pitch classes; the last column takes the bins out of range."""
@@ -45,7 +51,7 @@ def _classes(rate: int) -> np.ndarray:
     used = (hertz >= LOWEST) & (hertz <= HIGHEST)
     pitch = np.zeros(len(hertz), np.int64)
     pitch[used] = np.round(12 * np.log2(hertz[used] / 440.0)).astype(np.int64) % 12
-    out = np.zeros((len(hertz), 12))
+    out = np.zeros((len(hertz), 12), np.float32)
     out[np.flatnonzero(used), pitch[used]] = 1
     return out
 
@@ -54,10 +60,12 @@ def chroma(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
     """A row of twelve energies of sum one for each whole frame; silent frames are all zero."""
     if len(samples) < FRAME:
         return np.zeros((0, 12))
+    samples = np.asarray(samples, np.float32)
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     out = np.empty((len(frames), 12))
     for at in range(0, len(frames), 256):  # bounds memory for long recordings
-        out[at : at + 256] = np.abs(np.fft.rfft(frames[at : at + 256] * np.hanning(FRAME), axis=1)) ** 2 @ _classes(rate)
+        spectrum = np.fft.rfft(frames[at : at + 256] * _window(), axis=1)
+        out[at : at + 256] = (spectrum.real**2 + spectrum.imag**2) @ _classes(rate)
     total = out.sum(axis=1, keepdims=True)
     return np.divide(out, total, out=np.zeros_like(out), where=total > 1e-9)
 
@@ -88,9 +96,12 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
             a = area(0, half, low, middle) + area(half, WINDOW, middle, high)
         else:
             a = area(third, WINDOW - third, low, high)
-        value = np.log((1 + a) / (1 + whole - a))
+        # energy a cell of the one side against the other's, from -1 to 1; 0 where both are silent
+        share = (WINDOW - 2 * third) / WINDOW if kind == 3 else 0.5
+        a, b = a / share, (whole - a) / (1 - share)
+        value = np.divide(a - b, a + b, out=np.zeros(n), where=a + b > 1e-6)
         # neighbouring quarters differ in one bit
-        level = (value > -OUTER).astype(np.uint32) + (value > 0) + (value > OUTER)
+        level = (value > -OUTER[height]).astype(np.uint32) + (value > 0) + (value > OUTER[height])
         out = (out << np.uint32(2)) | np.array([0, 1, 3, 2], np.uint32)[level]
     return out
 
@@ -152,7 +163,7 @@ def align(prints: DataFrame, every: int = 20, most_errors: float = MOST_ERRORS,
 
 #: Of a rendered vector: seconds of a note, and semitones for a step of one in a value.
 NOTE_SECONDS = 0.125
-SEMITONES = 12
+SEMITONES = 24
 
 
 def melody(values: list[float] | None, rate: int = RATE) -> bytes:
@@ -161,7 +172,7 @@ def melody(values: list[float] | None, rate: int = RATE) -> bytes:
         return b""
     steps = np.clip(np.round(np.nan_to_num(np.array([np.nan if v is None else v for v in values], float), nan=0.0, posinf=3.0, neginf=-3.0) * SEMITONES), -36, 36)
     hertz = np.repeat(440.0 * 2 ** (steps / 12), round(NOTE_SECONDS * rate))
-    turn = np.cumsum(2 * np.pi * hertz / rate)
+    turn = (np.cumsum(2 * np.pi * hertz / rate) % (2 * np.pi)).astype(np.float32)
     return np.round((np.sin(turn) + 0.5 * np.sin(2 * turn)) * 16000).astype("<i2").tobytes()
 
 
