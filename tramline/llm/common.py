@@ -18,10 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a session that has none set (a test, a notebook) gets a folder under its own warehouse.
     """
-    own = spark.conf.get("spark.checkpoint.dir", None)
-    if not own:
-        own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", own)
+    own = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(own)
     return own.rstrip("/")
