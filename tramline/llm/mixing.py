@@ -26,7 +26,7 @@ BLOCK_ROWS = 16
 HYPERPERIOD = 1000
 MOST_SOURCES = 256
 #: Rows that one window sorts, on average, and the most windows of a source.
-WINDOW_ROWS = 4096
+WINDOW_ROWS = 1024
 MOST_WINDOWS = 100_000
 
 
@@ -109,8 +109,9 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, *, alpha: f
     blocks = {s: -(-n // block_rows) for s, n in sizes.items()}
     spans, template = phases(blocks, weights, period)
 
-    windows = min(MOST_WINDOWS, max(1, sum(sizes.values()) // WINDOW_ROWS))
-    rows = rows.withColumn("bucket", F.pmod("draw", F.lit(windows)))
+    # a source is cut into windows by its own size, so those of a hot one hold no more rows than others
+    windows = F.create_map(*[F.lit(x) for s, n in sorted(sizes.items()) for x in (s, min(MOST_WINDOWS, max(1, n // WINDOW_ROWS)))]) if sizes else F.create_map(F.lit(""), F.lit(1))
+    rows = rows.withColumn("bucket", F.pmod("draw", F.element_at(windows, F.col("from"))))
     counts = rows.groupBy("from", "bucket").count()
     before = Window.partitionBy("from").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("from", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
