@@ -86,3 +86,11 @@ def test_changed_only(spark):
     assert sorted(map(tuple, got)) == [(5, "c")]
     live, gone = review.split_archive(rows, F.col("id") > 4, "old")
     assert live.count() == 4 and {r.archive_reason for r in gone.collect()} == {"old"}
+
+
+def test_match_score(spark):
+    lit = F.lit
+    base = {"search": lit(0.5), "similarity": lit(0.8), "overlap": lit(0.5), "exact": lit(False), "substring": lit(True), "same_media": lit(True), "same_bucket": lit(False), "anime": lit(False), "candidate_tv": lit(True), "year_delta": lit(None).cast("int"), "season": lit(None).cast("int"), "candidate_seasons": lit(2), "alias_only": lit(False), "short": lit(False)}
+    score = lambda **kw: one(spark, scoring.match_score(base | {k: lit(v) for k, v in kw.items()}))
+    assert score() == 1.99 and score(year_delta=1) == 2.07 and score(year_delta=5) == 1.53 and score(year_delta=40) == 1.11
+    assert score(season=3) == 2.11 and score(season=4) == 1.99 and score(short=True) == 1.87 and score(short=True, exact=True) == 2.54 and score(alias_only=True) == 1.89

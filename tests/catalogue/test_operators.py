@@ -32,15 +32,16 @@ def test_gap_audit_worked_case(spark):
 
 def test_rule_cascade(spark):
     base = {"rule_id": 1, "user_id": 1, "is_enabled": 1, "media_type": "any", "year_from": None, "year_to": None, "min_rating": None, "bucket_filter": "any", "formats": [], "genre_ids": [], "countries": [], "excluded": [], "include": [], "exclude": []}
-    item = {"item_id": 1, "media_type": "tv", "years": [2020], "video_format": "720", "rating": 7.0, "bucket": "anime", "genres": [16], "countries": ["JP"], "haystack": "title hd\njapan", "ignored": False}
+    item = {"item_id": 1, "media_type": "tv", "years": [2020], "video_format": "720", "rating": 7.0, "bucket": "anime", "genres": [16], "countries": ["JP"], "haystack": "title hd\njapan", "tech": "title 720p\nweb-dl", "ignored": False}
     rs = "rule_id long, user_id long, is_enabled int, media_type string, year_from int, year_to int, min_rating double, bucket_filter string, formats array<string>, genre_ids array<int>, countries array<string>, excluded array<string>, include array<string>, exclude array<string>"
-    its = "item_id long, media_type string, years array<int>, video_format string, rating double, bucket string, genres array<int>, countries array<string>, haystack string, ignored boolean"
+    its = "item_id long, media_type string, years array<int>, video_format string, rating double, bucket string, genres array<int>, countries array<string>, haystack string, tech string, ignored boolean"
     cases = [
         ({}, {}, "passed"), ({}, {"ignored": True}, "globally_ignored"), ({"is_enabled": 0}, {}, "disabled"), ({}, {"media_type": "other"}, "media_other_mismatch"), ({"media_type": "movie"}, {}, "media_mismatch"),
         ({"media_type": "other"}, {}, "media_mismatch"), ({"year_from": 2000}, {"years": []}, "year_missing"), ({"year_from": 2021}, {}, "year_mismatch"), ({"year_from": 2000, "year_to": 2019}, {"years": [1999, 2018]}, "passed"),
         ({"formats": ["1080"]}, {}, "format_mismatch"), ({"min_rating": 5.0}, {"rating": None}, "rating_missing"), ({"min_rating": 8.0}, {}, "rating_mismatch"), ({"bucket_filter": "only_dorama"}, {}, "bucket_mismatch"),
         ({"bucket_filter": "exclude_anime_dorama"}, {}, "bucket_excluded"), ({"genre_ids": [18]}, {}, "genre_mismatch"), ({"countries": ["US"]}, {"countries": []}, "country_missing"), ({"countries": ["US"]}, {}, "country_mismatch"),
         ({"excluded": ["JP"]}, {}, "excluded_country"), ({"include": ["hd", "korea"]}, {}, "passed"), ({"include": ["jap"]}, {}, "include_keyword_mismatch"), ({"exclude": ["japan"]}, {}, "exclude_keyword"),
+        ({"include": ["hdr"]}, {}, "include_keyword_mismatch"), ({"include": ["720"], "exclude": ["1080"]}, {}, "passed"), ({"exclude": ["WEB-DL"]}, {}, "exclude_keyword"),
     ]
     r = spark.createDataFrame([tuple((base | a | {"rule_id": n}).values()) for n, (a, _, _) in enumerate(cases)], rs)
     i = spark.createDataFrame([tuple((item | b | {"item_id": n}).values()) for n, (_, b, _) in enumerate(cases)], its)
@@ -52,6 +53,16 @@ def test_rule_cascade(spark):
     assert {tuple(x) for x in rules.match(r, i).collect()} == want
 
 
+def test_highest_progress_is_an_ordered_fold(spark):
+    from tramline.functions import progress
+
+    rows = [(1, 0, "3 серия"), (1, 1, "s01e05"), (1, 2, "s02e01"), (2, 0, "x"), (2, 1, "1-4 из 10"), (2, 2, "1-5 из 10"), (2, 3, "1-3 из 10"), (3, 0, "y"), (4, 0, "s01e01"), (4, 1, "1x01")]
+    df = spark.createDataFrame(rows, "k long, at long, p string").withColumn("parts", progress.parts(F.col("p")))
+    got = {r.k: r.p for r in versions.highest_progress(df, "k", "parts", ["at"], ["p"]).collect()}
+    # the order is cyclic, so the fold's direction decides: from the oldest row on, ties to the newer
+    assert got == {1: "s02e01", 2: "1-5 из 10", 3: "y", 4: "1x01"}
+
+
 def test_cooldown_bounds(spark):
     asked = spark.createDataFrame([(1, 1000), (2, 1000), (3, 1000), (4, 1000), (5, 1000)], "user_id long, at long")
     sent = spark.createDataFrame([(1, 1000), (2, 581), (3, 580), (4, 1001)], "user_id long, delivered_at long")

@@ -16,7 +16,7 @@ def match_score(f: dict[str, Column]) -> Column:
     gap = f["year_delta"]
     score = F.coalesce(f["search"], F.lit(0.0)) + 0.90 * f["similarity"] + 0.70 * f["overlap"]
     score = score + yes(f["exact"], 0.55) + yes(f["substring"], 0.18) + yes(f["same_media"], 0.24) + yes(f["same_bucket"], 0.10) + yes(f["anime"] & f["candidate_tv"], 0.08)
-    score = score - F.coalesce(F.least(gap, F.lit(12)) * 0.06, F.lit(0.0)) + yes(gap <= 1, 0.14) - yes(gap >= 5, 0.16)
+    score = score - F.when(gap.isNull(), 0.0).otherwise(F.least(gap, F.lit(12)) * 0.06) + yes(gap <= 1, 0.14) - yes(gap >= 5, 0.16)
     score = score + yes((f["season"] >= 2) & (f["candidate_seasons"] > 0) & (f["candidate_seasons"] + 1 >= f["season"]) & f["candidate_tv"], 0.12)
     return F.round(score - yes(f["alias_only"], 0.10) - yes(f["short"] & ~f["exact"], 0.12), 3)
 

@@ -75,11 +75,26 @@ def haystack(*columns: Column) -> Column:
     return F.lower(F.concat_ws("\n", *[blank_to_null(c) for c in columns]))
 
 
-def keyword_hit(hay: Column, word: Column) -> Column:
-    """Words of up to three characters match between word boundaries, longer ones anywhere."""
+# Technical keywords and the patterns that they stand for.
+TECH_KEYWORDS = {
+    "hdr": r"(?<!\w)hdr(?:10|10\+|\+)?(?!\w)|dolby\s*vision|(?<!\w)dv(?!\w)", "dv": r"dolby\s*vision|(?<!\w)dv(?!\w)",
+    "lossless": r"lossless|(?<!\w)flac(?!\w)|(?<!\w)ape(?!\w)|(?<!\w)alac(?!\w)|truehd|dts[\s\-]*hd|pcm", "mp3": r"(?<!\w)mp3(?!\w)",
+    "ру": r"(?<!\w)ру(?!\w)|(?<!\w)rus(?!\w)|\bрус(?:ский|ская|ские|ское)?\b|russian", "укр": r"(?<!\w)укр(?!\w)|(?<!\w)ua(?!\w)|\bукраин(?:ский|ская|ские|ское)?\b|ukrainian",
+    "2160": r"(?<!\w)2160p?(?!\w)|(?<!\w)4k(?!\w)|(?<!\w)uhd(?!\w)", "1080": r"(?<!\w)1080p?(?!\w)", "720": r"(?<!\w)720p?(?!\w)", "hevc": r"(?<!\w)hevc(?!\w)|(?<!\w)x265(?!\w)|(?<!\w)h265(?!\w)",
+    "x265": r"(?<!\w)x265(?!\w)|(?<!\w)h265(?!\w)|(?<!\w)hevc(?!\w)", "web-dl": r"web[\-\s]?dl", "webrip": r"web[\-\s]?rip", "remux": "remux",
+}
+
+
+def keyword_hit(hay: Column, word: Column, tech: Column | None = None) -> Column:
+    """Whether a keyword is in a haystack.
+
+    Technical keywords match their patterns in `tech` (hay itself unless given), other words of up to three characters
+    match between word boundaries, longer ones anywhere.
+    """
     low = F.lower(word)
     quoted = F.concat(F.lit(r"(?U)(?<!\w)\Q"), low, F.lit(r"\E(?!\w)"))
-    return F.when(F.length(low) <= 3, F.rlike(hay, quoted)).otherwise(hay.contains(low))
+    special = F.element_at(F.create_map(*[F.lit(x) for k, p in TECH_KEYWORDS.items() for x in (k, rx(f"(?:{p})"))]), low)
+    return F.when(special.isNotNull(), F.rlike(hay if tech is None else tech, special)).when(F.length(low) <= 3, F.rlike(hay, quoted)).otherwise(hay.contains(low))
 
 
 def tokens(c: Column) -> Column:

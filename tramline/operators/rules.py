@@ -32,7 +32,7 @@ def _overlap(a: Column, b: Column) -> Column:
 def reason(r: str = "r", i: str = "i") -> Column:
     """The first check that fails for a compiled rule (alias r) and an item (alias i), or `passed`.
 
-    Items have media_type, years, video_format, rating, bucket, genres, countries, haystack and ignored.
+    Items have media_type, years, video_format, rating, bucket, genres, countries, haystack, tech (the haystack of technical keywords) and ignored.
     """
     R, I = (lambda c: F.col(f"{r}.{c}")), (lambda c: F.col(f"{i}.{c}"))  # noqa: E731, E741
     bounded = R("year_from").isNotNull() | R("year_to").isNotNull()
@@ -55,8 +55,8 @@ def reason(r: str = "r", i: str = "i") -> Column:
         ((F.size(R("countries")) > 0) & (F.size(I("countries")) == 0), "country_missing"),
         ((F.size(R("countries")) > 0) & ~_overlap(R("countries"), I("countries")), "country_mismatch"),
         (_overlap(R("excluded"), I("countries")), "excluded_country"),
-        ((F.size(R("include")) > 0) & ~F.exists(R("include"), lambda k: keyword_hit(I("haystack"), k)), "include_keyword_mismatch"),
-        (F.exists(R("exclude"), lambda k: keyword_hit(I("haystack"), k)), "exclude_keyword"),
+        ((F.size(R("include")) > 0) & ~F.exists(R("include"), lambda k: keyword_hit(I("haystack"), k, I("tech"))), "include_keyword_mismatch"),
+        (F.exists(R("exclude"), lambda k: keyword_hit(I("haystack"), k, I("tech"))), "exclude_keyword"),
     ]
     return reduce(lambda case, c: case.when(F.coalesce(c[0], F.lit(False)), c[1]), checks[1:], F.when(F.coalesce(checks[0][0], F.lit(False)), checks[0][1])).otherwise("passed")
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tramline.functions import progress
+
 
 def timeline(versions: DataFrame, keys: list[str], newest: Column, keep: list[str]) -> DataFrame:
     """One row for each key: its newest row's columns `keep` and `version_duplicates`, the rows it stands for."""
@@ -45,6 +47,23 @@ def best_version(versions: DataFrame, key: str, progress_key: Column, recency: l
     return best.select(key, chosen.alias("row")).select(key, *[F.col(f"row.{c}").alias(c) for c in keep])
 
 
+def highest_progress(rows: DataFrame, key: str, parts: str, order: list[str], keep: list[str]) -> DataFrame:
+    """One row for each key: the row that a fold in order ends with, moving on to each row of higher or equal progress.
+
+    Comparison of progress is no total order, so this is a fold over a key's sorted rows and not a maximum. A row whose
+    progress cannot be compared with the best so far is passed over, unless the best has none.
+    """
+    row = F.struct(*[F.col(c) for c in order], F.col(parts).alias("parts"), F.struct(*keep).alias("kept"))
+    lists = rows.groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+
+    def step(best, x):
+        higher = progress.compare(x["parts"], best["parts"]) >= 0
+        return F.when(best["parts"].isNull() & x["parts"].isNotNull(), x).when(F.coalesce(higher, F.lit(False)), x).otherwise(best)
+
+    best = F.aggregate(F.slice("rows", 2, F.greatest(F.size("rows"), F.lit(1))), F.element_at("rows", 1), step)
+    return lists.select(key, best.alias("best")).select(key, *[F.col(f"best.kept.{c}").alias(c) for c in keep])
+
+
 def quality_score(*weighted: tuple[Column, int]) -> Column:
     """Sum of the weights whose condition holds."""
     out = F.lit(0)

@@ -45,7 +45,7 @@ NEWEST_SQL = "published DESC, created DESC, line DESC, version_id DESC"
 def _items(get) -> DataFrame:
     return get("items").select(
         "item_id", "media_type", F.array("year").alias("years"), "video_format", "rating", "bucket", F.array("genre").alias("genres"),
-        text.listed(F.col("country")).alias("countries"), text.haystack(F.col("title"), F.col("category")).alias("haystack"), F.lit(False).alias("ignored"),
+        text.listed(F.col("country")).alias("countries"), text.haystack(F.col("title"), F.col("category")).alias("haystack"), text.haystack(F.col("title"), F.col("video_format")).alias("tech"), F.lit(False).alias("ignored"),
     )
 
 
@@ -402,7 +402,7 @@ _FEATURES = {
     "exact": "o_orderkey % 13 = 0", "substring": "o_orderkey % 5 < 2", "short": "o_custkey % 3 = 0", "one_word_query": "o_custkey % 4 = 0", "long_candidates": "o_custkey % 5 < 4", "latin": "o_custkey % 7 < 3",
     "cjk_exception": "o_custkey % 17 = 0", "derivative": "o_orderkey % 19 = 0", "truncated": "o_orderkey % 17 < 3", "alias_only": "o_orderkey % 6 = 0", "alias_fits": "o_custkey % 6 = 0", "nonfiction": "o_custkey % 8 = 0",
     "generic_alias": "o_custkey % 9 = 0", "generic": "o_custkey % 10 < 3", "franchise": "o_orderkey % 23 < 4", "continuation": "o_orderkey % 29 < 6", "revival": "o_custkey % 31 < 5", "long_running": "o_custkey % 37 < 5",
-    "overlap": "CAST(o_orderkey % 101 AS DOUBLE) / 100", "similarity": "CAST(o_orderkey % 97 AS DOUBLE) / 96", "common": "CAST(o_orderkey % 4 AS INT)", "main_overlap": "CAST(o_custkey % 89 AS DOUBLE) / 88", "main_similarity": "CAST(o_custkey % 83 AS DOUBLE) / 82",
+    "overlap": "CAST(o_orderkey % 101 AS DOUBLE) / 100", "similarity": "CAST(o_orderkey % 97 AS DOUBLE) / 96", "common": "CAST(o_orderkey % 4 AS INT)", "main_overlap": "CAST(o_custkey % 89 AS DOUBLE) / 97", "main_similarity": "CAST(o_custkey % 83 AS DOUBLE) / 82",
     "delta": "CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE CAST(o_orderkey % 41 AS INT) END", "season": "CASE WHEN o_custkey % 2 = 0 THEN NULL ELSE CAST(o_custkey % 6 AS INT) END", "seasons": "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey % 5 AS INT) END",
     "episodes": "CAST(o_custkey % 27 AS INT)", "candidate_episodes": "CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE CAST(o_orderkey % 33 AS INT) END",
 }
@@ -447,7 +447,7 @@ def link_validation(get):
 
 
 @query(f"""SELECT o_orderkey AS candidate_id, round(0.90 * overlap + 0.70 * main_overlap + CASE WHEN exact THEN 0.55 ELSE 0 END + CASE WHEN substring THEN 0.18 ELSE 0 END + CASE WHEN query_media = candidate_media THEN 0.24 ELSE 0 END
-    - coalesce(least(delta, 12) * 0.06, 0) + CASE WHEN delta <= 1 THEN 0.14 WHEN delta >= 5 THEN -0.16 ELSE 0 END + CASE WHEN season >= 2 AND seasons > 0 AND seasons + 1 >= season AND candidate_media = 'tv' THEN 0.12 ELSE 0 END
+    - CASE WHEN delta IS NULL THEN 0 ELSE least(delta, 12) * 0.06 END + CASE WHEN delta <= 1 THEN 0.14 WHEN delta >= 5 THEN -0.16 ELSE 0 END + CASE WHEN season >= 2 AND seasons > 0 AND seasons + 1 >= season AND candidate_media = 'tv' THEN 0.12 ELSE 0 END
     - CASE WHEN alias_only THEN 0.10 ELSE 0 END - CASE WHEN short AND NOT exact THEN 0.12 ELSE 0 END, 3) AS score FROM ({_FEATURES_SQL})""")
 def link_score(get):
     c = {n: F.col(n) for n in _FEATURES}
