@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tramline.functions import categories, detection, labels, years
+from tramline.functions import categories, countries, detection, labels, text, years
 from tramline.operators import aliases, leases
 from tramline.sources import details
 
@@ -89,3 +89,28 @@ def test_leases(spark):
     assert [r.increase for r in leases.increase(samples, "metric", "at", "value", 900).orderBy("at").collect()] == [0, 3, 5, 2]
     done = spark.createDataFrame([("s", 100), ("s", 200), ("t", 1000)], "source string, at long")
     assert {r.source: r.stalled for r in leases.stalled(done, "source", "at", F.lit(1101)).collect()} == {"s": True, "t": False}
+
+
+def test_countries(spark):
+    lit = F.lit
+    assert one(spark, countries.effective(lit(""), lit('["us", "jp"]'), lit("RU"))) == ["US", "JP"] and one(spark, countries.effective(lit("gb"), lit("US"), lit(""))) == ["GB"] and one(spark, countries.effective(lit(None).cast("string"), lit("[]"), lit("RU"))) == ["RU"]
+    assert one(spark, countries.names(F.array(lit("JP"), lit("XX")))) == ["Япония", "XX"]
+    assert [one(spark, countries.language(lit(x))) for x in ("JP", "en_US", "kr-x", "")] == ["ja", "en", "ko", ""]
+    assert [one(spark, countries.preset(lit(k), lit(n))) for k, n in (("World", ""), ("", "🍥 новинки — АНИМЕ"), ("x", "y"))] == ["world", "anime", ""]
+
+
+def test_unwrapped(spark):
+    import json
+
+    labels_ = ["ДБ", "ПМ (Studio)"]
+    once = json.dumps(labels_)
+    for value, want in ((once, labels_), (json.dumps(once), labels_), (json.dumps(json.dumps(once)), labels_), ("ДБ", ["ДБ"]), ("", []), (None, []), ('["a", " "]', ["a"])):
+        assert one(spark, text.unwrapped(F.lit(value).cast("string"))) == want, value
+
+
+def test_skips_lookup(spark):
+    for number, category, title, imdb, want in (
+        ("37", "", "Любое", "", True), ("", "Кино - Спорт", "x", "", True), ("", "", "Футбол: матч дня", "", True), ("", "", "Футбол навсегда", "", False), ("49", "", "Шоу (выпуск 5)", "", True),
+        ("49", "", "Шоу (выпуск 5)", "tt0000001", False), ("50", "", "Бокс навсегда", "", True), ("37", "", "", "", False),
+    ):
+        assert one(spark, detection.skips_lookup(F.lit(number), F.lit(category), F.lit(title), F.lit(imdb))) is want, title

@@ -31,9 +31,9 @@ def test_gap_audit_worked_case(spark):
 
 
 def test_rule_cascade(spark):
-    base = {"rule_id": 1, "user_id": 1, "is_enabled": 1, "media_type": "any", "year_from": None, "year_to": None, "min_rating": None, "bucket_filter": "any", "formats": [], "genre_ids": [], "countries": [], "excluded": [], "include": [], "exclude": []}
+    base = {"rule_id": 1, "user_id": 1, "is_enabled": 1, "preset_key": "", "media_type": "any", "year_from": None, "year_to": None, "min_rating": None, "bucket_filter": "any", "formats": [], "genre_ids": [], "countries": [], "excluded": [], "include": [], "exclude": []}
     item = {"item_id": 1, "media_type": "tv", "years": [2020], "video_format": "720", "rating": 7.0, "bucket": "anime", "genres": [16], "countries": ["JP"], "haystack": "title hd\njapan", "tech": "title 720p\nweb-dl", "ignored": False}
-    rs = "rule_id long, user_id long, is_enabled int, media_type string, year_from int, year_to int, min_rating double, bucket_filter string, formats array<string>, genre_ids array<int>, countries array<string>, excluded array<string>, include array<string>, exclude array<string>"
+    rs = "rule_id long, user_id long, is_enabled int, preset_key string, media_type string, year_from int, year_to int, min_rating double, bucket_filter string, formats array<string>, genre_ids array<int>, countries array<string>, excluded array<string>, include array<string>, exclude array<string>"
     its = "item_id long, media_type string, years array<int>, video_format string, rating double, bucket string, genres array<int>, countries array<string>, haystack string, tech string, ignored boolean"
     cases = [
         ({}, {}, "passed"), ({}, {"ignored": True}, "globally_ignored"), ({"is_enabled": 0}, {}, "disabled"), ({}, {"media_type": "other"}, "media_other_mismatch"), ({"media_type": "movie"}, {}, "media_mismatch"),
@@ -41,6 +41,8 @@ def test_rule_cascade(spark):
         ({"formats": ["1080"]}, {}, "format_mismatch"), ({"min_rating": 5.0}, {"rating": None}, "rating_missing"), ({"min_rating": 8.0}, {}, "rating_mismatch"), ({"bucket_filter": "only_dorama"}, {}, "bucket_mismatch"),
         ({"bucket_filter": "exclude_anime_dorama"}, {}, "bucket_excluded"), ({"genre_ids": [18]}, {}, "genre_mismatch"), ({"countries": ["US"]}, {"countries": []}, "country_missing"), ({"countries": ["US"]}, {}, "country_mismatch"),
         ({"excluded": ["JP"]}, {}, "excluded_country"), ({"include": ["hd", "korea"]}, {}, "passed"), ({"include": ["jap"]}, {}, "include_keyword_mismatch"), ({"exclude": ["japan"]}, {}, "exclude_keyword"),
+        ({"preset_key": "world", "excluded": ["JP"]}, {"bucket": "regular", "countries": ["JP", "US"]}, "passed"), ({"preset_key": "world", "excluded": ["JP"]}, {"bucket": "regular"}, "excluded_country"),
+        ({"preset_key": "world", "excluded": ["JP"]}, {"countries": ["JP", "US"]}, "excluded_country"), ({"excluded": ["JP"]}, {"bucket": "regular", "countries": ["JP", "US"]}, "excluded_country"),
         ({"include": ["hdr"]}, {}, "include_keyword_mismatch"), ({"include": ["720"], "exclude": ["1080"]}, {}, "passed"), ({"exclude": ["WEB-DL"]}, {}, "exclude_keyword"),
     ]
     r = spark.createDataFrame([tuple((base | a | {"rule_id": n}).values()) for n, (a, _, _) in enumerate(cases)], rs)

@@ -60,3 +60,19 @@ def russian(category: Column, title: Column, tracks: Column) -> Column:
     block = F.rlike(compact_spaces(title), F.lit(rx(r"(?:^|[ /,;|])(?:ру|rus|russian)(?:[ /,;|]|$)")))
     labels = F.coalesce(F.exists(tracks, lambda t: F.rlike(compact_spaces(t), F.lit(rx(r"(?<!\w)(?:ру|rus|russian)(?!\w)")))), F.lit(False))
     return named | block | labels
+
+
+# Words of sport titles, events and issues that have no metadata entry.
+LOOKUP_SPORT = ("футбол", "хоккей", "теннис", "баскетбол", "биатлон", "бокс", "мма", "ufc", "nhl", "nba", r"formula\s*1", r"formula\s*2", "motogp", r"лыж\w*", r"динамо\s+киев", "бильярд", "снукер", "пирамида")
+LOOKUP_EVENT = ("матч", "матчи", r"все\s+матчи", "сезона?", r"20\d{2}/\d{2}", "чемпионат", "лига", "кубок", "турнир", "тур", "раунд", "обзор", r"плей[\-\s]?офф", "vs", r"v\.", "эфир")
+LOOKUP_ISSUE = ("выпуск", "выпуски", "выпусков", "эфир", "эфиры")
+
+
+def skips_lookup(category_id: Column, category: Column, title: Column, imdb_id: Column) -> Column:
+    """True for sport and for issues of shows, which no metadata search finds."""
+    low, named = F.lower(compact_spaces(title)), F.lower(compact_spaces(category))
+    sport = (compact_spaces(category_id) == "37") | named.contains("спорт")
+    show = compact_spaces(category_id).isin("49", "50") | named.contains("тв-шоу") | named.contains("передачи")
+    player = _words(low, LOOKUP_SPORT)
+    skip = sport | (player & (_words(low, LOOKUP_EVENT) | show)) | (show & _words(low, LOOKUP_ISSUE) & (F.coalesce(imdb_id, F.lit("")) == ""))
+    return (low != "") & skip

@@ -62,6 +62,16 @@ def listed(c: Column) -> Column:
     return F.filter(clean, lambda x, i: F.array_position(lows, F.lower(x)) == i + 1)
 
 
+def unwrapped(c: Column, levels: int = 4) -> Column:
+    """Labels of a text that may be JSON inside JSON, up to so many levels: an array, one label, or none."""
+    own = compact_spaces(c)
+    for _ in range(levels - 1):  # a JSON string holds the next level
+        inner = F.from_json(F.concat(F.lit('{"x":'), own, F.lit("}")), "x string").getField("x")
+        own = F.when(own.startswith('"'), F.coalesce(inner, own)).otherwise(own)
+    labels = F.coalesce(F.from_json(own, "array<string>"), F.when(own != "", F.array(own)).otherwise(F.array().cast("array<string>")))
+    return F.filter(F.transform(labels, compact_spaces), lambda x: x != "")
+
+
 # Release types in the order in which the first hit wins.
 RELEASE_TYPES = ("blu-ray remux", "bluray remux", "blu-ray", "bluray", "web-dlrip", "web-dl", "webrip", "bdrip", "dvdrip", "hdtv", "remux")
 

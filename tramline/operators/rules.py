@@ -19,7 +19,7 @@ def compile_rules(rules: DataFrame) -> DataFrame:
     upper = lambda c: F.transform(listed(F.col(c)), lambda x: F.upper(x))
     low = lambda c: F.transform(listed(F.col(c)), lambda x: F.lower(x))
     return rules.select(
-        "rule_id", "user_id", "is_enabled", "media_type", "year_from", "year_to", "min_rating", "bucket_filter",
+        "rule_id", "user_id", "is_enabled", "preset_key", "media_type", "year_from", "year_to", "min_rating", "bucket_filter",
         allowed.alias("formats"), "genre_ids", upper("country_codes").alias("countries"), upper("exclude_country_codes").alias("excluded"),
         low("include_keywords").alias("include"), low("exclude_keywords").alias("exclude"),
     )
@@ -39,6 +39,8 @@ def reason(r: str = "r", i: str = "i") -> Column:
     fits = F.exists(I("years"), lambda y: (y >= F.coalesce(R("year_from"), y)) & (y <= F.coalesce(R("year_to"), y)))
     mode = F.coalesce(R("bucket_filter"), F.lit("any"))
     only, barred = F.regexp_extract(mode, "^only_(.*)$", 1), F.split(F.regexp_extract(mode, "^exclude_(.*)$", 1), "_")
+    # the preset for the whole world lets regular items pass that have some country besides excluded ones
+    worldwide = F.coalesce((R("preset_key") == "world") & (I("bucket") == "regular"), F.lit(False))
     checks: list[tuple[Column, str]] = [
         (I("ignored"), "globally_ignored"),
         (R("is_enabled") != 1, "disabled"),
@@ -54,7 +56,7 @@ def reason(r: str = "r", i: str = "i") -> Column:
         ((F.size(R("genre_ids")) > 0) & ~_overlap(R("genre_ids"), I("genres")), "genre_mismatch"),
         ((F.size(R("countries")) > 0) & (F.size(I("countries")) == 0), "country_missing"),
         ((F.size(R("countries")) > 0) & ~_overlap(R("countries"), I("countries")), "country_mismatch"),
-        (_overlap(R("excluded"), I("countries")), "excluded_country"),
+        (_overlap(R("excluded"), I("countries")) & ~(worldwide & (F.size(F.array_except(I("countries"), R("excluded"))) > 0)), "excluded_country"),
         ((F.size(R("include")) > 0) & ~F.exists(R("include"), lambda k: keyword_hit(I("haystack"), k, I("tech"))), "include_keyword_mismatch"),
         (F.exists(R("exclude"), lambda k: keyword_hit(I("haystack"), k, I("tech"))), "exclude_keyword"),
     ]

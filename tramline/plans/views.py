@@ -17,7 +17,7 @@ VIEWS = {
     "users": """SELECT c_custkey AS user_id, c_name AS user_name, c_custkey % 10 <> 0 AS is_active, c_custkey % 7 <> 0 AS access_granted,
         CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 996710400 + (c_custkey % 11 - 3) * 86400 END AS expires_at,
         c_custkey % 24 AS quiet_start, (c_custkey + 8) % 24 AS quiet_end FROM {customer}""",
-    "rules": """SELECT c_custkey AS rule_id, c_custkey AS user_id, CASE WHEN c_custkey % 9 = 0 THEN 0 ELSE 1 END AS is_enabled,
+    "rules": """SELECT c_custkey AS rule_id, c_custkey AS user_id, CASE WHEN c_custkey % 9 = 0 THEN 0 ELSE 1 END AS is_enabled, CASE WHEN c_custkey % 3 = 1 THEN 'world' ELSE '' END AS preset_key,
         CASE c_custkey % 4 WHEN 0 THEN 'any' WHEN 1 THEN 'movie' WHEN 2 THEN 'tv' ELSE 'other' END AS media_type,
         CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(1985 + c_custkey % 20 AS INT) END AS year_from,
         CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE CAST(1990 + c_custkey % 25 AS INT) END AS year_to,
