@@ -73,6 +73,7 @@ def test_links_with_and_without_second_cut(spark):
 def test_keep_one(documents, edge_docs):
     kept = sorted(r.doc_id for r in simhash.keep_one(documents).collect())
     assert kept == sorted({c for *_, c in _expected(documents.collect())})
+    assert simhash.keep_one(edge_docs).filter("doc_id is null").count() == 1 and simhash.keep_one(edge_docs).columns == edge_docs.columns
     assert sorted(r.doc_id for r in simhash.keep_one(edge_docs).filter("doc_id is not null").collect()) == sorted({c for *_, c in _expected(edge_docs.collect()) if c is not None})
 
 

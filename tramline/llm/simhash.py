@@ -121,8 +121,9 @@ def near_duplicates(docs: DataFrame, split_over: int = SPLIT_OVER) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, one of each component: that with the smallest doc_id (of repeated ids, any one of equal rows).
 
-    A null doc_id stays only where its component has no other id.
+    Rows without an id cannot be named by a component and all stay.
     """
-    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    kept = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    # the join and the removal of repeated ids share one shuffle by doc_id
+    rows = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return rows.unionByName(docs.filter("doc_id IS NULL"))
