@@ -1,9 +1,10 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives and unlabelled texts train a logistic model on the non-negative unbiased risk
-    prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)),
-where the class prior is estimated. When the bracket falls below zero a step is taken on its negative alone, which
-keeps the model from fitting the unlabelled sample as negatives. Features are shares of bytes and of word repetitions,
+Trusted positives and unlabelled texts train a linear model on the non-negative unbiased risk
+    prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))
+of the sigmoid loss, where the class prior is estimated. When the bracket falls below zero a step is taken on its
+negative alone, which keeps the model from fitting the unlabelled sample as negatives. The weights of the later half of
+the steps are averaged. Features are shares of bytes and of word repetitions,
 read from the whole text.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 #: The most sampled positives and unlabelled texts; they bound what the driver holds (about 0.6 kB each).
 MOST_POSITIVE = 8_000
 MOST_UNLABELLED = 16_000
-STEPS = 600
+STEPS = 1500
 N_FEATURES = 128 + 12
 
 
@@ -77,23 +78,27 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int, seed: int) -> Model:
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
-    p, u = (positive - mean) / scale, (unlabelled - mean) / scale
+    p, u = ((positive - mean) / scale).astype(np.float32), ((unlabelled - mean) / scale).astype(np.float32)
     w, b = np.zeros(p.shape[1]), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    m, v, total = np.zeros(len(w) + 1), np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     rng = np.random.default_rng(seed)
     size = 2048
     for step in range(1, steps + 1):
         a, c = p[rng.integers(0, len(p), size)], u[rng.integers(0, len(u), size)]
         sp, su = 1 / (1 + np.exp(-np.clip(a @ w + b, -30, 30))), 1 / (1 + np.exp(-np.clip(c @ w + b, -30, 30)))
-        negative = -np.log1p(-su + 1e-12).mean() + prior * np.log1p(-sp + 1e-12).mean()
-        # gradients of the logistic losses: R+ has s - 1, R- has s
-        fall = np.r_[c.T @ su, su.sum()] / size - prior * np.r_[a.T @ sp, sp.sum()] / size
-        grad = prior * np.r_[a.T @ (sp - 1), (sp - 1).sum()] / size + fall if negative >= 0 else -fall
-        grad[:-1] += 3e-2 * w
+        negative = su.mean() - prior * sp.mean()
+        # the loss of a negative is its score s, that of a positive 1 - s; both slope with s * (1 - s)
+        gp, gu = sp * (1 - sp), su * (1 - su)
+        fall = (np.r_[c.T @ gu, gu.sum()] - prior * np.r_[a.T @ gp, gp.sum()]) / size
+        grad = fall - prior * np.r_[a.T @ gp, gp.sum()] / size if negative >= 0 else -fall
+        grad[:-1] += 0.01 * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        move = 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        move = 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    return Model(mean, scale, w, float(b), prior)
+        if step > steps // 2:
+            total += np.r_[w, b]
+    total /= steps - steps // 2
+    return Model(mean, scale, total[:-1], float(total[-1]), prior)
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, *, steps: int = STEPS, seed: int = 11) -> Model:
@@ -109,6 +114,11 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
     return _fit(positive, unlabelled, min(0.99, max(0.01, prior)), steps, seed)
 
 
+def _sorted(rows: np.ndarray) -> np.ndarray:
+    """Rows in an order of their own, so that a model does not depend on how they were gathered."""
+    return rows[sorted(range(len(rows)), key=lambda n: rows[n].tobytes())]
+
+
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [features(t.as_py()).tolist() for t in batch.column("text")]
@@ -141,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, *, most_positive: int = MOST_POSIT
     every = np.array(taken.column("features").combine_chunks().flatten() if taken.num_rows else [], np.float32).reshape(-1, N_FEATURES)
     flag = np.array(taken.column("positive").to_pylist(), bool)
     # the draw also holds positives in their share of all rows: unlabelled is a mixture of both classes
-    positive, rest = every[flag], every[~flag]
+    positive, rest = _sorted(every[flag]), _sorted(every[~flag])
     if len(rest) and prior and len(positive):
         labelled = (ones or 0) / max(1, total)
         inner = max(0.01, (prior - labelled) / max(1e-9, 1 - labelled))
