@@ -32,6 +32,13 @@ def test_edges(edge_docs, no_docs):
     assert sharding.shard(no_docs, 3).count() == 0
 
 
+def test_range_search(spark):
+    keys = spark.range(-3, 60)
+    for splits in ([], [5], [0, 7, 7 + 1, 40], list(range(0, 50, 3))):
+        found = keys.select("id", sharding._range_of(F.col("id"), splits).alias("part")).collect()
+        assert all(r.part == sum(s <= r.id for s in splits) for r in found)
+
+
 def test_hot_group_is_divided(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "same text").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
     rows = sharding.shard(docs, 10).collect()

@@ -9,8 +9,7 @@ shard is where the middle of the row falls among n equal lengths: no shard is of
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,12 +21,23 @@ RANGES_PER_SHARD = 8
 SUB_BITS = 20
 
 
-def _splitters(rows: DataFrame, total: int, n_shards: int) -> list[float]:
+def _splitters(rows: DataFrame, total: int, n_shards: int) -> list[int]:
     """Quantile boundaries of about n_shards * SAMPLES_PER_SHARD keys, each drawn with a chance as its size."""
     wanted, ranges = n_shards * SAMPLES_PER_SHARD, n_shards * RANGES_PER_SHARD
     draw = F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit("splitter")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     keys = sorted(r[0] for r in rows.filter(draw < F.col("size") * F.lit(wanted / total)).select("range_key").collect())
-    return sorted({float(keys[i * len(keys) // ranges]) for i in range(1, ranges)}) if keys else []
+    return sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
+
+
+def _range_of(key: Column, splits: list[int]) -> Column:
+    """How many of the sorted splits are not over key, by binary search in a literal array."""
+    steps = [1 << n for n in reversed(range(len(splits).bit_length()))]
+    padded = F.lit(splits + [(1 << 63) - 1] * ((1 << len(steps)) - 1 - len(splits)))
+
+    def search(found: Column, step: Column) -> Column:
+        return F.when(F.get(padded, found + step - 1) <= key, found + step).otherwise(found)
+
+    return F.aggregate(F.lit(steps), F.lit(0), search) if steps else F.lit(0)
 
 
 def shard(docs: DataFrame, n_shards: int = 40, *, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -47,12 +57,7 @@ def shard(docs: DataFrame, n_shards: int = 40, *, carry: tuple[str, ...] = ()) -
     rows = stored(rows.withColumn("range_key", F.col("text_crc32") * F.lit(1 << SUB_BITS) + sub), "shard-rows")
     total = rows.agg(F.sum("size")).first()[0] or 1
 
-    splits = _splitters(rows, total, n_shards)
-    if splits:
-        cutter = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="range_double", outputCol="part")
-        rows = cutter.transform(rows.withColumn("range_double", F.col("range_key").cast("double"))).drop("range_double")
-    else:
-        rows = rows.withColumn("part", F.lit(0.0))
+    rows = rows.withColumn("part", _range_of(F.col("range_key"), _splitters(rows, total, n_shards)))
     # at most RANGES_PER_SHARD * n_shards rows
     parts = rows.groupBy("part").agg(F.sum("size").alias("part_size"), F.min("range_key").alias("low"), F.max("range_key").alias("high"))
     fair = max(1, total // (n_shards * RANGES_PER_SHARD))
