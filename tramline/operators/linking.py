@@ -28,18 +28,24 @@ def overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str, lef
     """(left_id, right_id, overlap) of pairs whose distinct tokens overlap to at least `least` of the larger set.
 
     Prefix filtering: a set of n tokens must share one of its first n - ceil(least * n) + 1 rarest tokens, so only
-    these meet in the equality join.
+    these meet in the equality join, and only with sets of a near enough size. Token sets join the surviving pairs once.
+    Ids are unique on each side. The overlap is rounded to three digits before it is compared.
     """
-    a, b = (d.select(F.col(i).alias("id"), tokens(F.col(t)).alias("tokens")) for d, i, t in ((left, left_id, left_text), (right, right_id, right_text)))
+    least_exact = least - 0.0005
+    a, b = (d.select(F.col(i).alias("id"), tokens(F.col(t)).alias("tokens")).filter(F.size("tokens") > 0) for d, i, t in ((left, left_id, left_text), (right, right_id, right_text)))
     often = a.select(F.explode("tokens").alias("token")).unionAll(b.select(F.explode("tokens").alias("token"))).groupBy("token").count()
 
-    def heads(d: DataFrame, name: str) -> DataFrame:
-        rare = d.select("id", "tokens", F.explode("tokens").alias("token")).join(often, "token")
+    def heads(d: DataFrame) -> DataFrame:
+        rare = d.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(often, "token")
         place = F.row_number().over(Window.partitionBy("id").orderBy("count", "token"))
-        return rare.withColumn("place", place).filter(F.col("place") <= F.size("tokens") - F.ceil(F.size("tokens") * least) + 1).select("token", F.col("id").alias(name), F.col("tokens").alias(f"{name}_tokens"))
+        return rare.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least_exact) + 1).select("token", "id", "n")
 
-    pairs = heads(a, left_id).join(heads(b, right_id), "token").dropDuplicates([left_id, right_id])
-    return pairs.select(left_id, right_id, token_overlap(F.col(f"{left_id}_tokens"), F.col(f"{right_id}_tokens")).alias("overlap")).filter(F.col("overlap") >= least)
+    near = (F.col("token") == F.col("right_token")) & (F.col("right_n") >= F.col("n") * least_exact) & (F.col("n") >= F.col("right_n") * least_exact)
+    other = heads(b).select(F.col("token").alias("right_token"), F.col("id").alias("right_id"), F.col("n").alias("right_n"))
+    pairs = heads(a).join(other, near).select("id", "right_id").distinct()
+    pairs = pairs.join(b.select(F.col("id").alias("right_id"), F.col("tokens").alias("right_tokens")), "right_id").join(a, "id")
+    found = pairs.select(F.col("id").alias(left_id), F.col("right_id").alias(right_id), token_overlap(F.col("tokens"), F.col("right_tokens")).alias("overlap"))
+    return found.filter(F.col("overlap") >= least)
 
 
 def ranked(candidates: DataFrame, query: str, candidate: str, query_text: Column, candidate_text: Column, top: int) -> DataFrame:
