@@ -82,6 +82,8 @@ def match(rules: DataFrame, items: DataFrame) -> DataFrame:
     left = live.select("*", F.explode(media).alias("k_media")).select("*", F.explode(orany(F.col("formats"))).alias("k_format")).select("*", F.explode(orany(F.col("countries"))).alias("k_country"))
     right = items.select("*", F.explode(F.array(F.coalesce("video_format", F.lit("")), F.lit(ANY))).alias("k_format")).select("*", F.explode(F.array_append(F.array_distinct("countries"), ANY)).alias("k_country"))
     on = (F.col("r.k_media") == F.col("i.media_type")) & (F.col("r.k_format") == F.col("i.k_format")) & (F.col("r.k_country") == F.col("i.k_country"))
+    # implied by the reason, but cheap: it spares most candidates the array checks
+    on = on & (F.col("r.min_rating").isNull() | (F.col("i.rating") >= F.col("r.min_rating")))
     found = left.alias("r").join(right.alias("i"), on).filter(reason() == "passed").select("r.rule_id", "i.item_id")
     # an item of several countries may meet a rule at each of them
     return found.distinct()
