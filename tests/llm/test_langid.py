@@ -77,3 +77,23 @@ def test_edges(spark, edge_docs, no_docs):
     assert langid.predicted(no_docs, model).count() == 0
     assert {r.lang_pred for r in langid.predicted(edge_docs, langid.train(no_docs)).collect()} == {"und"}
     assert len(langid.codes("𐐀中a")) == 6 and (langid.codes("𝄞—1 ")[3:] == 32).all()
+
+
+def test_large_models_keep_every_gram(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id % 5 = 0")
+    whole = langid.train(docs)
+    monkeypatch.setattr(langid, "MOST_CELLS", 20_000)
+    large = langid.train(docs)
+    keys = np.concatenate([whole.grams[langid.ORDER][0], np.array([(ord("z") << 36) | (ord("q") << 24) | (3000 << 12) | ord("a")], np.uint64)])
+    assert large.languages == whole.languages and len(keys) > 20_000
+    assert np.allclose(large.log_probabilities(keys), whole.log_probabilities(keys), atol=1e-4)
+    assert np.allclose(large.limits, whole.limits, atol=1e-4)
+    want, got = ({(r.doc_id, r.lang_pred, round(r.cross_entropy or 0, 3)) for r in langid.predicted(docs, m).collect()} for m in (whole, large))
+    assert len(want ^ got) <= 0.02 * len(want)  # roundings
+
+
+def test_many_languages(spark):
+    rows = [(n, chr(0x4E00 + n) * 30, f"l{n:03}") for n in range(230)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert len(model.languages) == 230 and all(r.lang_pred == r.lang for r in langid.predicted(docs, model).collect())

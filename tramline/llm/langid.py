@@ -3,18 +3,23 @@
 Texts are lower-cased letters with one space for anything between. Each language has a model of ORDER characters:
 discounted counts at the highest order, continuation counts below. N-grams are packed into 64-bit keys of 12 bits a
 character and kept in sorted arrays, with one column of log probabilities for each language, resolved through their
-backoffs. A text goes to the language of least cross-entropy a character; one whose cross-entropy lies over a high
+backoffs. No n-gram is left out: a model too large to be broadcast is computed by groupings and joins over all of them and
+its arrays are mapped from files, with the same results. A text goes to the language of least cross-entropy a character; one whose cross-entropy lies over a high
 quantile of that language's training texts is marked as rejected.
 """
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,10 +29,10 @@ from tramline.llm.common import batches_of, cut
 ORDER = 4
 BITS = 12
 SPACE = 32
-#: Bounds on the model that is broadcast: n-grams of a language, cells of the arrays, languages.
-MOST_GRAMS = 500_000
+#: Cells of a model that is built on the driver and broadcast; a larger one is built by joins and mapped from files.
 MOST_CELLS = 16_000_000
-MOST_LANGUAGES = 200
+#: Entries of a file piece that one row of a large model's table carries to the driver.
+PIECE = 500_000
 #: Characters that are handled at once, and distinct n-grams that a counting task holds before it merges them.
 CHUNK_CHARS = 1_000_000
 MERGE_OVER = 4_000_000
@@ -225,38 +230,140 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     return Model(languages, 1.0 / alphabet, grams, contexts, [float("inf")] * len(languages))
 
 
-def train(docs: DataFrame, *, may_learn=None, most_grams: int = MOST_GRAMS) -> Model:
+def levels_of(counts: DataFrame, alphabet: int) -> DataFrame:
+    """(lang, level, gram, value) of all languages: what KneserNey has, as logarithms, by groupings and joins.
+
+    Levels 1 to ORDER are probabilities of n-grams, ORDER + 1 to 2 * ORDER the backoff weights of their contexts.
+    """
+    levels = {ORDER: counts}
+    for order in range(ORDER - 1, 0, -1):
+        suffix = F.col("gram").bitwiseAND(F.lit((1 << BITS * order) - 1)).alias("gram")
+        levels[order] = cut(levels[order + 1].select("lang", suffix).groupBy("lang", "gram").agg(F.count("*").alias("n")))
+    out, lower = [], None
+    for order in range(1, ORDER + 1):
+        once, twice = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+        discount = F.when(once == 0, 0.5).otherwise(F.least(F.lit(0.95), F.greatest(F.lit(0.1), once / F.greatest(once + 2 * twice, F.lit(1)))))
+        discounts = levels[order].groupBy("lang").agg(discount.alias("discount"))
+        rows = levels[order].join(F.broadcast(discounts), "lang").withColumn("context", F.shiftright("gram", BITS))
+        contexts = rows.groupBy("lang", "context").agg((F.first("discount") * F.count("*") / F.sum("n")).alias("gamma"), F.sum("n").alias("total"))
+        rows = rows.join(contexts, ["lang", "context"])
+        if lower is None:
+            rows = rows.withColumn("below", F.lit(1.0 / alphabet))
+        else:
+            rows = rows.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << BITS * (order - 1)) - 1))).join(lower, ["lang", "suffix"])
+        rows = cut(rows.select("lang", "gram", ((F.col("n") - F.col("discount")) / F.col("total") + F.col("gamma") * F.col("below")).alias("p")))
+        lower = rows.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below"))
+        for level, table, key, value in ((order, rows, "gram", "p"), (ORDER + order, contexts, "context", "gamma")):
+            out.append(table.select("lang", F.lit(level).alias("level"), F.col(key).alias("gram"), F.ln(value).cast("float").alias("value")))
+    rows = out[0]
+    for more in out[1:]:
+        rows = rows.unionAll(more)
+    return rows
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of one language and level in sorted rows, as bytes."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    name, size = None, 0
+
+    def out() -> pa.RecordBatch:
+        keys, values = (np.concatenate(x) for x in zip(*held))
+        return pa.RecordBatch.from_pylist([{"lang": name[0], "level": name[1], "keys": keys.astype(np.uint64).tobytes(), "levels": values.astype(np.float32).tobytes()}], pa.schema([("lang", pa.string()), ("level", pa.int32()), ("keys", pa.binary()), ("levels", pa.binary())]))
+
+    for batch in batches:
+        langs, level = batch.column("lang").dictionary_encode(), batch.column("level").to_numpy()
+        lang, keys, values = langs.indices.to_numpy(), batch.column("gram").to_numpy(), batch.column("value").to_numpy()
+        starts = np.flatnonzero(np.r_[True, (lang[1:] != lang[:-1]) | (level[1:] != level[:-1])]) if len(lang) else []
+        for a, b in zip(starts, [*starts[1:], len(lang)]):
+            own = (langs.dictionary[int(lang[a])].as_py(), int(level[a]))
+            if held and (own != name or size >= PIECE):
+                yield out()
+                held, size = [], 0
+            name = own
+            held.append((keys[a:b], values[a:b]))
+            size += b - a
+    if held:
+        yield out()
+
+
+@lru_cache(4)
+def _mapped(keys: str, values: str) -> tuple[np.ndarray, np.ndarray]:
+    return np.memmap(SparkFiles.get(keys), np.uint64, "r"), np.memmap(SparkFiles.get(values), np.float32, "r")
+
+
+@dataclass
+class MappedModel(Model):
+    """A model whose arrays lie in files that every executor has; places are their ranges by language and level."""
+
+    files: tuple[str, str] = ("", "")
+    places: dict[tuple[str, int], tuple[int, int]] = field(default_factory=dict)
+
+    def _one(self, lang: str) -> Model:
+        keys, values = _mapped(*self.files)
+        at = {level: slice(*self.places.get((lang, level), (0, 0))) for level in range(1, 2 * ORDER + 1)}
+        grams, contexts = ({n: (keys[at[base + n]], values[at[base + n], None]) for n in range(1, ORDER + 1)} for base in (0, ORDER))
+        return Model([lang], self.floor, grams, contexts)
+
+    def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
+        # sorted keys read the files from front to back
+        own, back = np.unique(keys, return_inverse=True)
+        out = np.empty((len(own), len(self.languages)), np.float32)
+        for n, lang in enumerate(self.languages):
+            out[:, n] = self._one(lang).log_probabilities(own)[:, 0]
+        return out[back]
+
+
+def build_mapped(counts: DataFrame, languages: list[str]) -> MappedModel:
+    """The model of all counts; its arrays pass the driver piece by piece into files, which Spark sends to the executors."""
+    alphabet = 1 + counts.select(F.col("gram").bitwiseAND(F.lit((1 << BITS) - 1))).distinct().count()
+    rows = levels_of(counts, alphabet).repartitionByRange("lang", "level", "gram").sortWithinPartitions("lang", "level", "gram")
+    tag, folder = uuid.uuid4().hex, tempfile.mkdtemp(prefix="langid-")
+    names, places, end = (f"keys-{tag}", f"levels-{tag}"), {}, 0
+    pieces = cut(rows.mapInArrow(_pieces, "lang string, level int, keys binary, levels binary"))
+    with open(os.path.join(folder, names[0]), "wb") as keys, open(os.path.join(folder, names[1]), "wb") as values:
+        for r in pieces.toLocalIterator():  # partitions and rows come in their order
+            keys.write(r["keys"])
+            values.write(r["levels"])
+            start, end = end, end + len(r["keys"]) // 8
+            places[r.lang, r.level] = (places.get((r.lang, r.level), (start,))[0], end)
+    for name in names:
+        counts.sparkSession.sparkContext.addFile(os.path.join(folder, name))
+    return MappedModel(languages, 1.0 / alphabet, {}, {}, [float("inf")] * len(languages), names, places)
+
+
+def train(docs: DataFrame, *, may_learn=None, most_grams: int | None = None) -> Model:
     """Counts n-grams of all rows of docs(doc_id, text, lang) that may_learn admits and calibrates rejection.
 
-    Rows with a null text or lang teach nothing. A language keeps its most_grams most frequent n-grams (ties: smaller
-    keys), fewer where MOST_CELLS binds; this bounds the model, not the rows that are counted.
+    Rows with a null text or lang teach nothing. All n-grams are kept, unless a caller asks for a smaller model by
+    most_grams: then a language keeps that many of its most frequent ones, without those that tie at the bound.
     """
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
     rows = rows if may_learn is None else rows.filter(may_learn)
     counts = cut(gram_counts(rows))
-    sizes = {r[0]: r[1] for r in counts.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages")
-    most = min(most_grams, MOST_CELLS // max(1, len(sizes)) ** 2)
-    large = [x for x, n in sizes.items() if n > most]
+    sizes = {r[0]: r[1] for r in counts.groupBy("lang").count().collect()}
+    large = [x for x, n in sizes.items() if most_grams is not None and n > most_grams]
     if large:
         # the count below which a language's n-grams fall out comes from its histogram of counts
         steps = counts.filter(F.col("lang").isin(large)).groupBy("lang", "n").agg(F.count("*").alias("many"))
         above = F.sum("many").over(Window.partitionBy("lang").orderBy(F.desc("n")))
-        least = {r[0]: r[1] for r in steps.withColumn("above", above).filter(F.col("above") <= most).groupBy("lang").agg(F.min("n")).collect()}
+        least = {r[0]: r[1] for r in steps.withColumn("above", above).filter(F.col("above") <= most_grams).groupBy("lang").agg(F.min("n")).collect()}
         keep = F.lit(True)
         for x in large:
             keep = keep & ((F.col("lang") != x) | (F.col("n") >= F.lit(least.get(x, 1 << 62))))
-        counts = counts.filter(keep)
-    taken = counts.toArrow()
-    lang, gram, n = (np.array(taken.column(c).to_pylist() if c == "lang" else taken.column(c).to_numpy()) for c in ("lang", "gram", "n"))
-    by = {}
-    for x in sorted(sizes):
-        own = lang == x
-        keys = gram[own].astype(np.uint64)
-        order = np.argsort(keys)
-        by[x] = (keys[order], n[own][order])
-    model = build({x: v for x, v in by.items() if len(v[0])})
+        counts = cut(counts.filter(keep))
+        sizes = {r[0]: r[1] for r in counts.groupBy("lang").count().collect()}
+    if sum(sizes.values()) * len(sizes) > MOST_CELLS:
+        model = build_mapped(counts, sorted(sizes))
+    else:
+        taken = counts.toArrow()
+        lang, gram, n = (np.array(taken.column(c).to_pylist() if c == "lang" else taken.column(c).to_numpy()) for c in ("lang", "gram", "n"))
+        by = {}
+        for x in sorted(sizes):
+            own = lang == x
+            keys = gram[own].astype(np.uint64)
+            order = np.argsort(keys)
+            by[x] = (keys[order], n[own][order])
+        model = build(by)
     if model.languages:
         total = rows.count()
         draw = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(1 << 30)) / F.lit(float(1 << 30))
