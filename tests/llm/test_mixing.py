@@ -1,6 +1,8 @@
 import collections
+from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from tramline.llm import mixing
 
@@ -59,3 +61,26 @@ def test_mixed_keeps_rows_in_order(documents, edge_docs, tmp_path, spark):
     rows = out.collect()
     assert [place[r.doc_id] for r in rows] == list(range(len(rows)))
     assert mixing.mixed(edge_docs).exceptAll(edge_docs).count() == 0
+
+
+def test_rows_follow_the_given_weights(spark, monkeypatch):
+    """No source is a block off its given weight, also far on and between stretches."""
+    monkeypatch.setattr(mixing, "STRETCH", 1000, raising=False)
+    weights = {"hot": 1 / 3, **{f"s{n:02}": 2 / 57 for n in range(19)}}
+    sizes = {s: 3000 if s == "hot" else 400 for s in weights}
+    docs = spark.range(sum(sizes.values())).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), F.expr("CASE WHEN id < 3000 THEN 'hot' ELSE 's' || lpad((id - 3000) div 400, 2, '0') END").alias("source"))
+    slots = sorted((r.slot, r.source) for r in mixing.mix(docs, weights, block_rows=1).collect())
+    assert [n for n, _ in slots] == list(range(len(slots)))
+    exact, got = {s: Fraction(w) for s, w in weights.items()}, collections.Counter()
+    total = sum(exact.values())
+    for t, (_, s) in enumerate(slots, 1):
+        got[s] += 1
+        assert all(abs(got[x] - w * t / total) < 1 for x, w in exact.items()), t
+        if got[s] == sizes[s]:
+            break
+    assert t > 8000
+
+
+def test_many_sources(spark):
+    docs = spark.range(900).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), F.expr("'s' || id % 300").alias("source"))
+    assert sorted(r.position for r in mixing.mix(docs).collect()) == list(range(900))

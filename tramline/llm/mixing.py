@@ -2,29 +2,31 @@
 
 Rows of a source are dealt into blocks of equal row count. With weight w, block k of a source is released at floor(k/w)
 and due at ceil((k+1)/w); earliest deadline first over the released blocks keeps every source less than one block off
-its share at every slot. Weights are integers that sum to a hyperperiod, after which the schedule repeats, so only one
-hyperperiod is scheduled on the driver and every block finds its slot by arithmetic. When a source runs out, a new
-phase begins with the weights of those that are left: every row is placed.
+its share at every slot. Weights are taken as the exact fractions they are, without rounding, so this holds for tables of
+any length and skew. The driver schedules blocks, not rows, in stretches that it writes out one after the other. When a
+source runs out, a new phase begins with the weights of those that are left: every row is placed.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tramline.llm.common import stored
+from tramline.llm.common import new_path, stored
 
 #: Stands for a null source.
 NO_SOURCE = "\u0000"
-#: Rows of a block, slots of a hyperperiod, and the most sources: these bound all that the driver holds.
+#: Rows of a block, and slots that the driver holds at once.
 BLOCK_ROWS = 16
-HYPERPERIOD = 1000
-MOST_SOURCES = 256
+STRETCH = 200_000
 #: Rows that one window sorts, on average, and the most windows of a source.
 WINDOW_ROWS = 1024
 MOST_WINDOWS = 100_000
@@ -40,98 +42,102 @@ def whole_weights(weights: Mapping[str, float], period: int) -> dict[str, int]:
     return out
 
 
+def exact_weights(weights: Mapping[str, float]) -> dict[str, int]:
+    """The smallest integers in exactly the ratio of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    out = {s: int(x * scale) for s, x in exact.items()}
+    divisor = math.gcd(*out.values())
+    return {s: w // divisor for s, w in out.items()}
+
+
 def schedule(weights: Mapping[str, int]) -> list[str]:
     """The source of each slot of one hyperperiod: earliest deadline first among released blocks, ties by name."""
+    return list(islice(slots_of(weights), sum(weights.values())))
+
+
+def slots_of(weights: Mapping[str, int]) -> Iterator[str]:
+    """The source of each slot without end."""
     period = sum(weights.values())
-    release = lambda s, k: k * period // weights[s]
-    due = lambda s, k: -(-(k + 1) * period // weights[s])
     waiting = [(0, s, 0) for s in sorted(weights)]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    slots = []
-    for t in range(period):
+    t = 0
+    while True:
         while waiting and waiting[0][0] <= t:
             _, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (due(s, k), s, k))
+            heapq.heappush(ready, (-(-(k + 1) * period // weights[s]), s, k))
         deadline, s, k = heapq.heappop(ready)
         assert deadline > t, "a block missed its deadline"
-        slots.append(s)
-        if k + 1 < weights[s]:
-            heapq.heappush(waiting, (release(s, k + 1), s, k + 1))
-    return slots
-
+        yield s
+        heapq.heappush(waiting, ((k + 1) * period // weights[s], s, k + 1))
+        t += 1
 
-def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int) -> tuple[list[tuple], list[tuple]]:
-    """The whole schedule in closed form.
 
-    Returns (phase, source, first block, block after the last, slot of the phase, weight, period) and, for one
-    hyperperiod of each phase, (phase, source, block, slot). A phase ends with the last block of a source.
-    """
-    spans, template, left, done, start, phase = [], [], {s: n for s, n in blocks.items() if n}, {s: 0 for s in blocks}, 0, 0
+def dealt(sizes: Mapping[str, int], weights: Mapping[str, float], block_rows: int, period: int | None = None) -> Iterator[tuple[str, int, int, int]]:
+    """(source, block, slot, position of the block's first row) of all blocks by slot; a phase ends with a source."""
+    left, done, slot, position = {s: -(-n // block_rows) for s, n in sizes.items() if n}, dict.fromkeys(sizes, 0), 0, 0
     while left:
-        whole = whole_weights({s: weights[s] for s in left}, max(period, 4 * len(left)))
-        slots = schedule(whole)
-        places: dict[str, list[int]] = {s: [] for s in left}
-        for t, s in enumerate(slots):
-            places[s].append(t)
-        size = len(slots)
-        end = min((n - 1) // whole[s] * size + places[s][(n - 1) % whole[s]] + 1 for s, n in left.items())
-        for s in sorted(left):
-            took = end // size * whole[s] + sum(t < end % size for t in places[s])
-            spans.append((phase, s, done[s], done[s] + took, start, whole[s], size))
-            template += [(phase, s, k, t) for k, t in enumerate(places[s])]
-            done[s] += took
-            left[s] -= took
-        left = {s: n for s, n in left.items() if n}
-        start, phase = start + end, phase + 1
-    return spans, template
-
-
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, *, alpha: float = 0.5, block_rows: int = BLOCK_ROWS, period: int = HYPERPERIOD, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
+        own = {s: weights[s] for s in left}
+        for s in slots_of(exact_weights(own) if period is None else whole_weights(own, max(period, 4 * len(left)))):
+            block = done[s]
+            yield s, block, slot, position
+            done[s] += 1
+            slot += 1
+            left[s] -= 1
+            position += min(block_rows, sizes[s] - block * block_rows)
+            if not left[s]:
+                del left[s]
+                break
+
+
+def _placed(spark, slots: Iterator[tuple[str, int, int, int]]) -> DataFrame:
+    """The blocks' places as a table in the shared folder; the driver holds one stretch at a time."""
+    path, kinds = new_path(spark, "mix-slots"), {"from": pa.string(), "block": pa.int64(), "slot": pa.int64(), "start": pa.int64()}
+    more = True
+    while more:
+        some = list(islice(slots, STRETCH))
+        more = len(some) == STRETCH
+        columns = zip(*some) if some else [()] * 4
+        stretch = pa.table([pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
+        spark.createDataFrame(stretch).write.mode("append").parquet(path)
+    return spark.read.schema("from string, block long, slot long, start long").parquet(path)
+
+
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, *, alpha: float = 0.5, block_rows: int = BLOCK_ROWS, period: int | None = None, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, source, block, slot, position (from 0, gapless), then the columns of carry.
 
     weights maps sources to positive target weights and must name each source of the table (a null source is "\\0");
-    without it a source weighs its row count to the power alpha. Inside a source the order is a seeded hash of doc_id,
+    without it a source weighs its row count to the power alpha. A period rounds the weights to so many slots, after
+    which the schedule repeats; without one they hold exactly. Inside a source the order is a seeded hash of doc_id,
     then doc_id and text; equal rows follow each other. Null ids and texts are ordered first, nothing is dropped, an
     empty table gives no rows, and other columns are ignored.
     """
-    if clash := set(carry) & {"doc_id", "source", "block", "slot", "position", "bucket", "draw", "crc"}:
+    if clash := set(carry) & {"doc_id", "source", "block", "slot", "position", "bucket", "draw", "crc", "from", "windows", "nth", "before", "run", "place"}:
         raise ValueError(f"these columns cannot be carried: {sorted(clash)}")
     rows = docs.select("doc_id", "source", F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("from"), F.xxhash64("doc_id", F.lit(seed)).alias("draw"), F.crc32(F.coalesce("text", F.lit(""))).alias("crc"), *carry)
     spark = docs.sparkSession
-    sizes = {r[0]: r[1] for r in rows.groupBy("from").count().limit(MOST_SOURCES + 1).collect()}
-    if len(sizes) > MOST_SOURCES:
-        raise ValueError(f"over {MOST_SOURCES} sources: group them first")
+    sizes = {r[0]: r[1] for r in rows.groupBy("from").count().collect()}
     if weights is None:
         weights = {s: n**alpha for s, n in sizes.items()}
     if missing := sorted(s for s in sizes if weights.get(s, 0) <= 0):
         raise ValueError(f"no positive weight for {missing}")
-    blocks = {s: -(-n // block_rows) for s, n in sizes.items()}
-    spans, template = phases(blocks, weights, period)
+    places = _placed(spark, dealt(sizes, weights, block_rows, period))
 
     # a source is cut into windows by its own size, so those of a hot one hold no more rows than others
-    windows = F.create_map(*[F.lit(x) for s, n in sorted(sizes.items()) for x in (s, min(MOST_WINDOWS, max(1, n // WINDOW_ROWS)))]) if sizes else F.create_map(F.lit(""), F.lit(1))
-    rows = rows.withColumn("bucket", F.pmod("draw", F.element_at(windows, F.col("from"))))
+    windows = spark.createDataFrame([(s, min(MOST_WINDOWS, max(1, n // WINDOW_ROWS))) for s, n in sorted(sizes.items())], "from string, windows int")
+    rows = rows.join(F.broadcast(windows), "from").withColumn("bucket", F.pmod("draw", "windows")).drop("windows")
     counts = rows.groupBy("from", "bucket").count()
     before = Window.partitionBy("from").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("from", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    counts = counts.select("from", "bucket", "count", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    # each window gets the places of its own run of blocks, so rows are not shuffled again to find theirs
+    runs = counts.select("from", "bucket", "before", F.explode(F.expr(f"sequence(before div {block_rows}, (before + count - 1) div {block_rows})")).alias("block"))
+    runs = runs.join(places, ["from", "block"]).groupBy("from", "bucket", "before").agg(F.sort_array(F.collect_list(F.struct("block", "slot", "start"))).alias("run"))
     inside = Window.partitionBy("from", "bucket").orderBy("draw", "doc_id", "crc")
-    rows = rows.withColumn("nth", F.row_number().over(inside)).join(counts, ["from", "bucket"])
-    nth = F.col("before") + F.col("nth") - 1
-    rows = rows.withColumn("block", F.expr(f"(before + nth - 1) div {block_rows}")).withColumn("inner", F.pmod(nth, F.lit(block_rows)))
-
-    # bounded by MOST_SOURCES and the period; short: the rows that earlier sources' last blocks lack
-    short, lacking = {0: 0}, 0
-    for phase in range(max((s[0] for s in spans), default=-1) + 1):
-        short[phase] = lacking
-        lacking += sum(blocks[s] * block_rows - sizes[s] for p, s, _, end, *_ in spans if p == phase and end == blocks[s])
-    turns = spark.createDataFrame([(*s, short[s[0]]) for s in spans], "phase int, from string, first long, past long, start long, weight long, size long, short long")
-    places = spark.createDataFrame(template, "phase int, from string, turn long, place long")
-    rows = rows.join(F.broadcast(turns), (rows["from"] == turns["from"]) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("past"))).drop(turns["from"])
-    rows = rows.withColumn("cycle", F.expr("(block - first) div weight")).withColumn("turn", F.expr("(block - first) % weight"))
-    rows = rows.join(F.broadcast(places), ["phase", "from", "turn"])
-    slot = F.col("start") + F.col("cycle") * F.col("size") + F.col("place")
-    return rows.select("doc_id", "source", "block", slot.alias("slot"), (slot * block_rows - F.col("short") + F.col("inner")).alias("position"), *carry)
+    rows = rows.withColumn("nth", F.row_number().over(inside)).join(runs, ["from", "bucket"])
+    rows = rows.withColumn("nth", F.col("before") + F.col("nth") - 1).withColumn("block", F.expr(f"nth div {block_rows}"))
+    rows = rows.withColumn("place", F.expr(f"element_at(run, cast(block - before div {block_rows} + 1 as int))"))
+    return rows.select("doc_id", "source", "block", "place.slot", (F.col("place.start") + F.pmod("nth", F.lit(block_rows))).alias("position"), *carry)
 
 
 def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, **options) -> DataFrame:
