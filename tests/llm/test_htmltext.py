@@ -51,6 +51,63 @@ def test_edges(spark):
     assert htmltext.extracted(pages).count() == 8 and htmltext.extracted(pages.limit(0)).count() == 0
 
 
+def _div(page):
+    return page.replace("<article>", '<div class="post">').replace("</article>", "</div>")
+
+
+def _bare(page):
+    return re.sub(r"<(/?)(nav|footer)>", r"<\1div>", _div(page)).replace(' class="ad"', "")
+
+
+def _with_links(page):
+    return page.replace("</article>", "<ul>" + "".join(f'<li><a href="/{n}">More {n}</a></li>' for n in range(9)) + "</ul></article>")
+
+
+def test_ratios_select_the_regions(spark, monkeypatch):
+    """Against the generated articles: without an article element, without any telling name, and with a menu inside."""
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+
+    def right(change):
+        return np.mean([main_text(change(h)) == brute_article(h) for h in pages])
+
+    assert right(_div) == 1 and right(_with_links) == 1
+    bare = right(_bare)
+    assert bare > 0.8
+    monkeypatch.setattr(htmltext, "content_lines", lambda ratios, sigma=1.0: np.ones(len(ratios), bool))
+    assert right(_with_links) == 0 and right(_bare) < bare - 0.2
+
+
+def test_names_inside_and_around():
+    body = f"<p>{LONG}</p><p>Short.</p>"
+    want = f"{LONG.strip()}\nShort."
+    for page in (
+        f'<article><h1 class="page-header">H</h1>{body}</article>',
+        f'<article><div class="entry-header">H</div>{body}</article>',
+        f'<article><p class="search-term">H</p>{body}</article>',
+        f'<div class="layout has-sidebar"><h2>H</h2>{body}</div>',
+        f'<form><main><h2>H</h2>{body}</main></form>',
+        f'<form><div><h2>H</h2>{body}</div></form>',
+        f'<body class="comments-open"><article><section id="related-work"><h2>H</h2>{body}</section></article>',
+        f'<article><h2>H</h2>{body}<p class="ad">Buy<p class="cookieNotice">We use them</article>',
+        f'<article><h2>H</h2><p class="ad">Buy{body}</article>',
+        f'<ul><li class="nav-item">A<li class="nav-item">B</ul><article><h2>H</h2>{body}</article>',
+        f'<article><h2>H</h2><table><tr><td class="ad">Buy<td>{LONG}<tr><td>Short.</table></article>',
+        f'<article><h2>H</h2><a href=x>{body}<a href=y></a></article><div class="comment-list"><p>{LONG * 9}</p></div>',
+    ):
+        assert main_text(page) == f"H\n{want}", page
+
+
+def test_unfinished_pages_take_linear_time():
+    import time
+
+    for part, most in (("<a ", 0), ("<!--", 0), ('<a href="', 0), ('<a href="x>', 0), ("<![CDATA[", 0), ("<?", 0), ("<script></", 0), ("</a", 0), ("<p><b><p>", 0), ("<li>a", 10**6), ("<", 10**6), ("&", 10**6)):
+        began = time.process_time()
+        assert len(main_text(part * 20_000)) <= most
+        assert time.process_time() - began < 10, part
+    assert main_text(f'<p>{LONG}</p><a href="open>x</a><p>{LONG}</p>') == f"{LONG.strip()}\n{'x'}\n{LONG.strip()}"
+    assert main_text(f"<p>{LONG}</p><!-- left open <p>x</p>") == LONG.strip()
+
+
 def test_smoothing():
     values = np.array([0.0, 0, 10, 0, 0])
     weights = np.exp(-np.arange(-3, 4) ** 2 / 2)
