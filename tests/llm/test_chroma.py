@@ -1,6 +1,6 @@
 import numpy as np
 
-from tramline.llm import chroma
+from tramline.llm import chroma, melodies
 
 RNG = np.random.default_rng(8)
 
@@ -36,7 +36,7 @@ def test_filters_are_distinct_and_inside():
 
 
 def test_fingerprint_matches_brute_force():
-    frames = chroma.chroma(np.frombuffer(chroma.melody(_song(40)), "<i2") / 32768.0)
+    frames = chroma.chroma(np.frombuffer(melodies.melody(_song(40)), "<i2") / 32768.0)
     assert np.allclose(frames.sum(axis=1), 1)
     got, want = chroma.fingerprint(frames).tolist(), brute_fingerprint(frames)
     # sums by integral image and by cell may differ in the last place, at a threshold
@@ -51,24 +51,20 @@ def brute_align(prints, every):
         by.setdefault(tuple(codes), []).append(i)
     least = {c: min((i for i in v if i is not None), default=None) for c, v in by.items()}
     out = [("member", i, least[tuple(c)], None, None, None) for i, c in prints]
-    starts = lambda c: [k for k in range(len(c)) if not k or c[k] != c[k - 1]]
     for x, ids in by.items():
         if not any(i is not None and i % every == 0 for i in ids):
             continue
         for y in by:
             if y == x or least[y] is None:
                 continue
-            votes = {}
-            for p in starts(x):
-                for q in starts(y):
-                    if x[p] == y[q]:
-                        votes[p - q] = votes.get(p - q, 0) + 1
-            if votes:
-                o = max(votes, key=lambda d: (votes[d], -abs(d), -d))
+            tried = []
+            for o in range(-len(y), len(x) + 1):
                 pairs = [(x[k + max(o, 0)], y[k + max(-o, 0)]) for k in range(min(len(x) - max(o, 0), len(y) - max(-o, 0)))]
-                errors = sum(((p ^ q) & 0xFFFFFFFF).bit_count() for p, q in pairs) / (32 * max(1, len(pairs)))
-                if len(pairs) >= chroma.LEAST_OVERLAP and errors <= chroma.MOST_ERRORS:
-                    out.append(("match", least[x], least[x], least[y], o, round(errors, 9)))
+                if len(pairs) >= chroma.LEAST_OVERLAP:
+                    tried.append((sum(((p ^ q) & 0xFFFFFFFF).bit_count() for p, q in pairs) / (32 * len(pairs)), abs(o), o))
+            if tried and min(tried)[0] <= chroma.MOST_ERRORS:
+                errors, _, o = min(tried)
+                out.append(("match", least[x], least[x], least[y], o, round(errors, 9)))
     return sorted(out, key=str)
 
 
@@ -76,12 +72,44 @@ def test_align(spark):
     song = _song(90)
     songs = {0: song[:60], 1: song[:60], 2: song[20:80], 4: _song(60), 5: song[:50] + [song[50] + 0.5] + song[51:60], 8: _song(60), 9: [0.0] * 64, 12: [0.0] * 80, 3: [0.0] * 3, 16: song[40:]}
     rows = spark.createDataFrame([*songs.items(), (7, None), (1, songs[1]), (None, songs[4]), (None, [])], "id long, values array<double>")
-    prints = chroma.fingerprints(chroma.recordings(rows))
+    prints = chroma.fingerprints(melodies.recordings(rows))
     got = chroma.align(prints, 4).collect()
+    assert {str(r) for r in chroma.align(prints, 4, block_codes=40).collect()} == {str(r) for r in got}
     found = sorted(((r.kind, r.id, r.class_id, r.match_id, r.offset, r.bit_errors if r.bit_errors is None else round(r.bit_errors, 9)) for r in got), key=str)
     assert found == brute_align([(r.id, r.codes) for r in prints.collect()], 4)
     pairs = {(r.id, r.match_id): r for r in got if r.kind == "match"}
-    notes = 20 * round(chroma.NOTE_SECONDS * chroma.RATE) / chroma.HOP
+    notes = 20 * round(melodies.NOTE_SECONDS * chroma.RATE) / chroma.HOP
     assert abs(pairs[0, 2].offset - notes) < 1 and pairs[0, 5].offset == 0 and (0, 4) not in pairs and (12, 9) in pairs
     none = spark.createDataFrame([], "id long, values array<double>")
-    assert chroma.align(chroma.fingerprints(chroma.recordings(none))).count() == 0
+    assert chroma.align(chroma.fingerprints(melodies.recordings(none))).count() == 0
+
+
+def test_search_finds_what_brute_force_over_all_offsets_finds(spark):
+    """All 2,000 recordings and 100 queries of the test table, and noisy excerpts of some."""
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS values")
+    rows = chroma.fingerprints(melodies.recordings(vectors)).collect()
+    codes = {r.id: np.array(r.codes, np.int32).view(np.uint32) for r in rows}
+    for n in range(60):
+        heard = np.frombuffer(melodies.melody([float(v) for v in RNG.normal(0, 0.5, 64)]), "<i2") / 32768.0
+        cut = heard[int(RNG.integers(0, 30_000)) :]
+        cut = cut + RNG.normal(0, 0.05, len(cut))
+        codes[1_000_000 + 20 * n], codes[2_000_001 + 20 * n] = (chroma.fingerprint(chroma.chroma(x)) for x in (heard, cut))
+    ids = sorted(codes)
+    asked, flat = [i for i in ids if i % 20 == 0], [codes[i] for i in ids]
+    longest = max(map(len, flat))
+    matrix, sizes = np.zeros((len(ids), longest), np.uint32), np.array(list(map(len, flat)))
+    for n, c in enumerate(flat):
+        matrix[n, : len(c)] = c
+    want = set()
+    for i in asked:
+        x = codes[i]
+        for o in range(16 - longest, len(x) - 15):
+            a, b = max(o, 0), max(-o, 0)
+            overlap = np.minimum(len(x) - a, sizes - b)
+            width = min(len(x) - a, longest - b)
+            differ = np.bitwise_count(x[a : a + width] ^ matrix[:, b : b + width]) * (np.arange(width) < overlap[:, None])
+            want |= {(i, ids[n]) for n in np.flatnonzero((overlap >= 16) & (differ.sum(axis=1) <= 8 * overlap)) if ids[n] != i}
+    table = spark.createDataFrame([(i, c.view(np.int32).tolist()) for i, c in codes.items()], "id long, codes array<int>")
+    got = {(r.id, r.match_id) for r in chroma.align(table).filter("kind = 'match'").collect()}
+    assert got == want and len(want) > 100
+    assert np.mean([(1_000_000 + 20 * n, 2_000_001 + 20 * n) in got for n in range(60)]) > 0.95

@@ -1,13 +1,14 @@
 """Chroma fingerprints of audio columns, and alignment of recordings by them.
 
 PCM samples become frames of twelve pitch classes. Sixteen rectangle filters, summed through an integral image, look at
-WINDOW frames each and give two bits apiece: one packed 32-bit integer for each frame. Recordings that share integers
-are candidates; a histogram of the offsets between shared places chooses how they align, and the share of differing
-bits over the whole overlap decides.
+WINDOW frames each and give two bits apiece: one packed 32-bit integer for each frame. A histogram of
+the offsets between two recordings counts the bits that agree at each, and the share of differing bits over the whole
+overlap decides how and whether they align.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +29,11 @@ OUTER = {2: 0.45, 4: 0.30, 6: 0.22, 8: 0.18}
 #: An alignment needs so many overlapping frames and at most this share of differing bits.
 LEAST_OVERLAP = 16
 MOST_ERRORS = 0.25
+#: Codes of query recordings that are searched together, counts of a histogram tile, and numbers of the spectra that a
+#: worker keeps; all bound memory.
+BLOCK_CODES = 200_000
+TILE = 2_000_000
+MOST_SPECTRA = 40_000_000
 
 
 def filters() -> list[tuple[int, int, int]]:
@@ -124,66 +130,135 @@ def fingerprints(recordings: DataFrame, rate: int = RATE) -> DataFrame:
     return recordings.select(F.col("id").cast("long").alias("id"), "audio").mapInArrow(_prints(rate), "id long, codes array<int>")
 
 
-def align(prints: DataFrame, every: int = 20, most_errors: float = MOST_ERRORS, least_overlap: int = LEAST_OVERLAP) -> DataFrame:
-    """Classes of equal fingerprints, and the classes that those of query recordings align with.
+def _spread(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The group and the place in it of every member of groups of these sizes."""
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    return group, np.arange(len(group)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
-    Queries are the recordings whose id is divisible by `every`. Rows of kind `member` give each recording (id) its
-    class_id, the smallest id with its codes. Rows of kind `match` have a query's class as id and class_id, and a class
-    `match_id` of other codes with `offset` (place in the query less that in the other), `overlap` in frames and
-    `bit_errors`, the share of differing bits. Of the offsets of a pair the one with most shared codes counts; ties: the
-    least shift, then the smaller offset. A null id is a member only (its class_id may be null); recordings without
-    codes match nothing; repeated rows stay repeated members.
-    """
-    prints = stored(prints, "chroma-prints")
-    classes = prints.groupBy("codes").agg(F.min("id").alias("class_id"), F.max((F.col("id") % every == 0).cast("int")).alias("asks"))
-    classes = stored(classes.select("class_id", "codes", (F.coalesce("asks", F.lit(0)) == 1).alias("asks")), "chroma-classes")
-    members = prints.join(classes.withColumnRenamed("codes", "own"), F.col("codes") == F.col("own")).select(F.lit("member").alias("kind"), "id", "class_id")
 
-    # a run of one code is indexed where it begins, so that silence is one entry
-    places = classes.filter("class_id IS NOT NULL").select("class_id", "asks", F.posexplode("codes").alias("place", "code"), "codes")
-    places = places.filter((F.col("place") == 0) | (F.col("code") != F.element_at("codes", F.greatest("place", F.lit(1))))).drop("codes")
-    a = places.filter("asks").select(F.col("class_id").alias("a"), F.col("place").alias("pa"), F.col("code").alias("ca"))
-    b = places.select(F.col("class_id").alias("b"), F.col("place").alias("pb"), F.col("code").alias("cb"))
-    shared = a.join(b, (F.col("ca") == F.col("cb")) & (F.col("a") != F.col("b")))
-    votes = shared.groupBy("a", "b", (F.col("pa") - F.col("pb")).alias("offset")).count()
-    best = votes.groupBy("a", "b").agg(F.max(F.struct("count", (-F.abs("offset")).alias("near"), (-F.col("offset")).alias("back"))).alias("best"))
-    pairs = best.select("a", "b", (-F.col("best.back")).alias("offset"))
-
-    pairs = pairs.join(classes.select(F.col("class_id").alias("a"), F.col("codes").alias("xs")), "a").join(classes.select(F.col("class_id").alias("b"), F.col("codes").alias("ys")), "b")
-    x, y = F.greatest("offset", F.lit(0)), F.greatest(-F.col("offset"), F.lit(0))
-    pairs = pairs.withColumn("overlap", F.least(F.size("xs") - x, F.size("ys") - y)).filter(F.col("overlap") >= least_overlap)
-    apart = F.zip_with(F.slice("xs", x + 1, F.col("overlap")), F.slice("ys", y + 1, F.col("overlap")), lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("long"))
-    # bit_count of a negative int counts its sign extension to 64 bits too: both signs equal or 32 bits more
-    signs = F.zip_with(F.slice("xs", x + 1, F.col("overlap")), F.slice("ys", y + 1, F.col("overlap")), lambda p, q: F.when((p < 0) != (q < 0), F.lit(32)).otherwise(F.lit(0)).cast("long"))
-    bits = F.aggregate(apart, F.lit(0).cast("long"), lambda t, v: t + v) - F.aggregate(signs, F.lit(0).cast("long"), lambda t, v: t + v)
-    pairs = pairs.withColumn("bit_errors", bits / (F.col("overlap") * 32)).filter(F.col("bit_errors") <= most_errors)
-    matches = pairs.select(F.lit("match").alias("kind"), F.col("a").alias("id"), F.col("a").alias("class_id"), F.col("b").alias("match_id"), "offset", "overlap", "bit_errors")
-    return members.unionByName(matches, allowMissingColumns=True)
+class Prints:
+    """Recordings of at most `longest` codes, and their spectra: a signal of signs for each bit and one of ones."""
 
+    def __init__(self, ids: np.ndarray, codes: list[np.ndarray], longest: int) -> None:
+        self.ids, self.longest = ids, longest
+        self.sizes = np.array([len(c) for c in codes], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.codes = np.concatenate([np.zeros(0, np.uint32), *codes])
 
-#: Of a rendered vector: seconds of a note, and semitones for a step of one in a value.
-NOTE_SECONDS = 0.125
-SEMITONES = 24
+    def most(self) -> int:
+        return int(self.sizes.max(initial=0))
 
+    def spectra(self, some: slice, points: int, last: float) -> np.ndarray:
+        """(frequency, recording, signal); the signal of ones is scaled by `last`."""
+        own, place = _spread(self.sizes[some])
+        flat = self.codes[self.starts[some][:1].sum() : self.starts[some][:1].sum() + len(own)]
+        signs = np.zeros((len(self.sizes[some]), points, 33), np.float32)
+        signs[own, place, :32] = 1 - 2 * (flat[:, None] >> np.arange(32, dtype=np.uint32) & 1).astype(np.float32)
+        signs[own, place, 32] = last
+        return np.ascontiguousarray(np.fft.rfft(signs, axis=1).transpose(1, 0, 2))
 
-def melody(values: list[float] | None, rate: int = RATE) -> bytes:
-    """PCM of a note for each value: a sine and its octave, so many semitones from 440 Hz, three octaves at most."""
-    if not values:
-        return b""
-    steps = np.clip(np.round(np.nan_to_num(np.array([np.nan if v is None else v for v in values], float), nan=0.0, posinf=3.0, neginf=-3.0) * SEMITONES), -36, 36)
-    hertz = np.repeat(440.0 * 2 ** (steps / 12), round(NOTE_SECONDS * rate))
-    turn = (np.cumsum(2 * np.pi * hertz / rate) % (2 * np.pi)).astype(np.float32)
-    return np.round((np.sin(turn) + 0.5 * np.sin(2 * turn)) * 16000).astype("<i2").tobytes()
 
+def matches(asked: Prints, rows: Prints, most_errors: float, least_overlap: int, kept: dict | None = None) -> tuple[np.ndarray, ...]:
+    """(query, row, offset, overlap, bit errors) of all pairs of other ids within the bounds.
 
-def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        # small batches, as a row's audio is about a thousand times its vector
-        for at in range(0, batch.num_rows, 64):
-            part = batch.slice(at, 64)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([melody(v.as_py()) for v in part.column("values")], pa.binary())], ["id", "audio"])
+    The histogram of a pair counts the agreeing bits at every offset at once: it is the product of the spectra, less the
+    share of bits that must agree. Where it does not fall below zero the codes themselves are compared.
+    """
+    points = 1 << int(asked.longest + rows.longest).bit_length()
+    tile = max(1, TILE // points)
+    n_asked, n_rows = max(1, min(len(asked.ids), tile // 64)), max(1, min(64, tile))
+    kept = {} if kept is None else kept
+    found: list[list[np.ndarray]] = []
+    for r in range(0, len(rows.ids), n_rows):
+        theirs = rows.spectra(slice(r, r + n_rows), points, -32 * (1 - 2 * most_errors)).conj().transpose(0, 2, 1)
+        for q in range(0, len(asked.ids), n_asked):
+            some = slice(q, q + n_asked)
+            if (points, q) not in kept:
+                if len(kept) * tile * 33 > MOST_SPECTRA:
+                    kept.clear()
+                kept[points, q] = asked.spectra(some, points, 1.0)
+            above = np.fft.irfft(kept[points, q] @ theirs, points, axis=0)
+            # only offsets at which the longest recordings overlap enough; negative ones lie at the end
+            shifts = np.r_[0 : max(0, asked.most() - least_overlap + 1), points - max(0, rows.most() - least_overlap) : points]
+            at, x, y = np.nonzero(above[shifts] > -0.5)
+            at = shifts[at]
+            x, y, offset = x + q, y + r, np.where(at >= points // 2, at - points, at)
+            valid = (offset <= asked.sizes[x] - least_overlap) & (-offset <= rows.sizes[y] - least_overlap) & (asked.ids[x] != rows.ids[y])
+            x, y, offset = x[valid], y[valid], offset[valid]
+            p, o = np.maximum(offset, 0), np.maximum(-offset, 0)
+            overlap = np.minimum(asked.sizes[x] - p, rows.sizes[y] - o)
+            pair, nth = _spread(overlap)
+            bits = np.bitwise_count(asked.codes[(asked.starts[x] + p)[pair] + nth] ^ rows.codes[(rows.starts[y] + o)[pair] + nth])
+            errors = np.bincount(pair, bits, minlength=len(x)) / (32 * np.maximum(overlap, 1))
+            good = errors <= most_errors
+            found.append([v[good] for v in (x, y, offset, overlap, errors)])
+    x, y, offset, overlap, errors = (np.concatenate(v) for v in zip(*found)) if found else (np.zeros(0, np.int64),) * 5
+    order = np.lexsort((offset, np.abs(offset), errors, x, y))
+    x, y, offset, overlap, errors = (v[order] for v in (x, y, offset, overlap, errors))
+    best = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])] if len(x) else np.zeros(0, bool)
+    return asked.ids[x][best], rows.ids[y][best], offset[best], overlap[best], errors[best]
+
+
+def _by_length(ids: np.ndarray, codes: list[np.ndarray]) -> list[Prints]:
+    """Recordings in classes of lengths up to a power of two."""
+    classes = np.array([max(5, (len(c) - 1).bit_length()) for c in codes], np.int64)
+    return [Prints(ids[own], [codes[n] for n in own], 1 << int(c)) for c in np.unique(classes) for own in (np.flatnonzero(classes == c),)]
+
+
+def _unsigned(column: pa.ListArray) -> list[np.ndarray]:
+    return [np.array(c.values.to_numpy(), np.int32).view(np.uint32) for c in column]
+
+
+_BLOCKS: dict[str, list[tuple[Prints, dict]]] = {}
+
+
+def _match(sent, tag: str, most_errors: float, least_overlap: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if tag not in _BLOCKS:  # a worker keeps the spectra of one block
+            _BLOCKS.clear()
+            _BLOCKS[tag] = [(p, {}) for p in _by_length(*sent.value)]
+        for batch in batches:
+            for rows in _by_length(batch.column("class_id").to_numpy(), _unsigned(batch.column("codes"))):
+                for asked, kept in _BLOCKS[tag]:
+                    a, b, offset, overlap, errors = matches(asked, rows, most_errors, least_overlap, kept)
+                    columns = [pa.array(a), pa.array(b), pa.array(offset.astype(np.int32)), pa.array(overlap.astype(np.int32)), pa.array(errors)]
+                    yield pa.RecordBatch.from_arrays(columns, ["a", "b", "offset", "overlap", "bit_errors"])
 
+    return run
 
-def recordings(vectors: DataFrame) -> DataFrame:
-    """(id, audio) rendered from vectors(id, values), for data without an audio column."""
-    return vectors.select("id", "values").mapInArrow(_render, "id long, audio binary")
+
+def align(prints: DataFrame, every: int = 20, most_errors: float = MOST_ERRORS, least_overlap: int = LEAST_OVERLAP, block_codes: int = BLOCK_CODES) -> DataFrame:
+    """Classes of equal fingerprints, and the classes that those of query recordings align with.
+
+    Queries are the recordings whose id is divisible by `every`; they are searched in blocks of about block_codes codes,
+    each against the codes of all classes at all offsets. The classes stay where they are: nothing is shuffled by code,
+    so a common code makes no large task. Rows of kind `member` give each recording (id) its class_id, the smallest id
+    with its codes. Rows of kind `match` have a query's class as id and class_id, and a class `match_id` of other codes
+    with `offset` (place in the query less that in the other), `overlap` in frames and `bit_errors`, the share of
+    differing bits. Of a pair's offsets the one of least errors counts; ties: the least shift, then the smaller offset.
+    A null id is a member only (its class_id may be null); recordings without codes match nothing; repeated rows stay
+    repeated members; an empty table has no rows.
+    """
+    prints = stored(prints, "chroma-prints")
+    classes = prints.groupBy("codes").agg(F.min("id").alias("class_id"), F.max((F.col("id") % every == 0).cast("int")).alias("asks"))
+    classes = stored(classes.select("class_id", "codes", (F.coalesce("asks", F.lit(0)) == 1).alias("asks")), "chroma-classes")
+    members = prints.join(classes.withColumnRenamed("codes", "own"), F.col("codes") == F.col("own")).select(F.lit("member").alias("kind"), "id", "class_id")
+
+    spark = prints.sparkSession
+    long_enough = classes.filter(F.col("class_id").isNotNull() & (F.size("codes") >= least_overlap))
+    asked = long_enough.filter("asks")
+    n_blocks = -(-(asked.agg(F.sum(F.size("codes"))).first()[0] or 0) // block_codes)
+    matches = None
+    for n in range(n_blocks):
+        taken = asked.filter(F.pmod(F.xxhash64("class_id"), F.lit(n_blocks)) == n).select("class_id", "codes").orderBy("class_id").toArrow().combine_chunks()
+        if not taken.num_rows:
+            continue
+        sent = spark.sparkContext.broadcast((taken.column("class_id").to_numpy(), _unsigned(taken.column("codes"))))
+        found = long_enough.select("class_id", "codes").mapInArrow(_match(sent, uuid.uuid4().hex, most_errors, least_overlap), "a long, b long, offset int, overlap int, bit_errors double")
+        # each block is searched by itself, so that no task holds two
+        found = stored(found, "chroma-matches")
+        matches = found if matches is None else matches.unionByName(found)
+    if matches is None:
+        matches = spark.createDataFrame([], "a long, b long, offset int, overlap int, bit_errors double")
+    matches = matches.select(F.lit("match").alias("kind"), F.col("a").alias("id"), F.col("a").alias("class_id"), F.col("b").alias("match_id"), "offset", "overlap", "bit_errors")
+    return members.unionByName(matches, allowMissingColumns=True)

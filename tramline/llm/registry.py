@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tramline.llm import chroma, dac, htmltext, langid, mixing, quality, secretscan, sharding, simhash, tiling
+from tramline.llm import chroma, dac, htmltext, langid, melodies, mixing, quality, secretscan, sharding, simhash, tiling
 from tramline.llm.common import id_remainder, new_path, table
 
 
@@ -25,7 +25,7 @@ def op2_nonnegative_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("values"))
-    return chroma.align(chroma.fingerprints(chroma.recordings(vectors)))
+    return chroma.align(chroma.fingerprints(melodies.recordings(vectors)))
 
 
 def op4_simhash_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
