@@ -73,8 +73,23 @@ def test_links_with_and_without_second_cut(spark):
 def test_keep_one(documents, edge_docs):
     kept = sorted(r.doc_id for r in simhash.keep_one(documents).collect())
     assert kept == sorted({c for *_, c in _expected(documents.collect())})
-    assert simhash.keep_one(edge_docs).filter("doc_id is null").count() == 1 and simhash.keep_one(edge_docs).columns == edge_docs.columns
-    assert sorted(r.doc_id for r in simhash.keep_one(edge_docs).filter("doc_id is not null").collect()) == sorted({c for *_, c in _expected(edge_docs.collect()) if c is not None})
+    got = simhash.keep_one(edge_docs)
+    assert got.columns == edge_docs.columns
+    # a component of null ids only keeps a row as well
+    assert sorted((r.doc_id for r in got.collect()), key=str) == sorted({c for *_, c in _expected(edge_docs.collect())}, key=str)
+
+
+def test_keep_one_keeps_rows(spark):
+    """A unique text stays though its id is repeated, and of equal rows one stays."""
+    text, other = "one two three four five", "six seven eight nine ten"
+    rows = [(3, text), (5, text), (5, other)]
+    for order in ([*rows], rows[::-1]):
+        docs = spark.createDataFrame([*order, order[0]], "doc_id long, text string").coalesce(1)
+        assert sorted(map(tuple, simhash.keep_one(docs).collect())) == [(3, text), (5, other)]
+    docs = spark.createDataFrame([(None, text), (None, text), (None, other), (4, other), (None, None), (None, "")], "doc_id long, text string")
+    assert sorted(map(str, map(tuple, simhash.keep_one(docs).select("doc_id").collect()))) == ["(4,)", "(None,)", "(None,)"]
+    many = spark.range(3000).selectExpr("7L AS doc_id", "'same words in every row' AS text").unionByName(docs)
+    assert simhash.keep_one(many, split_over=2).count() == 4
 
 
 def test_components(spark):

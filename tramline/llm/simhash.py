@@ -13,7 +13,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tramline.llm.common import stored
 from tramline.llm.components import components
@@ -46,13 +45,15 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         prints = [fingerprint(t.as_py()) for t in batch.column("text")]
         signed = pa.array([p - (1 << 64) if p >> 63 else p for p in prints], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), signed], ["doc_id", "fp"])
+        names = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], signed], [*names, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each whole text as a signed long; a null text has no words."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, f"doc_id {kind}, fp long")
+def fingerprints(docs: DataFrame, *carry: Column) -> DataFrame:
+    """(doc_id, carried columns, fp): the fingerprint of each whole text as a signed long; a null text has no words."""
+    rows = docs.select("doc_id", *carry, F.col("text").cast("string").alias("text"))
+    out = rows.drop("text").withColumn("fp", F.lit(0).cast("long")).schema
+    return rows.mapInArrow(_fingerprints, out)
 
 
 def _low(value: Column, shift: int, width: int) -> Column:
@@ -78,9 +79,10 @@ def _first_shared(key: Column, differs: tuple[Column, Column]) -> Column:
 
 def links(prints: DataFrame, split_over: int = SPLIT_OVER) -> DataFrame:
     """(u, v): each pair u < v of the distinct values of prints.fp that differ in at most three bits, once."""
-    keyed = prints.select("fp", F.explode(_variants(F.col("fp"), (0, 32), 32)).alias("key")).repartition("key")
-    keyed = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
-    keyed = stored(keyed, "simhash-index")  # few keys are shared, so this is much smaller than the index
+    keyed = prints.select("fp", F.explode(_variants(F.col("fp"), (0, 32), 32)).alias("key"))
+    # counted before the shuffle and joined back, where AQE splits a hot key
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    keyed = stored(keyed.join(shared, "key"), "simhash-index")  # few keys are shared, so this is much smaller than the index
 
     def pairs(index: DataFrame, on: list[str], extra) -> DataFrame:
         a, b = index.alias("a"), index.alias("b")
@@ -102,6 +104,13 @@ def links(prints: DataFrame, split_over: int = SPLIT_OVER) -> DataFrame:
     return cold.unionByName(pairs(hot, ["key", "sub"], once))
 
 
+def _components(rows: DataFrame, split_over: int) -> DataFrame:
+    """(fp, component) of each distinct fingerprint; component is a fingerprint that stands for all it reaches."""
+    prints = rows.select("fp").distinct()
+    reached = components(links(prints, split_over))
+    return prints.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, split_over: int = SPLIT_OVER) -> DataFrame:
     """(doc_id, fp, component_id) for every row: component_id is the smallest doc_id reachable over links.
 
@@ -110,20 +119,23 @@ def near_duplicates(docs: DataFrame, split_over: int = SPLIT_OVER) -> DataFrame:
     gives no rows. Columns other than doc_id and text are ignored.
     """
     rows = stored(fingerprints(docs), "simhash-rows")
-    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    reached = components(links(prints.select("fp"), split_over))
-    prints = prints.join(reached.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    prints = _components(rows, split_over).join(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "fp")
     ids = prints.groupBy("component").agg(F.min("least_id").alias("component_id"))
     # one row for each fingerprint; the documents join it on their fingerprint, where AQE splits a hot one
     return rows.join(prints.join(ids, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, one of each component: that with the smallest doc_id (of repeated ids, any one of equal rows).
+def keep_one(docs: DataFrame, split_over: int = SPLIT_OVER) -> DataFrame:
+    """The rows of docs, one of each component: that of the smallest doc_id, of repeated ids that of the smallest hash.
 
-    Rows without an id cannot be named by a component and all stay.
+    Of rows with equal id and text (null counts as empty) any one is kept. A row without an id is kept only where its component has no id.
     """
-    kept = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    # the join and the removal of repeated ids share one shuffle by doc_id
-    rows = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.filter("doc_id IS NULL"))
+    hashed = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("hash")
+    # a row is named by its id, or the least long for none, and the hash of its text
+    name = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("name")
+    rows = stored(fingerprints(docs, hashed), "simhash-rows")
+    kept = rows.join(_components(rows, split_over), "fp").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), name, "hash")).alias("least"))
+    kept = kept.select("least.name", "least.hash")
+    # repeated rows are combined before the shuffle that the join shares
+    whole = docs.select(name, hashed, F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("whole")).groupBy("name", "hash").agg(F.first("whole").alias("whole"))
+    return whole.join(kept, ["name", "hash"]).select("whole.*")
