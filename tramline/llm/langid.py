@@ -1,11 +1,12 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Texts are lower-cased letters with one space for anything between. Each language has a model of ORDER characters:
-discounted counts at the highest order, continuation counts below. N-grams are packed into 64-bit keys of 12 bits a
+discounted counts at the highest order, continuation counts below. N-grams are packed into 64-bit keys of 16 bits a
 character and kept in sorted arrays, with one column of log probabilities for each language, resolved through their
-backoffs. No n-gram is left out: a model too large to be broadcast is computed by groupings and joins over all of them and
-its arrays are mapped from files, with the same results. A text goes to the language of least cross-entropy a character; one whose cross-entropy lies over a high
-quantile of that language's training texts is marked as rejected.
+backoffs. No n-gram is left out: a model too large to be broadcast is computed by groupings and joins over all of them
+and its arrays are mapped from files, with the same results. A text goes to the language of least cross-entropy a
+character; one whose cross-entropy lies over a high quantile of that language's calibration texts, which were not
+counted, is marked as rejected.
 """
 
 from __future__ import annotations
@@ -22,12 +23,11 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tramline.llm.common import batches_of, cut
 
 ORDER = 4
-BITS = 12
+BITS = 16
 SPACE = 32
 #: Cells of a model that is built on the driver and broadcast; a larger one is built by joins and mapped from files.
 MOST_CELLS = 16_000_000
@@ -36,31 +36,32 @@ PIECE = 500_000
 #: Characters that are handled at once, and distinct n-grams that a counting task holds before it merges them.
 CHUNK_CHARS = 1_000_000
 MERGE_OVER = 4_000_000
-#: Training texts that calibrate rejection, the quantile, and the characters after which a score is no surer.
-MOST_CALIBRATION = 4_000
+#: Texts of a language that calibrate rejection and are not counted: so many at most and this share at most, of languages
+#: with at least so many texts; the quantile, and the characters after which a score is no surer.
+MOST_CALIBRATION, CALIBRATION_SHARE, LEAST_TEXTS = 1_000, 0.1, 50
 REJECT_QUANTILE = 0.995
 SURE_CHARS = 60
 
 
 @lru_cache(1)
 def _table() -> np.ndarray:
-    """Code of each character below 4096: its lower case if a letter, else a space."""
+    """Code of each character below 65536: its lower case if a letter, else a space."""
     out = np.full(1 << BITS, SPACE, np.uint64)
     for c in range(1 << BITS):
         if chr(c).isalpha():
             low = chr(c).lower()
-            out[c] = ord(low) if len(low) == 1 and ord(low) < 1 << BITS else c
+            out[c] = ord(low) if len(low) == 1 else c
     return out
 
 
 def codes(text: str) -> np.ndarray:
-    """Codes of a text after ORDER - 1 spaces; letters from 4096 on are folded into the upper half of the codes."""
+    """Codes of a text after ORDER - 1 spaces; the few letters from 65536 on share the codes of the private use area."""
     points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     high = points >= 1 << BITS
     out = _table()[np.where(high, SPACE, points)]
     if high.any():
         distinct, back = np.unique(points[high], return_inverse=True)
-        fold = np.array([2048 + ord(c[0]) % 2039 if (c := chr(p).lower()).isalpha() else SPACE for p in distinct.tolist()], np.uint64)
+        fold = np.array([0xE000 + ord(c[0]) % 6400 if (c := chr(p).lower()).isalpha() else SPACE for p in distinct.tolist()], np.uint64)
         out[high] = fold[back]
     pad = np.full(ORDER - 1, SPACE, np.uint64)
     space = out == SPACE
@@ -244,7 +245,7 @@ def levels_of(counts: DataFrame, alphabet: int) -> DataFrame:
         once, twice = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
         discount = F.when(once == 0, 0.5).otherwise(F.least(F.lit(0.95), F.greatest(F.lit(0.1), once / F.greatest(once + 2 * twice, F.lit(1)))))
         discounts = levels[order].groupBy("lang").agg(discount.alias("discount"))
-        rows = levels[order].join(F.broadcast(discounts), "lang").withColumn("context", F.shiftright("gram", BITS))
+        rows = levels[order].join(F.broadcast(discounts), "lang").withColumn("context", F.shiftrightunsigned("gram", BITS))
         contexts = rows.groupBy("lang", "context").agg((F.first("discount") * F.count("*") / F.sum("n")).alias("gamma"), F.sum("n").alias("total"))
         rows = rows.join(contexts, ["lang", "context"])
         if lower is None:
@@ -316,7 +317,9 @@ class MappedModel(Model):
 def build_mapped(counts: DataFrame, languages: list[str]) -> MappedModel:
     """The model of all counts; its arrays pass the driver piece by piece into files, which Spark sends to the executors."""
     alphabet = 1 + counts.select(F.col("gram").bitwiseAND(F.lit((1 << BITS) - 1))).distinct().count()
-    rows = levels_of(counts, alphabet).repartitionByRange("lang", "level", "gram").sortWithinPartitions("lang", "level", "gram")
+    # keys are unsigned: those of the upper half, which are negative longs, come last
+    order = ("lang", "level", F.col("gram") < 0, "gram")
+    rows = levels_of(counts, alphabet).repartitionByRange(*order).sortWithinPartitions(*order)
     tag, folder = uuid.uuid4().hex, tempfile.mkdtemp(prefix="langid-")
     names, places, end = (f"keys-{tag}", f"levels-{tag}"), {}, 0
     pieces = cut(rows.mapInArrow(_pieces, "lang string, level int, keys binary, levels binary"))
@@ -331,27 +334,20 @@ def build_mapped(counts: DataFrame, languages: list[str]) -> MappedModel:
     return MappedModel(languages, 1.0 / alphabet, {}, {}, [float("inf")] * len(languages), names, places)
 
 
-def train(docs: DataFrame, *, may_learn=None, most_grams: int | None = None) -> Model:
-    """Counts n-grams of all rows of docs(doc_id, text, lang) that may_learn admits and calibrates rejection.
+def train(docs: DataFrame, *, may_learn=None) -> Model:
+    """Counts n-grams of the rows of docs(doc_id, text, lang) that may_learn admits and calibrates rejection.
 
-    Rows with a null text or lang teach nothing. All n-grams are kept, unless a caller asks for a smaller model by
-    most_grams: then a language keeps that many of its most frequent ones, without those that tie at the bound.
+    Rows with a null text or lang teach nothing. All n-grams are kept. A bounded draw of each language's texts is not
+    counted and calibrates; a language of few texts is counted whole and rejects nothing.
     """
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
     rows = rows if may_learn is None else rows.filter(may_learn)
-    counts = cut(gram_counts(rows))
+    texts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    shares = [(x, min(CALIBRATION_SHARE, MOST_CALIBRATION / n) if n >= LEAST_TEXTS else 0.0) for x, n in sorted(texts.items())]
+    draw = F.pmod(F.xxhash64("doc_id", F.crc32("text"), F.lit("calibration")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share double")), "lang").withColumn("aside", draw < F.col("share"))
+    counts = cut(gram_counts(rows.filter("NOT aside")))
     sizes = {r[0]: r[1] for r in counts.groupBy("lang").count().collect()}
-    large = [x for x, n in sizes.items() if most_grams is not None and n > most_grams]
-    if large:
-        # the count below which a language's n-grams fall out comes from its histogram of counts
-        steps = counts.filter(F.col("lang").isin(large)).groupBy("lang", "n").agg(F.count("*").alias("many"))
-        above = F.sum("many").over(Window.partitionBy("lang").orderBy(F.desc("n")))
-        least = {r[0]: r[1] for r in steps.withColumn("above", above).filter(F.col("above") <= most_grams).groupBy("lang").agg(F.min("n")).collect()}
-        keep = F.lit(True)
-        for x in large:
-            keep = keep & ((F.col("lang") != x) | (F.col("n") >= F.lit(least.get(x, 1 << 62))))
-        counts = cut(counts.filter(keep))
-        sizes = {r[0]: r[1] for r in counts.groupBy("lang").count().collect()}
     if sum(sizes.values()) * len(sizes) > MOST_CELLS:
         model = build_mapped(counts, sorted(sizes))
     else:
@@ -364,11 +360,11 @@ def train(docs: DataFrame, *, may_learn=None, most_grams: int | None = None) ->
             order = np.argsort(keys)
             by[x] = (keys[order], n[own][order])
         model = build(by)
-    if model.languages:
-        total = rows.count()
-        draw = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        some = rows.filter(draw < MOST_CALIBRATION / max(1, total))
-        bounds = predicted(some, model).filter("lang_pred = lang").groupBy("lang").agg(F.expr(f"percentile_approx(cross_entropy, {REJECT_QUANTILE})")).collect()
+    if any(share for _, share in shares):
+        some = predicted(rows.filter("aside").select("text", "lang"), model).filter("lang_pred = lang")
+        # the quantile of few texts is widened by what it may be off
+        off = F.coalesce(F.stddev_pop("cross_entropy"), F.lit(0.0)) * 3 / F.sqrt(F.count("*"))
+        bounds = some.groupBy("lang").agg(F.expr(f"percentile_approx(cross_entropy, {REJECT_QUANTILE})") + off).collect()
         limits = {r[0]: r[1] for r in bounds}
         model.limits = [limits.get(x, float("inf")) for x in model.languages]
     return model
