@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -16,12 +17,34 @@ def test_held_out_accuracy(spark):
     assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in rows)
     right = {q: np.mean([(r.score >= 0.5) == (q == 1) for r in rows if r.quality == q]) for q in (0, 1)}
     assert right[1] > 0.99 and right[0] > 0.9
+    share = labels.filter(learn).selectExpr("avg(quality)").first()[0]
+    assert abs(model.prior - share) < 0.05  # the prior is estimated without the labels of 0
+    assert np.allclose(quality.train(docs, labels.filter("quality = 1"), may_learn=learn).weight, model.weight)
     # labels of held-out rows change nothing
     flipped = labels.selectExpr("doc_id", f"CASE WHEN crc32(CAST(doc_id AS STRING)) % 3 = 1 THEN 1 - quality ELSE quality END AS quality")
     again = quality.train(docs, flipped, may_learn=learn)
     assert np.allclose(again.weight, model.weight) and again.bias == model.bias
 
 
+def test_risk_and_gradient_match_brute_force():
+    rng = np.random.default_rng(4)
+    p, u, w, b, prior = rng.normal(0.5, 1, (7, 5)), rng.normal(-0.5, 1, (11, 5)), rng.normal(0, 1, 5), 0.3, 0.4
+
+    def brute(w, b):
+        score = lambda x: 1 / (1 + math.exp(-(sum(a * c for a, c in zip(x, w)) + b)))
+        over_p = sum(1 - score(x) for x in p) / len(p)
+        return prior * over_p, sum(score(x) for x in u) / len(u) - prior * sum(score(x) for x in p) / len(p)
+
+    first, second, of_first, of_second = quality.risk(p, u, w, b, prior)
+    assert np.allclose((first, second), brute(w, b))
+    for k in range(6):
+        step = np.eye(6)[k] * 1e-6
+        up, down = brute(w + step[:5], b + step[5]), brute(w - step[:5], b - step[5])
+        assert np.allclose((of_first[k], of_second[k]), [(x - y) / 2e-6 for x, y in zip(up, down)], atol=1e-6)
+    # the step where the bracket is negative climbs it
+    assert quality.risk(p, u - 9, w * 0 + 1, b, 0.9)[1] < 0
+
+
 def test_prior_is_estimated_and_risk_stays_non_negative():
     rng = np.random.default_rng(1)
     make = lambda n, sign: np.c_[rng.normal(sign * 1.6, 1, n), rng.normal(0, 1, (n, quality.N_FEATURES - 1))].astype(np.float32)

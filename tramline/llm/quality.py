@@ -2,10 +2,10 @@
 
 Trusted positives and unlabelled texts train a linear model on the non-negative unbiased risk
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))
-of the sigmoid loss, where the class prior is estimated. When the bracket falls below zero a step is taken on its
+of the sigmoid loss. Unlabelled texts are a draw of all texts, whatever their label, and the class prior is estimated
+from how far the scores of both sets reach; labels of 0 are not used. When the bracket falls below zero a step is taken on its
 negative alone, which keeps the model from fitting the unlabelled sample as negatives. The weights of the later half of
-the steps are averaged. Features are shares of bytes and of word repetitions,
-read from the whole text.
+the steps are averaged. Features are shares of bytes and of word repetitions, read from the whole text.
 """
 
 from __future__ import annotations
@@ -75,6 +75,17 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(min(tails), 0.01, 0.99))
 
 
+def risk(p: np.ndarray, u: np.ndarray, w: np.ndarray, b: float, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Risk of positives, risk of negatives (the bracket, before it is cut at zero), and the gradients of both by (w, b).
+
+    The sigmoid loss of a positive is 1 less its score, that of a negative its score.
+    """
+    sp, su = 1 / (1 + np.exp(-np.clip(p @ w + b, -30, 30))), 1 / (1 + np.exp(-np.clip(u @ w + b, -30, 30)))
+    gp, gu = sp * (1 - sp), su * (1 - su)
+    slope_p, slope_u = np.r_[p.T @ gp, gp.sum()] / len(p), np.r_[u.T @ gu, gu.sum()] / len(u)
+    return prior * (1 - sp).mean(), su.mean() - prior * sp.mean(), -prior * slope_p, slope_u - prior * slope_p
+
+
 def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int, seed: int) -> Model:
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
@@ -85,12 +96,8 @@ def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int,
     size = 2048
     for step in range(1, steps + 1):
         a, c = p[rng.integers(0, len(p), size)], u[rng.integers(0, len(u), size)]
-        sp, su = 1 / (1 + np.exp(-np.clip(a @ w + b, -30, 30))), 1 / (1 + np.exp(-np.clip(c @ w + b, -30, 30)))
-        negative = su.mean() - prior * sp.mean()
-        # the loss of a negative is its score s, that of a positive 1 - s; both slope with s * (1 - s)
-        gp, gu = sp * (1 - sp), su * (1 - su)
-        fall = (np.r_[c.T @ gu, gu.sum()] - prior * np.r_[a.T @ gp, gp.sum()]) / size
-        grad = fall - prior * np.r_[a.T @ gp, gp.sum()] / size if negative >= 0 else -fall
+        _, negative, of_positives, of_negatives = risk(a, c, w, b, prior)
+        grad = of_positives + of_negatives if negative >= 0 else -of_negatives
         grad[:-1] += 0.01 * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -122,41 +129,34 @@ def _sorted(rows: np.ndarray) -> np.ndarray:
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [features(t.as_py()).tolist() for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(rows, pa.list_(pa.float32()))], ["positive", "features"])
+        yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("unlabelled"), pa.array(rows, pa.list_(pa.float32()))], ["positive", "unlabelled", "features"])
+
+
+def _draw(tag: str):
+    return F.pmod(F.xxhash64("doc_id", F.lit(tag)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, prior: float | None = None, may_learn=None) -> Model:
     """Learns from labels(doc_id, quality) and the texts of docs; may_learn is a condition on doc_id that both obey.
 
-    Texts labelled 1 are the trusted positives. All other texts are the unlabelled ones; labels of 0 serve the prior
-    alone, as the share of ones among labelled rows, and without any the prior is estimated from scores. Both sets are
-    sampled by a hash of doc_id down to their bounds. Rows without doc_id are left out; repeated labels count once,
-    contradicting ones as 0.
+    Texts labelled 1 are the trusted positives, and a draw of all texts, labelled or not, are the unlabelled ones. Both
+    are sampled by hashes of doc_id down to their bounds. The prior is estimated from scores unless it is given. Rows
+    without doc_id are left out; repeated labels count once, contradicting ones as 0.
     """
     may_learn = F.lit(True) if may_learn is None else may_learn
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).filter(may_learn)
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    n, ones = known.agg(F.count("*"), F.sum("quality")).first()
-    if prior is None and n and ones < n:
-        prior = ones / n
+    trusted = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select("doc_id", F.lit(True).alias("trusted"))
+    ones = trusted.count()
     rows = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull()).filter(may_learn)
     total = rows.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # the draw comes before the join, so that only sampled texts are shuffled
-    chance = max(most_positive / max(1, ones or 0), most_unlabelled / max(1, total))
-    rows = rows.filter(draw < chance).join(known.filter("quality = 1").select("doc_id", F.lit(True).alias("positive")), "doc_id", "left")
-    rows = rows.withColumn("positive", F.coalesce("positive", F.lit(False)))
-    rows = rows.filter(draw < F.when(F.col("positive"), most_positive / max(1, ones or 0)).otherwise(most_unlabelled / max(1, total)))
-    taken = rows.select("text", "positive").mapInArrow(_vectors, "positive boolean, features array<float>").toArrow()
+    # the draws come before the join, so that only sampled texts are shuffled
+    may = _draw("positive") < most_positive / max(1, ones)
+    rows = rows.withColumn("unlabelled", _draw("unlabelled") < most_unlabelled / max(1, total)).filter(F.col("unlabelled") | may)
+    rows = rows.join(trusted, "doc_id", "left").withColumn("positive", may & F.coalesce("trusted", F.lit(False))).filter("positive OR unlabelled")
+    taken = rows.select("text", "positive", "unlabelled").mapInArrow(_vectors, "positive boolean, unlabelled boolean, features array<float>").toArrow()
     every = np.array(taken.column("features").combine_chunks().flatten() if taken.num_rows else [], np.float32).reshape(-1, N_FEATURES)
-    flag = np.array(taken.column("positive").to_pylist(), bool)
-    # the draw also holds positives in their share of all rows: unlabelled is a mixture of both classes
-    positive, rest = _sorted(every[flag]), _sorted(every[~flag])
-    if len(rest) and prior and len(positive):
-        labelled = (ones or 0) / max(1, total)
-        inner = max(0.01, (prior - labelled) / max(1e-9, 1 - labelled))
-        return fit(positive, rest, inner if 0 < inner < 1 else prior)
-    return fit(positive, rest, prior)
+    positive, unlabelled = (_sorted(every[np.array(taken.column(n).to_pylist(), bool)]) for n in ("positive", "unlabelled"))
+    return fit(positive, unlabelled, prior)
 
 
 def _scores(model, text: str, out: str):
