@@ -3,8 +3,10 @@
 Every row gets a 52-bit range key: the CRC-32 of its text (equal texts stay neighbours), then 20 hash bits of its
 id. A bounded size-weighted sample of keys gives quantile splitters, rows are range-partitioned by them, and a range
 over twice its fair size is cut again, so neither a hot group of copies nor a badly drawn sample makes one large task.
-Running sums inside the ranges plus the sums of the ranges before give each row its exact place in key order, and the
-shard is where the middle of the row falls among n equal lengths: no shard is off by more than its two border rows.
+A range of one key only, which repeated rows or null ids make, is cut by a number that each row draws when the rows are
+written. Running sums inside the ranges plus the sums of the ranges before give each row its exact place in key order,
+and the shard is where the middle of the row falls among n equal lengths, a function of that running sum alone: no shard
+is off by more than its two border rows, wherever the splitters fell.
 """
 
 from __future__ import annotations
@@ -49,12 +51,13 @@ def shard(docs: DataFrame, n_shards: int = 40, *, carry: tuple[str, ...] = ()) -
     """
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
-    if clash := set(carry) & {"doc_id", "size", "text_crc32", "range_key", "law", "shard", "slot", "grown_shard", "part", "piece"}:
+    if clash := set(carry) & {"doc_id", "size", "text_crc32", "range_key", "law", "shard", "slot", "grown_shard", "part", "piece", "drawn"}:
         raise ValueError(f"these columns cannot be carried: {sorted(clash)}")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).alias("text_crc32"), *carry)
     sub = F.pmod(F.xxhash64("doc_id"), F.lit(1 << SUB_BITS))
-    rows = stored(rows.withColumn("range_key", F.col("text_crc32") * F.lit(1 << SUB_BITS) + sub), "shard-rows")
+    rows = rows.withColumn("range_key", F.col("text_crc32") * F.lit(1 << SUB_BITS) + sub).withColumn("drawn", F.xxhash64(F.monotonically_increasing_id()))
+    rows = stored(rows, "shard-rows")
     total = rows.agg(F.sum("size")).first()[0] or 1
 
     rows = rows.withColumn("part", _range_of(F.col("range_key"), _splitters(rows, total, n_shards)))
@@ -63,7 +66,9 @@ def shard(docs: DataFrame, n_shards: int = 40, *, carry: tuple[str, ...] = ()) -
     fair = max(1, total // (n_shards * RANGES_PER_SHARD))
     cuts = F.when(F.col("part_size") > 2 * fair, F.ceil(F.col("part_size") / fair)).otherwise(F.lit(1))
     rows = rows.join(F.broadcast(parts.select("part", "low", "high", cuts.alias("cuts"))), "part")
-    rows = rows.withColumn("piece", F.expr("(range_key - low) * cuts div (high - low + 1)")).drop("low", "high", "cuts")
+    along = F.floor((F.col("range_key") - F.col("low")) / (F.col("high") - F.col("low") + 1) * F.col("cuts"))
+    piece = F.when(F.col("low") == F.col("high"), F.pmod("drawn", "cuts")).otherwise(F.least(along, F.col("cuts") - 1))
+    rows = rows.withColumn("piece", piece).drop("low", "high", "cuts", "drawn")
 
     # at most one row for each range and cut: three times the ranges
     pieces = rows.groupBy("part", "piece").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
