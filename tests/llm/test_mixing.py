@@ -84,3 +84,16 @@ def test_rows_follow_the_given_weights(spark, monkeypatch):
 def test_many_sources(spark):
     docs = spark.range(900).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), F.expr("'s' || id % 300").alias("source"))
     assert sorted(r.position for r in mixing.mix(docs).collect()) == list(range(900))
+
+
+def test_repeated_and_null_ids(spark, monkeypatch):
+    """A hot group of one id, or of none, is cut into several windows and keeps gapless positions."""
+    monkeypatch.setattr(mixing, "WINDOW_ROWS", 32)
+    docs = spark.range(6000).select(F.expr("CASE WHEN id % 3 = 0 THEN 5L WHEN id % 3 = 1 THEN NULL ELSE id END").alias("doc_id"), F.lit("t").alias("text"), F.expr("IF(id < 5000, 'hot', 'b')").alias("source"))
+    rows = mixing.mix(docs).collect()
+    assert sorted(r.position for r in rows) == list(range(6000))
+    assert collections.Counter((r.doc_id, r.source) for r in rows) == collections.Counter((r.doc_id, r.source) for r in docs.collect())
+    ordered = sorted(rows, key=lambda r: r.position)
+    assert [r.slot for r in ordered] == sorted(r.slot for r in rows)
+    sizes = collections.Counter((r.slot, r.source, r.block) for r in rows)
+    assert max(sizes.values()) == mixing.BLOCK_ROWS and len({s for s, *_ in sizes}) == len(sizes)

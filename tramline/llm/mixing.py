@@ -30,6 +30,8 @@ STRETCH = 200_000
 #: Rows that one window sorts, on average, and the most windows of a source.
 WINDOW_ROWS = 1024
 MOST_WINDOWS = 100_000
+#: A window of so many times the average is cut again: rows that repeat an id, or have none, fall into one.
+HOT = 16
 
 
 def whole_weights(weights: Mapping[str, float], period: int) -> dict[str, int]:
@@ -110,10 +112,11 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, *, alpha: f
     weights maps sources to positive target weights and must name each source of the table (a null source is "\\0");
     without it a source weighs its row count to the power alpha. A period rounds the weights to so many slots, after
     which the schedule repeats; without one they hold exactly. Inside a source the order is a seeded hash of doc_id,
-    then doc_id and text; equal rows follow each other. Null ids and texts are ordered first, nothing is dropped, an
-    empty table gives no rows, and other columns are ignored.
+    then doc_id and text; equal rows follow each other, unless one id repeats so often that its rows are cut into pieces
+    by a draw. Null ids and texts are ordered first, nothing is dropped, an empty table gives no rows, and other columns
+    are ignored.
     """
-    if clash := set(carry) & {"doc_id", "source", "block", "slot", "position", "bucket", "draw", "crc", "from", "windows", "nth", "before", "run", "place"}:
+    if clash := set(carry) & {"doc_id", "source", "block", "slot", "position", "bucket", "piece", "pieces", "draw", "crc", "from", "windows", "nth", "before", "run", "place"}:
         raise ValueError(f"these columns cannot be carried: {sorted(clash)}")
     rows = docs.select("doc_id", "source", F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("from"), F.xxhash64("doc_id", F.lit(seed)).alias("draw"), F.crc32(F.coalesce("text", F.lit(""))).alias("crc"), *carry)
     spark = docs.sparkSession
@@ -125,23 +128,38 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, *, alpha: f
     places = _placed(spark, dealt(sizes, weights, block_rows, period))
 
     # a source is cut into windows by its own size, so those of a hot one hold no more rows than others
-    windows = spark.createDataFrame([(s, min(MOST_WINDOWS, max(1, n // WINDOW_ROWS))) for s, n in sorted(sizes.items())], "from string, windows int")
+    cuts = {s: min(MOST_WINDOWS, max(1, n // WINDOW_ROWS)) for s, n in sizes.items()}
+    windows = spark.createDataFrame(sorted(cuts.items()), "from string, windows int")
+    usual = spark.createDataFrame([(s, max(WINDOW_ROWS, sizes[s] // n)) for s, n in sorted(cuts.items())], "from string, usual long")
     rows = rows.join(F.broadcast(windows), "from").withColumn("bucket", F.pmod("draw", "windows")).drop("windows")
-    counts = rows.groupBy("from", "bucket").count()
-    before = Window.partitionBy("from").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("from", "bucket", "count", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    sizes_of = rows.groupBy("from", "bucket").count()
+    hot = sizes_of.join(F.broadcast(usual), "from").filter(F.col("count") > F.col("usual") * HOT).select("from", "bucket", F.ceil(F.col("count") / F.col("usual")).alias("pieces"))
+    # there is at most one for each HOT times WINDOW_ROWS rows
+    hot = spark.createDataFrame(hot.toArrow()) if not hot.isEmpty() else None
+    rows = rows.withColumn("piece", F.lit(0).cast("long"))
+    if hot is not None:
+        drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("pieces", F.lit(1)))
+        # written, so that each row draws once
+        rows = stored(rows.join(F.broadcast(hot), ["from", "bucket"], "left").withColumn("piece", drawn).drop("pieces"), "mix-drawn")
+    key = ["from", "bucket", "piece"]
+    counts = rows.groupBy(*key).count()
+    before = Window.partitionBy("from").orderBy("bucket", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*key, "count", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     # each window gets the places of its own run of blocks, so rows are not shuffled again to find theirs
-    runs = counts.select("from", "bucket", "before", F.explode(F.expr(f"sequence(before div {block_rows}, (before + count - 1) div {block_rows})")).alias("block"))
-    runs = runs.join(places, ["from", "block"]).groupBy("from", "bucket", "before").agg(F.sort_array(F.collect_list(F.struct("block", "slot", "start"))).alias("run"))
-    inside = Window.partitionBy("from", "bucket").orderBy("draw", "doc_id", "crc")
-    rows = rows.withColumn("nth", F.row_number().over(inside)).join(runs, ["from", "bucket"])
+    runs = counts.select(*key, "before", F.explode(F.expr(f"sequence(before div {block_rows}, (before + count - 1) div {block_rows})")).alias("block"))
+    runs = runs.join(places, ["from", "block"]).groupBy(*key, "before").agg(F.sort_array(F.collect_list(F.struct("block", "slot", "start"))).alias("run"))
+    inside = Window.partitionBy(*key).orderBy("draw", "doc_id", "crc")
+    rows = rows.withColumn("nth", F.row_number().over(inside)).join(runs, key)
     rows = rows.withColumn("nth", F.col("before") + F.col("nth") - 1).withColumn("block", F.expr(f"nth div {block_rows}"))
     rows = rows.withColumn("place", F.expr(f"element_at(run, cast(block - before div {block_rows} + 1 as int))"))
     return rows.select("doc_id", "source", "block", "place.slot", (F.col("place.start") + F.pmod("nth", F.lit(block_rows))).alias("position"), *carry)
 
 
 def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, **options) -> DataFrame:
-    """The rows and columns of docs in the order of the mix: partitions and rows follow position."""
+    """The rows and columns of docs in the order of the mix: partitions and rows follow position.
+
+    Nulls, ties and repeated rows are placed as by mix; every row stays, an empty table gives none.
+    """
     names = docs.columns
     # the carried row keeps columns of any name apart from those of the mix
     rows = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{n}`") for n in names]).alias("whole"))
