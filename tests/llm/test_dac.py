@@ -70,3 +70,15 @@ def test_random_access_and_order(spark, documents, tmp_path):
         codes = dac.Codes(bytes(s.payload))
         every = codes.all()
         assert all(codes[i] == every[i] for i in range(0, len(codes), 997))
+
+
+def test_many_rows_of_one_id(spark, tmp_path):
+    docs = spark.range(3000).select(F.expr("IF(id % 3 = 0, id, IF(id % 3 = 1, NULL, 4L))").alias("doc_id"), F.expr("'w' || id % 2").alias("text"))
+    path = str(tmp_path / "t")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dac.write_tokens(docs, path, PATH)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [tuple(r) for r in dac.read_documents(spark, path).orderBy("start").collect()] == _expected(docs.collect(), _by_id)
+    assert dac.segments(spark, path).filter("array_contains(doc_ids, 4)").count() > 1

@@ -270,7 +270,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, order: tuple[Col
     order = order or (F.col("doc_id"),)
     keys = [f"order_{n}" for n in range(len(order))]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c.alias(k) for c, k in zip(order, keys)])
-    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, F.crc32(F.coalesce("text", F.lit("")))).select("doc_id", "text")
+    # rows that share all keys, as those without an id do, are told apart by their text and then by a draw
+    rows = rows.withColumn("crc", F.crc32(F.coalesce("text", F.lit("")))).withColumn("drawn", F.xxhash64(F.monotonically_increasing_id()))
+    rows = rows.repartitionByRange(*keys, "crc", "drawn").sortWithinPartitions(*keys, "crc").select("doc_id", "text")
     kinds = "part int, seq int, before long, n_tokens long, doc_ids array<long>, counts array<long>, payload binary"
     rows.mapInArrow(_writer(tokenizer, end_id, level_bits, segment), kinds).write.option("compression", "none").parquet(path)
 
