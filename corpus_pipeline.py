@@ -35,7 +35,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token file in the order in which docs are stored, and reads it back."""
+    """Writes the token file in the order in which docs are stored, and reads it back.
+
+    docs must be read from files, as they are between stages: their order is that of files and rows. Nulls and repeated
+    rows are encoded where they stand; a null text has the end id alone.
+    """
     import public_tokenizers
 
     path = new_path(spark, "tokens")
