@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,7 +75,21 @@ def test_details(spark):
 def test_aliases(spark):
     items = spark.createDataFrame([(1, "The Great One returns"), (2, "one"), (3, "")], "id long, title string")
     names = spark.createDataFrame([("great one", "A"), ("One", "B"), ("zero", "C"), ("", "D")], "name string, alias string")
-    assert sorted(map(tuple, aliases.alias_hits(items, "id", "title", names).collect())) == [(1, "A"), (1, "B"), (2, "B")]
+    hits = lambda t, n: sorted(map(tuple, aliases.alias_hits(t, "title", n).collect()))
+    whole = "The Great One returns"
+    # "one" lies in "great one" too
+    assert hits(items, names) == [(whole, "A"), (whole, "B"), ("one", "A"), ("one", "B")]
+    rng = random.Random(3)
+    texts = lambda n, most: [" ".join(rng.choices(["ab", "abc", "b", "Дом", "домик", "é", "xyz", "ab-c"], k=rng.randint(0, most))) for _ in range(n)]
+    asked, known = texts(60, 4), texts(25, 3)
+    plain = lambda t: " ".join(re.findall("[a-zа-я]+", t.lower().replace("é", "e")))
+
+    def hit(t, e):
+        a, b = set(t.split()), set(e.split())
+        return bool(t and e) and (e in t or t in e or b <= a or (len(b) >= 2 and len(a & b) >= max(2, len(b) - 1)))
+
+    want = sorted({(t, n) for t in asked for n, e in enumerate(known) if hit(plain(t), plain(e))})
+    assert hits(spark.createDataFrame([(t,) for t in asked], "title string"), spark.createDataFrame(list(enumerate(known)), "alias long, name string")) == want and len(want) > 100
     for query, want in (("NCIS", "acronym"), ("The Long Night of Steel Rivers", "long_latin"), ("Dark", "short_common"), ("Совсем другая длинная история", "plain")):
         assert one(spark, aliases.query_class(F.lit(query))) == want
     plan = spark.createDataFrame([(1, ["a", "b", "a"], "tv", 2000), (2, ["x"], "other", None)], "id long, q array<string>, m string, y int")

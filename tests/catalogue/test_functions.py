@@ -78,5 +78,16 @@ def test_titles(spark):
     assert titles.split_segments("A / B (x/y) / [1/2] C /") == ["A", "B (x/y)", "[1/2] C"]
     got = one(spark, titles.parse_title(F.lit("Местный / Original / 2026 / 1 сезон: 1-7 серии из 10 / ДБ, ПМ (Studio) / WEBRip (1080p)")))
     assert (got.title_ru, got.title_en, got.year, got.progress, got.audio, got.release_type) == ("Местный", "Original", 2026, "1 сезон: 1-7 серии из 10", ["ДБ", "ПМ (Studio)"], "WEBRip (1080p)")
-    assert titles.normalize("<b>Ёлки</b> — Café № 5") == "елки cafe o 5"  # the sign spells a capital, which is no longer folded
+    assert titles.ratio("Hello", "hello") == 1.0 and titles.ratio(None, None) == titles.ratio("", "abc") == 0.0 and 0.5 < titles.ratio("Breaking Bad", "Breaking") < 1
     assert titles.ratio("abc", "abc") == 1.0 and titles.ratio("", "a") == 0.0
+
+
+def test_tokens(spark):
+    one = lambda column: spark.range(1).select(column.alias("x")).first().x
+    norm = lambda t: one(text.normalized(F.lit(t)))
+    assert norm("  Hello   World  ") == "hello world" and norm("<b>Test</b> &amp; More") == "test more" and norm("Привет мир") == "привет мир" and norm(None) == ""
+    assert norm("İstanbul Şehir") == "istanbul sehir" and norm("Ærø Œuvre ﬁn Ёлки йод Ⅻ") == "aer oeuvre fin елки иод xii"
+    own = lambda t: one(text.tokens(F.lit(t)))
+    assert own("The Lord of the Rings") == ["lord", "rings"] and own("") == own(None) == [] and own("The of") == ["of", "the"] and own("В доме и на улице") == ["доме", "улице"]
+    overlap = lambda a, b: one(text.token_overlap(text.tokens(F.lit(a)), text.tokens(F.lit(b))))
+    assert overlap("Красный дом", "Дом красный") == 1.0 and overlap("the house of cards", "house cards") == 1.0 and overlap("Alpha Beta", "Gamma Delta") == 0.0 and overlap("Breaking Bad", "Breaking Good") == 0.5

@@ -36,14 +36,14 @@ def test_rule_cascade(spark):
     rs = "rule_id long, user_id long, is_enabled int, preset_key string, media_type string, year_from int, year_to int, min_rating double, bucket_filter string, formats array<string>, genre_ids array<int>, countries array<string>, excluded array<string>, include array<string>, exclude array<string>"
     its = "item_id long, media_type string, years array<int>, video_format string, rating double, bucket string, genres array<int>, countries array<string>, haystack string, tech string, ignored boolean"
     cases = [
-        ({}, {}, "passed"), ({}, {"ignored": True}, "globally_ignored"), ({"is_enabled": 0}, {}, "disabled"), ({}, {"media_type": "other"}, "media_other_mismatch"), ({"media_type": "movie"}, {}, "media_mismatch"),
-        ({"media_type": "other"}, {}, "media_mismatch"), ({"year_from": 2000}, {"years": []}, "year_missing"), ({"year_from": 2021}, {}, "year_mismatch"), ({"year_from": 2000, "year_to": 2019}, {"years": [1999, 2018]}, "passed"),
-        ({"formats": ["1080"]}, {}, "format_mismatch"), ({"min_rating": 5.0}, {"rating": None}, "rating_missing"), ({"min_rating": 8.0}, {}, "rating_mismatch"), ({"bucket_filter": "only_dorama"}, {}, "bucket_mismatch"),
-        ({"bucket_filter": "exclude_anime_dorama"}, {}, "bucket_excluded"), ({"genre_ids": [18]}, {}, "genre_mismatch"), ({"countries": ["US"]}, {"countries": []}, "country_missing"), ({"countries": ["US"]}, {}, "country_mismatch"),
-        ({"excluded": ["JP"]}, {}, "excluded_country"), ({"include": ["hd", "korea"]}, {}, "passed"), ({"include": ["jap"]}, {}, "include_keyword_mismatch"), ({"exclude": ["japan"]}, {}, "exclude_keyword"),
-        ({"preset_key": "world", "excluded": ["JP"]}, {"bucket": "regular", "countries": ["JP", "US"]}, "passed"), ({"preset_key": "world", "excluded": ["JP"]}, {"bucket": "regular"}, "excluded_country"),
-        ({"preset_key": "world", "excluded": ["JP"]}, {"countries": ["JP", "US"]}, "excluded_country"), ({"excluded": ["JP"]}, {"bucket": "regular", "countries": ["JP", "US"]}, "excluded_country"),
-        ({"include": ["hdr"]}, {}, "include_keyword_mismatch"), ({"include": ["720"], "exclude": ["1080"]}, {}, "passed"), ({"exclude": ["WEB-DL"]}, {}, "exclude_keyword"),
+        ({}, {}, "passed"), ({}, {"ignored": True}, "globally_ignored"), ({"is_enabled": 0}, {}, "disabled"), ({}, {"media_type": "other"}, "media_other_mismatch"), ({"media_type": "movie"}, {}, "media_mismatch:tv"),
+        ({"media_type": "other"}, {}, "media_mismatch:tv"), ({"year_from": 2000}, {"years": []}, "year_missing"), ({"year_from": 2021}, {}, "year_mismatch:[2020]"), ({"year_from": 2000, "year_to": 2019}, {"years": [1999, 2018]}, "passed"),
+        ({"formats": ["1080"]}, {}, "format_mismatch:720"), ({"min_rating": 5.0}, {"rating": None}, "rating_missing"), ({"min_rating": 8.0}, {}, "rating_mismatch:7.0"), ({"bucket_filter": "only_dorama"}, {}, "bucket_mismatch:anime"),
+        ({"bucket_filter": "exclude_anime_dorama"}, {}, "bucket_excluded:anime"), ({"genre_ids": [18]}, {}, "genre_mismatch:[16]"), ({"countries": ["US"]}, {"countries": []}, "country_missing"), ({"countries": ["US"]}, {}, "country_mismatch:['JP']"),
+        ({"excluded": ["JP"]}, {}, "excluded_country:['JP']"), ({"include": ["hd", "korea"]}, {}, "passed"), ({"include": ["jap"]}, {}, "include_keyword_mismatch"), ({"exclude": ["japan"]}, {}, "exclude_keyword:japan"),
+        ({"preset_key": "world", "excluded": ["JP"]}, {"bucket": "regular", "countries": ["JP", "US"]}, "passed"), ({"preset_key": "world", "excluded": ["JP"]}, {"bucket": "regular"}, "excluded_country:['JP']"),
+        ({"preset_key": "world", "excluded": ["JP"]}, {"countries": ["JP", "US"]}, "excluded_country:['JP']"), ({"excluded": ["JP"]}, {"bucket": "regular", "countries": ["JP", "US"]}, "excluded_country:['JP']"),
+        ({"include": ["hdr"]}, {}, "include_keyword_mismatch"), ({"include": ["720"], "exclude": ["1080"]}, {}, "passed"), ({"exclude": ["WEB-DL"]}, {}, "exclude_keyword:WEB-DL"),
     ]
     r = spark.createDataFrame([tuple((base | a | {"rule_id": n}).values()) for n, (a, _, _) in enumerate(cases)], rs)
     i = spark.createDataFrame([tuple((item | b | {"item_id": n}).values()) for n, (_, b, _) in enumerate(cases)], its)
@@ -52,7 +52,22 @@ def test_rule_cascade(spark):
     assert got == {n: want for n, (_, _, want) in enumerate(cases)} | {999: "missing_rule_or_item"}
     every = r.select("rule_id").crossJoin(i.select("item_id"))
     want = {(x.rule_id, x.item_id) for x in rules.explain(every, r, i).filter("reason = 'passed'").collect()}
-    assert {tuple(x) for x in rules.match(r, i).collect()} == want
+    found = rules.match(r, i).collect()
+    assert {tuple(x) for x in found} == want and len(found) == len(want)
+    heads, members = rules.classes(r.unionByName(r.withColumn("rule_id", F.col("rule_id") + 100)))
+    assert members.count() == 2 * len(cases) and heads.count() < len(cases) and {x.class_id for x in members.collect()} == {x.rule_id for x in heads.collect()}
+    told = {x.rule_id: x.checks for x in rules.explain(pairs, r, i, with_checks=True).collect()}
+    assert [(c.check, c.passed) for c in told[0]] == [(n, True) for n in rules.CHECKS[1:]] and all(c.reason is None for c in told[0])
+    assert [tuple(c) for c in told[1]] == [("global_ignore", False, "globally_ignored")] and [tuple(c) for c in told[999]] == [("input", False, "missing_rule_or_item")]
+    assert [c.check for c in told[7]] == ["enabled", "media", "year"] and told[7][-1].reason == "year_mismatch:[2020]"
+
+
+def test_match_counts_a_pair_once(spark):
+    """Items of several years, genres and countries meet a rule at several keys."""
+    r = spark.createDataFrame([(1, 1, 1, "", "any", 2000, 2010, None, "any", ["720"], [1, 2], ["US", "JP"], [], [], [])], "rule_id long, user_id long, is_enabled int, preset_key string, media_type string, year_from int, year_to int, min_rating double, bucket_filter string, formats array<string>, genre_ids array<int>, countries array<string>, excluded array<string>, include array<string>, exclude array<string>")
+    rows = [(n, "tv", years, "720", 7.0, "anime", genres, countries, "", "", False) for n, (years, genres, countries) in enumerate([([2005, 2001, 1990], [2, 1, 3], ["JP", "US"]), ([1999, 2003], [3, 2], ["FR", "US"]), ([1999], [1], ["US"]), (None, [1], ["US"]), ([2002], None, ["US"]), ([2002], [1], None)])]
+    i = spark.createDataFrame(rows, "item_id long, media_type string, years array<int>, video_format string, rating double, bucket string, genres array<int>, countries array<string>, haystack string, tech string, ignored boolean")
+    assert sorted(x.item_id for x in rules.match(r, i).collect()) == [0, 1]
 
 
 def test_highest_progress_is_an_ordered_fold(spark):
@@ -82,7 +97,7 @@ def test_claims_and_upsert(spark):
 
 def test_overlaps_equal_all_pairs(spark):
     rng = random.Random(6)
-    make = lambda n: [(i, " ".join(rng.choices("abcdefgh", k=rng.randint(0, 7)))) for i in range(n)]
+    make = lambda n: [(i, " ".join(rng.choices("bcdefghj", k=rng.randint(0, 7)))) for i in range(n)]
     a, b = make(40), make(30)
     want = set()
     for i, x in a:

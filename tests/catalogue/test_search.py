@@ -2,22 +2,38 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tramline.functions import search, text, times
+from tramline.functions import naming, search, text, times
 
 
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
 
-def test_query_variants(spark):
-    assert search.query_variants("Wolga (Boyfriend on Demand)") == [
-        "Wolga (Boyfriend on Demand)", "Boyfriend on Demand", "Wolga", "Wolga Boyfriend on Demand", "Wolga Boyfriend on", "Wolga Boyfriend",
-    ]
-    assert search.query_variants("The Legend of Aang: The Last One")[1:3] == ["The Legend of Aang", "The Last One"]
-    assert search.query_variants("Re: Zero") == ["Re: Zero"] and search.query_variants("1984") == [] and search.query_variants(None) == []
-    assert search.query_variants("One Two Three Four Five Six")[1:] == ["One Two Three Four Five", "One Two Three Four", "One Two Three", "One Two"]
-    df = spark.createDataFrame([("Ab - Cd",), (None,)], "t string")
-    assert [r.v for r in df.select(search.variants("t").alias("v")).collect()] == [["Ab - Cd", "Ab", "Cd"], []]
+def test_queries(spark):
+    found = lambda t: one(spark, naming.queries(F.lit(t)))
+    assert found("Wolga (Boyfriend on Demand)") == ["Wolga (Boyfriend on Demand)", "Wolga", "Boyfriend on Demand", "Wolga Boyfriend on Demand", "Wolga Boyfriend on", "Wolga Boyfriend"]
+    aang = found("The Legend of Aang: The Last One")
+    assert aang[0] == "The Legend of Aang: The Last One" and {"The Legend of Aang", "The Last One"} <= set(aang) and not {"The Legend", "The Legend of", "The Legend of Aang The"} & set(aang)
+    assert found("Re: Zero") == ["Re: Zero"] and found(None) == [] and found("1080p") == [] and found("180") == ["180"]
+    assert found("One Two Three Four Five Six")[1:] == ["One Two Three Four Five", "One Two Three Four", "One Two Three", "One Two"]
+    assert found("Ab - Cd") == ["Ab - Cd", "Ab", "Cd"] and "Дом" not in found("Дом: Красный лес")
+
+
+def test_names(spark):
+    clean = lambda t: one(spark, naming.cleaned(F.lit(t)))
+    assert clean("Breaking Bad 2008") == "Breaking Bad" and clean("Movie Name 1080p WEB-DL") == "Movie Name" and clean("Title [Some Info] (2023)") == "Title" and clean(None) == ""
+    assert clean("Мэтлок (2 сезон: 1-13 серии из 16) / Matlock / 2025 / ПМ (TVShows) / WEB-DL (1080p)") == "Мэтлок / Matlock"
+    usable = lambda t: one(spark, naming.usable(F.lit(t)))
+    assert not any(map(usable, ("1080p", "WEBRip", "mp3", "FLAC", "", None, "5 серий из 10", "1 сезон", "720", "1080", "ДБ")))
+    assert all(map(usable, ("Breaking Bad", "Inception", "180", "12-34-56")))
+    pair = lambda t: tuple(one(spark, naming.by_script(F.lit(t))))
+    assert pair("Во все тяжкие / Breaking Bad") == ("Во все тяжкие", "Breaking Bad") and pair("Breaking Bad") == ("", "Breaking Bad") and pair("") == ("", "")
+    assert pair("180 / 180 / 2026 / СТ / WEBRip (1080p)") == ("", "180")
+    other = lambda t: one(spark, naming.spellings(F.lit(t)))
+    assert other("Я вернулась! Не помешаю? (1-2 серии из 12) / Tadaima, Ojama Saremasu! / 2026 / ЛМ (Dream Cast, DreamyVoice), СТ / HEVC / WEBRip (1080p)") == []
+    assert other("Волга (Boyfriend on Demand) (LostFilm) (2020) / Wolga") == ["Boyfriend on Demand"]
+    assert [one(spark, naming.numeric(F.lit(t))) for t in ("12-34-56", "1-2-3", "Breaking Bad", "")] == [True, True, False, False]
+    assert [one(spark, naming.short_number(F.lit(t))) for t in ("180", "12", "1080", "1917")] == [True, True, False, False]
 
 
 def test_row_score(spark):

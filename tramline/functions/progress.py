@@ -7,23 +7,36 @@ from pyspark.sql import functions as F
 
 from tramline.functions.text import compact_spaces, first_match, rx
 
-BLOCKS = r"(\d+(?:\s*-\s*\d+)?(?:\s*,\s*\d+(?:\s*-\s*\d+)?)*)"
-UNIT = r"\s*(?:сер(?:ия|ии|ий)|выпуск(?:а|ов)?)"
-SEASON = r"(?:\d+\s*-\s*)?(\d+)\s*сезон:\s*"
-TOTAL = r"\s*из\s*(\d+)"
-
-#: (pattern, groups of season, blocks or start, end and total); the first that matches wins.
+# The ten forms of progress, each with its groups of season, blocks or start, end and total; the first that matches wins.
 PATTERNS = (
-    (SEASON + BLOCKS + UNIT + TOTAL, 1, 2, 0, 3),
-    (SEASON + BLOCKS + UNIT, 1, 2, 0, 0),
+    (r"(?:\d+\s*-\s*)?(\d+)\s*сезон:\s*(\d+(?:\s*-\s*\d+)?(?:\s*,\s*\d+(?:\s*-\s*\d+)?)*)\s*(?:сер(?:ия|ии|ий)|выпуск(?:а|ов)?)\s*из\s*(\d+)", 1, 2, 0, 3),
+    (r"(?:\d+\s*-\s*)?(\d+)\s*сезон:\s*(\d+(?:\s*-\s*\d+)?(?:\s*,\s*\d+(?:\s*-\s*\d+)?)*)\s*(?:сер(?:ия|ии|ий)|выпуск(?:а|ов)?)", 1, 2, 0, 0),
     (r"s(\d{1,2})\s*e(\d{1,3})\s*-\s*e(\d{1,3})", 1, 2, 3, 0),
     (r"s(\d{1,2})\s*e(\d{1,3})", 1, 2, 0, 0),
     (r"(\d{1,2})x(\d{1,3})\s*-\s*(?:\1x)?(\d{1,3})", 1, 2, 3, 0),
     (r"(\d{1,2})x(\d{1,3})", 1, 2, 0, 0),
-    (BLOCKS + UNIT + TOTAL, 0, 1, 0, 2),
-    (BLOCKS + UNIT, 0, 1, 0, 0),
-    (r"(\d+)\s*-\s*(\d+)" + TOTAL, 0, 1, 2, 3),
-    (r"(\d+)" + TOTAL, 0, 1, 0, 2),
+    (r"(\d+(?:\s*-\s*\d+)?(?:\s*,\s*\d+(?:\s*-\s*\d+)?)*)\s*(?:сер(?:ия|ии|ий)|выпуск(?:а|ов)?)\s*из\s*(\d+)", 0, 1, 0, 2),
+    (r"(\d+(?:\s*-\s*\d+)?(?:\s*,\s*\d+(?:\s*-\s*\d+)?)*)\s*(?:сер(?:ия|ии|ий)|выпуск(?:а|ов)?)", 0, 1, 0, 0),
+    (r"(\d+)\s*-\s*(\d+)\s*из\s*(\d+)", 0, 1, 2, 3),
+    (r"(\d+)\s*из\s*(\d+)", 0, 1, 0, 2),
+)
+# How a progress text is found inside a title; the first that matches wins.
+SEARCHED = (
+    r"(?:\d+\s*-\s*)?\d+\s*сезон:\s*\d+(?:\s*-\s*\d+)?(?:\s*,\s*\d+(?:\s*-\s*\d+)?)*\s*сер(?:ия|ии|ий)\s*из\s*\d+",
+    r"(?:\d+\s*-\s*)?\d+\s*сезон:\s*\d+(?:\s*-\s*\d+)?(?:\s*,\s*\d+(?:\s*-\s*\d+)?)*\s*выпуск(?:а|ов)?\s*из\s*\d+",
+    r"(?:\d+\s*-\s*)?\d+\s*сезон:\s*\d+(?:\s*-\s*\d+)?(?:\s*,\s*\d+(?:\s*-\s*\d+)?)*\s*сер(?:ия|ии|ий)",
+    r"(?:\d+\s*-\s*)?\d+\s*сезон:\s*\d+(?:\s*-\s*\d+)?(?:\s*,\s*\d+(?:\s*-\s*\d+)?)*\s*выпуск(?:а|ов)?",
+    r"\d+(?:\s*-\s*\d+)?\s*сер(?:ия|ии|ий)\s*из\s*\d+",
+    r"\d+(?:\s*-\s*\d+)?\s*выпуск(?:а|ов)?\s*из\s*\d+",
+    r"\d+(?:\s*-\s*\d+)?\s*сер(?:ия|ии|ий)",
+    r"\d+(?:\s*-\s*\d+)?\s*выпуск(?:а|ов)?",
+    r"s\d{1,2}\s*e\d{1,3}\s*-\s*e\d{1,3}",
+    r"s\d{1,2}\s*e\d{1,3}",
+    r"\d{1,2}x\d{1,3}\s*-\s*\d{1,2}x\d{1,3}",
+    r"\d{1,2}x\d{1,3}\s*-\s*\d{1,3}",
+    r"\d{1,2}x\d{1,3}",
+    r"\d+\s*-\s*\d+\s*из\s*\d+",
+    r"\d+\s*из\s*\d+",
 )
 STRUCT = "struct<season:int,start:int,end:int,total:int,length:int>"
 
@@ -47,13 +60,7 @@ def parts(c: Column) -> Column:
 def extract(c: Column) -> Column:
     """The progress text inside a longer title: season forms first, then blocks, codes and bare counts."""
     text = compact_spaces(c)
-    series, issues = r"\s*сер(?:ия|ии|ий)", r"\s*выпуск(?:а|ов)?"
-    bare = lambda p: p.replace("(\\d", "(?:\\d")
-    season, blocks, total = bare(SEASON), "(?:" + BLOCKS[1:], bare(TOTAL)
-    ordered = [season + blocks + u + t for t in (total, "") for u in (series, issues)]
-    ordered += [r"\d+(?:\s*-\s*\d+)?" + u + t for t in (total, "") for u in (series, issues)]
-    ordered += [r"s\d{1,2}\s*e\d{1,3}\s*-\s*e\d{1,3}", r"s\d{1,2}\s*e\d{1,3}", r"\d{1,2}x\d{1,3}\s*-\s*\d{1,2}x\d{1,3}", r"\d{1,2}x\d{1,3}\s*-\s*\d{1,3}", r"\d{1,2}x\d{1,3}", r"\d+\s*-\s*\d+" + total, r"\d+" + total]
-    return first_match(text, *[f"({p})" for p in ordered])
+    return first_match(text, *[f"({p})" for p in SEARCHED])
 
 
 def sort_key(p: Column) -> Column:

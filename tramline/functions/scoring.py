@@ -37,6 +37,7 @@ def rejections(c=F.col) -> list[tuple[str, Column]]:
     early, later = F.coalesce(c("season"), F.lit(1)) < 2, c("season") >= 2
     single = (F.coalesce(c("season"), F.lit(1)) == 1) & (F.coalesce(c("seasons"), F.lit(1)) == 1)
     off, wanted = F.abs(c("candidate_episodes") - c("episodes")), c("episodes")
+    # The codes, their order and the thresholds.
     return [
         ("SOURCE_TV_CANDIDATE_MOVIE", (c("query_media") == "tv") & movie),
         ("SHORT_COMMON_QUERY_TOKEN_MISMATCH", guarded),

@@ -25,6 +25,11 @@ def audio_signature(tracks: Column) -> Column:
     return F.array_join(F.transform(many, lambda x: F.when(x["n"] > 1, F.concat(x["n"].cast("string"), F.lit("x:"), x["label"])).otherwise(x["label"])), ",")
 
 
+def audio_signature_of_counts(counts: Column) -> Column:
+    """The same of an array of struct(label, n) with distinct trimmed lower-case labels, as a grouping by label gives them."""
+    return F.array_join(F.transform(F.array_sort(counts), lambda x: F.when(x["n"] > 1, F.concat(x["n"].cast("string"), F.lit("x:"), x["label"])).otherwise(x["label"])), ",")
+
+
 def variant_text(media: Column, progress: Column, video_format: Column, release: Column, audio: Column) -> Column:
     """What tells a release's variants apart; films have no progress."""
     kind = _norm(media, "movie")

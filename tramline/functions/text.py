@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+import unicodedata
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -107,9 +109,49 @@ def keyword_hit(hay: Column, word: Column, tech: Column | None = None) -> Column
     return F.when(special.isNotNull(), F.rlike(hay if tech is None else tech, special)).when(F.length(low) <= 3, F.rlike(hay, quoted)).otherwise(hay.contains(low))
 
 
+# Letters that are spelled otherwise before accents are dropped, and the words that are no tokens.
+RESPELLED = {"ı": "i", "ş": "s", "ğ": "g", "ç": "c", "ö": "o", "ü": "u", "æ": "ae", "œ": "oe"}
+STOP_WORDS = (
+    "the", "a", "an", "and", "of", "to", "in", "on", "for", "at", "by", "with",
+    "la", "le", "el", "los", "las", "der", "die", "das", "de", "du",
+    "и", "в", "во", "на", "по", "с", "со", "к", "ко", "от", "до", "из", "у", "про",
+)
+
+
+def plain(char: str) -> str:
+    """A character's compatibility form without its accents."""
+    return "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+
+
+@cache
+def _folded() -> tuple[str, str, dict[str, str]]:
+    """Lower-case characters whose plain form is another one, these forms, and those whose form is several."""
+    chars = [chr(c) for c in (*range(0x80, 0x590), *range(0x1E00, 0x2190), *range(0xFB00, 0xFB07), *range(0xFF00, 0xFF5F))]
+    forms = {c: RESPELLED.get(c, plain(c)) for c in chars if c == c.lower()}
+    forms = {c: f for c, f in forms.items() if f != c and re.search("[a-zа-яё0-9]", f)}
+    single = {c: f for c, f in forms.items() if len(f) == 1}
+    return "".join(single), "".join(single.values()), {c: f for c, f in forms.items() if len(f) > 1}
+
+
+def normalized(c: Column) -> Column:
+    """Lower-cased letters of two scripts and digits with one space between; markup and accents are dropped."""
+    single, plain_forms, several = _folded()
+    low = F.regexp_replace(F.translate(F.lower(strip_html(c)), single, plain_forms), r"\p{M}+", "")
+    longer = reduce(lambda out, x: F.replace(out, F.lit(x[0]), F.lit(x[1])), several.items(), low)
+    low = F.when(F.rlike(low, F.lit("[" + "".join(several) + "]")), longer).otherwise(low)
+    return F.trim(F.regexp_replace(low, "[^a-zа-яё0-9]+", " "))
+
+
+def raw_tokens(c: Column) -> Column:
+    """The words of the normalized text in order, repeats and stop words included."""
+    return F.filter(F.split(normalized(c), " "), lambda t: t != "")
+
+
 def tokens(c: Column) -> Column:
-    """Distinct lower-cased runs of ASCII letters and digits, sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")))
+    """Distinct words of the normalized text, sorted, without stop words unless it has no others."""
+    every = F.array_sort(F.array_distinct(raw_tokens(c)))
+    kept = F.array_except(every, F.array(*map(F.lit, STOP_WORDS)))
+    return F.when(F.size(kept) > 0, kept).otherwise(every)
 
 
 def token_overlap(a: Column, b: Column) -> Column:

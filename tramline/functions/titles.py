@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-STOP_WORDS = frozenset("the a an of and и в на с по".split())
 _AUDIO = re.compile(r"^(?:\d+\s*[xх×]\s*)?(?:ДБ|ПМ|ЛМ|ЛД|ПО|ПД|СТ|РУ|БП|АП|МВО|ДВО|AVO|DVO|MVO|VO|SUB|Оригинал)\b", re.I)
 _TYPE = re.compile(r"blu-?ray|web-?dl|web-?rip|bdrip|dvdrip|hdtv|remux", re.I)
 _TECH = re.compile(r"\b(?:720|1080|2160)[pi]?\b|\b4k\b|hevc|x26[45]|hdr", re.I)
@@ -69,24 +67,12 @@ def parse_title(titles: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse(t) for t in titles], columns=PARSED.names)
 
 
-def normalize(text: str | None) -> str:
-    """Lower-cased letters of two scripts and digits, one space between; accents are dropped."""
-    plain = unicodedata.normalize("NFKD", re.sub(r"<[^>]+>", " ", text or "").lower())
-    plain = "".join(c for c in plain if not unicodedata.combining(c))
-    return " ".join(re.sub(r"[^a-zа-яё0-9]+", " ", plain).split())
-
-
-@F.pandas_udf(T.StringType())
-def normalized(texts: pd.Series) -> pd.Series:
-    return texts.map(normalize)
-
-
 def ratio(a: str | None, b: str | None) -> float:
-    left, right = normalize(a), normalize(b)
+    left, right = (a or "").lower(), (b or "").lower()
     return round(SequenceMatcher(None, left, right).ratio(), 3) if left and right else 0.0
 
 
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching blocks of the normalized texts, to three places; not symmetric."""
+    """Ratio of matching blocks of the lower-cased texts, to three places; not symmetric."""
     return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype=float)

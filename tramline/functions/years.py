@@ -7,8 +7,22 @@ from pyspark.sql import functions as F
 
 from tramline.functions.text import compact_spaces, first_match, years
 
-_SEASONS = tuple(p for form in (r"\b\d+\s*[-–—]\s*(\d+)\s*{}\b", r"\b(\d+)\s*{}\s*:", r"\b(\d+)\s*{}\b") for p in (form.format("сезон(?:а|ов|ы)?"), form.format("season(?:s)?")))
-_EPISODES = (r"\bиз\s*(\d{1,4})\b", r"\btotal\s*episodes?\s*[:\-]?\s*(\d{1,4})\b", r"\bэпизодов\s*[:\-]?\s*(\d{1,4})\b", r"\bсер(?:ия|ии|ий)\s*[:\-]?\s*(\d{1,4})\b", r"\bepisodes?\s*[:\-]?\s*(\d{1,4})\b")
+# How texts name a season and the number of episodes; the first pattern that matches counts.
+_SEASONS = (
+    r"\b\d+\s*[-–—]\s*(\d+)\s*сезон(?:а|ов|ы)?\b",
+    r"\b\d+\s*[-–—]\s*(\d+)\s*season(?:s)?\b",
+    r"\b(\d+)\s*сезон(?:а|ов|ы)?\s*:",
+    r"\b(\d+)\s*season(?:s)?\s*:",
+    r"\b(\d+)\s*сезон(?:а|ов|ы)?\b",
+    r"\b(\d+)\s*season(?:s)?\b",
+)
+_EPISODES = (
+    r"\bиз\s*(\d{1,4})\b",
+    r"\btotal\s*episodes?\s*[:\-]?\s*(\d{1,4})\b",
+    r"\bэпизодов\s*[:\-]?\s*(\d{1,4})\b",
+    r"\bсер(?:ия|ии|ий)\s*[:\-]?\s*(\d{1,4})\b",
+    r"\bepisodes?\s*[:\-]?\s*(\d{1,4})\b",
+)
 
 
 def joined(*texts: Column) -> Column:

@@ -4,21 +4,62 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tramline.functions.text import tokens
+from tramline.functions.text import normalized
 
 
-def alias_hits(items: DataFrame, key: str, title: str, aliases: DataFrame) -> DataFrame:
-    """(key, alias) of items whose title names an alias entry (name, alias): all of the entry's tokens are in the title.
+#: Characters of the pieces of a name by which one text is found inside another.
+GRAM = 3
 
-    Each entry waits under its rarest token, so the lookup is an equality join on tokens and not a loop over the
-    dictionary.
+
+def _grams(c: Column) -> Column:
+    """The distinct runs of GRAM characters of a text, or the whole of a shorter one."""
+    every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (GRAM - 1), F.lit(1))), lambda n: F.substring(c, n, F.lit(GRAM)))
+    return F.filter(F.array_distinct(every), lambda g: g != "")
+
+
+def _short_runs(c: Column) -> Column:
+    """The distinct runs of fewer than GRAM characters of a text."""
+    runs = F.transform(F.sequence(F.lit(1), F.lit(GRAM - 1)), lambda size: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda at: F.substring(c, at, size)))
+    return F.filter(F.array_distinct(F.flatten(runs)), lambda x: x != "")
+
+
+def _rarest(rows: DataFrame, key: list[str], keys: str, often: DataFrame, n: Column | int) -> DataFrame:
+    """(key, k): the n entries of the array `keys` that fewest rows of often (k, count) have."""
+    flat = rows.select(*key, F.explode(keys).alias("k"), (n if isinstance(n, Column) else F.lit(n)).alias("n")).join(often, "k", "left")
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.coalesce("count", F.lit(0)), "k"))
+    return flat.withColumn("place", place).filter("place <= n").select(*key, "k")
+
+
+def alias_hits(titles: DataFrame, title: str, aliases: DataFrame) -> DataFrame:
+    """(title, alias) of distinct titles that name an alias entry (name, alias).
+
+    Both are normalized. A title names an entry if either text lies in the other, if it has all of the entry's words, or
+    all but one of three or more. No loop over the dictionary: an entry waits under its rarest words (two of them where
+    one may be missing) and its rarest run of GRAM characters, a title asks with all of its own, and the other way round
+    for titles inside entries; each candidate is then checked. Texts without a word name nothing.
     """
-    entries = aliases.select("alias", tokens(F.col("name")).alias("needed")).filter(F.size("needed") > 0)
-    often = entries.select(F.explode("needed").alias("token")).groupBy("token").count()
-    rare = entries.withColumn("token", F.explode("needed")).join(often, "token").groupBy("alias", "needed").agg(F.min_by("token", F.struct("count", "token")).alias("token"))
-    words = items.select(key, tokens(F.col(title)).alias("own")).withColumn("token", F.explode("own"))
-    return words.join(rare, "token").filter(F.size(F.array_except("needed", "own")) == 0).select(key, "alias").distinct()
+    # distinct by a digest, so that conditions on the normalized texts are not tried on every repeat of a title
+    once = lambda d, c, *keep: d.groupBy(F.md5(c).alias("digest"), *keep).agg(F.first(c).alias("text")).drop("digest")
+    words = lambda c: F.filter(F.array_distinct(F.split(c, " ")), lambda w: w != "")
+    own = once(titles, title).select(F.col("text").alias("title"), normalized(F.col("text")).alias("t"))
+    other = once(aliases, "name", "alias").select("alias", normalized(F.col("text")).alias("e"))
+    count = lambda c: other.select(F.explode(c).alias("k")).groupBy("k").count()
+    n = F.size("words")
+    other = other.withColumn("words", words("e")).withColumn("grams", _grams(F.col("e")))
+    by_word = _rarest(other, ["alias", "e"], "words", count(words("e")), F.when(n >= 3, 2).otherwise(1))
+    by_gram = _rarest(other, ["alias", "e"], "grams", count(_grams(F.col("e"))), 1)
+    inside = _rarest(own.withColumn("grams", _grams(F.col("t"))), ["title", "t"], "grams", count(_grams(F.col("e"))), 1)
+    # a text that is shorter than GRAM is a run of its own, so the other side asks with its short runs too
+    marked = lambda mark, c: F.transform(c, lambda k: F.concat(F.lit(mark), k))
+    asked = own.select("title", "t", F.explode(F.concat(marked("w", words("t")), marked("g", F.array_union(_grams(F.col("t")), _short_runs(F.col("t")))))).alias("k"))
+    waiting = by_word.withColumn("k", F.concat(F.lit("w"), "k")).unionByName(by_gram.withColumn("k", F.concat(F.lit("g"), "k")))
+    held = other.select("alias", "e", F.explode(F.array_union(F.col("grams"), _short_runs(F.col("e")))).alias("k"))
+    pairs = asked.join(waiting, "k").select("title", "t", "alias", "e").unionByName(inside.join(held, "k").select("title", "t", "alias", "e"))
+    needed, shared = F.size(words("e")), F.size(F.array_intersect(words("t"), words("e")))
+    hit = F.contains("t", F.col("e")) | F.contains("e", F.col("t")) | (shared == needed) | ((needed >= 2) & (shared >= F.greatest(F.lit(2), needed - 1)))
+    return pairs.filter(hit).select("title", "alias").distinct()
 
 
 def query_class(query: Column) -> Column:

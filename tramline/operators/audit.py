@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def gap_audit(versions: DataFrame, observed: DataFrame, delivered: DataFrame) -> DataFrame:
@@ -15,23 +16,22 @@ def gap_audit(versions: DataFrame, observed: DataFrame, delivered: DataFrame) ->
     """
     known = versions.filter("release_id IS NOT NULL AND progress IS NOT NULL").select("release_id", "progress").distinct()
     seen = observed.filter("release_id IS NOT NULL AND progress IS NOT NULL").groupBy("release_id", "progress").agg(F.max("polled_at").alias("polled_at"))
-    gaps = seen.join(known, ["release_id", "progress"], "left_anti")
-    tops = known.groupBy("release_id").agg(F.max("progress").alias("current_highest"))
-    below = gaps.alias("g").join(known.alias("k"), (F.col("g.release_id") == F.col("k.release_id")) & (F.col("k.progress") < F.col("g.progress")))
-    below = below.groupBy(F.col("g.release_id").alias("release_id"), F.col("g.progress").alias("progress")).agg(F.max("k.progress").alias("highest_below"))
-    out = gaps.join(below, ["release_id", "progress"]).join(tops, "release_id").join(delivered, "release_id", "left")
+    # distinct progress of both sides in one window, so a release with many gaps is sorted once and not compared pair by pair
+    both = known.withColumn("known", F.lit(True)).join(seen, ["release_id", "progress"], "full")
+    own = Window.partitionBy("release_id").orderBy("progress")
+    step = F.when(F.col("known"), F.col("progress"))
+    both = both.withColumn("highest_below", F.max(step).over(own)).withColumn("current_highest", F.max(step).over(Window.partitionBy("release_id")))
+    out = both.filter("known IS NULL AND highest_below IS NOT NULL").join(delivered, "release_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     kind = F.when(F.col("progress") > F.col("current_highest"), "latest_gap").otherwise("historical_gap")
     return out.select("release_id", "progress", kind.alias("gap_kind"), "highest_below", "current_highest", "polled_at", zero("delivery_count"), zero("delivery_users"), "last_delivered_at")
 
 
 def in_audit_order(gaps: DataFrame) -> DataFrame:
-    return gaps.orderBy(F.col("gap_kind") != "latest_gap", F.desc("delivery_users"), F.desc("delivery_count"), F.desc("polled_at"), "release_id")
+    return gaps.orderBy(F.col("gap_kind") != "latest_gap", F.desc("delivery_users"), F.desc("delivery_count"), F.desc("polled_at"), "release_id", "progress")
 
 
 def regressions(observed: DataFrame, key: str, progress: str, order: list[str]) -> DataFrame:
     """Observations below the highest progress that their key had before, with it as `highest_before`."""
-    from pyspark.sql.window import Window
-
     before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return observed.withColumn("highest_before", F.max(progress).over(before)).filter(F.col(progress) < F.col("highest_before"))

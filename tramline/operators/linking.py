@@ -48,14 +48,20 @@ def overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str, lef
     return found.filter(F.col("overlap") >= least)
 
 
-def ranked(candidates: DataFrame, query: str, candidate: str, query_text: Column, candidate_text: Column, top: int) -> DataFrame:
-    """The best `top` candidates of each query by similarity and token overlap, ties to the smaller candidate."""
-    scored = candidates.withColumn("similarity", similarity(query_text, candidate_text)).withColumn("overlap", token_overlap(tokens(query_text), tokens(candidate_text)))
-    scored = scored.withColumn("score", F.round(0.9 * F.col("similarity") + 0.7 * F.col("overlap"), 3))
+def top_ranked(candidates: DataFrame, query: str, candidate: str, top: int) -> DataFrame:
+    """The best `top` candidates of each query by their similarity and token overlap, ties to the smaller candidate."""
+    scored = candidates.withColumn("score", F.round(0.9 * F.col("similarity") + 0.7 * F.col("overlap"), 3))
     place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), candidate))
     return scored.withColumn("place", place).filter(F.col("place") <= top)
 
 
+def ranked(candidates: DataFrame, query: str, candidate: str, query_text: Column, candidate_text: Column, top: int) -> DataFrame:
+    """The same for texts; an `overlap` that candidates bring is taken as it is, and repeated pairs count once."""
+    once = candidates.dropDuplicates([query, candidate]).withColumn("similarity", similarity(query_text, candidate_text))
+    once = once if "overlap" in candidates.columns else once.withColumn("overlap", token_overlap(tokens(query_text), tokens(candidate_text)))
+    return top_ranked(once, query, candidate, top)
+
+
 def confidence(exact: Column, sim: Column, overlap: Column, year_gap: Column) -> Column:
     """high, medium or low; an unknown year gap passes the year conditions."""
     near = lambda n: F.coalesce(year_gap <= n, F.lit(True))

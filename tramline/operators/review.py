@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tramline.functions.text import blank_to_null, compact_spaces
+
 FINAL = ("confirmed", "replaced", "rejected", "unmatched", "skipped")
 
 
@@ -49,6 +51,34 @@ def split_archive(items: DataFrame, condition: Column, reason: str) -> tuple[Dat
     return items.filter(~hit), items.filter(hit).withColumn("archive_reason", F.lit(reason))
 
 
+def archive(items: DataFrame, plan: DataFrame, deliveries: DataFrame, snapshot: str, fields: list[str], at: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(live items, archived items, archived deliveries) after a plan (item_id, reason, merged_into).
+
+    An archived delivery keeps what its audit snapshot (a struct column) says of the item, and what the item says where
+    the snapshot is blank. Of several plans for an item the smallest by reason counts; plans for unknown items do nothing.
+    """
+    once = plan.groupBy("item_id").agg(F.min(F.struct(compact_spaces(F.col("reason")).alias("reason"), "merged_into")).alias("p")).select("item_id", "p.*")
+    once = once.withColumn("archive_reason", F.coalesce(F.nullif("reason", F.lit("")), F.lit("archive"))).drop("reason")
+    live = items.join(once.select("item_id"), "item_id", "left_anti")
+    gone = items.join(once, "item_id").withColumn("archived_at", at)
+    own = gone.select("item_id", "archive_reason", "merged_into", "archived_at", *[F.col(f).alias(f"item_{f}") for f in fields])
+    said = [F.coalesce(blank_to_null(F.col(f"{snapshot}.{f}")), F.col(f"item_{f}")).alias(f) for f in fields]
+    sent = deliveries.join(own, "item_id").select(*[c for c in deliveries.columns if c not in (snapshot, *fields)], *said, "archive_reason", "merged_into", "archived_at")
+    return live, gone, sent
+
+
+def find_any(wanted: DataFrame, live: DataFrame, archived: DataFrame, order: list[str], keep: list[str]) -> DataFrame:
+    """(item_id, found_id, origin, kept columns) of wanted ids: the live item, else the one that its last archived form was merged into, else that form."""
+    last = archived.groupBy("item_id").agg(F.max_by(F.struct("merged_into", *keep), F.struct(*order)).alias("a"))
+    now = live.select(F.col("item_id").alias("own"), F.struct(*keep).alias("l"))
+    merged = now.select(F.col("own").alias("into"), F.col("l").alias("m"))
+    rows = wanted.select("item_id").distinct().join(now, F.col("item_id") == F.col("own"), "left").join(last, "item_id", "left").join(merged, F.col("a.merged_into") == F.col("into"), "left")
+    origin = F.when(F.col("own").isNotNull(), "live").when(F.col("into").isNotNull(), "merged").when(F.col("a").isNotNull(), "archived")
+    pick = lambda c: F.when(F.col("own").isNotNull(), F.col(f"l.{c}")).when(F.col("into").isNotNull(), F.col(f"m.{c}")).otherwise(F.col(f"a.{c}")).alias(c)
+    found = F.when(F.col("own").isNotNull(), F.col("own")).when(F.col("into").isNotNull(), F.col("into")).otherwise(F.col("item_id"))
+    return rows.filter(origin.isNotNull()).select("item_id", found.alias("found_id"), origin.alias("origin"), *[pick(c) for c in keep])
+
+
 def changed_only(rows: DataFrame, recomputed: dict[str, Column], key: str, unique: list[str]) -> DataFrame:
     """Rows whose recomputed columns differ, with the new values, but for those that would clash on `unique`.
 
@@ -68,26 +98,31 @@ def source_health(cycles: DataFrame, threshold: int, repeat_s: int) -> DataFrame
     """cycles(source long, at long, ok boolean) with `fail_streak`, `alert` and `recovered`.
 
     A failed cycle alerts once its streak reaches the threshold, but not within repeat_s of the alert before, which may
-    lie in an earlier streak; a good cycle after a streak of the threshold or more has recovered. Each source is folded
-    in order of at; of cycles at one moment the failed come first.
+    lie in an earlier streak; a good cycle after a streak of the threshold or more has recovered. Of cycles at one moment
+    the failed come first. Streaks are windows; only those cycles that may alert are folded.
     """
+    own = Window.partitionBy("source").orderBy("at", "ok")
+    rows = cycles.select("source", "at", "ok").dropna().withColumn("nth", F.row_number().over(own))
+    # the last good cycle up to each one tells how long its streak is
+    good = F.coalesce(F.max(F.when(F.col("ok"), F.col("nth"))).over(own.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    rows = rows.withColumn("fail_streak", (F.col("nth") - good).cast("long"))
+    rows = rows.withColumn("recovered", F.col("ok") & (F.coalesce(F.lag("fail_streak").over(own), F.lit(0)) >= threshold))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        source, streak, last = None, 0, None
+        source, last = None, None
         for batch in batches:
             out = []
-            for own, at, ok in zip(batch["source"].tolist(), batch["at"].tolist(), batch["ok"].tolist()):
-                if own != source:
-                    source, streak, last = own, 0, None
-                recovered, alert = bool(ok) and streak >= threshold, False
-                streak = 0 if ok else streak + 1
-                if streak >= threshold and (last is None or at - last >= repeat_s):
-                    alert, last = True, at
-                out.append((own, at, ok, streak, alert, recovered))
-            yield pd.DataFrame(out, columns=["source", "at", "ok", "fail_streak", "alert", "recovered"])
-
-    rows = cycles.select("source", "at", "ok").dropna().repartition("source").sortWithinPartitions("source", "at", "ok")
-    return rows.mapInPandas(fold, "source long, at long, ok boolean, fail_streak long, alert boolean, recovered boolean")
+            for row in batch[["source", "at", "nth"]].itertuples(index=False):
+                if row.source != source:
+                    source, last = row.source, None
+                if last is None or row.at - last >= repeat_s:
+                    last = row.at
+                    out.append((row.source, row.nth))
+            yield pd.DataFrame(out, columns=["source", "nth"])
+
+    may = rows.filter(~F.col("ok") & (F.col("fail_streak") >= threshold)).select("source", "at", "nth")
+    alerts = may.repartition("source").sortWithinPartitions("source", "nth").mapInPandas(fold, "source long, nth int").withColumn("alert", F.lit(True))
+    return rows.join(alerts, ["source", "nth"], "left").select("source", "at", "ok", "fail_streak", F.coalesce("alert", F.lit(False)).alias("alert"), "recovered")
 
 
 def redeem(invites: DataFrame, asked: DataFrame, as_of: Column) -> DataFrame:

@@ -29,71 +29,174 @@ def _overlap(a: Column, b: Column) -> Column:
     return F.coalesce(F.arrays_overlap(a, b), F.lit(False))
 
 
-def reason(r: str = "r", i: str = "i") -> Column:
-    """The first check that fails for a compiled rule (alias r) and an item (alias i), or `passed`.
+def _listing(values: Column) -> Column:
+    """An array as text, sorted: numbers bare, strings in single quotes, as [1, 2] or ['a', 'b']."""
+    return F.concat(F.lit("["), F.array_join(F.array_sort(values), ", "), F.lit("]"))
+
+
+def _quoted(values: Column) -> Column:
+    return F.transform(values, lambda x: F.concat(F.lit("'"), x, F.lit("'")))
+
+
+def _strings(values: Column) -> Column:
+    return F.transform(values, lambda x: x.cast("string"))
+
+
+def _numbers(values: Column) -> Column:
+    """Sorted numbers as text; their order is that of the numbers."""
+    return F.concat(F.lit("["), F.array_join(_strings(F.array_sort(F.array_distinct(values))), ", "), F.lit("]"))
+
+
+def _steps(r: str, i: str) -> list[tuple[str, Column, Column]]:
+    """(check, fails, reason) in order, for a compiled rule (alias r) and an item (alias i).
 
     Items have media_type, years, video_format, rating, bucket, genres, countries, haystack, tech (the haystack of technical keywords) and ignored.
     """
     R, I = (lambda c: F.col(f"{r}.{c}")), (lambda c: F.col(f"{i}.{c}"))  # noqa: E731, E741
+    say = lambda text, value=None: F.lit(text) if value is None else F.concat(F.lit(f"{text}:"), F.coalesce(value, F.lit("")))
     bounded = R("year_from").isNotNull() | R("year_to").isNotNull()
     fits = F.exists(I("years"), lambda y: (y >= F.coalesce(R("year_from"), y)) & (y <= F.coalesce(R("year_to"), y)))
     mode = F.coalesce(R("bucket_filter"), F.lit("any"))
     only, barred = F.regexp_extract(mode, "^only_(.*)$", 1), F.split(F.regexp_extract(mode, "^exclude_(.*)$", 1), "_")
     # the preset for the whole world lets regular items pass that have some country besides excluded ones
     worldwide = F.coalesce((R("preset_key") == "world") & (I("bucket") == "regular"), F.lit(False))
-    checks: list[tuple[Column, str]] = [
-        (I("ignored"), "globally_ignored"),
-        (R("is_enabled") != 1, "disabled"),
-        ((I("media_type") == "other") & (R("media_type") != "other"), "media_other_mismatch"),
-        (~R("media_type").isin("any", "other") & (R("media_type") != I("media_type")) | ((R("media_type") == "other") & (I("media_type") != "other")), "media_mismatch"),
-        (bounded & (F.size(I("years")) == 0), "year_missing"),
-        (bounded & ~fits, "year_mismatch"),
-        ((F.size(R("formats")) > 0) & ~F.coalesce(F.array_contains(R("formats"), I("video_format")), F.lit(False)), "format_mismatch"),
-        (R("min_rating").isNotNull() & I("rating").isNull(), "rating_missing"),
-        (R("min_rating").isNotNull() & (I("rating") < R("min_rating")), "rating_mismatch"),
-        ((only != "") & (only != I("bucket")), "bucket_mismatch"),
-        (F.array_contains(barred, I("bucket")), "bucket_excluded"),
-        ((F.size(R("genre_ids")) > 0) & ~_overlap(R("genre_ids"), I("genres")), "genre_mismatch"),
-        ((F.size(R("countries")) > 0) & (F.size(I("countries")) == 0), "country_missing"),
-        ((F.size(R("countries")) > 0) & ~_overlap(R("countries"), I("countries")), "country_mismatch"),
-        (_overlap(R("excluded"), I("countries")) & ~(worldwide & (F.size(F.array_except(I("countries"), R("excluded"))) > 0)), "excluded_country"),
-        ((F.size(R("include")) > 0) & ~F.exists(R("include"), lambda k: keyword_hit(I("haystack"), k, I("tech"))), "include_keyword_mismatch"),
-        (F.exists(R("exclude"), lambda k: keyword_hit(I("haystack"), k, I("tech"))), "exclude_keyword"),
+    hit = lambda k: keyword_hit(I("haystack"), k, I("tech"))
+    return [
+        ("global_ignore", I("ignored"), say("globally_ignored")),
+        ("enabled", R("is_enabled") != 1, say("disabled")),
+        ("media", (I("media_type") == "other") & (R("media_type") != "other"), say("media_other_mismatch")),
+        ("media", (R("media_type") != "any") & (R("media_type") != I("media_type")), say("media_mismatch", I("media_type"))),
+        ("year", bounded & (F.size(I("years")) == 0), say("year_missing")),
+        ("year", bounded & ~fits, say("year_mismatch", _numbers(I("years")))),
+        ("format", (F.size(R("formats")) > 0) & ~F.coalesce(F.array_contains(R("formats"), I("video_format")), F.lit(False)), say("format_mismatch", I("video_format"))),
+        ("rating", R("min_rating").isNotNull() & I("rating").isNull(), say("rating_missing")),
+        ("rating", R("min_rating").isNotNull() & (I("rating") < R("min_rating")), say("rating_mismatch", I("rating").cast("string"))),
+        ("bucket", (only != "") & (only != I("bucket")), say("bucket_mismatch", I("bucket"))),
+        ("bucket", F.array_contains(barred, I("bucket")), say("bucket_excluded", I("bucket"))),
+        ("genre", (F.size(R("genre_ids")) > 0) & ~_overlap(R("genre_ids"), I("genres")), say("genre_mismatch", _numbers(I("genres")))),
+        ("country", (F.size(R("countries")) > 0) & (F.size(I("countries")) == 0), say("country_missing")),
+        ("country", (F.size(R("countries")) > 0) & ~_overlap(R("countries"), I("countries")), say("country_mismatch", _listing(_quoted(I("countries"))))),
+        ("excluded_country", _overlap(R("excluded"), I("countries")) & ~(worldwide & (F.size(F.array_except(I("countries"), R("excluded"))) > 0)), say("excluded_country", _listing(_quoted(F.array_intersect(I("countries"), R("excluded")))))),
+        ("include_keywords", (F.size(R("include")) > 0) & ~F.exists(R("include"), hit), say("include_keyword_mismatch")),
+        ("exclude_keywords", F.exists(R("exclude"), hit), say("exclude_keyword", F.array_join(F.filter(R("exclude"), hit), "|"))),
     ]
-    return reduce(lambda case, c: case.when(F.coalesce(c[0], F.lit(False)), c[1]), checks[1:], F.when(F.coalesce(checks[0][0], F.lit(False)), checks[0][1])).otherwise("passed")
 
 
-def explain(pairs: DataFrame, rules: DataFrame, items: DataFrame) -> DataFrame:
-    """(rule_id, item_id, reason) of each pair; `missing_rule_or_item` where either side is unknown."""
+#: The checks in the order in which they are made, each by one or two steps.
+CHECKS = ("global_ignore", "enabled", "media", "year", "format", "rating", "bucket", "genre", "country", "excluded_country", "include_keywords", "exclude_keywords")
+PASSED = "passed"
+
+
+def reason(r: str = "r", i: str = "i") -> Column:
+    """The reason of the first check that fails for a compiled rule (alias r) and an item (alias i), with what the item has, or `passed`."""
+    return first_reason(*[(fails, why) for _, fails, why in _steps(r, i)], default=PASSED)
+
+
+def checks(r: str = "r", i: str = "i") -> Column:
+    """The checks up to the first that fails, as structs of check, passed and reason (null where it passes)."""
+    steps = [(name, F.coalesce(fails, F.lit(False)), why) for name, fails, why in _steps(r, i)]
+    each = []
+    for name in CHECKS:
+        own = [(fails, why) for n, fails, why in steps if n == name]
+        why = F.coalesce(*[F.when(fails, why) for fails, why in own])
+        each.append(F.struct(F.lit(name).alias("check"), why.isNull().alias("passed"), why.alias("reason")))
+    every = F.array(*each)
+    # a check that passes without saying anything of the item is not listed: the first is made for ignored items only
+    listed_ = F.filter(every, lambda c: (c["check"] != "global_ignore") | ~c["passed"])
+    first = F.array_position(F.transform(listed_, lambda c: ~c["passed"]), True)
+    return F.when(first > 0, F.slice(listed_, 1, first.cast("int"))).otherwise(listed_)
+
+
+def explain(pairs: DataFrame, rules: DataFrame, items: DataFrame, with_checks: bool = False) -> DataFrame:
+    """(rule_id, item_id, reason) of each pair, and `checks` if wanted; `missing_rule_or_item` where either side is unknown."""
     joined = pairs.alias("p").join(rules.alias("r"), F.col("p.rule_id") == F.col("r.rule_id"), "left").join(items.alias("i"), F.col("p.item_id") == F.col("i.item_id"), "left")
     known = F.col("r.rule_id").isNotNull() & F.col("i.item_id").isNotNull()
-    return joined.select("p.rule_id", "p.item_id", F.when(known, reason()).otherwise("missing_rule_or_item").alias("reason"))
+    out = joined.select("p.rule_id", "p.item_id", F.when(known, reason()).otherwise("missing_rule_or_item").alias("reason"), *([F.when(known, checks()).alias("checks")] if with_checks else []))
+    if with_checks:
+        missing = F.array(F.struct(F.lit("input").alias("check"), F.lit(False).alias("passed"), F.lit("missing_rule_or_item").alias("reason")))
+        out = out.withColumn("checks", F.coalesce("checks", missing))
+    return out
+
+
+def classes(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rules of equal conditions as one class, named by its smallest rule_id: the classes, and (rule_id, class_id)."""
+    conditions = [c for c in rules.columns if c not in ("rule_id", "user_id")]
+    key = F.to_json(F.struct(*conditions), {"ignoreNullFields": "false"}).alias("conditions")
+    keyed = rules.select("*", key)
+    heads = keyed.groupBy("conditions").agg(F.min("rule_id").alias("class_id"), *[F.first(c).alias(c) for c in conditions])
+    members = keyed.select("rule_id", "conditions").join(heads.select("conditions", "class_id"), "conditions").drop("conditions")
+    return heads.drop("conditions").withColumnRenamed("class_id", "rule_id"), members
 
 
 def match(rules: DataFrame, items: DataFrame) -> DataFrame:
     """(rule_id, item_id) of all passing pairs.
 
-    Candidates come from an equality join on media type, format and country, into which a rule's alternatives are
-    exploded, so no nested loop over all pairs is planned; the remaining checks run on the candidates.
+    Candidates come from an equality join on media type, format, genre and country, into which a rule's alternatives
+    are exploded, so no nested loop over all pairs is planned. What the key implies is not checked again; years, rating
+    and bucket are compared as plain columns, and only rules with excluded countries or keywords read arrays. An item
+    that meets a rule at several keys counts at the first of them. A key that many share is split by the adaptive join.
     """
     live = rules.filter("is_enabled = 1")
     media = F.when(F.col("media_type") == "any", F.array(F.lit("movie"), F.lit("tv"))).otherwise(F.array("media_type"))
     orany = lambda a: F.when(F.size(a) > 0, F.array_distinct(a)).otherwise(F.array(F.lit(ANY)))
-    left = live.select("*", F.explode(media).alias("k_media")).select("*", F.explode(orany(F.col("formats"))).alias("k_format")).select("*", F.explode(orany(F.col("countries"))).alias("k_country"))
-    right = items.select("*", F.explode(F.array(F.coalesce("video_format", F.lit("")), F.lit(ANY))).alias("k_format")).select("*", F.explode(F.array_append(F.array_distinct("countries"), ANY)).alias("k_country"))
-    on = (F.col("r.k_media") == F.col("i.media_type")) & (F.col("r.k_format") == F.col("i.k_format")) & (F.col("r.k_country") == F.col("i.k_country"))
-    # implied by the reason, but cheap: it spares most candidates the array checks
-    on = on & (F.col("r.min_rating").isNull() | (F.col("i.rating") >= F.col("r.min_rating")))
-    found = left.alias("r").join(right.alias("i"), on).filter(reason() == "passed").select("r.rule_id", "i.item_id")
-    # an item of several countries may meet a rule at each of them
-    return found.distinct()
+    mode = F.coalesce("bucket_filter", F.lit("any"))
+    left = live.select(
+        "rule_id", "preset_key", "year_from", "year_to", "min_rating", "countries", "genre_ids", "excluded", "include", "exclude",
+        F.nullif(F.regexp_extract(mode, "^only_(.*)$", 1), F.lit("")).alias("only"), F.concat(F.lit("_"), F.regexp_extract(mode, "^exclude_(.*)$", 1), F.lit("_")).alias("barred"),
+        (F.size("excluded") > 0).alias("has_excluded"), (F.size("include") > 0).alias("has_include"), (F.size("exclude") > 0).alias("has_exclude"),
+        F.explode(media).alias("k_media"), orany(F.col("formats")).alias("k_format"),
+    )
+    left = left.withColumn("k_format", F.explode("k_format")).withColumn("k_genre", F.explode(orany(_strings(F.col("genre_ids"))))).withColumn("k_country", F.explode(orany(F.col("countries"))))
+    none = F.array().cast("array<string>")
+    # a null year stands for an item without any
+    right = items.filter("NOT coalesce(ignored, false)").select(
+        "item_id", F.col("media_type").alias("k_media"), "rating", "bucket", "years", "countries", "genres", "haystack", "tech",
+        F.explode_outer(F.array_distinct("years")).alias("year"), F.array(F.coalesce("video_format", F.lit("")), F.lit(ANY)).alias("k_format"),
+    )
+    right = right.withColumn("k_format", F.explode("k_format")).withColumn("k_genre", F.explode(F.array_append(F.coalesce(_strings(F.array_distinct("genres")), none), F.lit(ANY)))).withColumn("k_country", F.explode(F.array_append(F.coalesce(F.array_distinct("countries"), none), F.lit(ANY))))
+    R, I = (lambda c: F.col(f"r.{c}")), (lambda c: F.col(f"i.{c}"))  # noqa: E731, E741
+    on = reduce(lambda x, y: x & y, [R(k) == I(k) for k in ("k_media", "k_format", "k_genre", "k_country")])
+    low, high = F.coalesce(R("year_from"), F.lit(-(1 << 31))), F.coalesce(R("year_to"), F.lit((1 << 31) - 1))
+    on = on & (R("year_from").isNull() & R("year_to").isNull() | I("year").between(low, high))
+    on = on & (R("min_rating").isNull() | (I("rating") >= R("min_rating"))) & (R("only").isNull() | (R("only") == I("bucket"))) & ~F.contains(R("barred"), F.concat(F.lit("_"), F.coalesce(I("bucket"), F.lit("?")), F.lit("_")))
+    # of several keys that one pair meets at, the first
+    first = lambda array, same: (F.size(array) <= 1) | same
+    years_before = F.exists(I("years"), lambda y: (y < I("year")) & y.between(low, high))
+    on = on & first(I("years"), I("year").isNull() | ~years_before)
+    on = on & first(I("genres"), (I("k_genre") == ANY) | (F.element_at(F.array_intersect(_strings(I("genres")), _strings(R("genre_ids"))), 1) == I("k_genre")))
+    on = on & first(I("countries"), (I("k_country") == ANY) | (F.element_at(F.array_intersect(I("countries"), R("countries")), 1) == I("k_country")))
+    worldwide = F.coalesce((R("preset_key") == "world") & (I("bucket") == "regular"), F.lit(False))
+    hit = lambda k: keyword_hit(I("haystack"), k, I("tech"))
+    barred = R("has_excluded") & _overlap(R("excluded"), I("countries")) & ~(worldwide & (F.size(F.array_except(I("countries"), R("excluded"))) > 0))
+    found = left.alias("r").join(right.alias("i"), on).filter(~barred & (~R("has_include") | F.exists(R("include"), hit)) & (~R("has_exclude") | ~F.exists(R("exclude"), hit)))
+    return found.select("r.rule_id", "i.item_id")
 
 
-def first_reason(*checks: tuple[Column, str], default: str) -> Column:
+def first_reason(*checks: tuple[Column, str | Column], default: str) -> Column:
     """The reason of the first condition that holds; null conditions do not hold."""
-    return F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), F.lit(r)) for c, r in checks], F.lit(default))
+    return F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), r if isinstance(r, Column) else F.lit(r)) for c, r in checks], F.lit(default))
 
 
-def last_reason(*checks: tuple[Column, str], default: str) -> Column:
+def last_reason(*checks: tuple[Column, str | Column], default: str) -> Column:
     """The reason of the last condition that holds, for statuses in which later checks overwrite earlier ones."""
     return first_reason(*reversed(checks), default=default)
+
+
+#: Blockers of a delivery in the order in which they are met, each with the status that it sets; later ones overwrite.
+BLOCKERS = (
+    ("muted_title", "skipped"), ("no_matching_enabled_subscriptions", "skipped"), ("delivered_exact", "delivered"), ("delivered_equivalent", "skipped"), ("cooldown", "waiting"),
+    ("pending_delivery", "waiting"), ("debounce", "waiting"), ("match_review", "waiting"), ("anomaly_hold", "held"), ("quiet_hours", "waiting"),
+)
+
+
+def delivery_status(flags: dict[str, Column]) -> Column:
+    """struct(status, blockers) of a delivery, from a condition for each blocker; null and missing conditions do not hold.
+
+    Of an exact delivery, an equivalent one and the cooldown only the first counts. The last blocker's status stands,
+    `ready` without any.
+    """
+    holds = {n: F.coalesce(flags[n], F.lit(False)) if n in flags else F.lit(False) for n, _ in BLOCKERS}
+    holds["delivered_equivalent"] = holds["delivered_equivalent"] & ~holds["delivered_exact"]
+    holds["cooldown"] = holds["cooldown"] & ~holds["delivered_exact"] & ~holds["delivered_equivalent"]
+    names = F.filter(F.array(*[F.when(holds[n], F.lit(n)) for n, _ in BLOCKERS]), lambda x: x.isNotNull())
+    return F.struct(last_reason(*[(holds[n], status) for n, status in BLOCKERS], default="ready").alias("status"), names.alias("blockers"))

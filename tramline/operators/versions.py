@@ -27,10 +27,16 @@ def retention(versions: DataFrame, group: list[str], signature: str, newest: Col
 
 
 def duplicates(versions: DataFrame, keys: list[str], score: Column, order: list[Column], id_col: str) -> DataFrame:
-    """(id, keeper_id) of every row that loses to a better one of the same keys; order breaks ties of score, largest first."""
-    rank = F.struct(score.alias("s"), *[c.alias(f"o{n}") for n, c in enumerate(order)])
-    keepers = versions.groupBy(*keys).agg(F.max_by(id_col, rank).alias("keeper_id"), F.max(rank).alias("top"))
-    return versions.withColumn("own", rank).join(keepers, keys).filter("own < top").select(id_col, "keeper_id", *keys)
+    """(id, keeper_id) of every row that loses to a better one of the same keys; order breaks ties of score, largest first.
+
+    Rows that tie on all of these are told apart by their ids, the largest kept; rows of one id too lose to one of them.
+    """
+    rank = F.struct(score.alias("s"), *[c.alias(f"o{n}") for n, c in enumerate(order)], F.col(id_col).alias("id"))
+    keepers = versions.groupBy(*keys).agg(F.max(rank).alias("top"))
+    # rows that are equal in rank and id are combined first: all of them but one lose
+    rows = versions.withColumn("own", rank).groupBy(*keys, "own").agg(F.count("*").alias("n"))
+    lost = rows.join(keepers, keys).withColumn("lost", F.col("n") - F.when(F.col("own") == F.col("top"), 1).otherwise(0)).filter("lost > 0")
+    return lost.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), "lost"))).select(F.col("own.id").alias(id_col), F.col("top.id").alias("keeper_id"), *keys)
 
 
 def best_version(versions: DataFrame, key: str, progress_key: Column, recency: list[Column], keep: list[str]) -> DataFrame:
@@ -54,6 +60,9 @@ def highest_progress(rows: DataFrame, key: str, parts: str, order: list[str], ke
     progress cannot be compared with the best so far is passed over, unless the best has none.
     """
     row = F.struct(*[F.col(c) for c in order], F.col(parts).alias("parts"), F.struct(*keep).alias("kept"))
+    # of rows in a run of equal progress the fold ends with the last, so a list holds a key's changes and not its rows
+    after = F.lead(F.struct(F.col(parts).alias("parts"))).over(Window.partitionBy(key).orderBy(*order, *keep))
+    rows = rows.withColumn("after", after).filter(F.col("after").isNull() | ~F.col("after.parts").eqNullSafe(F.col(parts)))
     lists = rows.groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("rows"))
 
     def step(best, x):

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tramline.functions import buckets, detection, progress, scoring, signatures, text, titles
-from tramline.operators import aliases, audit, delivery, leases, linking, review, rules, versions
+from tramline.functions import buckets, detection, labels, progress, scoring, signatures, text, titles
+from tramline.operators import aliases, audit, delivery, leases, linking, review, rules, selection, versions
 from tramline.plans.views import AS_OF, AS_OF_YEAR, frame, with_views
 from tramline.sources import readers
 from tramline.streaming import debounce
@@ -53,36 +53,44 @@ def _rules(get) -> DataFrame:
     return rules.compile_rules(get("rules").withColumn("genre_ids", F.when(F.col("genre") == 0, F.array().cast("array<int>")).otherwise(F.array("genre", (F.col("genre") + 1) % 6, (F.col("genre") + 2) % 6))))
 
 
+#: A double as both engines spell it here: all ratings of the view are whole.
 _REASON_SQL = """CASE WHEN r.is_enabled <> 1 THEN 'disabled'
     WHEN i.media_type = 'other' AND r.media_type <> 'other' THEN 'media_other_mismatch'
-    WHEN r.media_type IN ('movie', 'tv') AND r.media_type <> i.media_type OR r.media_type = 'other' AND i.media_type <> 'other' THEN 'media_mismatch'
-    WHEN i.year < r.year_from OR i.year > r.year_to THEN 'year_mismatch'
-    WHEN r.allow_720 + r.allow_1080 + r.allow_2160 > 0 AND NOT (r.allow_720 = 1 AND i.video_format = '720' OR r.allow_1080 = 1 AND i.video_format = '1080' OR r.allow_2160 = 1 AND i.video_format = '2160') THEN 'format_mismatch'
+    WHEN r.media_type <> 'any' AND r.media_type <> i.media_type THEN 'media_mismatch:' || i.media_type
+    WHEN i.year < r.year_from OR i.year > r.year_to THEN 'year_mismatch:[' || i.year || ']'
+    WHEN r.allow_720 + r.allow_1080 + r.allow_2160 > 0 AND NOT (r.allow_720 = 1 AND i.video_format = '720' OR r.allow_1080 = 1 AND i.video_format = '1080' OR r.allow_2160 = 1 AND i.video_format = '2160') THEN 'format_mismatch:' || i.video_format
     WHEN r.min_rating IS NOT NULL AND i.rating IS NULL THEN 'rating_missing'
-    WHEN r.min_rating IS NOT NULL AND i.rating < r.min_rating THEN 'rating_mismatch'
-    WHEN r.bucket_filter = 'only_anime' AND i.bucket <> 'anime' THEN 'bucket_mismatch'
-    WHEN r.bucket_filter = 'exclude_dorama' AND i.bucket = 'dorama' OR r.bucket_filter = 'exclude_anime_dorama' AND i.bucket IN ('anime', 'dorama') THEN 'bucket_excluded'
-    WHEN r.genre <> 0 AND i.genre NOT IN (r.genre, (r.genre + 1) % 6, (r.genre + 2) % 6) THEN 'genre_mismatch'
+    WHEN r.min_rating IS NOT NULL AND i.rating < r.min_rating THEN 'rating_mismatch:' || i.rating
+    WHEN r.bucket_filter = 'only_anime' AND i.bucket <> 'anime' THEN 'bucket_mismatch:' || i.bucket
+    WHEN r.bucket_filter = 'exclude_dorama' AND i.bucket = 'dorama' OR r.bucket_filter = 'exclude_anime_dorama' AND i.bucket IN ('anime', 'dorama') THEN 'bucket_excluded:' || i.bucket
+    WHEN r.genre <> 0 AND i.genre NOT IN (r.genre, (r.genre + 1) % 6, (r.genre + 2) % 6) THEN 'genre_mismatch:[' || i.genre || ']'
     WHEN r.country_codes <> '' AND i.country = '' THEN 'country_missing'
-    WHEN r.country_codes <> '' AND NOT list_contains([trim(x) FOR x IN string_split(upper(r.country_codes), ',')], i.country) THEN 'country_mismatch'
-    WHEN r.exclude_country_codes = i.country THEN 'excluded_country'
+    WHEN r.country_codes <> '' AND NOT list_contains([trim(x) FOR x IN string_split(upper(r.country_codes), ',')], i.country) THEN 'country_mismatch:[''' || i.country || ''']'
+    WHEN r.exclude_country_codes = i.country THEN 'excluded_country:[''' || i.country || ''']'
     WHEN r.include_keywords <> '' AND NOT (regexp_matches(hay, '(^|[^a-z0-9_])ar([^a-z0-9_]|$)') OR regexp_matches(hay, '(^|[^a-z0-9_])lin([^a-z0-9_]|$)')) THEN 'include_keyword_mismatch'
-    WHEN r.exclude_keywords <> '' AND (regexp_matches(hay, '(^|[^a-z0-9_])zz([^a-z0-9_]|$)') OR regexp_matches(hay, '(^|[^a-z0-9_])red([^a-z0-9_]|$)')) THEN 'exclude_keyword'
+    WHEN r.exclude_keywords <> '' AND (regexp_matches(hay, '(^|[^a-z0-9_])zz([^a-z0-9_]|$)') OR regexp_matches(hay, '(^|[^a-z0-9_])red([^a-z0-9_]|$)')) THEN 'exclude_keyword:' ||
+        concat_ws('|', CASE WHEN regexp_matches(hay, '(^|[^a-z0-9_])zz([^a-z0-9_]|$)') THEN 'zz' END, CASE WHEN regexp_matches(hay, '(^|[^a-z0-9_])red([^a-z0-9_]|$)') THEN 'red' END)
     ELSE 'passed' END"""
 _HAY = "(SELECT *, lower(title || chr(10) || category) AS hay FROM {items})"
+#: How many checks are made up to each reason.
+_MADE_SQL = """CASE WHEN reason = 'missing_rule_or_item' OR reason = 'disabled' THEN 1 WHEN reason LIKE 'media%' THEN 2 WHEN reason LIKE 'year%' THEN 3 WHEN reason LIKE 'format%' THEN 4 WHEN reason LIKE 'rating%' THEN 5
+    WHEN reason LIKE 'bucket%' THEN 6 WHEN reason LIKE 'genre%' THEN 7 WHEN reason LIKE 'country%' THEN 8 WHEN reason LIKE 'excluded_country%' THEN 9 WHEN reason LIKE 'include%' THEN 10 ELSE 11 END"""
 
 
-@query(f"""SELECT p.user_id AS rule_id, p.item_id, CASE WHEN r.rule_id IS NULL OR i.item_id IS NULL THEN 'missing_rule_or_item' ELSE {_REASON_SQL} END AS reason
-    FROM (SELECT DISTINCT user_id, item_id FROM {{facts}}) p LEFT JOIN {{rules}} r ON p.user_id = r.rule_id LEFT JOIN {_HAY} i ON p.item_id = i.item_id""")
+@query(f"""SELECT *, {_MADE_SQL} AS checks_made, reason <> 'passed' AS last_failed FROM (SELECT p.user_id AS rule_id, p.item_id, CASE WHEN r.rule_id IS NULL OR i.item_id IS NULL THEN 'missing_rule_or_item' ELSE {_REASON_SQL} END AS reason
+    FROM (SELECT DISTINCT user_id, item_id FROM {{facts}}) p LEFT JOIN {{rules}} r ON p.user_id = r.rule_id LEFT JOIN {_HAY} i ON p.item_id = i.item_id)""")
 def rule_explain(get):
     pairs = get("facts").select(F.col("user_id").alias("rule_id"), "item_id").distinct()
-    return rules.explain(pairs, _rules(get), _items(get))
+    rows = rules.explain(pairs, _rules(get), _items(get), with_checks=True)
+    return rows.select("rule_id", "item_id", "reason", F.size("checks").alias("checks_made"), (~F.element_at("checks", -1)["passed"]).alias("last_failed"))
 
 
 @query(f"SELECT r.rule_id, count(*) AS matches, min(i.item_id) AS first_item, max(i.item_id) AS last_item FROM {{rules}} r JOIN {_HAY} i ON {_REASON_SQL} = 'passed' GROUP BY r.rule_id")
 def rule_match(get):
-    found = rules.match(_rules(get), _items(get))
-    return found.groupBy("rule_id").agg(F.count("*").alias("matches"), F.min("item_id").alias("first_item"), F.max("item_id").alias("last_item"))
+    # classes of equal rules are matched once and fanned out to their members as counts
+    heads, members = rules.classes(_rules(get))
+    found = rules.match(heads, _items(get)).groupBy(F.col("rule_id").alias("class_id")).agg(F.count("*").alias("matches"), F.min("item_id").alias("first_item"), F.max("item_id").alias("last_item"))
+    return found.join(members, "class_id").select("rule_id", "matches", "first_item", "last_item")
 
 
 @query("SELECT r.rule_id, r.media_type, u.user_name FROM {rules} r JOIN {users} u ON r.user_id = u.user_id WHERE r.is_enabled = 1 AND u.is_active AND u.access_granted AND (u.expires_at IS NULL OR u.expires_at > 996710400)")
@@ -258,7 +266,8 @@ def status_histogram(get):
 
 @query("""SELECT release_id, string_agg(CASE WHEN n > 1 THEN n || 'x:' || label ELSE label END, ',' ORDER BY label) AS audio FROM (SELECT release_id, lower(audio) AS label, count(*) AS n FROM {versions} GROUP BY ALL) GROUP BY release_id""")
 def audio_signature(get):
-    return get("versions").groupBy("release_id").agg(F.collect_list("audio").alias("tracks")).select("release_id", signatures.audio_signature(F.col("tracks")).alias("audio"))
+    labels_ = get("versions").groupBy("release_id", F.lower(F.trim("audio")).alias("label")).agg(F.count("*").alias("n"))
+    return labels_.groupBy("release_id").agg(F.collect_list(F.struct("label", "n")).alias("labels")).select("release_id", signatures.audio_signature_of_counts(F.col("labels")).alias("audio"))
 
 
 @query("""SELECT DISTINCT release_id, media, sha1(CASE WHEN media = 'movie' THEN 'movie|' ELSE media || '|' || progress || '|' END || 'nofmt|norelease|' || lower(audio)) AS variant FROM {versions}""")
@@ -273,27 +282,26 @@ def change_lag(get):
     return get("facts").withColumn("version_before", F.lag("version_id").over(own)).select("event_id", "line", "version_id", "user_id", "item_id", "version_before")
 
 
-_TOKENS = "list_sort(list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda t: t <> '')))"
+#: Lower-cased words of two scripts without markup and accents, as text.normalized gives them.
+_NORM = """trim(regexp_replace(strip_accents(replace(replace(translate(lower(regexp_replace({}, '<[^>]+>', ' ', 'g')), 'ışğçöü', 'isgcou'), 'æ', 'ae'), 'œ', 'oe')), '[^a-zа-яё0-9]+', ' ', 'g'))"""
+_RAW_TOKENS = "list_distinct(list_filter(string_split(" + _NORM + ", ' '), lambda t: t <> ''))"
+_STOP = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
+_TOKENS_OF = "CASE WHEN len(list_filter({0}, lambda t: NOT list_contains(" + _STOP + ", t))) > 0 THEN list_filter({0}, lambda t: NOT list_contains(" + _STOP + ", t)) ELSE {0} END"
 
 
-@query(f"""WITH d AS (SELECT doc_id, {_TOKENS.format('text')} AS a FROM documents), b AS (SELECT item_id, {_TOKENS.format('text')} AS b FROM benchmark)
-    SELECT doc_id, item_id, round(len(list_intersect(a, b)) / greatest(len(a), len(b)), 3) AS overlap FROM d, b WHERE len(a) > 0 AND len(b) > 0 AND round(len(list_intersect(a, b)) / greatest(len(a), len(b)), 3) >= 0.3""")
+@query(f"""WITH d AS (SELECT doc_id, {_TOKENS_OF.format('raw')} AS a FROM (SELECT doc_id, {_RAW_TOKENS.format('text')} AS raw FROM {{titles}})), b AS (SELECT item_id, {_TOKENS_OF.format('raw')} AS b FROM (SELECT item_id, {_RAW_TOKENS.format('text')} AS raw FROM {{names}}))
+    SELECT doc_id, item_id, round(len(list_intersect(a, b)) / greatest(len(a), len(b)), 3) AS overlap FROM d, b WHERE len(a) > 0 AND len(b) > 0 AND round(len(list_intersect(a, b)) / greatest(len(a), len(b)), 3) >= 0.15""")
 def token_overlap(get):
-    return linking.overlaps(get("documents"), get("benchmark"), "doc_id", "item_id", "text", "text", 0.3)
+    return linking.overlaps(get("titles"), get("names"), "doc_id", "item_id", "text", "text", 0.15)
 
 
-_PREFIX = "array_to_string(list_slice(string_split({0}, ' '), 1, {1}), ' ')"
-
-
-@query(f"""WITH i AS (SELECT doc_id, {_PREFIX.format('text', 6)} AS title, CASE WHEN len(string_split({_PREFIX.format('text', 6)}, ' ')) >= 4 THEN {_PREFIX.format('text', 4)} END AS prefix FROM documents),
-    e AS (SELECT item_id, {_PREFIX.format('text', 6)} AS title, {_PREFIX.format('text', 4)} AS prefix, len(string_split({_PREFIX.format('text', 6)}, ' ')) AS n FROM benchmark)
-    SELECT doc_id, coalesce(x.id, p.id) AS entry_id, CASE WHEN x.id IS NOT NULL THEN 'exact' WHEN p.id IS NOT NULL THEN 'prefix' ELSE 'none' END AS route FROM i
-    LEFT JOIN (SELECT title, min(item_id) AS id FROM e GROUP BY title) x ON i.title = x.title LEFT JOIN (SELECT prefix, min(item_id) AS id FROM e WHERE n >= 4 GROUP BY prefix) p ON i.prefix = p.prefix""")
+@query(f"""WITH i AS (SELECT item_id, kind, {_NORM.format('title')} AS t FROM {{listings}}), e AS (SELECT entry_id, {_NORM.format('name')} AS t FROM {{entries}}),
+    p AS (SELECT array_to_string(list_slice(string_split(t, ' '), 1, 4), ' ') AS prefix, min(entry_id) AS id FROM e WHERE len(string_split(t, ' ')) >= 4 GROUP BY 1), x AS (SELECT t, min(entry_id) AS id FROM e GROUP BY t)
+    SELECT item_id, kind, coalesce(x.id, p.id) AS entry_id, CASE WHEN x.id IS NOT NULL THEN 'exact' WHEN p.id IS NOT NULL THEN 'prefix' ELSE 'none' END AS route FROM i LEFT JOIN x ON i.t = x.t
+    LEFT JOIN p ON len(string_split(i.t, ' ')) >= 4 AND p.prefix = array_to_string(list_slice(string_split(i.t, ' '), 1, 4), ' ')""")
 def dict_lookup(get):
-    words = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 6), " ")
-    entries = get("benchmark").select(F.col("item_id").alias("entry_id"), words(F.col("text")).alias("name"))
-    items = get("documents").select("doc_id", words(F.col("text")).alias("title"))
-    return linking.exact_then_prefix(items, entries, F.col("title"), F.col("name")).select("doc_id", "entry_id", "route")
+    found = linking.exact_then_prefix(get("listings"), get("entries"), text.normalized(F.col("title")), text.normalized(F.col("name")))
+    return found.select("item_id", "kind", "entry_id", "route")
 
 
 @query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages""")
@@ -307,19 +315,22 @@ def year_extract(get):
     return get("documents").select("doc_id", F.col("text").isNotNull().alias("ok"), F.array_join(F.transform(found, lambda y: y.cast("string")), ",").alias("years"))
 
 
-@query("SELECT event_id, props AS listed, 1 AS n FROM events")
+@query("""SELECT event_id, array_to_string(l, ',') AS listed, len(l) AS n FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN CASE WHEN lower(event_type) = 'x' THEN [event_type] ELSE [event_type, 'X'] END WHEN 1 THEN list_filter([event_type, 'B', CAST(user_id AS VARCHAR)], lambda x: TRUE)
+    WHEN 2 THEN [props] WHEN 3 THEN [] WHEN 4 THEN [] ELSE CASE WHEN event_type = CAST(user_id AS VARCHAR) THEN [event_type] ELSE [event_type, CAST(user_id AS VARCHAR)] END END AS l FROM {lists})""")
 def jsonish_list(get):
-    parts = text.listed(F.col("props"))
-    return get("events").select("event_id", F.array_join(parts, ",").alias("listed"), F.size(parts).alias("n"))
+    parts = text.listed(F.col("raw"))
+    return get("lists").select("event_id", F.array_join(parts, ",").alias("listed"), F.size(parts).alias("n"))
+
 
+_LINES = r"list_distinct(list_filter(list_transform(string_split(coalesce({}, ''), chr(10)), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))), lambda l: l <> ''))"
 
-@query("""WITH t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
-    SELECT conv_id, turn, len(list_filter(string_split(text, chr(10)), lambda x: before IS NULL OR NOT list_contains(string_split(before, chr(10)), x))) AS added, CASE WHEN before IS NULL THEN 0 ELSE len(list_filter(string_split(before, chr(10)), lambda x: NOT list_contains(string_split(text, chr(10)), x))) END AS removed FROM t""")
+
+@query(f"""WITH t AS (SELECT conv_id, turn, {_LINES.format('text')} AS n, {_LINES.format('lag(text) OVER (PARTITION BY conv_id ORDER BY turn)')} AS o FROM conversations)
+    SELECT conv_id, turn, len(list_filter(n, lambda x: NOT list_contains(o, x))) AS added, len(list_filter(o, lambda x: NOT list_contains(n, x))) AS removed FROM t""")
 def line_diff(get):
     rows = get("conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
-    new, old = F.split("text", "\n"), F.coalesce(F.split("before", "\n"), F.array().cast("array<string>"))
-    missing = lambda a, b: F.size(F.filter(a, lambda x: ~F.array_contains(b, x)))
-    return rows.select("conv_id", "turn", missing(new, old).cast("long").alias("added"), missing(old, new).cast("long").alias("removed"))
+    change = labels.text_change(F.coalesce("before", F.lit("")), F.col("text"))
+    return rows.select("conv_id", "turn", change.alias("c")).select("conv_id", "turn", F.size("c.added").cast("long").alias("added"), F.size("c.removed").cast("long").alias("removed"))
 
 
 @query("SELECT event_id, line, version_id, 'release:' || user_id || ':' || item_id || ':' || version_id AS event_key FROM {facts}")
@@ -364,12 +375,19 @@ def text_fields(get):
     return get("conversations").select("conv_id", "turn", text.video_format(own).alias("video_format"), F.md5(own).alias("text_hash"), text.shorten(text.compact_spaces(own), 40).alias("short"))
 
 
-@query("""WITH p AS (SELECT event_id, user_id, epoch(ts)::BIGINT AS at FROM (SELECT event_id, user_id, date_trunc('second', ts) AS ts FROM events)),
-    c AS (SELECT *, 'sS' AS k, 1 + event_id % 3 AS season, 1 + event_id % 12 AS ep FROM p) SELECT event_id, CAST(season AS BIGINT) AS season, CAST(ep AS BIGINT) AS last_episode FROM c""")
+#: The ten forms of progress, each with the season, first, last and total number that it tells.
+_FORMS = (
+    ("{season} сезон: {first}-{last} серии из {total}", "sflt"), ("{season} Сезон: {first}, {last} серии", "sfl"), ("S{season}E{first}-E{last}", "sfl"), ("s0{season} e{first}", "sf"), ("{season}x{first}-{season}x{last}", "sfl"),
+    ("{season}x{first}", "sf"), ("{first}-{last} выпусков из {total}", "flt"), ("{first} серия", "f"), ("{first} - {last} из {total}", "flt"), ("{first} из {total}", "ft"),
+)
+
+
+@query("SELECT event_id, " + ", ".join(f"CASE WHEN form IN ({', '.join(str(n) for n, (_, told) in enumerate(_FORMS) if letter in told)}) THEN CAST({value} AS BIGINT) END AS {name}" for name, letter, value in (("season", "s", "season"), ("first_episode", "f", "first"), ("total", "t", "total")))
+    + f", CASE WHEN form IN ({', '.join(str(n) for n, (_, told) in enumerate(_FORMS) if 'l' in told)}) THEN CAST(last AS BIGINT) ELSE CAST(first AS BIGINT) END AS last_episode FROM {{progresses}}")
 def progress_parts(get):
-    own = F.format_string("S%02dE%02d-E%02d", 1 + F.col("event_id") % 3, F.lit(1), 1 + F.col("event_id") % 12)
-    parts = progress.parts(own)
-    return get("events").select("event_id", parts["season"].cast("long").alias("season"), parts["end"].cast("long").alias("last_episode"))
+    arms = F.array(*[F.format_string(form.replace("{season}", "%1$d").replace("{first}", "%2$d").replace("{last}", "%3$d").replace("{total}", "%4$d"), "season", "first", "last", "total") for form, _ in _FORMS])
+    parts = progress.parts(F.element_at(arms, (F.col("form") + 1).cast("int")))
+    return get("progresses").select("event_id", *[parts[own].cast("long").alias(name) for name, own in (("season", "season"), ("first_episode", "start"), ("total", "total"), ("last_episode", "end"))])
 
 
 @query("""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, payload) AS rn FROM (SELECT user_id AS key, epoch(date_trunc('second', ts))::BIGINT AS t, event_id AS payload FROM events)),
@@ -384,16 +402,18 @@ def debounce_replay(get):
 
 @query()
 def similarity_rank(get):
-    pairs = linking.overlaps(get("documents"), get("benchmark"), "doc_id", "item_id", "text", "text", 0.3)
-    pairs = pairs.drop("overlap").join(get("documents").select("doc_id", F.col("text").alias("doc")), "doc_id").join(get("benchmark").select("item_id", F.col("text").alias("item")), "item_id")
+    pairs = linking.overlaps(get("titles"), get("names"), "doc_id", "item_id", "text", "text", 0.15)
+    pairs = pairs.join(get("titles").select("doc_id", F.col("text").alias("doc")), "doc_id").join(get("names").select("item_id", F.col("text").alias("item")), "item_id")
     best = linking.ranked(pairs, "doc_id", "item_id", F.col("doc"), F.col("item"), 3)
     return best.select("doc_id", "item_id", "place", "score", linking.confidence(F.lower("doc") == F.lower("item"), F.col("similarity"), F.col("overlap"), F.lit(None).cast("int")).alias("confidence"))
 
 
-@query("SELECT item_id, title AS title_en, year, 'ДБ,ПМ (Studio)' AS audio, 'WEBRip (' || video_format || 'p)' AS release_type FROM {items}")
+@query("""SELECT item_id, title_ru_ AS title_ru, title_en, CAST(nullif(year, '') AS INT) AS year, audio_ AS audio, nullif(release_type, '') AS release_type, nullif(progress, '') AS progress FROM
+    (SELECT *, nullif(title_ru, '') AS title_ru_, CASE item_id % 6 WHEN 0 THEN '' ELSE replace(audio, ', ', ',') END AS audio_ FROM {releases})""")
 def parse_release(get):
-    raw = F.concat_ws(" / ", F.col("title"), F.col("year").cast("string"), F.lit("ДБ, ПМ (Studio)"), F.concat(F.lit("WEBRip ("), F.col("video_format"), F.lit("p)")))
-    return get("items").select("item_id", titles.parse_title(raw).alias("parsed")).select("item_id", "parsed.title_en", "parsed.year", F.array_join("parsed.audio", ",").alias("audio"), "parsed.release_type")
+    raw = F.concat_ws(" / ", *[F.nullif(F.when(F.lit(c == "audio") & (F.col("item_id") % 6 == 0), "").otherwise(F.col(c)), F.lit("")) for c in ("title_ru", "title_en", "year", "progress", "audio", "release_type")])
+    rows = get("releases").select("item_id", titles.parse_title(raw).alias("parsed"))
+    return rows.select("item_id", "parsed.title_ru", "parsed.title_en", "parsed.year", F.array_join("parsed.audio", ",").alias("audio"), "parsed.release_type", "parsed.progress")
 
 
 #: Feature columns for scoring, made from orders: each order stands for a candidate of a query.
@@ -526,15 +546,129 @@ def metric_increase(get):
     return leases.increase(rows, "user_id", "t", "v", 86_400_000_000).select("event_id", F.col("increase").cast("long").alias("increase"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, {_TOKENS.format('text')} AS a FROM documents), b AS (SELECT item_id, {_TOKENS.format(_PREFIX.format('text', 3))} AS b FROM benchmark)
-    SELECT DISTINCT doc_id, item_id FROM d, b WHERE len(b) > 0 AND list_has_all(a, b)""")
+@query(f"""WITH m AS (SELECT title, t, list_distinct(string_split(t, ' ')) AS a FROM (SELECT DISTINCT title, {_NORM.format('title')} AS t FROM {{mentions}}) WHERE t <> ''), k AS (SELECT alias, e, list_distinct(string_split(e, ' ')) AS b FROM (SELECT alias, {_NORM.format('name')} AS e FROM {{aliases}}) WHERE e <> '')
+    SELECT DISTINCT title, alias FROM m, k WHERE contains(t, e) OR contains(e, t) OR list_has_all(a, b) OR len(b) >= 2 AND len(list_intersect(a, b)) >= greatest(2, len(b) - 1)""")
 def alias_hits(get):
-    names = get("benchmark").select(F.col("item_id").alias("alias"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("name"))
-    return aliases.alias_hits(get("documents"), "doc_id", "text", names).select("doc_id", F.col("alias").alias("item_id"))
+    return aliases.alias_hits(get("mentions"), "title", get("aliases"))
 
 
-@query("""SELECT item_id, CASE WHEN category LIKE '%STEEL%' THEN 'other' WHEN category LIKE '%BRASS%' OR category LIKE '%COPPER%' THEN 'tv' ELSE 'movie' END AS media FROM {items}""")
+#: Words of titles with the media type that they tell, one for each item in turn.
+_MEDIA = (
+    ("PC (Windows) / RPG", "other"), ("1 сезон: 1-3 серии из 8", "tv"), ("WEB-DL (1080p)", "movie"), ("MP3", "other"), ("S01E02", "tv"), ("BDRip", "movie"), ("FB2", "other"), ("5 серия", "tv"), ("HDTV 720p", "movie"), ("FLAC", "other"), ("3 эпизод", "tv"), ("", "movie"),
+)
+
+
+@query("SELECT item_id, CASE item_id % 12 " + " ".join(f"WHEN {n} THEN '{media}'" for n, (_, media) in enumerate(_MEDIA)) + " END AS media FROM {items}")
 def media_detection(get):
-    # the part's type decides which words its title gets
-    words = F.when(F.col("category").contains("STEEL"), " / PC (Windows) / RPG").when(F.col("category").contains("BRASS") | F.col("category").contains("COPPER"), " / 1 сезон: 1-3 серии из 8").otherwise(" / WEB")
-    return get("items").select("item_id", detection.media_type(F.concat(F.lit("Название / "), F.col("item_id").cast("string"), words)).alias("media"))
+    words = F.element_at(F.array(*[F.lit(w) for w, _ in _MEDIA]), (F.col("item_id") % 12 + 1).cast("int"))
+    raw = F.concat_ws(" / ", F.lit("Название"), "title", F.nullif(words, F.lit("")))
+    return get("items").select("item_id", detection.media_type(raw).alias("media"))
+
+
+@query(f"""SELECT o_orderkey AS candidate_id, o_custkey AS query_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey) AS place FROM (SELECT o_orderkey, o_custkey, round(0.9 * similarity + 0.7 * overlap, 3) AS score FROM ({_FEATURES_SQL}))) WHERE place <= 3""")
+def candidate_rank(get):
+    rows = linking.top_ranked(_features(get), "o_custkey", "o_orderkey", 3)
+    return rows.select(F.col("o_orderkey").alias("candidate_id"), F.col("o_custkey").alias("query_id"), "score", "place")
+
+
+# Blockers of a delivery, made from the fact's own numbers so that every pair of them occurs.
+_FLAGS = {
+    "muted_title": "item_id % 5 = 0", "no_matching_enabled_subscriptions": "user_id % 4 = 0", "delivered_exact": "line = 2", "delivered_equivalent": "line = 2 OR line = 3", "cooldown": "version_id % 3 = 0",
+    "pending_delivery": "version_id % 7 = 0", "debounce": "event_id % 6 = 0", "match_review": "item_id % 11 = 0", "anomaly_hold": "event_id % 9 = 0", "quiet_hours": "user_id % 6 = 0",
+}
+_MET = {n: f"({c})" + (f" AND NOT ({_FLAGS['delivered_exact']})" if n in ("delivered_equivalent", "cooldown") else "") + (f" AND NOT ({_FLAGS['delivered_equivalent']})" if n == "cooldown" else "") for n, c in _FLAGS.items()}
+
+
+@query("SELECT event_id, line, version_id, CASE " + " ".join(f"WHEN {_MET[n]} THEN '{status}'" for n, status in reversed(rules.BLOCKERS)) + " ELSE 'ready' END AS status, concat_ws(',', "
+    + ", ".join(f"CASE WHEN {_MET[n]} THEN '{n}' END" for n, _ in rules.BLOCKERS) + ") AS blockers FROM {facts}")
+def delivery_explain(get):
+    own = rules.delivery_status({n: F.expr(c) for n, c in _FLAGS.items()})
+    return get("facts").select("event_id", "line", "version_id", own.alias("s")).select("event_id", "line", "version_id", "s.status", F.array_join("s.blockers", ",").alias("blockers"))
+
+
+_LINKS = "SELECT o_orderkey AS item_id, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey END AS entry_id, CASE o_orderkey % 4 WHEN 0 THEN ' Manual_Override ' WHEN 1 THEN 'search' WHEN 2 THEN NULL ELSE 'external' END AS path, CASE o_custkey % 4 WHEN 0 THEN 'LOW ' WHEN 1 THEN NULL WHEN 2 THEN 'high' ELSE 'medium' END AS confidence FROM {orders}"
+
+
+@query(f"""SELECT item_id, coalesce(confidence = 'LOW ' AND entry_id <> 0, FALSE) AS review, coalesce(entry_id <> 0, FALSE) AND coalesce(path, '') <> ' Manual_Override ' AND coalesce(confidence, '') IN ('', 'LOW ') AS relink FROM ({_LINKS.replace('{orders}', 'orders')})""")
+def link_reviews(get):
+    rows = get("orders").sparkSession.sql(_LINKS, orders=get("orders"))
+    return rows.select("item_id", selection.needs_review(F.col("confidence"), F.col("entry_id")).alias("review"), selection.needs_relink(F.col("entry_id"), F.col("path"), F.col("confidence")).alias("relink"))
+
+
+@query("""SELECT p_partkey, p_size FROM part WHERE p_partkey % 3 <> 0 ORDER BY CASE WHEN p_size % 7 = 0 THEN 0 ELSE p_size END DESC, p_retailprice DESC, p_partkey DESC LIMIT 50""")
+def rematch_newest(get):
+    rows = get("part").withColumn("release", F.lit("r")).withColumn("entry", F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey"))).withColumn("published", F.when(F.col("p_size") % 7 != 0, F.col("p_size")))
+    return selection.for_rematch(rows, "release", "entry", "published", ["p_retailprice", "p_partkey"]).select("p_partkey", "p_size")
+
+
+@query("""SELECT rule_id, item_id, place FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY at_ DESC, item_id DESC) AS place FROM (SELECT DISTINCT f.user_id AS rule_id, f.item_id, i.year AS at_ FROM {facts} f JOIN {items} i ON f.item_id = i.item_id)) WHERE place <= 5""")
+def rule_last_items(get):
+    return selection.matched_last(get("facts").select(F.col("user_id").alias("rule_id"), "item_id").distinct(), get("items"), "year", 5)
+
+
+@query("""SELECT item_id, user_id, strftime(max(delivered_at), '%Y-%m-%d %H:%M:%S') AS last_at, row_number() OVER (PARTITION BY item_id ORDER BY max(delivered_at) DESC, user_id) AS place FROM {facts} GROUP BY item_id, user_id""")
+def release_users(get):
+    return selection.release_users(get("facts"), "item_id").select("item_id", "user_id", _day("last_delivered_at").alias("last_at"), "place")
+
+
+@query(f"""SELECT release_id, progress, delivery_users FROM (SELECT *, row_number() OVER (PARTITION BY release_id ORDER BY delivery_users DESC, delivery_count DESC, polled_at DESC, progress) AS rn FROM ({_GAP_SQL}) WHERE gap_kind = 'latest_gap' AND delivery_users > 0) WHERE rn = 1""")
+def repair_candidates(get):
+    return selection.repair_candidates(_gaps(get), [F.desc("delivery_users"), F.desc("delivery_count"), F.desc("polled_at"), F.col("progress")]).select("release_id", "progress", "delivery_users")
+
+
+@query("""SELECT count(*) AS "groups", sum(v)::BIGINT AS versions_to_archive, sum(n)::BIGINT AS items_to_archive FROM (SELECT release_id, media, count(*) AS v, sum(n) AS n FROM (SELECT release_id, media, progress, count(*) AS n FROM
+    (SELECT v.*, dense_rank() OVER (PARTITION BY release_id, media ORDER BY newest DESC, progress) AS r FROM (SELECT *, max(published) OVER (PARTITION BY release_id, media, progress) AS newest FROM {versions}) v) WHERE r > 3 GROUP BY ALL) GROUP BY ALL)""")
+def cleanup_summary(get):
+    plan = versions.retention(get("versions"), ["release_id", "media"], "progress", F.col("published"), 3)
+    return selection.cleanup_summary(plan, ["release_id", "media"], "progress")
+
+
+@query("SELECT DISTINCT code FROM (SELECT country AS code FROM {items} WHERE country <> '' UNION ALL SELECT unnest(['US', 'JP']))")
+def known_countries(get):
+    return selection.known_countries(get("items").withColumn("country", F.lower("country")), "country", ["us", "JP"])
+
+
+_WHY = "CASE WHEN u.user_id % 9 = 0 THEN 'disabled' WHEN f.item_id % 17 = f.user_id % 17 THEN 'title_muted' ELSE 'already_delivered' END"
+
+
+@query(f"""SELECT reason, count(*) AS n, array_to_string(list_slice(list_sort(list(user_id)), 1, 5), ',') AS named FROM (SELECT DISTINCT {_WHY} AS reason, f.user_id FROM {{facts}} f JOIN {{users}} u ON f.user_id = u.user_id) GROUP BY reason""")
+def skipped_users(get):
+    rows = get("facts").alias("f").join(get("users").alias("u"), F.col("f.user_id") == F.col("u.user_id")).select(F.expr(_WHY).alias("reason"), "f.user_id")
+    return selection.skipped_users(rows).select("reason", "n", F.array_join("named", ",").alias("named"))
+
+
+@query("""SELECT p_partkey AS item_id, CASE WHEN w IS NULL THEN 'kept' WHEN w < 4 THEN ['anime', 'dorama', 'regular', 'regular'][w + 1] ELSE '' END AS bucket, CASE WHEN w IS NULL THEN 'C9' WHEN w = 3 THEN 'TR' ELSE '' END AS countries
+    FROM part LEFT JOIN (SELECT l_partkey, max_by(l_suppkey % 5, l_orderkey * 10 + l_linenumber) AS w FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey) ON p_partkey = l_partkey""")
+def manual_routing(get):
+    words = F.element_at(F.array(*map(F.lit, ("Аниме", "dorama ", "МИР", "Турция", "nowhere"))), (F.col("l_suppkey") % 5 + 1).cast("int"))
+    asked = get("lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("item_id"), selection.route(words).alias("to"), "l_orderkey", "l_linenumber", words.alias("word"))
+    asked = asked.select("item_id", F.coalesce("to.bucket", "word").alias("bucket"), F.array_join("to.countries", ",").alias("countries"), "l_orderkey", "l_linenumber")
+    items = get("part").select(F.col("p_partkey").alias("item_id"), F.lit("kept").alias("manual_bucket"), F.lit("C9").alias("manual_countries"))
+    return selection.routed(items, "item_id", asked, ["l_orderkey", "l_linenumber"]).select("item_id", F.col("manual_bucket").alias("bucket"), F.col("manual_countries").alias("countries"))
+
+
+@query("""SELECT DISTINCT f.user_id, f.item_id FROM {facts} f WHERE f.origin = 'live' AND f.item_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM {facts} d WHERE d.origin = 'archive' AND d.user_id = f.user_id AND d.item_id = f.item_id)""")
+def bootstrap_marks(get):
+    fresh = get("part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("item_id"))
+    return selection.bootstrap(fresh, get("facts").filter("origin = 'live'"), get("facts").filter("origin = 'archive'"), True)
+
+
+_SENT = "SELECT event_id, line, version_id, user_id, item_id, CASE WHEN line % 3 = 0 THEN 'said' WHEN line % 3 = 1 THEN ' ' END AS said FROM {facts}"
+
+
+@query(f"""SELECT s.event_id, s.line, s.version_id, CASE WHEN s.said = 'said' THEN 'said' ELSE p_name END AS title, CASE WHEN p_partkey % 8 = 0 THEN 'archive' ELSE 'exact_duplicate' END AS archive_reason, CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE p_partkey - 1 END AS merged_into
+    FROM ({_SENT}) s JOIN part ON s.item_id = p_partkey WHERE p_partkey % 4 = 0""")
+def archived_deliveries(get):
+    items = get("part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"))
+    plan = items.filter("item_id % 4 = 0").select("item_id", F.when(F.col("item_id") % 8 == 0, " ").otherwise("exact_duplicate").alias("reason"), F.when(F.col("item_id") % 8 != 0, F.col("item_id") - 1).alias("merged_into"))
+    sent = get("facts").sparkSession.sql(_SENT, facts=get("facts")).withColumn("snapshot", F.struct(F.col("said").alias("title"))).drop("said")
+    return review.archive(items, plan, sent, "snapshot", ["title"], F.lit(AS_OF))[2].select("event_id", "line", "version_id", "title", "archive_reason", "merged_into")
+
+
+@query("""SELECT w.item_id, CASE WHEN w.item_id % 4 <> 0 OR w.item_id % 8 = 0 THEN w.item_id ELSE w.item_id - 1 END AS found_id, CASE WHEN w.item_id % 4 <> 0 THEN 'live' WHEN w.item_id % 8 = 0 THEN 'archived' ELSE 'merged' END AS origin, p_name AS title
+    FROM (SELECT DISTINCT l_partkey AS item_id FROM lineitem) w JOIN part ON p_partkey = CASE WHEN w.item_id % 4 <> 0 OR w.item_id % 8 = 0 THEN w.item_id ELSE w.item_id - 1 END""")
+def find_any_item(get):
+    items = get("part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"))
+    plan = items.filter("item_id % 4 = 0").select("item_id", F.lit("x").alias("reason"), F.when(F.col("item_id") % 8 != 0, F.col("item_id") - 1).alias("merged_into"))
+    live, gone, _ = review.archive(items, plan, get("facts").select("item_id").withColumn("snapshot", F.struct(F.lit("").alias("title"))), "snapshot", ["title"], F.lit(AS_OF))
+    return review.find_any(get("lineitem").select(F.col("l_partkey").alias("item_id")), live, gone, ["archived_at"], ["title"])

@@ -13,7 +13,27 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 #: The moment that all queries take as now, in epoch seconds, and its year.
 AS_OF, AS_OF_YEAR = 996_710_400, 2001
 
+#: Letters of one script and those of the other that stand for them in some titles.
+LATIN, CYRILLIC = "abcdefghijklmnoprstuvyz", "абцдефгхийклмнопрстувыз"
+
 VIEWS = {
+    "titles": f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN translate(lower(text), '{LATIN}', '{CYRILLIC}') ELSE text END AS text FROM {{documents}}",
+    "names": f"""SELECT item_id, text FROM {{benchmark}} UNION ALL SELECT item_id + 100000 AS item_id, translate(lower(text), '{LATIN}', '{CYRILLIC}') AS text FROM {{benchmark}}""",
+    "aliases": f"""SELECT s_suppkey AS alias, concat(CASE WHEN s_suppkey % 5 = 0 THEN 'The ' ELSE '' END, CASE WHEN s_suppkey % 2 = 0 THEN translate(lower(s_name), '{LATIN}', '{CYRILLIC}') ELSE s_name END,
+        CASE WHEN s_suppkey % 3 = 0 THEN ' и Café' WHEN s_suppkey % 7 = 0 THEN ' of the Ærø' ELSE '' END) AS name FROM {{supplier}}""",
+    "mentions": f"""SELECT DISTINCT concat('Из архива: ', CASE WHEN s_suppkey % 2 = 0 THEN translate(lower(s_name), '{LATIN}', '{CYRILLIC}') ELSE lower(s_name) END,
+        CASE l_linenumber % 4 WHEN 0 THEN ' и café' WHEN 1 THEN ', 2 сезон' WHEN 2 THEN 'x' ELSE ' de <b>CAFE</b>' END) AS title FROM {{lineitem}} JOIN {{supplier}} ON l_suppkey = s_suppkey
+        UNION SELECT DISTINCT substr(s_name, 1, 12 + CAST(s_suppkey % 6 AS INT)) AS title FROM {{supplier}}""",
+    "entries": """SELECT p_partkey AS entry_id, concat(p_brand, ' ', p_type, ' ', p_name, CASE WHEN p_partkey % 4 = 0 THEN ' Café' ELSE '' END) AS name FROM {part}""",
+    "listings": """SELECT DISTINCT p_partkey AS item_id, l_linenumber % 4 AS kind, CASE l_linenumber % 4 WHEN 0 THEN upper(concat(p_brand, ' / ', p_type, ' - ', p_name)) WHEN 1 THEN concat(p_brand, ' ', p_type, ' ', p_name, ' — 2 сезон')
+        WHEN 2 THEN concat('<i>', p_brand, '</i> ', p_type, ' ', p_name, ' cafe') ELSE concat('Other ', p_name) END AS title FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
+    "releases": """SELECT p_partkey AS item_id, CASE p_partkey % 6 WHEN 0 THEN 'Дубль, ПМ (Studio)' WHEN 1 THEN '2x ПМ (LostFilm)' WHEN 2 THEN 'ДБ' WHEN 3 THEN 'СТ' WHEN 4 THEN 'MVO, AVO' ELSE '' END AS audio,
+        CASE p_size % 5 WHEN 0 THEN 'WEBRip (1080p)' WHEN 1 THEN 'BDRip' WHEN 2 THEN 'WEB-DL 2160p HDR' WHEN 3 THEN 'HDTV' ELSE '' END AS release_type,
+        CASE WHEN p_size % 3 = 0 THEN '' WHEN p_size % 3 = 1 THEN '1-3 серии из 8' ELSE '2 сезон: 5 серия' END AS progress,
+        CASE WHEN p_partkey % 4 = 0 THEN '' ELSE CAST(1990 + p_size % 30 AS STRING) END AS year, p_name AS title_en, CASE WHEN p_partkey % 5 < 2 THEN 'Красный дом' ELSE '' END AS title_ru FROM {part}""",
+    "lists": """SELECT event_id, CASE event_id % 6 WHEN 0 THEN concat('["', event_type, '", "X", "x", " "]') WHEN 1 THEN concat(event_type, ', B ,b,', CAST(user_id AS STRING)) WHEN 2 THEN props WHEN 3 THEN '' WHEN 4 THEN '[]' ELSE concat('["', event_type, ' ", null, "', CAST(user_id AS STRING), '"]') END AS raw,
+        event_type, user_id, props FROM {events}""",
+    "progresses": """SELECT event_id, event_id % 10 AS form, 1 + event_id % 3 AS season, 2 + user_id % 9 AS first, 12 + event_id % 7 AS last, 30 + user_id % 5 AS total FROM {events}""",
     "users": """SELECT c_custkey AS user_id, c_name AS user_name, c_custkey % 10 <> 0 AS is_active, c_custkey % 7 <> 0 AS access_granted,
         CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 996710400 + (c_custkey % 11 - 3) * 86400 END AS expires_at,
         c_custkey % 24 AS quiet_start, (c_custkey + 8) % 24 AS quiet_end FROM {customer}""",

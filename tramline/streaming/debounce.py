@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 DELAY_S, MOST_MOVES = 120, 2
 
@@ -27,29 +28,52 @@ def step(state: tuple[int, int, int] | None, at: int, payload: int) -> tuple[tup
     return (deadline, moves, payload), None
 
 
+#: Seconds of a piece of a key's history that one window sorts.
+PIECE_S = 86_400
+
+
+def sessions(events: DataFrame) -> DataFrame:
+    """events(key, at, payload) with `session`, the time at which their key began after a pause of DELAY_S or more.
+
+    After such a pause every entry is due, so sessions do not depend on each other. Pauses are found inside pieces of
+    time and between the ends of pieces, so no window holds a whole key.
+    """
+    rows = events.select("key", "at", "payload").filter("key IS NOT NULL AND at IS NOT NULL").withColumn("piece", F.floor(F.col("at") / PIECE_S))
+    inside = Window.partitionBy("key", "piece").orderBy("at", "payload")
+    pieces = Window.partitionBy("key").orderBy("piece")
+    ends = rows.groupBy("key", "piece").agg(F.max("at").alias("last")).withColumn("before", F.lag("last").over(pieces)).drop("last")
+    rows = rows.join(ends, ["key", "piece"]).withColumn("pause", F.col("at") - F.coalesce(F.lag("at").over(inside), F.col("before")))
+    starts = F.when(F.col("pause").isNull() | (F.col("pause") >= DELAY_S), F.col("at"))
+    rows = rows.withColumn("own", F.max(starts).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    # a piece that goes on without a pause takes the last start of the pieces before it
+    carried = rows.groupBy("key", "piece").agg(F.max("own").alias("latest"))
+    carried = carried.withColumn("carried", F.max("latest").over(pieces.rowsBetween(Window.unboundedPreceding, -1))).drop("latest")
+    return rows.join(carried, ["key", "piece"]).select("key", "at", "payload", F.coalesce("own", "carried").alias("session"))
+
+
 def replay(events: DataFrame) -> DataFrame:
     """(key, due_at, payload) of events(key, at, payload) over the whole history, in order of at and payload.
 
-    A key's events are folded in one task in sorted order with a state of three numbers.
+    Each session is folded in sorted order with a state of three numbers; a key's sessions lie in many tasks.
     """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
+        own, state = None, None
         for batch in batches:
             out = []
-            for k, at, payload in zip(batch["key"].tolist(), batch["at"].tolist(), batch["payload"].tolist()):
-                if k != key:
+            for row in batch.itertuples(index=False):
+                if (row.key, row.session) != own:
                     if state:
-                        out.append((key, state[0], state[2]))
-                    key, state = k, None
-                state, due = step(state, at, payload)
+                        out.append((own[0], state[0], state[2]))
+                    own, state = (row.key, row.session), None
+                state, due = step(state, row.at, row.payload)
                 if due:
-                    out.append((k, *due))
+                    out.append((row.key, *due))
             yield pd.DataFrame(out, columns=["key", "due_at", "payload"])
         if state:
-            yield pd.DataFrame([(key, state[0], state[2])], columns=["key", "due_at", "payload"])
+            yield pd.DataFrame([(own[0], state[0], state[2])], columns=["key", "due_at", "payload"])
 
-    rows = events.select("key", "at", "payload").filter("key IS NOT NULL AND at IS NOT NULL").repartition("key").sortWithinPartitions("key", "at", "payload")
+    rows = sessions(events).repartition("key", "session").sortWithinPartitions("key", "session", "at", "payload")
     return rows.mapInPandas(fold, "key long, due_at long, payload long")
 
 
