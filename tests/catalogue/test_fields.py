@@ -4,9 +4,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tramline.functions import categories, countries, detection, labels, text, years
-from tramline.operators import aliases, leases
+from tramline.functions import categories, countries, detection, labels, signatures, text, years
+from tramline.operators import aliases, delivery, leases
 from tramline.sources import details
+from tramline.streaming import observations
 
 
 def one(spark, column):
@@ -131,3 +132,32 @@ def test_skips_lookup(spark):
         ("49", "", "Шоу (выпуск 5)", "tt0000001", False), ("50", "", "Бокс навсегда", "", True), ("37", "", "", "", False),
     ):
         assert one(spark, detection.skips_lookup(F.lit(number), F.lit(category), F.lit(title), F.lit(imdb))) is want, title
+
+
+def test_small_fields(spark):
+    lit = F.lit
+    assert [one(spark, categories.is_concert(lit(n))) for n in ("Кино - Концерт", "Музыка", None)] == [True, False, False]
+    assert one(spark, categories.fallback_countries(lit("45"))) == ["RU"] and one(spark, categories.fallback_countries(lit("9"))) == []
+    none = lit(None).cast("string")
+    uid = lambda *a: one(spark, signatures.source_uid(*[none if x is None else lit(x) for x in a]))
+    assert uid("12345", "g", "l", "t", "c") == "source:12345" and uid(None, " g ", "l", "t", "c") == "g" and uid("", None, "l", "t", "c") == "l" and len(uid(None, None, " ", "t", "c")) == 40
+    parts = lambda *a: signatures.variant_parts(*[none if x is None else lit(x) for x in a])
+    old, new = parts("TV", "s01e01", "720", None, "ДБ"), parts("tv", "s01e02", "720", "webrip", "дб")
+    assert one(spark, signatures.variant_summary(old)) == "tv | progress=s01e01 | format=720 | release=norelease | audio=дб"
+    assert one(spark, signatures.variant_change(old, new)) == "progress s01e01 -> s01e02; release norelease -> webrip" and one(spark, signatures.variant_change(new, new)) == "metadata refresh"
+    admin = spark.createDataFrame([(1, True, True, None), (2, False, True, None), (3, True, True, 5), (4, False, False, 1)], "id long, is_active boolean, access_granted boolean, expires_at long")
+    assert sorted(r.id for r in admin.filter(delivery.may_receive(lit(10), F.col("id") == 4)).collect()) == [1, 4]
+
+
+def test_cycles_go_on_after_a_failure(spark, tmp_path):
+    spark.range(3).coalesce(1).write.parquet(str(tmp_path / "in"))
+    seen = []
+
+    def cycle(batch, number):
+        seen.append(batch.count())
+        raise ValueError("bad cycle")
+
+    source = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    query, failed = observations.cycles(source, cycle, str(tmp_path / "cp"), None)
+    query.awaitTermination(60)
+    assert seen == [3] and failed == [(0, "bad cycle")] and query.exception() is None

@@ -146,9 +146,10 @@ def test_observation_sink_and_anomalies(spark, tmp_path):
 
 
 def test_readers(spark, tmp_path):
-    page = '<table><tr class=x><td><a href="/details.php?id=123456">A <b>title</b> &amp; more</a></td></tr><tr><td>none</td></tr></table>'
+    page = """<table><tr class=x><td onclick="cat(45);"><a href="/details.php?id=123456">A <b>title</b> &amp; more</a></td><td class='s'>7</td><td class='s'>1.4 GB</td><td class='s'>today</td><td class="sl_s">12</td>
+        <td class="sl_p">x</td><td><a href="/userdetails.php?id=5">bob</a></td></tr><tr><td>none</td></tr><tr><td><a href='/x'>y</a><a href="/details.php?id=99999">Other</a></td></tr></table>"""
     pages = spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")
-    assert [tuple(r) for r in readers.listing(pages).collect()] == [(1, "123456", "A title & more")]
+    assert [tuple(r) for r in readers.listing(pages).collect()] == [(1, "123456", "A title & more", 45, 7, "1.4 GB", "today", 12, 0, "bob"), (1, "99999", "Other", None, 0, "", "", 0, 0, "")]
     (tmp_path / "d.json").write_text('[{"source": "m", "media_type": "tv", "entry_id": 5, "year": 2001, "titles": ["A", "B"], "aliases": ["B", ""]}, {"entry_id": 6}]')
     assert sorted((r.entry_id, r.name) for r in readers.dictionary(spark, str(tmp_path / "d.json")).collect()) == [(5, "A"), (5, "B")]
     spark.range(2).write.parquet(str(tmp_path / "old"))

@@ -18,7 +18,7 @@ CATEGORIES = {
 NOT_VIDEO = ("1", "2", "3", "4", "5", "23", "32", "40", "41", "42", "1004")
 TV = ("20", "45", "46", "49", "50", "1001")
 MOVIE = ("6", "7", "8", "9", "10", "11", "12", "13", "14", "15", "16", "17", "18", "24", "35", "37", "38", "39", "47", "48", "1002")
-ANIME, DORAMA = ("20",), ("47",)
+ANIME, DORAMA, RUSSIAN = ("20",), ("47",), ("10", "45")
 NOT_VIDEO_WORDS = ("музыка", "аудиокниг", "игр", "программ", "библиотек", "дизайн", "график")
 
 
@@ -44,6 +44,16 @@ def is_not_video(number: Column, name: Column) -> Column:
     return F.when(number != "", number.isin(*NOT_VIDEO)).otherwise(_named(name, *NOT_VIDEO_WORDS))
 
 
+def is_concert(name: Column) -> Column:
+    """Concerts are ignored for every rule."""
+    return _named(name, "концерт")
+
+
+def fallback_countries(number: Column) -> Column:
+    """Country codes of a category, for releases whose metadata names none."""
+    return F.when(number.isin(*RUSSIAN), F.array(F.lit("RU"))).otherwise(F.array().cast("array<string>"))
+
+
 def forced_media(number: Column, name: Column) -> Column:
     """tv, movie or other where the category settles it, else the empty text."""
     by_name = F.when(_named(name, "сериал"), "tv").when(_named(name, "кино", "мульт", "фильм"), "movie").otherwise("")

@@ -13,6 +13,12 @@ def release_key(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), r"(?:^|[:=])\s*([0-9]{5,12})(?![0-9])", 1), F.lit("")) for c in columns])
 
 
+def source_uid(key: Column, guid: Column, link: Column, title: Column, cleaned: Column) -> Column:
+    """Identity of a release: its key under the source's name, else its guid, else its link, else a hash of its titles."""
+    titles = F.sha1(F.concat_ws("|", F.coalesce(title, F.lit("")), F.coalesce(cleaned, F.lit(""))))
+    return F.coalesce(F.concat(F.lit("source:"), F.nullif(compact_spaces(key), F.lit(""))), first_filled(compact_spaces(guid), compact_spaces(link)), titles)
+
+
 def _norm(c: Column, blank: str) -> Column:
     return F.coalesce(F.nullif(F.lower(compact_spaces(c.cast("string"))), F.lit("")), F.lit(blank))
 
@@ -37,6 +43,26 @@ def variant_text(media: Column, progress: Column, video_format: Column, release:
     return F.when(kind == "movie", F.concat_ws("|", kind, *tail)).otherwise(F.concat_ws("|", kind, _norm(progress, "noprogress"), *tail))
 
 
+#: Parts of a variant after its media type, each with what stands for none.
+VARIANT_PARTS = (("progress", "noprogress"), ("format", "nofmt"), ("release", "norelease"), ("audio", "noaudio"))
+
+
+def variant_parts(media: Column, progress: Column, video_format: Column, release: Column, audio: Column) -> Column:
+    """struct(media, progress, format, release, audio) of a variant, normalized."""
+    given = (progress, video_format, release, audio)
+    return F.struct(_norm(media, "movie").alias("media"), *[_norm(c, none).alias(name) for c, (name, none) in zip(given, VARIANT_PARTS)])
+
+
+def variant_summary(parts: Column) -> Column:
+    return F.concat_ws(" | ", parts["media"], *[F.concat(F.lit(f"{name}="), parts[name]) for name, _ in VARIANT_PARTS])
+
+
+def variant_change(old: Column, new: Column) -> Column:
+    """What differs between two variants' parts, in words; a null old one is none."""
+    said = F.concat_ws("; ", *[F.when(old[name] != new[name], F.concat(F.lit(f"{name} "), old[name], F.lit(" -> "), new[name])) for name, _ in VARIANT_PARTS])
+    return F.when(old.isNull(), "first version").when(said == "", "metadata refresh").otherwise(said)
+
+
 def variant_signature(*args: Column) -> Column:
     return F.sha1(variant_text(*args))
 

@@ -23,9 +23,10 @@ def active_claims(claims: DataFrame, as_of: Column) -> DataFrame:
     return claims.filter((F.col("status") == "sent") | ((F.col("status") == "sending") & (touched > as_of - CLAIM_LEASE_S)))
 
 
-def may_receive(as_of: Column) -> Column:
-    """Active users with access that has not expired."""
-    return F.col("is_active") & F.col("access_granted") & (F.col("expires_at").isNull() | (F.col("expires_at") > as_of))
+def may_receive(as_of: Column, admin: Column | None = None) -> Column:
+    """Active users with access that has not expired; administrators always, where a condition names them."""
+    own = F.col("is_active") & F.col("access_granted") & (F.col("expires_at").isNull() | (F.col("expires_at") > as_of))
+    return own if admin is None else F.coalesce(admin, F.lit(False)) | own
 
 
 def not_delivered(candidates: DataFrame, delivered: DataFrame, keys: list[str]) -> DataFrame:

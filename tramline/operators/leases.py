@@ -31,3 +31,18 @@ def increase(samples: DataFrame, metric: str, at: str, value: str, seconds: int)
 def stalled(finishes: DataFrame, source: str, at: str, as_of: Column, seconds: int = 900) -> DataFrame:
     """(source, last, stalled): whether the last finished cycle lies more than the seconds back."""
     return finishes.groupBy(source).agg(F.max(at).alias("last")).withColumn("stalled", as_of - F.col("last") > seconds)
+
+
+def metrics(spark, database_up: bool, users: DataFrame, rules: DataFrame, health: DataFrame) -> DataFrame:
+    """(name, type, value): gauges of the database, users, enabled rules and the source.
+
+    health has one row: fail_streak, last_success_at, last_failed_at and status; a missing one counts as 0 and not ok.
+    """
+    up = spark.range(1).select(F.lit(1.0 if database_up else 0.0).alias("database_up"))
+    n_users, n_rules = users.agg(F.count("*").cast("double").alias("users_total")), rules.filter("is_enabled = 1").agg(F.count("*").cast("double").alias("enabled_rules_total"))
+    source = health.agg(*[F.coalesce(F.max(c), F.lit(0)).cast("double").alias(f"source_{c}") for c in ("fail_streak", "last_success_at", "last_failed_at")], F.coalesce(F.max((F.col("status") == "ok").cast("double")), F.lit(0.0)).alias("source_status"))
+    out = None
+    for one in (up, n_users, n_rules, source):
+        rows = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.lit("gauge").alias("type"), F.col(c).alias("value")) for c in one.columns])).alias("m")).select("m.*")
+        out = rows if out is None else out.unionAll(rows)
+    return out

@@ -74,3 +74,10 @@ def confidence(exact: Column, sim: Column, overlap: Column, year_gap: Column) ->
         .when(far | (sim < 0.62) | ((sim < 0.76) & (overlap < 0.34)), "low")
         .otherwise("medium")
     )
+
+
+def evidence(exact: Column, sim: Column, overlap: Column, year_gap: Column) -> Column:
+    """What a confidence rests on, in words; an unknown year gap is left out."""
+    number = lambda c: F.format_string("%.3f", F.bround(c.cast("double"), 3))
+    said = [F.concat(F.lit("exact="), exact.cast("int").cast("string")), F.concat(F.lit("similarity="), number(sim)), F.concat(F.lit("overlap="), number(overlap))]
+    return F.concat_ws(", ", *said, F.when(year_gap.isNotNull(), F.concat(F.lit("year_delta="), year_gap.cast("string"))))

@@ -672,3 +672,39 @@ def find_any_item(get):
     plan = items.filter("item_id % 4 = 0").select("item_id", F.lit("x").alias("reason"), F.when(F.col("item_id") % 8 != 0, F.col("item_id") - 1).alias("merged_into"))
     live, gone, _ = review.archive(items, plan, get("facts").select("item_id").withColumn("snapshot", F.struct(F.lit("").alias("title"))), "snapshot", ["title"], F.lit(AS_OF))
     return review.find_any(get("lineitem").select(F.col("l_partkey").alias("item_id")), live, gone, ["archived_at"], ["title"])
+
+
+@query(f"""WITH v AS (SELECT release_id, version_id, created, line, media, progress, lower(audio) AS audio, row_number() OVER (PARTITION BY release_id ORDER BY {NEWEST_SQL}) AS rn FROM {{versions}}), n AS (SELECT * FROM v WHERE rn = 1), o AS (SELECT * FROM v WHERE rn = 2)
+    SELECT n.release_id, n.media || ' | progress=' || n.progress || ' | format=nofmt | release=norelease | audio=' || n.audio AS summary, CASE WHEN o.release_id IS NULL THEN 'first version' WHEN n.progress = o.progress AND n.audio = o.audio THEN 'metadata refresh'
+    ELSE concat_ws('; ', CASE WHEN n.progress <> o.progress THEN 'progress ' || o.progress || ' -> ' || n.progress END, CASE WHEN n.audio <> o.audio THEN 'audio ' || o.audio || ' -> ' || n.audio END) END AS change FROM n LEFT JOIN o ON n.release_id = o.release_id""")
+def variant_changes(get):
+    # the two newest versions of each release by partial aggregation, without a window over all of them
+    none = F.lit(None).cast("string")
+    parts = signatures.variant_parts(F.col("media"), F.col("progress"), none, none, F.col("audio"))
+    rank = F.struct(*_newest())
+    last = get("versions").select("release_id", parts.alias("parts"), rank.alias("rank"))
+    newest = last.groupBy("release_id").agg(F.max_by("parts", "rank").alias("new"), F.max("rank").alias("top"))
+    before = last.join(newest, "release_id").filter("rank < top").groupBy("release_id").agg(F.max_by("parts", "rank").alias("old"))
+    return newest.join(before, "release_id", "left").select("release_id", signatures.variant_summary(F.col("new")).alias("summary"), signatures.variant_change(F.col("old"), F.col("new")).alias("change"))
+
+
+@query(f"""SELECT o_orderkey AS candidate_id, 'exact=' || exact::INT || ', similarity=' || printf('%.3f', similarity) || ', overlap=' || printf('%.3f', overlap) || coalesce(', year_delta=' || delta, '') AS evidence,
+    CASE WHEN exact AND coalesce(delta <= 1, TRUE) THEN 'high' WHEN exact AND coalesce(delta <= 2, TRUE) THEN 'medium' WHEN similarity >= 0.93 AND overlap >= 0.75 AND coalesce(delta <= 2, TRUE) THEN 'high' WHEN similarity >= 0.86 AND overlap >= 0.52 AND coalesce(delta <= 2, TRUE) THEN 'medium'
+    WHEN delta >= 4 OR similarity < 0.62 OR similarity < 0.76 AND overlap < 0.34 THEN 'low' ELSE 'medium' END AS confidence FROM ({_FEATURES_SQL})""")
+def link_confidence(get):
+    own = [F.col(c) for c in ("exact", "similarity", "overlap", "delta")]
+    return _features(get).select(F.col("o_orderkey").alias("candidate_id"), linking.evidence(*own).alias("evidence"), linking.confidence(*own).alias("confidence"))
+
+
+@query("""SELECT c_custkey AS rule_id, coalesce(genres, '') AS genres FROM customer LEFT JOIN (SELECT o_custkey, string_agg(DISTINCT g::VARCHAR, ',' ORDER BY g::VARCHAR) AS genres FROM (SELECT o_custkey, o_orderkey % 10 AS g FROM orders) GROUP BY o_custkey) ON c_custkey = o_custkey""")
+def rule_genres(get):
+    details_ = get("orders").select(F.col("o_custkey").alias("rule_id"), (F.col("o_orderkey") % 10).cast("string").alias("genre"))
+    rows = readers.nested(get("customer").select(F.col("c_custkey").alias("rule_id")), "rule_id", details_, "genre", "genres")
+    return rows.select("rule_id", F.array_join("genres", ",").alias("genres"))
+
+
+@query("""SELECT unnest(['database_up', 'users_total', 'enabled_rules_total', 'source_fail_streak', 'source_last_success_at', 'source_last_failed_at', 'source_status']) AS name, 'gauge' AS type,
+    unnest([1.0, (SELECT count(*) FROM {users}), (SELECT count(*) FROM {rules} WHERE is_enabled = 1), 3.0, 100.0, 200.0, 0.0])::DOUBLE AS value""")
+def metrics_frame(get):
+    health = get("region").sparkSession.createDataFrame([(3, 100, 200, "failed")], "fail_streak long, last_success_at long, last_failed_at long, status string")
+    return leases.metrics(health.sparkSession, True, get("users"), get("rules"), health)

@@ -15,11 +15,22 @@ def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def listing(pages: DataFrame, html: str = "html") -> DataFrame:
-    """One row for each table row of a catalogue page that links to a details page: details_id and title."""
+    """One row for each table row of a catalogue page that links to a details page.
+
+    details_id, title, category_id, comments, size, date_text, seeds, peers and uploader; numbers that are missing count
+    as 0, missing texts are blank, a missing category is null.
+    """
     rows = pages.select("*", F.explode(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"(?is)(<tr\b.*?</tr>)"), 1)).alias("row_html"))
     link = F.regexp_extract("row_html", rx(r'href="[^"]*details[^"]*[?&]id=(\d+)'), 1)
     title = compact_spaces(strip_html(F.regexp_extract("row_html", r'(?is)href="[^"]*details[^"]*"[^>]*>(.*?)</a>', 1)))
-    return rows.filter(link != "").select(*pages.columns, link.alias("details_id"), title.alias("title")).drop(html)
+    cells = F.regexp_extract_all("row_html", F.lit(r"""(?is)<td[^>]*class=["']s["'][^>]*>(.*?)</td>"""), F.lit(1))
+    cell = lambda n: compact_spaces(strip_html(F.coalesce(F.get(cells, n), F.lit(""))))
+    classed = lambda name: compact_spaces(strip_html(F.regexp_extract("row_html", rf"""(?is)<td[^>]*class=["']{name}["'][^>]*>(.*?)</td>""", 1)))
+    number = lambda c: F.coalesce(F.regexp_replace(c, "[^0-9]", "").try_cast("int"), F.lit(0))
+    user = compact_spaces(strip_html(F.regexp_extract("row_html", r"""(?is)<a[^>]*href=["'][^"']*userdetails[^"']*[?&]id=\d+["'][^>]*>(.*?)</a>""", 1)))
+    category = F.regexp_extract("row_html", r"""(?i)onclick=["']cat\((\d+)\);["']""", 1).try_cast("int")
+    told = [category.alias("category_id"), number(cell(0)).alias("comments"), cell(1).alias("size"), cell(2).alias("date_text"), number(classed("sl_s")).alias("seeds"), number(classed("sl_p")).alias("peers"), user.alias("uploader")]
+    return rows.filter(link != "").select(*pages.columns, link.alias("details_id"), title.alias("title"), *told).drop(html)
 
 
 def page_title(html: Column) -> Column:
@@ -33,3 +44,9 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(schema).json(path, multiLine=True)
     names = F.array_distinct(F.concat(F.coalesce("titles", F.array()), F.coalesce("aliases", F.array())))
     return rows.select("source", "media_type", "entry_id", "year", F.explode(names).alias("name")).filter(F.trim("name") != "")
+
+
+def nested(rows: DataFrame, key: str, details: DataFrame, value: str, name: str) -> DataFrame:
+    """rows with `name`, the sorted distinct values of their details (key, value) as an array; empty without any."""
+    lists = details.groupBy(key).agg(F.sort_array(F.collect_set(value)).alias(name))
+    return rows.join(lists, key, "left").withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))

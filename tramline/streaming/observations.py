@@ -20,3 +20,23 @@ def new_anomalies(found: DataFrame, stored: DataFrame) -> DataFrame:
 def append_sink(sightings: DataFrame, path: str, checkpoint: str):
     """Starts a query that appends every sighting to the Parquet log once."""
     return observation_rows(sightings).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def cycles(source: DataFrame, cycle, checkpoint: str, seconds: int | None = 60):
+    """Starts a query that calls cycle(batch, number) for each micro-batch, one after the other.
+
+    A cycle starts every so many seconds, or with None once for all that has arrived. One that fails is reported by its
+    number and does not end the query: its batch is retried by the cycle itself or left to the next one, so a cycle must
+    be idempotent.
+    """
+    failed: list[tuple[int, str]] = []
+
+    def run(batch: DataFrame, number: int) -> None:
+        try:
+            cycle(batch, number)
+        except Exception as problem:  # noqa: BLE001 - one bad cycle must not stop those after it
+            failed.append((number, str(problem)))
+
+    trigger = {"availableNow": True} if seconds is None else {"processingTime": f"{seconds} seconds"}
+    query = source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return query, failed
