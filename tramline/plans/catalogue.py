@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tramline.functions import buckets, detection, labels, progress, scoring, signatures, text, titles
+from tramline.functions import buckets, detection, labels, naming, progress, scoring, signatures, text, titles
 from tramline.operators import aliases, audit, delivery, leases, linking, review, rules, selection, versions
 from tramline.plans.views import AS_OF, AS_OF_YEAR, frame, with_views
 from tramline.sources import readers
@@ -409,9 +409,9 @@ def similarity_rank(get):
 
 
 @query("""SELECT item_id, title_ru_ AS title_ru, title_en, CAST(nullif(year, '') AS INT) AS year, audio_ AS audio, nullif(release_type, '') AS release_type, nullif(progress, '') AS progress FROM
-    (SELECT *, nullif(title_ru, '') AS title_ru_, CASE item_id % 6 WHEN 0 THEN '' ELSE replace(audio, ', ', ',') END AS audio_ FROM {releases})""")
+    (SELECT *, nullif(title_ru, '') AS title_ru_, replace(audio, ', ', ',') AS audio_ FROM {releases})""")
 def parse_release(get):
-    raw = F.concat_ws(" / ", *[F.nullif(F.when(F.lit(c == "audio") & (F.col("item_id") % 6 == 0), "").otherwise(F.col(c)), F.lit("")) for c in ("title_ru", "title_en", "year", "progress", "audio", "release_type")])
+    raw = F.concat_ws(" / ", *[F.nullif(F.col(c), F.lit("")) for c in ("title_ru", "title_en", "year", "progress", "audio", "release_type")])
     rows = get("releases").select("item_id", titles.parse_title(raw).alias("parsed"))
     return rows.select("item_id", "parsed.title_ru", "parsed.title_en", "parsed.year", F.array_join("parsed.audio", ",").alias("audio"), "parsed.release_type", "parsed.progress")
 
@@ -708,3 +708,11 @@ def rule_genres(get):
 def metrics_frame(get):
     health = get("region").sparkSession.createDataFrame([(3, 100, 200, "failed")], "fail_streak long, last_success_at long, last_failed_at long, status string")
     return leases.metrics(health.sparkSession, True, get("users"), get("rules"), health)
+
+
+@query("""SELECT item_id, CASE WHEN title_ru = '' THEN title_en ELSE title_ru || ' / ' || title_en END AS cleaned, title_ru AS ru, title_en AS en FROM {releases}""")
+def title_names(get):
+    columns = ("title_ru", "title_en", "year", "progress", "audio", "release_type")
+    raw = F.concat_ws(" / ", *[F.nullif(F.col(c), F.lit("")) for c in columns])
+    rows = get("releases").select("item_id", naming.cleaned(raw).alias("cleaned"), naming.by_script(raw).alias("s"))
+    return rows.select("item_id", "cleaned", "s.ru", "s.en")

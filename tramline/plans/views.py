@@ -27,7 +27,7 @@ VIEWS = {
     "entries": """SELECT p_partkey AS entry_id, concat(p_brand, ' ', p_type, ' ', p_name, CASE WHEN p_partkey % 4 = 0 THEN ' Café' ELSE '' END) AS name FROM {part}""",
     "listings": """SELECT DISTINCT p_partkey AS item_id, l_linenumber % 4 AS kind, CASE l_linenumber % 4 WHEN 0 THEN upper(concat(p_brand, ' / ', p_type, ' - ', p_name)) WHEN 1 THEN concat(p_brand, ' ', p_type, ' ', p_name, ' — 2 сезон')
         WHEN 2 THEN concat('<i>', p_brand, '</i> ', p_type, ' ', p_name, ' cafe') ELSE concat('Other ', p_name) END AS title FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
-    "releases": """SELECT p_partkey AS item_id, CASE p_partkey % 6 WHEN 0 THEN 'Дубль, ПМ (Studio)' WHEN 1 THEN '2x ПМ (LostFilm)' WHEN 2 THEN 'ДБ' WHEN 3 THEN 'СТ' WHEN 4 THEN 'MVO, AVO' ELSE '' END AS audio,
+    "releases": """SELECT p_partkey AS item_id, CASE p_partkey % 6 WHEN 0 THEN 'ДБ, ПМ (Studio)' WHEN 1 THEN '2x ПМ (LostFilm)' WHEN 2 THEN 'ДБ' WHEN 3 THEN 'СТ' WHEN 4 THEN 'MVO, AVO' ELSE '' END AS audio,
         CASE p_size % 5 WHEN 0 THEN 'WEBRip (1080p)' WHEN 1 THEN 'BDRip' WHEN 2 THEN 'WEB-DL 2160p HDR' WHEN 3 THEN 'HDTV' ELSE '' END AS release_type,
         CASE WHEN p_size % 3 = 0 THEN '' WHEN p_size % 3 = 1 THEN '1-3 серии из 8' ELSE '2 сезон: 5 серия' END AS progress,
         CASE WHEN p_partkey % 4 = 0 THEN '' ELSE CAST(1990 + p_size % 30 AS STRING) END AS year, p_name AS title_en, CASE WHEN p_partkey % 5 < 2 THEN 'Красный дом' ELSE '' END AS title_ru FROM {part}""",
