@@ -152,6 +152,11 @@ def test_readers(spark, tmp_path):
     assert [tuple(r) for r in readers.listing(pages).collect()] == [(1, "123456", "A title & more", 45, 7, "1.4 GB", "today", 12, 0, "bob"), (1, "99999", "Other", None, 0, "", "", 0, 0, "")]
     (tmp_path / "d.json").write_text('[{"source": "m", "media_type": "tv", "entry_id": 5, "year": 2001, "titles": ["A", "B"], "aliases": ["B", ""]}, {"entry_id": 6}]')
     assert sorted((r.entry_id, r.name) for r in readers.dictionary(spark, str(tmp_path / "d.json")).collect()) == [(5, "A"), (5, "B")]
+    (tmp_path / "more" / "deep").mkdir(parents=True)
+    (tmp_path / "more" / "deep" / "x.json").write_text('{"entries": [{"show_id": 7, "title": " C  D ", "synonyms": ["E"]}, {"movie_id": 8, "names": {"en": "F", "ja": "G"}}, {"title": "no id"}, 3]}')
+    (tmp_path / "more" / "one.json").write_text('{"entry_id": 9, "media_type": "Movie", "name": "H", "titles": ["H", "I"]}')
+    (tmp_path / "more" / "bad.json").write_text("{not json")
+    assert sorted((r.entry_id, r.media_type, r.name) for r in readers.dictionary(spark, str(tmp_path / "more")).collect()) == [(7, "tv", "C D"), (7, "tv", "E"), (8, "movie", "F"), (8, "movie", "G"), (9, "movie", "H"), (9, "movie", "I")]
     spark.range(2).write.parquet(str(tmp_path / "old"))
     wider = readers.read_table(spark, str(tmp_path / "old"), spark.createDataFrame([], "id long, note string").schema)
     assert wider.columns == ["id", "note"] and wider.filter("note IS NULL").count() == 2

@@ -38,12 +38,28 @@ def page_title(html: Column) -> Column:
     return strip_html(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
-def dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a JSON dictionary, one row for each title or alias: source, media_type, entry_id, year, name."""
-    schema = "source string, media_type string, entry_id long, year int, titles array<string>, aliases array<string>"
-    rows = spark.read.schema(schema).json(path, multiLine=True)
-    names = F.array_distinct(F.concat(F.coalesce("titles", F.array()), F.coalesce("aliases", F.array())))
-    return rows.select("source", "media_type", "entry_id", "year", F.explode(names).alias("name")).filter(F.trim("name") != "")
+#: Fields of a dictionary record that hold names, and of a file that hold its records.
+NAME_FIELDS = ("title", "titles", "name", "names", "aliases", "synonyms", "original_title")
+RECORD_FIELDS = ("data", "items", "anime", "entries", "mappings", "shows")
+
+
+def dictionary(spark: SparkSession, path: str, show_id: str = "show_id", movie_id: str = "movie_id", entry_id: str = "entry_id") -> DataFrame:
+    """Entries of JSON dictionary files under a path, one row for each distinct name: source, media_type, entry_id, year, name.
+
+    A file is a list of records, an object that holds a list in one of RECORD_FIELDS, or one record; files that are no
+    JSON have none. A record's id is that of a show, else of a film, else its own with its media type (tv unless it says
+    movie). A name field is a text, a list of texts or an object of texts. Records without an id or a name are left out.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    get = lambda v, field, kind: F.try_variant_get(v, f"$.{field}" if field else "$", kind)
+    lists = F.coalesce(get("v", "", "array<variant>"), *[get("v", f, "array<variant>") for f in RECORD_FIELDS], F.when(F.col("v").isNotNull(), F.array("v")))
+    rows = files.select(F.explode(lists).alias("r"))
+    texts = [F.coalesce(get("r", f, "array<string>"), F.map_values(get("r", f, "map<string,string>")), F.array(get("r", f, "string"))) for f in NAME_FIELDS]
+    names = F.transform(F.flatten(F.filter(F.array(*texts), lambda t: t.isNotNull())), compact_spaces)
+    show, film, own, said = get("r", show_id, "long"), get("r", movie_id, "long"), get("r", entry_id, "long"), F.lower(get("r", "media_type", "string"))
+    media = F.when(show.isNotNull(), "tv").when(film.isNotNull(), "movie").when(said == "movie", "movie").otherwise("tv")
+    found = rows.select(get("r", "source", "string").alias("source"), media.alias("media_type"), F.coalesce(show, film, own).alias("entry_id"), get("r", "year", "int").alias("year"), F.array_distinct(names).alias("names"))
+    return found.filter("entry_id IS NOT NULL").select("source", "media_type", "entry_id", "year", F.explode("names").alias("name")).filter("name <> ''")
 
 
 def nested(rows: DataFrame, key: str, details: DataFrame, value: str, name: str) -> DataFrame:
