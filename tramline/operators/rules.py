@@ -92,30 +92,26 @@ def reason(r: str = "r", i: str = "i") -> Column:
     return first_reason(*[(fails, why) for _, fails, why in _steps(r, i)], default=PASSED)
 
 
-def checks(r: str = "r", i: str = "i") -> Column:
-    """The checks up to the first that fails, as structs of check, passed and reason (null where it passes)."""
-    steps = [(name, F.coalesce(fails, F.lit(False)), why) for name, fails, why in _steps(r, i)]
-    each = []
-    for name in CHECKS:
-        own = [(fails, why) for n, fails, why in steps if n == name]
-        why = F.coalesce(*[F.when(fails, why) for fails, why in own])
-        each.append(F.struct(F.lit(name).alias("check"), why.isNull().alias("passed"), why.alias("reason")))
-    every = F.array(*each)
-    # a check that passes without saying anything of the item is not listed: the first is made for ignored items only
-    listed_ = F.filter(every, lambda c: (c["check"] != "global_ignore") | ~c["passed"])
-    first = F.array_position(F.transform(listed_, lambda c: ~c["passed"]), True)
-    return F.when(first > 0, F.slice(listed_, 1, first.cast("int"))).otherwise(listed_)
+def checks(why: Column) -> Column:
+    """The checks that led to a reason, as structs of check, passed and reason: those before it have passed."""
+    found = {"globally_ignored": "global_ignore", "disabled": "enabled", "include_keyword_mismatch": "include_keywords", "exclude_keyword": "exclude_keywords", "excluded_country": "excluded_country"}
+    found |= {f"{name}_{how}": name for name in ("media", "media_other", "year", "format", "rating", "bucket", "genre", "country") for how in ("mismatch", "missing", "excluded")}
+    # the first check is listed where it fails, for ignored items only
+    last = {key: 0 if name == "global_ignore" else CHECKS.index(name.removesuffix("_other")) for key, name in found.items()}
+    at = F.try_element_at(F.create_map(*[F.lit(x) for pair in last.items() for x in pair]), F.substring_index(why, ":", 1))
+    passed = lambda names: F.transform(names, lambda n: F.struct(n.alias("check"), F.lit(True).alias("passed"), F.lit(None).cast("string").alias("reason")))
+    failed = lambda name: F.array(F.struct(name.alias("check"), F.lit(False).alias("passed"), why.alias("reason")))
+    names = F.array(*map(F.lit, CHECKS[1:]))
+    before = F.concat(passed(F.slice(names, 1, at - 1)), failed(F.element_at(names, at)))
+    return F.when(why == PASSED, passed(names)).when(at == 0, failed(F.lit(CHECKS[0]))).when(at > 0, before).otherwise(failed(F.lit("input")))
 
 
 def explain(pairs: DataFrame, rules: DataFrame, items: DataFrame, with_checks: bool = False) -> DataFrame:
     """(rule_id, item_id, reason) of each pair, and `checks` if wanted; `missing_rule_or_item` where either side is unknown."""
     joined = pairs.alias("p").join(rules.alias("r"), F.col("p.rule_id") == F.col("r.rule_id"), "left").join(items.alias("i"), F.col("p.item_id") == F.col("i.item_id"), "left")
     known = F.col("r.rule_id").isNotNull() & F.col("i.item_id").isNotNull()
-    out = joined.select("p.rule_id", "p.item_id", F.when(known, reason()).otherwise("missing_rule_or_item").alias("reason"), *([F.when(known, checks()).alias("checks")] if with_checks else []))
-    if with_checks:
-        missing = F.array(F.struct(F.lit("input").alias("check"), F.lit(False).alias("passed"), F.lit("missing_rule_or_item").alias("reason")))
-        out = out.withColumn("checks", F.coalesce("checks", missing))
-    return out
+    out = joined.select("p.rule_id", "p.item_id", F.when(known, reason()).otherwise("missing_rule_or_item").alias("reason"))
+    return out.withColumn("checks", checks(F.col("reason"))) if with_checks else out
 
 
 def classes(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
