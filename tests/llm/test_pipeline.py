@@ -1,8 +1,3 @@
-import zlib
-
-import numpy as np
-import public_tokenizers
-
 import corpus_pipeline
 from tests.llm.test_dac import _expected
 from tests.llm.test_simhash import brute_components, brute_fingerprint

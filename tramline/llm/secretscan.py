@@ -99,9 +99,6 @@ def word_class(token: str) -> int:
     return 24 + (size if mixed else 4 + (size > 1))
 
 
-CLASSES = 30
-
-
 def _hash(word: str, buckets: int) -> int:
     return zlib.crc32(word.encode()) % buckets
 
