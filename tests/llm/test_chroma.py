@@ -61,8 +61,10 @@ def brute_align(prints, every):
             for o in range(-len(y), len(x) + 1):
                 pairs = [(x[k + max(o, 0)], y[k + max(-o, 0)]) for k in range(min(len(x) - max(o, 0), len(y) - max(-o, 0)))]
                 if len(pairs) >= chroma.LEAST_OVERLAP:
-                    tried.append((sum(((p ^ q) & 0xFFFFFFFF).bit_count() for p, q in pairs) / (32 * len(pairs)), abs(o), o))
-            if tried and min(tried)[0] <= chroma.MOST_ERRORS:
+                    errors = sum(((p ^ q) & 0xFFFFFFFF).bit_count() for p, q in pairs) / (32 * len(pairs))
+                    if errors <= chroma.bound(len(pairs)):
+                        tried.append((errors, abs(o), o))
+            if tried:
                 errors, _, o = min(tried)
                 out.append(("match", least[x], least[x], least[y], o, round(errors, 9)))
     return sorted(out, key=str)
@@ -108,8 +110,10 @@ def test_search_finds_what_brute_force_over_all_offsets_finds(spark):
             overlap = np.minimum(len(x) - a, sizes - b)
             width = min(len(x) - a, longest - b)
             differ = np.bitwise_count(x[a : a + width] ^ matrix[:, b : b + width]) * (np.arange(width) < overlap[:, None])
-            want |= {(i, ids[n]) for n in np.flatnonzero((overlap >= 16) & (differ.sum(axis=1) <= 8 * overlap)) if ids[n] != i}
+            want |= {(i, ids[n]) for n in np.flatnonzero((overlap >= 16) & (differ.sum(axis=1) <= 32 * overlap * chroma.bound(np.maximum(overlap, 1)))) if ids[n] != i}
     table = spark.createDataFrame([(i, c.view(np.int32).tolist()) for i, c in codes.items()], "id long, codes array<int>")
     got = {(r.id, r.match_id) for r in chroma.align(table).filter("kind = 'match'").collect()}
-    assert got == want and len(want) > 100
+    assert got == want and len(want) >= 60
+    # unrelated recordings hardly ever align by chance
+    assert sum(b < 1_000_000 for _, b in want) < 5
     assert np.mean([(1_000_000 + 20 * n, 2_000_001 + 20 * n) in got for n in range(60)]) > 0.95

@@ -26,9 +26,12 @@ WINDOW = 16
 #: A filter value beyond it, either way, is an outer quarter of the two-bit scale; by the height of the filter, so that
 #: on unrelated tones about half of the values are outer.
 OUTER = {2: 0.45, 4: 0.30, 6: 0.22, 8: 0.18}
-#: An alignment needs so many overlapping frames and at most this share of differing bits.
+#: An alignment needs so many overlapping frames and at most this share of differing bits, which must also lie SIGMAS
+#: deviations under what unrelated recordings have by chance: CHANCE on average, the deviation being that of one frame,
+#: CHANCE_OFF, over the root of how many frames tell something new (one in six, as neighbours share most of their window).
 LEAST_OVERLAP = 16
 MOST_ERRORS = 0.25
+CHANCE, CHANCE_OFF, SIGMAS = 0.456, 0.104, 5.0
 #: Codes of query recordings that are searched together, counts of a histogram tile, and numbers of the spectra that a
 #: worker keeps; all bound memory.
 BLOCK_CODES = 200_000
@@ -36,6 +39,11 @@ TILE = 2_000_000
 MOST_SPECTRA = 40_000_000
 
 
+def bound(overlap: np.ndarray, most_errors: float = MOST_ERRORS) -> np.ndarray:
+    """The largest share of differing bits of an alignment over so many frames: 0.18 for 16, most_errors from about 32 on."""
+    return np.minimum(most_errors, CHANCE - SIGMAS * CHANCE_OFF / np.sqrt(1 + np.asarray(overlap) / 6))
+
+
 def filters() -> list[tuple[int, int, int]]:
     """(kind, first pitch class, height) of the sixteen filters.
 
@@ -190,7 +198,7 @@ def matches(asked: Prints, rows: Prints, most_errors: float, least_overlap: int,
             pair, nth = _spread(overlap)
             bits = np.bitwise_count(asked.codes[(asked.starts[x] + p)[pair] + nth] ^ rows.codes[(rows.starts[y] + o)[pair] + nth])
             errors = np.bincount(pair, bits, minlength=len(x)) / (32 * np.maximum(overlap, 1))
-            good = errors <= most_errors
+            good = errors <= bound(overlap, most_errors)
             found.append([v[good] for v in (x, y, offset, overlap, errors)])
     x, y, offset, overlap, errors = (np.concatenate(v) for v in zip(*found)) if found else (np.zeros(0, np.int64),) * 5
     order = np.lexsort((offset, np.abs(offset), errors, x, y))
@@ -235,7 +243,8 @@ def align(prints: DataFrame, every: int = 20, most_errors: float = MOST_ERRORS,
     so a common code makes no large task. Rows of kind `member` give each recording (id) its class_id, the smallest id
     with its codes. Rows of kind `match` have a query's class as id and class_id, and a class `match_id` of other codes
     with `offset` (place in the query less that in the other), `overlap` in frames and `bit_errors`, the share of
-    differing bits. Of a pair's offsets the one of least errors counts; ties: the least shift, then the smaller offset.
+    differing bits, which lies within bound(overlap). Of a pair's offsets that pass, the one of least errors counts;
+    ties: the least shift, then the smaller offset.
     A null id is a member only (its class_id may be null); recordings without codes match nothing; repeated rows stay
     repeated members; an empty table has no rows.
     """
