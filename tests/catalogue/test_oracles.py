@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tramline.plans import catalogue
+from tramline.plans import queries as catalogue
 from tramline.plans.views import TABLES
 
 SF = "/root/testdata/sf0.001"

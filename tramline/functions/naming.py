@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tramline.functions import progress
 from tramline.functions.audio import LABELS
-from tramline.functions.text import compact_spaces, release_type, rx, strip_html, tokens
+from tramline.functions.text import compact_spaces, let, release_type, rx, strip_html, tokens
 
 # Technical words, studios and groups, and what else is no part of a name.
 TECH = (
@@ -42,11 +40,6 @@ _GONE = rf"(?<!\w)(?:{_MARK}|{_GROUP}|{'|'.join(OTHER_WORDS)})(?!\w)"
 _LABEL = rf"(?:\d+\s*[xх×]\s*)?(?<!\w)(?:{'|'.join(LABELS)})(?!\w)(?:\s*\([^)]*\))?(?:\s*[xх×]\s*\d+)?"
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _has(c: Column, pattern: str) -> Column:
     return F.rlike(c, F.lit(rx(pattern)))
 
@@ -105,7 +98,7 @@ def usable(c: Column) -> Column:
         number = _is(raw, r"\d{2,3}") & ~raw.isin("720", "1080")
         return (raw != "") & (_is(raw, NUMBERS) | number | ~(told | plain))
 
-    return _let(edges(F.coalesce(c, F.lit(""))), test)
+    return let(edges(F.coalesce(c, F.lit(""))), test)
 
 
 def _is_mark(part: Column) -> Column:
@@ -126,7 +119,7 @@ def names(title: Column) -> Column:
 
 def cleaned(title: Column) -> Column:
     """The names of a title, or all that is bare of it if it has none."""
-    return _let(F.coalesce(title, F.lit("")), lambda t: _let(names(t), lambda n: F.when(F.size(n) > 0, F.array_join(n, " / ")).otherwise(bare(strip_html(t)))))
+    return let(F.coalesce(title, F.lit("")), lambda t: let(names(t), lambda n: F.when(F.size(n) > 0, F.array_join(n, " / ")).otherwise(bare(strip_html(t)))))
 
 
 def spellings(title: Column) -> Column:
@@ -134,7 +127,7 @@ def spellings(title: Column) -> Column:
     own = F.filter(segments(title), lambda s: ~_is_mark(s))
     inner = F.flatten(F.transform(own, lambda s: F.regexp_extract_all(s, F.lit(r"\(([^()]{1,80})\)"), F.lit(1))))
     fine = F.filter(F.transform(inner, compact_spaces), lambda x: (x != "") & ~_is_mark(x) & progress.parts(x).isNull() & ~group_name(x))
-    shown = F.transform(fine, lambda x: _let(bare(x), lambda b: F.when(numeric(x) | (b == ""), edges(x)).otherwise(b)))
+    shown = F.transform(fine, lambda x: let(bare(x), lambda b: F.when(numeric(x) | (b == ""), edges(x)).otherwise(b)))
     return F.array_distinct(F.filter(shown, lambda x: (x != "") & ~group_name(x) & (numeric(x) | usable(x))))
 
 
@@ -151,7 +144,7 @@ def by_script(title: Column) -> Column:
         en = first(lambda r: r["number"] | ((r["latin"] >= 3) & (r["cyrillic"] == 0) & r["fine"]), lambda r: (r["latin"] >= 3) & (r["latin"] > r["cyrillic"] * 2) & r["fine"])
         return F.struct(ru.alias("ru"), en.alias("en"))
 
-    return _let(names(title), pick)
+    return let(names(title), pick)
 
 
 def queries(title: Column) -> Column:
@@ -184,4 +177,4 @@ def queries(title: Column) -> Column:
         short = lambda x: (F.size(F.split(x, " ")) <= MOST_WORDS) & (F.length(x) <= MOST_CHARS)
         return F.array_distinct(F.filter(F.transform(F.filter(found, lambda x: x.isNotNull()), edges), lambda x: short(x) & usable(x)))
 
-    return _let(edges(F.coalesce(title, F.lit(""))), make)
+    return let(edges(F.coalesce(title, F.lit(""))), make)

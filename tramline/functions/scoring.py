@@ -23,20 +23,21 @@ def match_score(f: dict[str, Column]) -> Column:
 
 #: Features that a rejection rule may read. Strings: query_media, candidate_media, wanted_media; booleans: exact, substring,
 #: short, one_word_query, long_candidates, latin, cjk_exception, derivative, truncated, alias_only, alias_fits, nonfiction,
-#: generic_alias, generic, franchise, continuation, revival, long_running; numbers: overlap, similarity, common, main_overlap,
-#: main_similarity, delta, season, seasons (wanted, candidate's), episodes, candidate_episodes.
+#: generic_alias, generic, franchise, continuation, revival, long_running, soft_total; numbers: overlap, similarity, common,
+#: main_overlap, main_similarity, delta, season, seasons (wanted, candidate's), episodes, candidate_episodes.
+#: operators.lineage.features computes them all.
 def rejections(c=F.col) -> list[tuple[str, Column]]:
     """(code, condition) in the order in which the first that holds rejects a candidate; null conditions do not hold."""
     ov, sim, common, delta = c("overlap"), c("similarity"), c("common"), c("delta")
     exact, sub, short, generic = c("exact"), c("substring"), c("short"), c("generic")
     fr, cont = c("franchise"), c("continuation")
     tv, movie = (c("query_media") == "tv") & (c("candidate_media") == "tv"), c("candidate_media") == "movie"
-    candidate_tv = c("candidate_media") == "tv"
     guarded = short & c("one_word_query") & ~exact & c("long_candidates") & (common <= 1)
     main, main_sim, alias = c("main_overlap"), c("main_similarity"), c("alias_only")
     early, later = F.coalesce(c("season"), F.lit(1)) < 2, c("season") >= 2
     single = (F.coalesce(c("season"), F.lit(1)) == 1) & (F.coalesce(c("seasons"), F.lit(1)) == 1)
-    off, wanted = F.abs(c("candidate_episodes") - c("episodes")), c("episodes")
+    off, wanted = F.when(c("candidate_episodes") > 0, F.abs(c("candidate_episodes") - c("episodes"))), c("episodes")
+    seasons = F.when(c("seasons") > 0, c("seasons"))  # a total of 0 is unknown
     # The codes, their order and the thresholds.
     return [
         ("SOURCE_TV_CANDIDATE_MOVIE", (c("query_media") == "tv") & movie),
@@ -58,21 +59,29 @@ def rejections(c=F.col) -> list[tuple[str, Column]]:
         ("TV_SHORT_COMMON_YEAR_DELTA_LARGE", tv & early & short & (delta >= 3) & ~fr),
         ("TV_SHORT_COMMON_YEAR_DELTA_EXACTNESS", tv & early & short & (delta >= 2) & ~exact & ~fr),
         ("TV_LATER_SEASON_COMMON_YEAR_DELTA", tv & later & short & (delta >= 6) & ~exact & (ov < 0.85) & (sim < 0.90) & ~fr & ~cont),
-        ("TV_SEASON_COUNT_TOO_LOW", tv & later & (c("seasons") + 1 < c("season")) & ~c("revival") & ~c("long_running")),
-        ("TV_SEASON_COUNT_FAR_TOO_LOW_COMMON_QUERY", tv & short & (c("season") >= 3) & (c("seasons") + 2 < c("season")) & ~exact & ~c("revival") & ~c("long_running")),
-        ("TV_EPISODE_TOTAL_MISMATCH", tv & single & (wanted >= 8) & (off >= F.greatest(F.lit(4), F.floor(wanted * 0.60)))),
-        ("TV_EPISODE_TOTAL_MISMATCH_COMMON_QUERY", tv & short & (wanted >= 6) & (off >= F.greatest(F.lit(4), F.floor(wanted * 0.75))) & ~exact),
+        ("TV_SEASON_COUNT_TOO_LOW", tv & later & (seasons + 1 < c("season")) & ~c("revival") & ~c("long_running")),
+        ("TV_SEASON_COUNT_FAR_TOO_LOW_COMMON_QUERY", tv & short & (c("season") >= 3) & (seasons + 2 < c("season")) & ~exact & ~c("revival") & ~c("long_running")),
+        ("TV_EPISODE_TOTAL_MISMATCH", tv & single & (wanted >= 8) & (off >= F.greatest(F.lit(4), F.floor(wanted * 0.60))) & ~c("soft_total")),
+        ("TV_EPISODE_TOTAL_MISMATCH_COMMON_QUERY", tv & short & single & (wanted >= 6) & (off >= F.greatest(F.lit(4), F.floor(wanted * 0.75))) & ~exact),
         ("MOVIE_GENERIC_YEAR_DELTA_LARGE", movie & generic & (delta >= 5)),
         ("MOVIE_GENERIC_YEAR_DELTA_WEAK_TITLE", movie & generic & (delta >= 3) & (ov < 0.95) & (sim < 0.98)),
         ("MOVIE_YEAR_DELTA_LARGE_WEAK_TITLE", movie & (delta >= 6) & ~exact & (ov < 0.72) & (sim < 0.84)),
         ("MOVIE_YEAR_DELTA_EXTREME_NO_EXACT", movie & (delta >= 10) & ~exact),
         ("MOVIE_YEAR_DELTA_WEAK_SUBSTRING", movie & (delta >= 8) & (ov < 0.60) & ~sub),
         ("MOVIE_YEAR_DELTA_ABSURD", movie & (delta >= 20)),
-        ("TV_GENERIC_YEAR_DELTA_LARGE", candidate_tv & generic & (delta >= 6) & ~cont),
-        ("TV_GENERIC_YEAR_DELTA_WEAK_TITLE", candidate_tv & generic & (delta >= 4) & (ov < 0.90) & (sim < 0.96) & ~cont),
+        ("TV_GENERIC_YEAR_DELTA_LARGE", tv & generic & (delta >= 6) & ~cont),
+        ("TV_GENERIC_YEAR_DELTA_WEAK_TITLE", tv & generic & (delta >= 4) & (ov < 0.90) & (sim < 0.96) & ~cont),
     ]
 
 
 def rejection(c=F.col) -> Column:
     """The first code that rejects a candidate, else null."""
     return F.coalesce(*[F.when(F.coalesce(condition, F.lit(False)), F.lit(code)) for code, condition in rejections(c)])
+
+
+def warnings(c=F.col) -> Column:
+    """What is odd about a candidate that is not rejected for it."""
+    far = F.abs(c("candidate_episodes") - c("episodes")) >= F.greatest(F.lit(4), F.floor(c("episodes") * 0.60))
+    single = (F.coalesce(c("season"), F.lit(1)) == 1) & (F.coalesce(c("seasons"), F.lit(1)) == 1)
+    soft = single & c("soft_total") & (c("episodes") >= 8) & (c("candidate_episodes") > 0) & far
+    return F.when(F.coalesce(soft, F.lit(False)), F.array(F.lit("episode_total_mismatch_soft"))).otherwise(F.array().cast("array<string>"))

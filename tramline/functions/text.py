@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import cache, reduce
 
 from pyspark.sql import Column
@@ -15,6 +16,11 @@ def rx(pattern: str) -> str:
     return "(?iuU)" + pattern
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def compact_spaces(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
 
@@ -136,9 +142,14 @@ def _folded() -> tuple[str, str, dict[str, str]]:
 def normalized(c: Column) -> Column:
     """Lower-cased letters of two scripts and digits with one space between; markup and accents are dropped."""
     single, plain_forms, several = _folded()
-    low = F.regexp_replace(F.translate(F.lower(strip_html(c)), single, plain_forms), r"\p{M}+", "")
-    longer = reduce(lambda out, x: F.replace(out, F.lit(x[0]), F.lit(x[1])), several.items(), low)
-    low = F.when(F.rlike(low, F.lit("[" + "".join(several) + "]")), longer).otherwise(low)
+
+    def folded(text: Column) -> Column:
+        low = F.regexp_replace(F.translate(text, single, plain_forms), r"\p{M}+", "")
+        longer = lambda t: reduce(lambda out, x: F.replace(out, F.lit(x[0]), F.lit(x[1])), several.items(), t)
+        return let(low, lambda t: F.when(F.rlike(t, F.lit("[" + "".join(several) + "]")), longer(t)).otherwise(t))
+
+    # texts of ASCII and plain Cyrillic letters have nothing to fold
+    low = let(F.lower(strip_html(c)), lambda t: F.when(F.rlike(t, F.lit(r"[^\x00-\x7Fа-ик-я]")), folded(t)).otherwise(t))
     return F.trim(F.regexp_replace(low, "[^a-zа-яё0-9]+", " "))
 
 
@@ -147,11 +158,24 @@ def raw_tokens(c: Column) -> Column:
     return F.filter(F.split(normalized(c), " "), lambda t: t != "")
 
 
+def words_of(norm: Column) -> Column:
+    """The words of a normalized text in order, without stop words unless it has no others."""
+    stop = F.array(*map(F.lit, STOP_WORDS))
+
+    def kept(every: Column) -> Column:
+        return let(F.filter(every, lambda t: ~F.array_contains(stop, t)), lambda some: F.when(F.size(some) > 0, some).otherwise(every))
+
+    return let(F.filter(F.split(norm, " "), lambda t: t != ""), kept)
+
+
+def tokens_of(norm: Column) -> Column:
+    """Distinct words of a normalized text, sorted, without stop words unless it has no others."""
+    return F.array_sort(F.array_distinct(words_of(norm)))
+
+
 def tokens(c: Column) -> Column:
-    """Distinct words of the normalized text, sorted, without stop words unless it has no others."""
-    every = F.array_sort(F.array_distinct(raw_tokens(c)))
-    kept = F.array_except(every, F.array(*map(F.lit, STOP_WORDS)))
-    return F.when(F.size(kept) > 0, kept).otherwise(every)
+    """The same of any text."""
+    return tokens_of(normalized(c))
 
 
 def token_overlap(a: Column, b: Column) -> Column:

@@ -76,3 +76,21 @@ def ratio(a: str | None, b: str | None) -> float:
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks of the lower-cased texts, to three places; not symmetric."""
     return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype=float)
+
+
+def best_ratio(a: list[str], b: list[str]) -> float:
+    """The greatest ratio of two texts of the lists; pairs whose bound cannot exceed the best so far are left out."""
+    best, matcher = 0.0, SequenceMatcher(None)
+    for y in b:
+        matcher.set_seq2(y)
+        for x in a:
+            matcher.set_seq1(x)
+            if x and y and matcher.real_quick_ratio() > best and matcher.quick_ratio() > best:
+                best = max(best, matcher.ratio())
+    return best
+
+
+@F.pandas_udf(T.DoubleType())
+def best_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The same for two columns of arrays; empty arrays have 0."""
+    return pd.Series([best_ratio(list(x), list(y)) if x is not None and y is not None else 0.0 for x, y in zip(a, b)], dtype=float)

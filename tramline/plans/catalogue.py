@@ -2,34 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tramline.functions import buckets, detection, labels, naming, progress, scoring, signatures, text, titles
 from tramline.operators import aliases, audit, delivery, leases, linking, review, rules, selection, versions
-from tramline.plans.views import AS_OF, AS_OF_YEAR, frame, with_views
+from tramline.plans.registered import query
+from tramline.plans.views import AS_OF, AS_OF_YEAR
 from tramline.sources import readers
 from tramline.streaming import debounce
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    """Registers a function of (get,) under its name; get(name) gives a table or view."""
-
-    def register(build: Callable[[Callable[[str], DataFrame]], DataFrame]):
-        QUERIES[build.__name__] = lambda spark, sf_dir: build(lambda name: frame(spark, sf_dir, name))
-        if oracle:
-            ORACLES[build.__name__] = with_views(oracle)
-        return build
-
-    return register
-
-
 def _day(c: str):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
@@ -433,39 +416,6 @@ def _features(get) -> DataFrame:
     return get("orders").select("o_orderkey", "o_custkey", *[F.expr(v).alias(k) for k, v in _FEATURES.items()])
 
 
-@query(f"""SELECT o_orderkey AS candidate_id, CASE WHEN query_media = 'tv' AND candidate_media = 'movie' THEN 'SOURCE_TV_CANDIDATE_MOVIE'
-    WHEN short AND one_word_query AND NOT exact AND long_candidates AND common <= 1 THEN 'SHORT_COMMON_QUERY_TOKEN_MISMATCH'
-    WHEN short AND one_word_query AND NOT exact AND long_candidates AND similarity < 0.985 AND NOT substring THEN 'SHORT_COMMON_QUERY_LOW_SIMILARITY'
-    WHEN short AND truncated AND main_overlap < 0.67 AND main_similarity < 0.88 THEN 'TRUNCATED_PREFIX_QUERY_MATCH'
-    WHEN NOT exact AND substring AND derivative THEN 'DERIVATIVE_SUFFIX_MISMATCH'
-    WHEN latin AND tv AND overlap < 0.18 AND similarity < 0.50 AND common < 2 AND NOT substring AND NOT cjk_exception THEN 'LATIN_TITLE_WEAK_MATCH_TV'
-    WHEN latin AND NOT tv AND overlap < 0.28 AND similarity < 0.58 AND common < 2 AND NOT substring THEN 'LATIN_TITLE_WEAK_MATCH'
-    WHEN alias_only AND candidate_media <> wanted_media THEN 'ALIAS_ONLY_MEDIA_MISMATCH'
-    WHEN alias_only AND NOT alias_fits AND main_overlap < 0.34 AND main_similarity < 0.58 THEN 'ALIAS_ONLY_WEAK_MAIN_TITLE'
-    WHEN alias_only AND nonfiction AND main_overlap < 0.60 THEN 'ALIAS_ONLY_NONFICTION_WEAK_MATCH'
-    WHEN alias_only AND generic_alias THEN 'ALIAS_ONLY_GENERIC_PARENTHETICAL'
-    WHEN tv AND delta >= 35 THEN 'TV_YEAR_DELTA_EXTREME' WHEN tv AND delta >= 20 AND NOT continuation THEN 'TV_YEAR_DELTA_VERY_LARGE'
-    WHEN tv AND delta >= 10 AND NOT exact AND NOT franchise AND NOT continuation THEN 'TV_YEAR_DELTA_LARGE_WEAK_TITLE'
-    WHEN tv AND delta >= 8 AND overlap < 0.70 AND similarity < 0.84 AND NOT franchise AND NOT continuation THEN 'TV_YEAR_DELTA_MEDIUM_WEAK_TITLE'
-    WHEN tv AND coalesce(season, 1) < 2 AND short AND delta >= 3 AND NOT franchise THEN 'TV_SHORT_COMMON_YEAR_DELTA_LARGE'
-    WHEN tv AND coalesce(season, 1) < 2 AND short AND delta >= 2 AND NOT exact AND NOT franchise THEN 'TV_SHORT_COMMON_YEAR_DELTA_EXACTNESS'
-    WHEN tv AND season >= 2 AND short AND delta >= 6 AND NOT exact AND overlap < 0.85 AND similarity < 0.90 AND NOT franchise AND NOT continuation THEN 'TV_LATER_SEASON_COMMON_YEAR_DELTA'
-    WHEN tv AND season >= 2 AND seasons + 1 < season AND NOT revival AND NOT long_running THEN 'TV_SEASON_COUNT_TOO_LOW'
-    WHEN tv AND coalesce(season, 1) = 1 AND coalesce(seasons, 1) = 1 AND episodes >= 8 AND abs(candidate_episodes - episodes) >= greatest(4, floor(episodes * 0.60)) THEN 'TV_EPISODE_TOTAL_MISMATCH'
-    WHEN tv AND short AND episodes >= 6 AND abs(candidate_episodes - episodes) >= greatest(4, floor(episodes * 0.75)) AND NOT exact THEN 'TV_EPISODE_TOTAL_MISMATCH_COMMON_QUERY'
-    WHEN candidate_media = 'movie' AND generic AND delta >= 5 THEN 'MOVIE_GENERIC_YEAR_DELTA_LARGE'
-    WHEN candidate_media = 'movie' AND generic AND delta >= 3 AND overlap < 0.95 AND similarity < 0.98 THEN 'MOVIE_GENERIC_YEAR_DELTA_WEAK_TITLE'
-    WHEN candidate_media = 'movie' AND delta >= 6 AND NOT exact AND overlap < 0.72 AND similarity < 0.84 THEN 'MOVIE_YEAR_DELTA_LARGE_WEAK_TITLE'
-    WHEN candidate_media = 'movie' AND delta >= 10 AND NOT exact THEN 'MOVIE_YEAR_DELTA_EXTREME_NO_EXACT'
-    WHEN candidate_media = 'movie' AND delta >= 8 AND overlap < 0.60 AND NOT substring THEN 'MOVIE_YEAR_DELTA_WEAK_SUBSTRING'
-    WHEN candidate_media = 'movie' AND delta >= 20 THEN 'MOVIE_YEAR_DELTA_ABSURD'
-    WHEN candidate_media = 'tv' AND generic AND delta >= 6 AND NOT continuation THEN 'TV_GENERIC_YEAR_DELTA_LARGE'
-    WHEN candidate_media = 'tv' AND generic AND delta >= 4 AND overlap < 0.90 AND similarity < 0.96 AND NOT continuation THEN 'TV_GENERIC_YEAR_DELTA_WEAK_TITLE' END AS code
-    FROM (SELECT *, query_media = 'tv' AND candidate_media = 'tv' AS tv FROM ({_FEATURES_SQL}))""")
-def link_validation(get):
-    return _features(get).select(F.col("o_orderkey").alias("candidate_id"), scoring.rejection().alias("code"))
-
-
 @query(f"""SELECT o_orderkey AS candidate_id, round(0.90 * overlap + 0.70 * main_overlap + CASE WHEN exact THEN 0.55 ELSE 0 END + CASE WHEN substring THEN 0.18 ELSE 0 END + CASE WHEN query_media = candidate_media THEN 0.24 ELSE 0 END
     - CASE WHEN delta IS NULL THEN 0 ELSE least(delta, 12) * 0.06 END + CASE WHEN delta <= 1 THEN 0.14 WHEN delta >= 5 THEN -0.16 ELSE 0 END + CASE WHEN season >= 2 AND seasons > 0 AND seasons + 1 >= season AND candidate_media = 'tv' THEN 0.12 ELSE 0 END
     - CASE WHEN alias_only THEN 0.10 ELSE 0 END - CASE WHEN short AND NOT exact THEN 0.12 ELSE 0 END, 3) AS score FROM ({_FEATURES_SQL})""")

@@ -16,7 +16,26 @@ AS_OF, AS_OF_YEAR = 996_710_400, 2001
 #: Letters of one script and those of the other that stand for them in some titles.
 LATIN, CYRILLIC = "abcdefghijklmnoprstuvyz", "абцдефгхийклмнопрстувыз"
 
+#: Names of works that items and dictionary entries share.
+_EN = "CASE {0} % 6 WHEN 0 THEN 'Red House' WHEN 1 THEN 'Dragon Quest' WHEN 2 THEN 'The Office of Time' WHEN 3 THEN 'Nova' WHEN 4 THEN 'Silent Sea and Sky' ELSE 'Zeta' END"
+_RU = "CASE {0} % 6 WHEN 0 THEN 'Красный дом' WHEN 1 THEN 'Поиск дракона' WHEN 2 THEN 'Контора времени' WHEN 3 THEN 'Нова' WHEN 4 THEN '' ELSE 'Зета' END"
+_WORK = """SELECT p_partkey, p_size, {en} AS base, concat({en}, CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN ' 2' WHEN 2 THEN ' Rising' WHEN 3 THEN ' II' ELSE ' Returns Home' END) AS en, {ru} AS ru, {next} AS next_name,
+        CASE p_partkey % 7 WHEN 0 THEN 'Zeta Nova' WHEN 1 THEN 'Nova' WHEN 2 THEN 'Новая Зета' WHEN 3 THEN 'Long Way to Zeta' ELSE '' END AS spelling,
+        CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN '2 сезон: 1-3 серии из 12' ELSE '1-10 серии из 24' END AS progress, p_partkey % 6 <> 4 AND p_partkey % 5 = 0 AS local FROM {{part}}""".format(en=_EN.format("p_partkey"), ru=_RU.format("p_partkey"), next=_EN.format("(p_partkey + 1)"))
+
 VIEWS = {
+    "link_items": f"""SELECT p_partkey AS item_id, concat_ws(' / ', nullif(ru, ''), CASE WHEN local THEN NULL WHEN spelling <> '' THEN concat(en, ' (', spelling, ')') ELSE en END, '2001', nullif(progress, ''), CASE WHEN NOT local THEN 'WEBRip (1080p)' END) AS source_title,
+        concat_ws(' / ', nullif(ru, ''), CASE WHEN NOT local THEN en END) AS cleaned_title, CASE WHEN local THEN '' ELSE spelling END AS spelling, progress, '' AS description, CASE WHEN p_partkey % 11 = 0 THEN 'Документальное кино' ELSE 'Кино' END AS category_name, CASE WHEN p_size % 4 = 0 THEN 'tv' ELSE 'movie' END AS media_type,
+        CASE WHEN p_partkey % 3 = 0 THEN 'anime' ELSE 'regular' END AS bucket, CAST(p_partkey % 5 AS INT) AS anime_score, CASE WHEN p_partkey % 13 = 0 THEN '' ELSE CAST(1975 + p_partkey % 50 AS STRING) END AS year_text,
+        CASE p_size % 4 WHEN 0 THEN en WHEN 1 THEN base WHEN 2 THEN CASE WHEN spelling <> '' THEN spelling ELSE en END ELSE CASE WHEN ru <> '' THEN ru ELSE base END END AS query,
+        CASE WHEN p_partkey % 8 < 5 THEN 'tv' ELSE 'movie' END AS requested_media, CASE WHEN p_partkey % 2 = 0 THEN next_name ELSE '' END AS alias_name FROM ({_WORK})""",
+    "link_entries": f"""SELECT s_suppkey AS entry_id, concat({_EN.format("s_suppkey")}, CASE CAST(FLOOR(s_suppkey / 6) AS BIGINT) % 8 WHEN 0 THEN '' WHEN 1 THEN ' 2' WHEN 2 THEN ' Rising' WHEN 3 THEN ': Podcast' WHEN 4 THEN ' - The Recap' WHEN 5 THEN ' Stories' WHEN 6 THEN ' Returns to the Long House' ELSE ' II' END) AS title,
+        CASE s_suppkey % 4 WHEN 0 THEN {_RU.format("s_suppkey")} WHEN 1 THEN '赤い家' ELSE '' END AS original_title, CASE WHEN s_suppkey % 4 = 1 THEN 'ja' ELSE 'en' END AS language, CASE WHEN s_suppkey % 3 = 0 THEN 'Returning Series' ELSE 'Ended' END AS status,
+        CASE WHEN s_suppkey % 5 = 4 THEN NULL ELSE CAST(s_suppkey % 5 AS INT) END AS seasons, CASE WHEN s_suppkey % 9 = 0 THEN NULL WHEN s_suppkey % 5 = 1 AND s_suppkey % 4 < 3 THEN 12 ELSE CAST(s_suppkey * 7 % 90 AS INT) END AS episodes, concat(CAST(1975 + s_suppkey % 50 AS STRING), '-03-01') AS release_date,
+        CASE WHEN s_suppkey % 10 < 7 THEN 'tv' ELSE 'movie' END AS media_type, CAST(s_suppkey % 3 AS INT) AS search_rank FROM {{supplier}}""",
+    "link_pairs": "SELECT DISTINCT l_partkey AS item_id, l_suppkey AS entry_id FROM {lineitem}",
+    "family_entries": f"""SELECT p_partkey AS entry_id, CASE WHEN p_partkey % 17 = 0 THEN '***' ELSE concat(p_type, ' ', {_EN.format("p_partkey")}, CASE p_size % 9 WHEN 0 THEN '' WHEN 1 THEN ' 2' WHEN 2 THEN ' II' WHEN 3 THEN ' Season 3' WHEN 4 THEN ' Rising' WHEN 5 THEN ' Rising 2'
+        WHEN 6 THEN ' Rising: Part 4' WHEN 7 THEN ', часть 5' ELSE ' - 6 сезон' END) END AS title FROM {{part}}""",
     "titles": f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN translate(lower(text), '{LATIN}', '{CYRILLIC}') ELSE text END AS text FROM {{documents}}",
     "names": f"""SELECT item_id, text FROM {{benchmark}} UNION ALL SELECT item_id + 100000 AS item_id, translate(lower(text), '{LATIN}', '{CYRILLIC}') AS text FROM {{benchmark}}""",
     "aliases": f"""SELECT s_suppkey AS alias, concat(CASE WHEN s_suppkey % 5 = 0 THEN 'The ' ELSE '' END, CASE WHEN s_suppkey % 2 = 0 THEN translate(lower(s_name), '{LATIN}', '{CYRILLIC}') ELSE s_name END,
