@@ -430,7 +430,7 @@ def link_score(get):
     o AS (SELECT c_custkey AS user_id, c_nationkey AS id FROM customer WHERE c_custkey % 20 = 0), m AS (SELECT c_custkey AS user_id, c_nationkey AS id FROM customer WHERE c_custkey % 10 = 1)
     SELECT c_custkey AS user_id, CASE WHEN o.user_id IS NOT NULL THEN o.id WHEN m.user_id IS NOT NULL THEN m.id ELSE best.id END AS entry_id, CASE WHEN o.user_id IS NOT NULL THEN 'override' WHEN m.user_id IS NOT NULL THEN 'manual' WHEN best.id IS NOT NULL THEN 'search' ELSE 'search_unmatched' END AS path
     FROM customer LEFT JOIN o ON c_custkey = o.user_id LEFT JOIN m ON c_custkey = m.user_id LEFT JOIN best ON c_custkey = best.user_id""")
-def link_cascade(get):
+def link_choice(get):
     people = get("customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").cast("long").alias("entry_id"))
     found = get("facts").select("user_id", F.col("item_id").alias("entry_id"), "event_id", F.when(F.col("event_id") % 4 == 0, "X").alias("reject_code"))
     barred = get("facts").filter("origin = 'archive'").select("user_id", F.col("item_id").alias("entry_id"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.functions import scoring
-from tramline.operators import lineage
+from tramline.operators import cascade, lineage
 from tramline.plans.registered import query
 from tramline.plans.views import AS_OF_YEAR
 
@@ -182,3 +182,37 @@ _MARK_SQL = r"regexp_extract(norm, ' (?:(?:season|сезон|part|часть) )?
     coalesce((SELECT arg_min(first_id, level) FROM held h WHERE h.entry_id = s.entry_id), s.entry_id) AS family_id FROM s""")
 def title_families(get):
     return lineage.families(get("family_entries"))
+
+
+#: Items in order of time inside each title; what is barred is a list of (entry, since) that grows along it.
+@query("""WITH RECURSIVE external AS (SELECT item_id, item_id % 6 AS entry_id FROM {cascade_items} WHERE item_id % 5 = 0 AND item_id % 6 < 5),
+    resolver AS (SELECT item_id, (item_id + 1) % 6 AS entry_id FROM {cascade_items} WHERE item_id % 4 = 1 AND (item_id + 1) % 6 < 5 AND item_id % 8 <> 1 AND (media_type = '' OR media_type = CASE WHEN item_id % 3 = 0 THEN 'movie' ELSE 'tv' END)),
+    found AS (SELECT c.item_id, list(c.entry_id ORDER BY c.score DESC, c.search_score DESC, c.place) AS entries FROM {cascade_candidates} c JOIN {cascade_items} i USING (item_id)
+        WHERE c.reject_code IS NULL AND (c.media_type <> 'movie' OR i.external_id <> '' OR coalesce(abs(i.year - c.year) <= 2, TRUE)) GROUP BY c.item_id),
+    ordered AS (SELECT i.item_id, i.title_key, i.happened, external.entry_id AS ext, resolver.entry_id AS res, coalesce(entries, []) AS entries, row_number() OVER (PARTITION BY i.title_key ORDER BY i.happened, i.item_id) AS rn
+        FROM {cascade_items} i LEFT JOIN external USING (item_id) LEFT JOIN resolver USING (item_id) LEFT JOIN found USING (item_id)),
+    memory AS (SELECT c_custkey AS title_key, CASE WHEN c_custkey % 9 = 0 THEN [{'e': c_custkey % 5, 's': 0}] ELSE []::STRUCT(e BIGINT, s BIGINT)[] END AS bars FROM customer),
+    step AS (
+        SELECT title_key, 0::BIGINT AS rn, NULL::BIGINT AS item_id, NULL::BIGINT AS entry_id, '' AS path, 0::BIGINT AS n_barred, bars FROM memory
+        UNION ALL
+        SELECT title_key, rn, item_id, entry_id, path, n_barred, CASE WHEN entry_id IS NOT NULL AND item_id % 3 = 0 THEN list_append(bars, {'e': entry_id, 's': happened + item_id % 4 * 40}) ELSE bars END FROM (
+            SELECT *, CASE path WHEN 'resolver' THEN res WHEN 'external' THEN ext WHEN 'search' THEN open[1] END AS entry_id,
+                len(list_filter(entries, lambda e: list_contains(barred, e))) + CASE WHEN list_contains(barred, ext) THEN 1 ELSE 0 END + CASE WHEN list_contains(barred, res) THEN 1 ELSE 0 END AS n_barred FROM (
+                SELECT *, CASE WHEN res IS NOT NULL AND NOT (ext_ok AND ext = res) AND NOT list_contains(barred, res) THEN 'resolver' WHEN ext_ok AND (res IS NULL OR ext = res) THEN 'external' WHEN len(open) > 0 THEN 'search' ELSE 'search_unmatched' END AS path FROM (
+                    SELECT *, ext IS NOT NULL AND NOT list_contains(barred, ext) AS ext_ok, list_filter(entries, lambda e: NOT list_contains(barred, e)) AS open FROM (
+                        SELECT o.*, s.bars, list_transform(list_filter(s.bars, lambda b: b.s < o.happened), lambda b: b.e) AS barred FROM step s JOIN ordered o ON s.title_key = o.title_key AND o.rn = s.rn + 1)))))
+    SELECT item_id, CASE WHEN title_key % 20 = 0 THEN CASE WHEN title_key % 40 = 0 THEN NULL ELSE title_key % 5 END WHEN title_key % 10 = 1 THEN title_key % 4 ELSE entry_id END AS entry_id,
+        CASE WHEN title_key % 20 = 0 THEN 'override' WHEN title_key % 10 = 1 THEN 'manual' ELSE path END AS path, CASE WHEN title_key % 20 = 0 OR title_key % 10 = 1 THEN 0 ELSE n_barred END AS n_barred FROM step WHERE rn > 0""")
+def link_cascade(get):
+    items = get("cascade_items").withColumnRenamed("happened", "at")
+    own, even = F.col("item_id"), lambda c, n: F.col(c) % n
+    entries = items.sparkSession.range(5).withColumnRenamed("id", "entry_id")
+    external = items.filter(own % 5 == 0).select("item_id", (own % 6).alias("entry_id"))
+    resolver = items.filter(own % 4 == 1).select("item_id", ((own + 1) % 6).alias("entry_id"), F.when(own % 3 == 0, "movie").otherwise("tv").alias("media_type"), F.when(own % 8 == 1, "low").otherwise("high").alias("confidence"))
+    titles = get("customer").select(F.col("c_custkey").alias("title_key"))
+    overrides = titles.filter("title_key % 20 = 0").select("title_key", F.when(even("title_key", 40) != 0, even("title_key", 5)).alias("entry_id"))
+    manual = titles.filter("title_key % 10 = 1").select("title_key", even("title_key", 4).alias("entry_id"))
+    reviews = items.filter(own % 3 == 0).select("item_id", (F.col("at") + own % 4 * 40).alias("rejected_at"))
+    memory = titles.filter("title_key % 9 = 0").select("title_key", even("title_key", 5).alias("entry_id"), F.lit(0).cast("long").alias("since"))
+    choices = cascade.options(items, entries, external, resolver, get("cascade_candidates"))
+    return cascade.link_all(items, overrides, manual, choices, reviews, memory)

@@ -33,6 +33,10 @@ VIEWS = {
         CASE s_suppkey % 4 WHEN 0 THEN {_RU.format("s_suppkey")} WHEN 1 THEN '赤い家' ELSE '' END AS original_title, CASE WHEN s_suppkey % 4 = 1 THEN 'ja' ELSE 'en' END AS language, CASE WHEN s_suppkey % 3 = 0 THEN 'Returning Series' ELSE 'Ended' END AS status,
         CASE WHEN s_suppkey % 5 = 4 THEN NULL ELSE CAST(s_suppkey % 5 AS INT) END AS seasons, CASE WHEN s_suppkey % 9 = 0 THEN NULL WHEN s_suppkey % 5 = 1 AND s_suppkey % 4 < 3 THEN 12 ELSE CAST(s_suppkey * 7 % 90 AS INT) END AS episodes, concat(CAST(1975 + s_suppkey % 50 AS STRING), '-03-01') AS release_date,
         CASE WHEN s_suppkey % 10 < 7 THEN 'tv' ELSE 'movie' END AS media_type, CAST(s_suppkey % 3 AS INT) AS search_rank FROM {{supplier}}""",
+    "cascade_items": """SELECT o_orderkey AS item_id, o_custkey AS title_key, CAST(year(o_orderdate) * 372 + month(o_orderdate) * 31 + day(o_orderdate) AS BIGINT) AS happened, CASE o_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'movie' ELSE 'tv' END AS media_type, CASE WHEN o_orderkey % 6 = 0 THEN 'tt1' ELSE '' END AS external_id,
+        CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE CAST(1992 + o_orderkey % 7 AS INT) END AS year, o_orderdate FROM {orders}""",
+    "cascade_candidates": """SELECT l_orderkey AS item_id, l_suppkey % 5 AS entry_id, CASE WHEN l_linestatus = 'O' THEN 'tv' ELSE 'movie' END AS media_type, CAST(1992 + l_partkey % 8 AS INT) AS year, l_quantity AS score, CAST(l_partkey % 3 AS DOUBLE) AS search_score,
+        l_partkey * 1000000 + l_suppkey * 10 + l_linenumber AS place, CASE WHEN l_returnflag = 'R' AND l_linenumber % 3 = 0 THEN 'X' END AS reject_code FROM {lineitem}""",
     "link_pairs": "SELECT DISTINCT l_partkey AS item_id, l_suppkey AS entry_id FROM {lineitem}",
     "family_entries": f"""SELECT p_partkey AS entry_id, CASE WHEN p_partkey % 17 = 0 THEN '***' ELSE concat(p_type, ' ', {_EN.format("p_partkey")}, CASE p_size % 9 WHEN 0 THEN '' WHEN 1 THEN ' 2' WHEN 2 THEN ' II' WHEN 3 THEN ' Season 3' WHEN 4 THEN ' Rising' WHEN 5 THEN ' Rising 2'
         WHEN 6 THEN ' Rising: Part 4' WHEN 7 THEN ', часть 5' ELSE ' - 6 сезон' END) END AS title FROM {{part}}""",
