@@ -147,17 +147,3 @@ def test_small_fields(spark):
     assert one(spark, signatures.variant_change(old, new)) == "progress s01e01 -> s01e02; release norelease -> webrip" and one(spark, signatures.variant_change(new, new)) == "metadata refresh"
     admin = spark.createDataFrame([(1, True, True, None), (2, False, True, None), (3, True, True, 5), (4, False, False, 1)], "id long, is_active boolean, access_granted boolean, expires_at long")
     assert sorted(r.id for r in admin.filter(delivery.may_receive(lit(10), F.col("id") == 4)).collect()) == [1, 4]
-
-
-def test_cycles_go_on_after_a_failure(spark, tmp_path):
-    spark.range(3).coalesce(1).write.parquet(str(tmp_path / "in"))
-    seen = []
-
-    def cycle(batch, number):
-        seen.append(batch.count())
-        raise ValueError("bad cycle")
-
-    source = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
-    query, failed = observations.cycles(source, cycle, str(tmp_path / "cp"), None)
-    query.awaitTermination(60)
-    assert seen == [3] and failed == [(0, "bad cycle")] and query.exception() is None

@@ -91,7 +91,7 @@ def group_event(user: Column, group: Column, members: Column) -> Column:
 def quiet(hour: Column, start: Column, end: Column) -> Column:
     """True inside the hours [start, end), which may wrap midnight; equal or missing bounds mean never."""
     inside = F.when(start < end, (hour >= start) & (hour < end)).otherwise((hour >= start) | (hour < end))
-    return F.coalesce(F.when(start == end, F.lit(False)).otherwise(inside), F.lit(False))
+    return F.coalesce(F.when(start.isNull() | end.isNull() | (start == end), F.lit(False)).otherwise(inside), F.lit(False))
 
 
 def local_hour(at: Column, zone: Column) -> Column:

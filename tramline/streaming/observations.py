@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tramline.streaming import effects
+
 
 def observation_rows(sightings: DataFrame) -> DataFrame:
     """Sightings with the hash of their release text, as they are logged."""
@@ -22,21 +24,15 @@ def append_sink(sightings: DataFrame, path: str, checkpoint: str):
     return observation_rows(sightings).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def cycles(source: DataFrame, cycle, checkpoint: str, seconds: int | None = 60):
-    """Starts a query that calls cycle(batch, number) for each micro-batch, one after the other.
+def cycles(source: DataFrame, cycle, checkpoint: str, folder: str, seconds: int | None = 60, key: str = "event_key"):
+    """Starts a query that calls cycle(rows, number) for each micro-batch, one after the other, over a ledger in folder.
 
-    A cycle starts every so many seconds, or with None once for all that has arrived. One that fails is reported by its
-    number and does not end the query: its batch is retried by the cycle itself or left to the next one, so a cycle must
-    be idempotent.
+    A cycle starts every so many seconds, or with None once for all that has arrived. The rows of a cycle that raises are
+    written down as failed and come again with those of the next one, so none is lost and the query goes on; see effects.
     """
-    failed: list[tuple[int, str]] = []
 
-    def run(batch: DataFrame, number: int) -> None:
-        try:
-            cycle(batch, number)
-        except Exception as problem:  # noqa: BLE001 - one bad cycle must not stop those after it
-            failed.append((number, str(problem)))
+    def effect(rows: DataFrame, number: int) -> DataFrame:
+        cycle(rows, number)
+        return rows.select(key, F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
 
-    trigger = {"availableNow": True} if seconds is None else {"processingTime": f"{seconds} seconds"}
-    query = source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger).start()
-    return query, failed
+    return effects.deliver(source, folder, checkpoint, effect, key, seconds)
