@@ -6,7 +6,7 @@ from tramline.operators import review
 
 NO = {
     "query_media": "movie", "candidate_media": "movie", "wanted_media": "movie", "exact": False, "substring": False, "short": False, "one_word_query": False, "long_candidates": False, "latin": False, "cjk_exception": False,
-    "derivative": False, "truncated": False, "alias_only": False, "alias_fits": False, "nonfiction": False, "generic_alias": False, "generic": False, "franchise": False, "continuation": False, "revival": False, "long_running": False,
+    "derivative": False, "truncated": False, "alias_only": False, "alias_fits": False, "nonfiction": False, "generic_alias": False, "generic": False, "franchise": False, "continuation": False, "revival": False, "long_running": False, "soft_total": False,
     "overlap": 0.9, "similarity": 0.9, "common": 3, "main_overlap": 0.9, "main_similarity": 0.9, "delta": 0, "season": 1, "seasons": 1, "episodes": 10, "candidate_episodes": 10,
 }
 TV = {"query_media": "tv", "candidate_media": "tv", "wanted_media": "tv"}

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tramline.operators.folds import greatest_before
+
 
 def gap_audit(versions: DataFrame, observed: DataFrame, delivered: DataFrame) -> DataFrame:
     """Progress that was observed but is no known version, though a lower one is.
@@ -33,5 +35,20 @@ def in_audit_order(gaps: DataFrame) -> DataFrame:
 
 def regressions(observed: DataFrame, key: str, progress: str, order: list[str]) -> DataFrame:
     """Observations below the highest progress that their key had before, with it as `highest_before`."""
-    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return observed.withColumn("highest_before", F.max(progress).over(before)).filter(F.col(progress) < F.col("highest_before"))
+    return greatest_before(observed, key, progress, order).filter(F.col(progress) < F.col("highest_before"))
+
+
+def holds(found: DataFrame, key: str, progress: str, order: list[str], matched: DataFrame, open_anomalies: DataFrame) -> DataFrame:
+    """regressions() with `held`, `recorded` and `alert`.
+
+    A regression of a key that users are matched to (matched: key) holds the delivery. The first of each (key, old, new)
+    is recorded as an anomaly, and alerts, unless open_anomalies (key, old_value, new_value) has it; repeats do neither.
+    """
+    users = matched.select(key).distinct().withColumn("held", F.lit(True))
+    rows = found.join(users, key, "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    same = [key, "highest_before", progress]
+    known = open_anomalies.select(F.col(key), F.col("old_value").alias("highest_before"), F.col("new_value").alias(progress)).distinct().withColumn("known", F.lit(True))
+    first = rows.filter("held").groupBy(*same).agg(F.min(F.struct(*order)).alias("first")).join(known, same, "left").filter("known IS NULL").drop("known")
+    rows = rows.join(first, same, "left")
+    new = F.col("held") & F.coalesce(F.col("first") == F.struct(*order), F.lit(False))
+    return rows.withColumn("recorded", new).withColumn("alert", new).drop("first")

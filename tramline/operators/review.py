@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tramline.functions.text import blank_to_null, compact_spaces
+from tramline.operators.folds import spaced, streaks
+from tramline.operators.shared import cut
 
 FINAL = ("confirmed", "replaced", "rejected", "unmatched", "skipped")
 
@@ -99,30 +98,15 @@ def source_health(cycles: DataFrame, threshold: int, repeat_s: int) -> DataFrame
 
     A failed cycle alerts once its streak reaches the threshold, but not within repeat_s of the alert before, which may
     lie in an earlier streak; a good cycle after a streak of the threshold or more has recovered. Of cycles at one moment
-    the failed come first. Streaks are windows; only those cycles that may alert are folded.
+    the failed come first. No window or task holds a source: see folds.
     """
-    own = Window.partitionBy("source").orderBy("at", "ok")
-    rows = cycles.select("source", "at", "ok").dropna().withColumn("nth", F.row_number().over(own))
-    # the last good cycle up to each one tells how long its streak is
-    good = F.coalesce(F.max(F.when(F.col("ok"), F.col("nth"))).over(own.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    rows = rows.withColumn("fail_streak", (F.col("nth") - good).cast("long"))
-    rows = rows.withColumn("recovered", F.col("ok") & (F.coalesce(F.lag("fail_streak").over(own), F.lit(0)) >= threshold))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        source, last = None, None
-        for batch in batches:
-            out = []
-            for row in batch[["source", "at", "nth"]].itertuples(index=False):
-                if row.source != source:
-                    source, last = row.source, None
-                if last is None or row.at - last >= repeat_s:
-                    last = row.at
-                    out.append((row.source, row.nth))
-            yield pd.DataFrame(out, columns=["source", "nth"])
-
-    may = rows.filter(~F.col("ok") & (F.col("fail_streak") >= threshold)).select("source", "at", "nth")
-    alerts = may.repartition("source").sortWithinPartitions("source", "nth").mapInPandas(fold, "source long, nth int").withColumn("alert", F.lit(True))
-    return rows.join(alerts, ["source", "nth"], "left").select("source", "at", "ok", "fail_streak", F.coalesce("alert", F.lit(False)).alias("alert"), "recovered")
+    rows = cut(streaks(cycles.select("source", "at", "ok").dropna(), "source", "at", "ok"))
+    may = rows.filter(~F.col("ok") & (F.col("fail_streak") >= threshold))
+    # of cycles at the moment of an alert the first has it
+    moments = spaced(may, "source", "at", repeat_s)
+    alerts = may.join(moments, ["source", "at"]).groupBy("source", "at", "piece").agg(F.min("nth").alias("nth")).drop("at").withColumn("alert", F.lit(True))
+    recovered = F.col("ok") & (F.col("before") >= threshold)
+    return rows.join(alerts, ["source", "piece", "nth"], "left").select("source", "at", "ok", "fail_streak", F.coalesce("alert", F.lit(False)).alias("alert"), recovered.alias("recovered"))
 
 
 def redeem(invites: DataFrame, asked: DataFrame, as_of: Column) -> DataFrame:

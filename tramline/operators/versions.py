@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tramline.functions import progress
+from tramline.operators.folds import last_step
 
 
 def timeline(versions: DataFrame, keys: list[str], newest: Column, keep: list[str]) -> DataFrame:
@@ -57,20 +58,10 @@ def highest_progress(rows: DataFrame, key: str, parts: str, order: list[str], ke
     """One row for each key: the row that a fold in order ends with, moving on to each row of higher or equal progress.
 
     Comparison of progress is no total order, so this is a fold over a key's sorted rows and not a maximum. A row whose
-    progress cannot be compared with the best so far is passed over, unless the best has none.
+    progress cannot be compared with the best so far is passed over, unless the best has none. Pieces of a key's history
+    are folded apart and combined, see folds.
     """
-    row = F.struct(*[F.col(c) for c in order], F.col(parts).alias("parts"), F.struct(*keep).alias("kept"))
-    # of rows in a run of equal progress the fold ends with the last, so a list holds a key's changes and not its rows
-    after = F.lead(F.struct(F.col(parts).alias("parts"))).over(Window.partitionBy(key).orderBy(*order, *keep))
-    rows = rows.withColumn("after", after).filter(F.col("after").isNull() | ~F.col("after.parts").eqNullSafe(F.col(parts)))
-    lists = rows.groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("rows"))
-
-    def step(best, x):
-        higher = progress.compare(x["parts"], best["parts"]) >= 0
-        return F.when(best["parts"].isNull() & x["parts"].isNotNull(), x).when(F.coalesce(higher, F.lit(False)), x).otherwise(best)
-
-    best = F.aggregate(F.slice("rows", 2, F.greatest(F.size("rows"), F.lit(1))), F.element_at("rows", 1), step)
-    return lists.select(key, best.alias("best")).select(key, *[F.col(f"best.kept.{c}").alias(c) for c in keep])
+    return last_step(rows, key, parts, order, keep, lambda x, best: progress.compare(x, best) >= 0)
 
 
 def quality_score(*weighted: tuple[Column, int]) -> Column:

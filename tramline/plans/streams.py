@@ -1,4 +1,4 @@
-"""Queries over the batch forms of the streaming operators: the ledger of effects, and the holds of quiet hours."""
+"""Queries over ordered histories: the ledger of effects, the holds of quiet hours, and folds that combine pieces."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tramline.operators import audit, versions
 from tramline.operators.shared import shared_folder
 from tramline.plans.registered import query
 from tramline.streaming import effects, holds
@@ -43,3 +44,29 @@ def deliveries_once(get):
 def quiet_holds(get):
     deliveries = get("timed_events").select("user_id", F.col("event_id").cast("string").alias("event_key"), F.col("happened").alias("at"))
     return holds.release(deliveries, get("quiet_profiles").withColumnRenamed("since", "at"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY release_id ORDER BY l_orderkey, l_linenumber, l_suppkey, l_shipdate) AS rn FROM {progress_steps}),
+    s AS (SELECT release_id, rn, season, start_no, end_no, total, known, l_orderkey, l_linenumber, l_suppkey FROM o WHERE rn = 1
+        UNION ALL
+        SELECT s.release_id, o.rn, CASE WHEN moves THEN o.season ELSE s.season END, CASE WHEN moves THEN o.start_no ELSE s.start_no END, CASE WHEN moves THEN o.end_no ELSE s.end_no END, CASE WHEN moves THEN o.total ELSE s.total END, CASE WHEN moves THEN o.known ELSE s.known END,
+            CASE WHEN moves THEN o.l_orderkey ELSE s.l_orderkey END, CASE WHEN moves THEN o.l_linenumber ELSE s.l_linenumber END, CASE WHEN moves THEN o.l_suppkey ELSE s.l_suppkey END
+        FROM s JOIN o ON o.release_id = s.release_id AND o.rn = s.rn + 1, LATERAL (SELECT CASE WHEN NOT o.known THEN FALSE WHEN NOT s.known THEN TRUE WHEN coalesce(s.end_no > o.total, FALSE) OR coalesce(o.end_no > s.total, FALSE) THEN FALSE
+            ELSE (coalesce(o.season, s.season, 0), o.end_no, o.start_no) >= (coalesce(s.season, o.season, 0), s.end_no, s.start_no) END AS moves))
+    SELECT release_id, l_orderkey, l_linenumber, l_suppkey FROM s WHERE rn = (SELECT max(rn) FROM o WHERE o.release_id = s.release_id)""")
+def highest_progress(get):
+    parts = F.struct("season", F.col("start_no").alias("start"), F.col("end_no").alias("end"), "total")
+    rows = get("progress_steps").withColumn("parts", F.when(F.col("known"), parts))
+    return versions.highest_progress(rows, "release_id", "parts", ["l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate"], ["l_orderkey", "l_linenumber", "l_suppkey"])
+
+
+@query("""WITH r AS (SELECT * FROM (SELECT event_id, release_id, progress, polled_at, max(progress) OVER (PARTITION BY release_id ORDER BY polled_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS highest_before FROM {observed}) WHERE progress < highest_before),
+    h AS (SELECT *, release_id IN (SELECT item_id FROM {facts} WHERE user_id % 9 = 0) AS held FROM r),
+    n AS (SELECT *, row_number() OVER (PARTITION BY release_id, highest_before, progress, held ORDER BY polled_at, event_id) AS nth FROM h)
+    SELECT event_id, release_id, progress, highest_before, held, held AND nth = 1 AND NOT (release_id % 4 = 0 AND highest_before = 9 AND progress = 1) AS alert FROM n""")
+def anomaly_holds(get):
+    found = audit.regressions(get("observed"), "release_id", "progress", ["polled_at", "event_id"])
+    matched = get("facts").filter("user_id % 9 = 0").select(F.col("item_id").alias("release_id"))
+    already = get("observed").filter("release_id % 4 = 0").select("release_id", F.lit(9).cast("long").alias("old_value"), F.lit(1).cast("long").alias("new_value"))
+    rows = audit.holds(found, "release_id", "progress", ["polled_at", "event_id"], matched, already)
+    return rows.select("event_id", "release_id", "progress", "highest_before", "held", "alert")

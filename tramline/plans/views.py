@@ -33,6 +33,8 @@ VIEWS = {
         CASE s_suppkey % 4 WHEN 0 THEN {_RU.format("s_suppkey")} WHEN 1 THEN '赤い家' ELSE '' END AS original_title, CASE WHEN s_suppkey % 4 = 1 THEN 'ja' ELSE 'en' END AS language, CASE WHEN s_suppkey % 3 = 0 THEN 'Returning Series' ELSE 'Ended' END AS status,
         CASE WHEN s_suppkey % 5 = 4 THEN NULL ELSE CAST(s_suppkey % 5 AS INT) END AS seasons, CASE WHEN s_suppkey % 9 = 0 THEN NULL WHEN s_suppkey % 5 = 1 AND s_suppkey % 4 < 3 THEN 12 ELSE CAST(s_suppkey * 7 % 90 AS INT) END AS episodes, concat(CAST(1975 + s_suppkey % 50 AS STRING), '-03-01') AS release_date,
         CASE WHEN s_suppkey % 10 < 7 THEN 'tv' ELSE 'movie' END AS media_type, CAST(s_suppkey % 3 AS INT) AS search_rank FROM {{supplier}}""",
+    "progress_steps": """SELECT l_partkey AS release_id, l_orderkey, l_linenumber, l_suppkey, l_shipdate, CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE CAST(1 + l_suppkey % 2 AS INT) END AS season, CAST(1 AS INT) AS start_no,
+        CAST(1 + l_linenumber + l_suppkey % 5 AS INT) AS end_no, CASE WHEN l_suppkey % 3 = 0 THEN CAST(5 + l_linenumber AS INT) END AS total, NOT (l_returnflag = 'A' AND l_linenumber < 3) AS known FROM {lineitem}""",
     "timed_events": """SELECT event_id, user_id, event_type, value, CAST(1704067200 + (day(ts) - 1) * 86400 + hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS BIGINT) AS happened FROM {events}""",
     "quiet_profiles": """SELECT DISTINCT user_id, CAST(1704067200 + (day(ts) - 1) * 86400 + user_id * 3607 % 86400 AS BIGINT) AS since, CASE WHEN user_id % 10 = 9 AND day(ts) > 9 THEN NULL ELSE CAST((user_id + day(ts) * 5) % 24 AS INT) END AS start_hour,
         CAST((user_id + day(ts) * 5 + 8) % 24 AS INT) AS end_hour, CASE user_id % 3 WHEN 0 THEN 'UTC' WHEN 1 THEN 'Etc/GMT-5' ELSE 'Europe/Moscow' END AS zone FROM {events}""",
