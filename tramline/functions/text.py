@@ -146,10 +146,10 @@ def normalized(c: Column) -> Column:
     def folded(text: Column) -> Column:
         low = F.regexp_replace(F.translate(text, single, plain_forms), r"\p{M}+", "")
         longer = lambda t: reduce(lambda out, x: F.replace(out, F.lit(x[0]), F.lit(x[1])), several.items(), t)
-        return let(low, lambda t: F.when(F.rlike(t, F.lit("[" + "".join(several) + "]")), longer(t)).otherwise(t))
+        return let(low, lambda t: F.when(F.translate(t, "".join(several), "") != t, longer(t)).otherwise(t))
 
-    # texts of ASCII and plain Cyrillic letters have nothing to fold
-    low = let(F.lower(strip_html(c)), lambda t: F.when(F.rlike(t, F.lit(r"[^\x00-\x7Fа-ик-я]")), folded(t)).otherwise(t))
+    # texts of ASCII, plain Cyrillic letters and common punctuation have nothing to fold
+    low = let(F.lower(strip_html(c)), lambda t: F.when(F.rlike(t, F.lit(r"[^\x00-\x7Fа-ик-я\x{2000}-\x{206F}]")), folded(t)).otherwise(t))
     return F.trim(F.regexp_replace(low, "[^a-zа-яё0-9]+", " "))
 
 
@@ -170,7 +170,12 @@ def words_of(norm: Column) -> Column:
 
 def tokens_of(norm: Column) -> Column:
     """Distinct words of a normalized text, sorted, without stop words unless it has no others."""
-    return F.array_sort(F.array_distinct(words_of(norm)))
+    stop = F.array(*map(F.lit, STOP_WORDS))
+
+    def kept(every: Column) -> Column:
+        return let(F.array_except(every, stop), lambda some: F.when(F.size(some) > 0, some).otherwise(every))
+
+    return F.array_sort(let(F.array_except(F.split(norm, " "), F.array(F.lit(""))), kept))
 
 
 def tokens(c: Column) -> Column:

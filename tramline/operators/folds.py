@@ -7,6 +7,7 @@ bits. No task holds a key: what is folded at once is a piece, or the summaries o
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,14 @@ def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
     return cut(rows.orderBy(*order).withColumn("number", F.monotonically_increasing_id()))
 
 
+def _along(rows: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
+    """rows with the columns of other, which has one row for each of the keys at most; null keys meet as well."""
+    named = other.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in other.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    out = rows.join(named, reduce(lambda a, b: a & b, same), "left")
+    return out.drop(*[f"_{k}" for k in keys])
+
+
 def last_step(rows: DataFrame, key: str, value: str, order: list[str], keep: list[str], higher: Callable[[Column, Column], Column], bits: int = BITS) -> DataFrame:
     """(key, keep): the row at which the fold of a key ends, moving on to each row x for which higher(x, best) holds.
 
@@ -35,7 +44,7 @@ def last_step(rows: DataFrame, key: str, value: str, order: list[str], keep: lis
     rows = numbered(rows.select(key, F.col(value).alias("value"), *[F.col(c).alias(f"order_{n}") for n, c in enumerate(order)], kept.alias("kept")), key, *[f"order_{n}" for n in range(len(order))], F.col("kept"))
     kept_type, key_type = rows.schema["kept"].dataType, rows.schema[key].dataType
     values = rows.filter("value IS NOT NULL").groupBy(key).agg(F.collect_set("value").alias("values"))
-    rows = rows.join(values, key, "left").withColumn("values", F.coalesce("values", F.array().cast(T.ArrayType(rows.schema["value"].dataType))))
+    rows = _along(rows, values, key).withColumn("values", F.coalesce("values", F.array().cast(T.ArrayType(rows.schema["value"].dataType))))
     # -1: no row yet, 0: a row without a value, n: a row with the n-th value
     which = F.when(F.col("value").isNull(), 0).otherwise(F.array_position("values", F.col("value"))).cast("int")
     none = F.lit(None).cast(kept_type)
@@ -70,7 +79,7 @@ def greatest_before(rows: DataFrame, key: str, value: str, order: list[str], bit
     pieces = rows.groupBy(key, "piece").agg(F.max(value).alias("most"))
     before = F.max("most").over(Window.partitionBy(key).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
     carried = pieces.select(key, "piece", before.alias("carried"))
-    return rows.withColumn("own", F.max(value).over(inside)).join(carried, [key, "piece"]).withColumn("highest_before", F.greatest("own", "carried")).drop("own", "carried", "piece", "number")
+    return _along(rows.withColumn("own", F.max(value).over(inside)), carried, key, "piece").withColumn("highest_before", F.greatest("own", "carried")).drop("own", "carried", "piece", "number")
 
 
 def streaks(cycles: DataFrame, source: str, at: str, ok: str, piece_s: int = 86_400) -> DataFrame:

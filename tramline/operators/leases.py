@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tramline.operators.delivery import CLAIM_LEASE_S
+from tramline.operators.folds import greatest_before
+from tramline.operators.shared import cut
 
 
 def claim_states(log: DataFrame, as_of: Column) -> DataFrame:
@@ -33,6 +35,102 @@ def stalled(finishes: DataFrame, source: str, at: str, as_of: Column, seconds: i
     return finishes.groupBy(source).agg(F.max(at).alias("last")).withColumn("stalled", as_of - F.col("last") > seconds)
 
 
+#: Seconds for which an entry of a queue is leased, and the length of the time buckets in which takes are looked up.
+QUEUE_LEASE_S = 300
+
+
+def _next_take(wanted: DataFrame, takes: DataFrame, key: list[str], bucket_s: int) -> DataFrame:
+    """wanted(key, ready) with `taken_at` and `worker` of the first take at or after ready; both null where none follows."""
+    buckets = takes.groupBy(F.floor(F.col("at") / bucket_s).alias("bucket")).agg(F.array_sort(F.collect_set(F.struct("at", "worker"))).alias("takes"))
+    # buckets of takes are as many as time is long; each day of them is one window, the days are another
+    day = F.floor(F.col("bucket") * bucket_s / 86_400)
+    first = F.element_at("takes", 1)
+    rows = buckets.withColumn("day", day)
+    days = rows.groupBy("day").agg(F.min(first).alias("day_first"))
+    days = days.withColumn("next_day", F.lead("day_first").over(Window.partitionBy(F.lit(0)).orderBy("day")))
+    rows = rows.withColumn("after", F.lead(first).over(Window.partitionBy("day").orderBy("bucket"))).join(days.select("day", "next_day"), "day")
+    rows = rows.select("bucket", "takes", F.coalesce("after", "next_day").alias("after"))
+    own = wanted.withColumn("bucket", F.floor(F.col("ready") / bucket_s))
+    # a bucket without takes stands in the last one that has some: each spans up to the next one's start
+    spans = rows.withColumn("to", F.coalesce(F.floor(F.col("after.at") / bucket_s) - 1, F.col("bucket")))
+    least = rows.orderBy("bucket").limit(1).select(F.col("bucket").alias("first_bucket"), F.element_at("takes", 1).alias("very_first"))
+    covered = spans.select(F.explode(F.sequence("bucket", "to")).alias("bucket"), "takes", "after")
+    found = own.join(covered, "bucket", "left").join(F.broadcast(least), F.col("bucket") < F.col("first_bucket"), "left")
+    later = F.get(F.filter("takes", lambda t: t["at"] >= F.col("ready")), F.lit(0))
+    take = F.when(F.col("very_first").isNotNull(), F.col("very_first")).otherwise(F.coalesce(later, F.col("after")))
+    return found.select(*key, "ready", take["at"].alias("taken_at"), take["worker"].alias("worker"))
+
+
+def replay_leases(entries: DataFrame, takes: DataFrame, reports: DataFrame, lease_s: int = QUEUE_LEASE_S, most_leases: int = 1000) -> DataFrame:
+    """(entry, fence, worker, leased_at, ended_at, outcome) of every lease that several workers get on a queue's entries.
+
+    entries(entry, due, gone_at), gone_at null or the moment at which an entry is withdrawn; takes(worker, at): at that moment the worker leases every entry that is due and not under a
+    lease; of takes at one moment the smallest worker's counts. reports(entry, worker, at, done): a worker's first report
+    on an entry within its lease ends it, with outcome done, or released so that the next take may have it. A lease
+    without a report runs out after lease_s and the next take reclaims the entry under the next fencing number; a report
+    that comes later but before the reclaim still counts, one after it is fenced off. A lease that nobody reclaims is
+    open and has no end.
+
+    Each round gives one more lease to the entries that are not done, by joins on time and worker, so no task holds the
+    log of a queue or of a worker.
+    """
+    takes, reports = cut(takes.select("worker", "at").distinct()), cut(reports.select("entry", F.col("worker").alias("by"), F.col("at").alias("told_at"), "done").distinct())
+    once = cut(entries.groupBy("entry").agg(F.min("due").alias("ready"), F.min("gone_at").alias("gone_at")))
+    now, gone = once.select("entry", "ready", F.lit(0).alias("fence")), once.select("entry", "gone_at")
+    stays = F.col("gone_at").isNull() | (F.col("taken_at") < F.col("gone_at"))
+    out = None
+    for _ in range(most_leases):
+        held = _next_take(now, takes, ["entry", "fence"], lease_s).filter("taken_at IS NOT NULL").join(gone, "entry").filter(stays).drop("gone_at")
+        ends = _next_take(held.select("entry", "fence", F.col("taken_at").alias("leased_at"), F.col("worker").alias("owner"), (F.col("taken_at") + lease_s).alias("ready")), takes, ["entry", "fence", "leased_at", "owner"], lease_s)
+        ends = ends.join(gone, "entry").withColumn("taken_at", F.when(stays, F.col("taken_at"))).drop("gone_at")
+        heard = (F.col("e.entry") == F.col("r.entry")) & (F.col("owner") == F.col("by")) & (F.col("told_at") >= F.col("leased_at")) & (F.col("taken_at").isNull() | (F.col("told_at") < F.col("taken_at")))
+        # of reports at one moment done counts
+        said = F.min(F.when(F.col("told_at").isNotNull(), F.struct("told_at", (~F.col("done")).alias("released"))))
+        rows = ends.alias("e").join(reports.alias("r"), heard, "left").groupBy("e.entry", "fence", "leased_at", "owner", "ready", "taken_at").agg(said.alias("said"))
+        outcome = F.when(F.col("said").isNull(), F.when(F.col("taken_at").isNull(), "open").otherwise("expired")).when(F.col("said.released"), "released").otherwise("done")
+        ended = F.when(F.col("said").isNotNull(), F.col("said.told_at")).when(F.col("taken_at").isNotNull(), F.col("ready"))
+        rows = cut(rows.select("entry", (F.col("fence") + 1).alias("fence"), F.col("owner").alias("worker"), "leased_at", ended.alias("ended_at"), outcome.alias("outcome")))
+        out = rows if out is None else out.unionByName(rows)
+        # a take gives an entry once, so one that is released at once waits for a later take
+        now = rows.filter("outcome IN ('expired', 'released')").select("entry", F.greatest("ended_at", F.col("leased_at") + 1).alias("ready"), "fence")
+        if now.isEmpty():
+            return out
+    raise RuntimeError(f"entries are still leased after {most_leases} leases")
+
+
+def alerts(holds: DataFrame, rule: str, for_s: int, grid_s: int = 30) -> DataFrame:
+    """(rule, pending_at, fires_at, ended_at) of holds(rule, since, until), half-open times in which a rule's condition holds.
+
+    Conditions are seen at multiples of grid_s only. Times that touch or overlap on that grid are one island; it fires
+    for_s after its first sight if it lasts so long, and ends at the first sight without it. A null until never ends.
+    """
+    first, last = F.ceil(F.col("since") / grid_s) * grid_s, F.ceil(F.col("until") / grid_s) * grid_s
+    far = F.lit(1 << 60)
+    seen = holds.filter("since IS NOT NULL").select(F.col(rule), first.cast("long").alias("a"), F.coalesce(last.cast("long"), far).alias("b")).filter("a < b").distinct()
+    rows = greatest_before(seen, rule, "b", ["a", "b"])
+    begins = F.when(F.col("highest_before").isNull() | (F.col("a") > F.col("highest_before")), F.col("a"))
+    rows = greatest_before(rows.select(rule, "a", "b", begins.alias("begins")), rule, "begins", ["a", "b"])
+    islands = rows.groupBy(rule, F.coalesce("begins", "highest_before").alias("pending_at")).agg(F.max("b").alias("b"))
+    fires = islands.withColumn("fires_at", F.col("pending_at") + F.ceil(F.lit(for_s) / grid_s) * grid_s).filter("fires_at < b")
+    return fires.select(rule, "pending_at", F.col("fires_at").cast("long").alias("fires_at"), F.when(F.col("b") < far, F.col("b")).alias("ended_at"))
+
+
+def stalls(finishes: DataFrame, rule: str, at: str, seconds: int = 900) -> DataFrame:
+    """(rule, since, until): when the last of the finishes lies more than the seconds back."""
+    along = Window.partitionBy(rule, "piece").orderBy(at)
+    rows = finishes.select(rule, at).dropna().distinct().withColumn("piece", F.floor(F.col(at) / 86_400))
+    pieces = rows.groupBy(rule, "piece").agg(F.min(at).alias("first")).withColumn("next_first", F.lead("first").over(Window.partitionBy(rule).orderBy("piece"))).drop("first")
+    rows = rows.withColumn("then", F.lead(at).over(along)).join(pieces, [rule, "piece"])
+    until = F.coalesce("then", "next_first")
+    rows = rows.select(rule, (F.col(at) + seconds + 1).alias("since"), until.alias("until"))
+    return rows.filter(F.col("until").isNull() | (F.col("since") < F.col("until")))
+
+
+def recent(events: DataFrame, rule: str, at: str, seconds: int = 900) -> DataFrame:
+    """(rule, since, until): when one of the events lies at most the seconds back, as a counter then has grown."""
+    return events.select(rule, F.col(at).alias("since"), (F.col(at) + seconds).alias("until")).dropna()
+
+
 def metrics(spark, database_up: bool, users: DataFrame, rules: DataFrame, health: DataFrame) -> DataFrame:
     """(name, type, value): gauges of the database, users, enabled rules and the source.
 

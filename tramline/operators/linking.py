@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tramline.functions.text import token_overlap, tokens
 from tramline.functions.titles import similarity
+from tramline.operators.shared import cut
 
 
 def exact_then_prefix(items: DataFrame, entries: DataFrame, title: Column, entry_title: Column, words: int = 4) -> DataFrame:
@@ -27,22 +28,27 @@ def exact_then_prefix(items: DataFrame, entries: DataFrame, title: Column, entry
 def overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_text: str, right_text: str, least: float) -> DataFrame:
     """(left_id, right_id, overlap) of pairs whose distinct tokens overlap to at least `least` of the larger set.
 
-    Prefix filtering: a set of n tokens must share one of its first n - ceil(least * n) + 1 rarest tokens, so only
-    these meet in the equality join, and only with sets of a near enough size. Token sets join the surviving pairs once.
-    Ids are unique on each side. The overlap is rounded to three digits before it is compared.
+    Each side's tokens are made once and stored. A set of n tokens must share one of its first n - ceil(least * n) + 1
+    rarest tokens, so only these meet in the equality join, and only with sets of a near enough size; the tokens that a
+    pair shares there are counted with what each side has left, and only pairs that can still reach the bound fetch
+    their whole sets. Ids are unique on each side. The overlap is rounded to three digits before it is compared.
     """
     least_exact = least - 0.0005
-    a, b = (d.select(F.col(i).alias("id"), tokens(F.col(t)).alias("tokens")).filter(F.size("tokens") > 0) for d, i, t in ((left, left_id, left_text), (right, right_id, right_text)))
+    a, b = (cut(d.select(F.col(i).alias("id"), tokens(F.col(t)).alias("tokens")).filter(F.size("tokens") > 0)) for d, i, t in ((left, left_id, left_text), (right, right_id, right_text)))
     often = a.select(F.explode("tokens").alias("token")).unionAll(b.select(F.explode("tokens").alias("token"))).groupBy("token").count()
 
     def heads(d: DataFrame) -> DataFrame:
         rare = d.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(often, "token")
-        place = F.row_number().over(Window.partitionBy("id").orderBy("count", "token"))
-        return rare.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least_exact) + 1).select("token", "id", "n")
+        listed = rare.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("by_rarity"))
+        first = F.slice("by_rarity", 1, (F.col("n") - F.ceil(F.col("n") * least_exact) + 1).cast("int"))
+        return listed.select("id", "n", F.size(first).alias("asked"), F.posexplode(first).alias("place", "t")).select("id", "n", "place", F.col("t.token").alias("token"))
 
     near = (F.col("token") == F.col("right_token")) & (F.col("right_n") >= F.col("n") * least_exact) & (F.col("n") >= F.col("right_n") * least_exact)
-    other = heads(b).select(F.col("token").alias("right_token"), F.col("id").alias("right_id"), F.col("n").alias("right_n"))
-    pairs = heads(a).join(other, near).select("id", "right_id").distinct()
+    other = heads(b).select(F.col("token").alias("right_token"), F.col("id").alias("right_id"), F.col("n").alias("right_n"), F.col("place").alias("right_place"))
+    # after the last shared token of the join no more than the shorter rest of the two can be shared
+    met = heads(a).join(other, near).groupBy("id", "right_id", "n", "right_n").agg(F.count("*").alias("shared"), F.max("place").alias("last"), F.max("right_place").alias("right_last"))
+    can = F.col("shared") + F.least(F.col("n") - F.col("last"), F.col("right_n") - F.col("right_last")) - 1
+    pairs = met.filter(can >= F.greatest("n", "right_n") * least_exact).select("id", "right_id")
     pairs = pairs.join(b.select(F.col("id").alias("right_id"), F.col("tokens").alias("right_tokens")), "right_id").join(a, "id")
     found = pairs.select(F.col("id").alias(left_id), F.col("right_id").alias(right_id), token_overlap(F.col("tokens"), F.col("right_tokens")).alias("overlap"))
     return found.filter(F.col("overlap") >= least)

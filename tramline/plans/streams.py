@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.operators import audit, versions
+from tramline.operators import audit, leases, versions
 from tramline.operators.shared import shared_folder
 from tramline.plans.registered import query
 from tramline.streaming import effects, holds
@@ -70,3 +70,35 @@ def anomaly_holds(get):
     already = get("observed").filter("release_id % 4 = 0").select("release_id", F.lit(9).cast("long").alias("old_value"), F.lit(1).cast("long").alias("new_value"))
     rows = audit.holds(found, "release_id", "progress", ["polled_at", "event_id"], matched, already)
     return rows.select("event_id", "release_id", "progress", "highest_before", "held", "alert")
+
+
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT event_id AS entry, happened + 120 AS due, happened + 7200 AS gone_at FROM {timed_events}), takes AS MATERIALIZED (SELECT taken, min(worker) AS worker FROM {worker_takes} GROUP BY taken),
+    told AS MATERIALIZED (SELECT entry, worker, list({'t': told, 'r': NOT done} ORDER BY told, NOT done) AS said FROM {worker_reports} GROUP BY entry, worker),
+    moments AS MATERIALIZED (SELECT due AS t FROM e UNION SELECT told FROM {worker_reports} UNION SELECT taken + 300 FROM takes UNION SELECT taken + 1 FROM takes), next AS MATERIALIZED (SELECT t, taken, worker FROM moments ASOF JOIN takes ON taken >= t),
+    l AS (SELECT entry, gone_at, 0 AS fence, ''::VARCHAR AS worker, NULL::BIGINT AS leased_at, due AS ended_at, 'released' AS outcome FROM e
+        UNION ALL
+        SELECT entry, gone_at, fence + 1, worker, leased_at, CASE WHEN len(heard) > 0 THEN heard[1].t WHEN reclaimed IS NOT NULL THEN leased_at + 300 END,
+            CASE WHEN len(heard) = 0 THEN CASE WHEN reclaimed IS NULL THEN 'open' ELSE 'expired' END WHEN heard[1].r THEN 'released' ELSE 'done' END FROM (
+            SELECT *, coalesce(list_filter(said, lambda x: x.t >= leased_at AND (reclaimed IS NULL OR x.t < reclaimed)), []) AS heard FROM (
+                SELECT p.entry, p.gone_at, p.fence, n.worker, n.taken AS leased_at, CASE WHEN m.taken < p.gone_at THEN m.taken END AS reclaimed, said
+                FROM l p JOIN next n ON n.t = greatest(p.ended_at, coalesce(p.leased_at + 1, 0)) LEFT JOIN next m ON m.t = n.taken + 300 LEFT JOIN told ON told.entry = p.entry AND told.worker = n.worker WHERE p.outcome IN ('released', 'expired') AND n.taken < p.gone_at)))
+    SELECT entry, fence, worker, leased_at, ended_at, outcome FROM l WHERE fence > 0""")
+def queue_leases(get):
+    entries = get("timed_events").select(F.col("event_id").alias("entry"), (F.col("happened") + 120).alias("due"), (F.col("happened") + 7200).alias("gone_at"))
+    return leases.replay_leases(entries, get("worker_takes").withColumnRenamed("taken", "at"), get("worker_reports").withColumnRenamed("told", "at"))
+
+
+#: Islands on a grid of thirty seconds: {0} are the half-open times of each rule.
+_ISLANDS_SQL = """SELECT rule, min(a) AS pending_at, max(b) AS b FROM (SELECT *, sum(CASE WHEN before IS NULL OR a > before THEN 1 ELSE 0 END) OVER (PARTITION BY rule ORDER BY a, b) AS island FROM (
+    SELECT *, max(b) OVER (PARTITION BY rule ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (
+        SELECT DISTINCT rule, CAST(ceil(since / 30.0) * 30 AS BIGINT) AS a, coalesce(CAST(ceil(until / 30.0) * 30 AS BIGINT), 1152921504606846976) AS b FROM ({0})) WHERE a < b)) GROUP BY rule, island"""
+
+
+@query("SELECT rule, pending_at, pending_at + 300 AS fires_at, CASE WHEN b < 1152921504606846976 THEN b END AS ended_at FROM (" + _ISLANDS_SQL.format("""
+    SELECT concat('stalled:', user_id) AS rule, happened + 21601 AS since, lead(happened) OVER (PARTITION BY user_id ORDER BY happened) AS until FROM (SELECT DISTINCT user_id, happened FROM {timed_events})
+    UNION ALL SELECT concat('failures:', event_type), happened, happened + 900 FROM {timed_events} WHERE value < 20""") + ") WHERE pending_at + 300 < b")
+def alert_times(get):
+    finishes = get("timed_events").select(F.concat(F.lit("stalled:"), "user_id").alias("rule"), "happened")
+    failures = get("timed_events").filter("value < 20").select(F.concat(F.lit("failures:"), "event_type").alias("rule"), "happened")
+    times = leases.stalls(finishes, "rule", "happened", 21_600).unionByName(leases.recent(failures, "rule", "happened", 900))
+    return leases.alerts(times, "rule", 300)

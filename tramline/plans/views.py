@@ -36,6 +36,9 @@ VIEWS = {
     "progress_steps": """SELECT l_partkey AS release_id, l_orderkey, l_linenumber, l_suppkey, l_shipdate, CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE CAST(1 + l_suppkey % 2 AS INT) END AS season, CAST(1 AS INT) AS start_no,
         CAST(1 + l_linenumber + l_suppkey % 5 AS INT) AS end_no, CASE WHEN l_suppkey % 3 = 0 THEN CAST(5 + l_linenumber AS INT) END AS total, NOT (l_returnflag = 'A' AND l_linenumber < 3) AS known FROM {lineitem}""",
     "timed_events": """SELECT event_id, user_id, event_type, value, CAST(1704067200 + (day(ts) - 1) * 86400 + hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS BIGINT) AS happened FROM {events}""",
+    "worker_takes": """SELECT DISTINCT CONCAT('w', CAST(user_id % 4 AS STRING)) AS worker, CAST(floor((1704067200 + (day(ts) - 1) * 86400 + hour(ts) * 3600 + minute(ts) * 60) / 600) * 600 + user_id % 4 * 13 AS BIGINT) AS taken FROM {events}""",
+    "worker_reports": """SELECT event_id AS entry, CONCAT('w', CAST(w AS STRING)) AS worker, happened + 120 + (event_id * 37 + w * 211) % 4000 AS told, (event_id + w) % 5 < 3 AS done FROM (SELECT event_id, happened, w FROM {timed_events} CROSS JOIN (SELECT 0 AS w UNION ALL SELECT 1 AS w UNION ALL SELECT 2 AS w UNION ALL SELECT 3 AS w) v)
+        WHERE (event_id * 3 + w) % 7 < 5""",
     "quiet_profiles": """SELECT DISTINCT user_id, CAST(1704067200 + (day(ts) - 1) * 86400 + user_id * 3607 % 86400 AS BIGINT) AS since, CASE WHEN user_id % 10 = 9 AND day(ts) > 9 THEN NULL ELSE CAST((user_id + day(ts) * 5) % 24 AS INT) END AS start_hour,
         CAST((user_id + day(ts) * 5 + 8) % 24 AS INT) AS end_hour, CASE user_id % 3 WHEN 0 THEN 'UTC' WHEN 1 THEN 'Etc/GMT-5' ELSE 'Europe/Moscow' END AS zone FROM {events}""",
     "cascade_items": """SELECT o_orderkey AS item_id, o_custkey AS title_key, CAST(year(o_orderdate) * 372 + month(o_orderdate) * 31 + day(o_orderdate) AS BIGINT) AS happened, CASE o_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'movie' ELSE 'tv' END AS media_type, CASE WHEN o_orderkey % 6 = 0 THEN 'tt1' ELSE '' END AS external_id,
