@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tramline.functions import labels
 from tramline.operators import audit, leases, versions
 from tramline.operators.shared import shared_folder
 from tramline.plans.registered import query
@@ -102,3 +104,30 @@ def alert_times(get):
     failures = get("timed_events").filter("value < 20").select(F.concat(F.lit("failures:"), "event_type").alias("rule"), "happened")
     times = leases.stalls(finishes, "rule", "happened", 21_600).unionByName(leases.recent(failures, "rule", "happened", 900))
     return leases.alerts(times, "rule", 300)
+
+
+_SPLIT_SQL = r"list_filter(list_transform(regexp_split_to_array(coalesce({0}, ''), '\r\n|\r|\n'), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))), lambda l: l <> '')"
+_ESCAPED_SQL = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+_MOST = 400
+
+
+#: A message's first line shows two characters less, as it loses its spaces.
+@query(f"""WITH RECURSIVE t AS (SELECT conv_id, turn, role, {_SPLIT_SQL.format('text')} AS now, {_SPLIT_SQL.format('before')} AS past FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM {{long_turns}})),
+    l AS (SELECT conv_id, turn, role, len(past) > 0 AS changed, list_concat(list_concat(list_transform(now, lambda x: CASE WHEN len(past) > 0 AND NOT list_contains(past, x) THEN {{'m': '{labels.ADDED}', 't': x, 'b': TRUE}} ELSE {{'m': '{labels.SAME}', 't': x, 'b': FALSE}} END),
+        CASE WHEN len(list_filter(past, lambda x: NOT list_contains(now, x))) > 0 THEN [{{'m': '', 't': '', 'b': FALSE}}] ELSE [] END), list_transform(list_filter(past, lambda x: NOT list_contains(now, x)), lambda x: {{'m': '{labels.REMOVED}', 't': x, 'b': FALSE}})) AS lines FROM t WHERE len(now) > 0),
+    h AS MATERIALIZED (SELECT *, CASE WHEN changed THEN '{labels.CHANGED}' ELSE '{labels.UNCHANGED}' END AS head, length(role) + 1 AS own FROM l),
+    s AS (SELECT conv_id, turn, 0 AS i, 0 AS number, 0 AS held, 0 AS n, FALSE AS cut_off FROM h
+        UNION ALL
+        SELECT conv_id, turn, i + 1, CASE WHEN held = 0 OR too_long THEN number + 1 ELSE number END, CASE WHEN held = 0 AND too_long THEN 0 WHEN held = 0 OR too_long THEN 1 ELSE held + 1 END,
+            CASE WHEN held = 0 AND too_long THEN 0 WHEN held > 0 AND too_long THEN alone ELSE body END, held = 0 AND too_long FROM (
+            SELECT *, CASE WHEN number <= CASE WHEN held = 0 THEN 0 ELSE 1 END THEN length(regexp_replace(head, '</?b>', '', 'g')) ELSE {len(labels.CONTINUED) - 7} END + own + 2 + CASE WHEN size = 0 THEN n ELSE body END > {_MOST} AS too_long FROM (
+                SELECT *, greatest(size - 2, 0) AS alone, CASE WHEN n = 0 THEN greatest(size - 2, 0) ELSE n + 1 + size END AS body FROM (
+                    SELECT s.conv_id, s.turn, s.i, s.number, s.held, s.n, h.head, h.own, length(h.lines[s.i + 1].m) + length(h.lines[s.i + 1].t) AS size FROM s JOIN h ON h.conv_id = s.conv_id AND h.turn = s.turn WHERE s.i < len(h.lines))))),
+    shown AS (SELECT s.conv_id, s.turn, s.i, s.number, h.role, h.head, h.lines[s.i] AS x, CASE WHEN s.cut_off THEN greatest({labels.LEAST_SHOWN}, {_MOST} - h.own - CASE WHEN s.number = 1 THEN length(regexp_replace(head, '</?b>', '', 'g')) ELSE {len(labels.CONTINUED) - 7} END) END AS room FROM s JOIN h ON h.conv_id = s.conv_id AND h.turn = s.turn WHERE s.i > 0),
+    cut AS (SELECT *, CASE WHEN room IS NOT NULL AND length(x.m) + length(x.t) - 2 > room THEN rtrim(substr(x.t, 1, room - length(x.m))) ELSE x.t END AS said FROM shown)
+    SELECT conv_id, turn, CAST(number AS INT) AS number, CASE WHEN number = 1 THEN any_value(head) ELSE '{labels.CONTINUED}' END || ' ' || any_value(role) || chr(10) || chr(10) || string_agg(x.m || CASE WHEN x.b THEN '<b>' || {_ESCAPED_SQL.format('said')} || '</b>' ELSE {_ESCAPED_SQL.format('said')} END, chr(10) ORDER BY i) AS message
+    FROM cut GROUP BY conv_id, turn, number""")
+def text_messages(get):
+    rows = get("long_turns").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    sent = labels.release_messages(F.col("role"), F.col("text"), F.col("before"), _MOST)
+    return rows.select("conv_id", "turn", F.posexplode(sent).alias("at", "message")).select("conv_id", "turn", (F.col("at") + 1).cast("int").alias("number"), "message")
