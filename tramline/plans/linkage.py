@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.functions import scoring
-from tramline.operators import cascade, lineage
+from tramline.functions import scoring, years
+from tramline.operators import cascade, idchains, lineage
 from tramline.plans.registered import query
 from tramline.plans.views import AS_OF_YEAR
 
@@ -216,3 +216,26 @@ def link_cascade(get):
     memory = titles.filter("title_key % 9 = 0").select("title_key", even("title_key", 5).alias("entry_id"), F.lit(0).cast("long").alias("since"))
     choices = cascade.options(items, entries, external, resolver, get("cascade_candidates"))
     return cascade.link_all(items, overrides, manual, choices, reviews, memory)
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT * FROM (SELECT space_a AS s, id_a AS i, space_b AS t, id_b AS j FROM {id_links} UNION ALL SELECT space_b, id_b, space_a, id_a FROM {id_links})),
+    r AS (SELECT DISTINCT s, i, i AS target, 0 AS steps FROM e WHERE s = 'tm' UNION SELECT e.t, e.j, r.target, r.steps + 1 FROM r JOIN e ON e.s = r.s AND e.i = r.i WHERE r.steps < 8),
+    near AS (SELECT s, i, min(steps) AS steps FROM r GROUP BY s, i)
+    SELECT r.s AS space, r.i AS id, min(r.target) AS target_id, CAST(r.steps AS INT) AS steps, CAST(count(DISTINCT r.target) AS INT) AS n_targets FROM r JOIN near ON near.s = r.s AND near.i = r.i AND near.steps = r.steps GROUP BY r.s, r.i, r.steps""")
+def id_chains(get):
+    return idchains.chains(get("id_links"), "tm", 8)
+
+
+@query(f"""WITH p AS (SELECT item_id, entry_id, lower(i.query) = lower(e.title) AS exact, starts_with(lower(e.title), lower(i.query) || ' ') AND len(string_split(i.query, ' ')) >= 2 AS prefix, abs(TRY_CAST(i.year_text AS INT) - CAST(substr(e.release_date, 1, 4) AS INT)) AS gap, e.media_type = 'tv' AS tv,
+        e.entry_id % 10 = 0 AS manual, CASE WHEN i.progress LIKE '%% сезон%%' THEN 2 END AS season, e.seasons FROM {{link_pairs}} JOIN {{link_items}} i USING (item_id) JOIN {{link_entries}} e USING (entry_id)),
+    s AS (SELECT item_id, entry_id, CASE WHEN exact THEN 100 WHEN prefix THEN 50 ELSE 0 END + CASE gap WHEN 0 THEN 25 WHEN 1 THEN 15 WHEN 2 THEN 5 ELSE 0 END + CASE WHEN tv THEN 3 ELSE 0 END + CASE WHEN manual THEN 1000 ELSE 0 END
+        + CASE WHEN season = seasons THEN 60 WHEN season <> seasons THEN -80 WHEN season IS NOT NULL THEN 5 ELSE 0 END AS points FROM p)
+    SELECT item_id, arg_min(entry_id, (-points, entry_id)) AS entry_id, CAST(max(points) AS INT) AS points FROM s GROUP BY item_id""".replace("%%", "%"))
+def lexicon_best(get):
+    items = get("link_items").select("item_id", F.lower("query").alias("q"), "year_text", years.season_hint(F.col("progress")).alias("season"))
+    entries = get("link_entries").select("entry_id", F.lower("title").alias("t"), F.substring("release_date", 1, 4).cast("int").alias("year"), "media_type", "seasons")
+    rows = get("link_pairs").join(items, "item_id").join(entries, "entry_id")
+    prefix = F.startswith("t", F.concat(F.col("q"), F.lit(" "))) & (F.size(F.split("q", " ")) >= 2)
+    own = idchains.points(F.col("q") == F.col("t"), prefix, F.abs(F.col("year_text").try_cast("int") - F.col("year")), F.col("media_type") == "tv", F.col("entry_id") % 10 == 0, F.col("season"), F.col("seasons"))
+    best = rows.withColumn("points", own).groupBy("item_id").agg(F.max_by(F.struct("entry_id", "points"), F.struct("points", -F.col("entry_id"))).alias("b"))
+    return best.select("item_id", "b.entry_id", "b.points")

@@ -37,6 +37,11 @@ VIEWS = {
         CAST(1 + l_linenumber + l_suppkey % 5 AS INT) AS end_no, CASE WHEN l_suppkey % 3 = 0 THEN CAST(5 + l_linenumber AS INT) END AS total, NOT (l_returnflag = 'A' AND l_linenumber < 3) AS known FROM {lineitem}""",
     "timed_events": """SELECT event_id, user_id, event_type, value, CAST(1704067200 + (day(ts) - 1) * 86400 + hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS BIGINT) AS happened FROM {events}""",
     "long_turns": """SELECT conv_id, turn, role, replace(replace(replace(text, '. ', concat('.', chr(10))), ', ', concat(',', chr(10))), 'a ', CASE WHEN turn % 3 = 0 THEN concat('<a & "b">', chr(10)) ELSE 'a ' END) AS text FROM {conversations}""",
+    "id_links": """SELECT 'an' AS space_a, p_partkey AS id_a, 'ml' AS space_b, CAST(floor(p_partkey / 2) AS BIGINT) AS id_b FROM {part} WHERE p_partkey % 5 <> 0
+        UNION ALL SELECT 'ml' AS space_a, p_partkey AS id_a, 'tv' AS space_b, CAST(floor(p_partkey / 2) AS BIGINT) + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS id_b FROM {part} WHERE p_partkey % 3 <> 0
+        UNION ALL SELECT 'tm' AS space_a, p_partkey * 2 AS id_a, 'tv' AS space_b, p_partkey AS id_b FROM {part} WHERE p_size % 2 = 0
+        UNION ALL SELECT 'an' AS space_a, p_partkey AS id_a, 'tm' AS space_b, p_partkey + 1 AS id_b FROM {part} WHERE p_partkey % 11 = 0
+        UNION ALL SELECT 'tv' AS space_a, p_partkey AS id_a, 'tm' AS space_b, p_partkey * 2 + 5 AS id_b FROM {part} WHERE p_size % 10 = 0""",
     "worker_takes": """SELECT DISTINCT CONCAT('w', CAST(user_id % 4 AS STRING)) AS worker, CAST(floor((1704067200 + (day(ts) - 1) * 86400 + hour(ts) * 3600 + minute(ts) * 60) / 600) * 600 + user_id % 4 * 13 AS BIGINT) AS taken FROM {events}""",
     "worker_reports": """SELECT event_id AS entry, CONCAT('w', CAST(w AS STRING)) AS worker, happened + 120 + (event_id * 37 + w * 211) % 4000 AS told, (event_id + w) % 5 < 3 AS done FROM (SELECT event_id, happened, w FROM {timed_events} CROSS JOIN (SELECT 0 AS w UNION ALL SELECT 1 AS w UNION ALL SELECT 2 AS w UNION ALL SELECT 3 AS w) v)
         WHERE (event_id * 3 + w) % 7 < 5""",
