@@ -113,3 +113,12 @@ def test_smoothing():
     weights = np.exp(-np.arange(-3, 4) ** 2 / 2)
     assert np.isclose(htmltext.smoothed(values)[2], 10 * weights[3] / weights[1:6].sum())
     assert htmltext.content_lines(np.array([50.0, 60, 55, 1, 1, 1])).tolist() == [True, True, True, False, False, False]
+
+
+def test_controls_inside_a_line_do_not_end_it(spark):
+    body = "<p>Press <button>OK</button> now, or <select><option>a<option>b</select>wait <span class='ad'>Buy this</span> here <script>x()</script>for it.</p><p>Another line of text follows here.</p>"
+    left_open = "<div><span class='notice'>Cookies <article><p>The article's own words stand here.</p></article></div>"
+    rows = [(1, "u", f"<html><body><article>{body}</article></body></html>"), (2, "u", f"<html><body>{left_open}</body></html>")]
+    got = {r.page_id: r.text for r in htmltext.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Press now, or wait here for it.\nAnother line of text follows here."
+    assert got[2] == "The article's own words stand here."

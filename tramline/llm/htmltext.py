@@ -83,11 +83,11 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, int, int]] = []
         self.groups: list[tuple[str, int]] = [("body", -1)]
         self.zones: list[tuple[bool, int]] = [(True, -1)]  # zone 0 is no zone
-        self.open: list[tuple[str, int, int]] = []  # element, and the group and zone outside it
+        self.open: list[tuple[str, int, int, bool]] = []  # element, the group and zone outside it, and whether it is veiled
         self.count: dict[str, int] = {}
         self.items: dict[str, list[int]] = {g: [-1] for g in ITEM.values()}  # open item of each open container
         self.group = self.zone = self.tags = self.linked = 0
-        self.hidden = 0  # open elements that show nothing
+        self.hidden = self.veils = 0  # open elements that show nothing, and those of them that stand inside a line
         self.held: list[str] = []
 
     def _flush(self) -> None:
@@ -102,11 +102,12 @@ class Lines(HTMLParser):
         return any(self.count.get(t) for t in tags)
 
     def _pop(self) -> str:
-        tag, group, zone = self.open.pop()
-        if tag in BLOCK or zone != self.zone or tag in HIDDEN:
+        tag, group, zone, veiled = self.open.pop()
+        if tag in BLOCK or zone != self.zone:
             self._flush()
         self.count[tag] -= 1
-        self.hidden -= tag in HIDDEN
+        self.hidden -= tag in HIDDEN or veiled
+        self.veils -= veiled
         self.group, self.zone = group, zone
         for key in CONTAINER.get(tag, ()):
             self.items[key].pop()
@@ -161,18 +162,22 @@ class Lines(HTMLParser):
         if tag == "a":
             self.handle_endtag("a")
             self.tags -= 1
-        if tag in ("article", "main") and self.zone and not self._is("article", "main", *OUTSIDE) and self._zone(tag, attrs) is None:
+        if tag in ("article", "main") and (self.zone or self.veils) and not self._is("article", "main", *OUTSIDE) and self._zone(tag, attrs) is None:
             # an article begins where a notice or menu before it was left open
-            while self.zone:
+            while self.zone or self.veils:
                 self._pop()
         wrapper = self._zone(tag, attrs)
-        if tag not in BLOCK and tag not in HIDDEN and tag != "a" and wrapper is None:
+        # a control or advert inside a line shows nothing and does not end the line
+        veiled = wrapper is False and tag not in BLOCK and tag not in HIDDEN
+        wrapper = None if veiled else wrapper
+        if tag not in BLOCK and tag not in HIDDEN and tag != "a" and wrapper is None and not veiled:
             return  # an inline element needs no end
         if wrapper is not None:
             self._flush()
-        self.open.append((tag, self.group, self.zone))
+        self.open.append((tag, self.group, self.zone, veiled))
         self.count[tag] = self.count.get(tag, 0) + 1
-        self.hidden += tag in HIDDEN
+        self.hidden += tag in HIDDEN or veiled
+        self.veils += veiled
         if tag in ITEM:
             self.items[ITEM[tag]][-1] = len(self.open) - 1
         for key in CONTAINER.get(tag, ()):
