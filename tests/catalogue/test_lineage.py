@@ -77,3 +77,26 @@ def test_best_ratio_is_the_greatest(spark):
         assert abs(best_ratio(a, b) - want) < 1e-12
     df = spark.createDataFrame([(["ab"], ["ab", "x"]), ([], ["a"]), (None, ["a"])], "a array<string>, b array<string>")
     assert [r.s for r in df.select(best_similarity(F.col("a"), F.col("b")).alias("s")).collect()] == [1.0, 0.0, 0.0]
+
+
+def test_ranking_matches_few_pairs_and_loses_none(spark):
+    import random
+
+    from tramline.functions.titles import letter_counts, ratio, ratio_bound
+    from tramline.operators import linking
+
+    rng = random.Random(3)
+    words = ["nova", "дом", "quest", "über", "sea", "sky", "время", "42", "red", "house", "long", "way"]
+    names = [" ".join(rng.sample(words, 4)) for _ in range(60)]
+    rows = [(q, c, names[q] + ("" if q % 2 else " x"), names[c], 0.0) for q in range(20) for c in range(60)]
+    df = spark.createDataFrame(rows + rows[:9], "q long, c long, a string, b string, overlap double")
+    score = {(q, c): round(0.9 * ratio(a, b), 3) for q, c, a, b, _ in rows}
+    for top in (1, 3):
+        want = sorted((q, c) for q in range(20) for c in sorted(range(60), key=lambda c: (-score[q, c], c))[:top])
+        got = linking.ranked(df, "q", "c", F.col("a"), F.col("b"), top)
+        assert sorted((r.q, r.c) for r in got.collect()) == want
+    assert linking.matched(df, "q", "c", F.col("a"), F.col("b"), 1).count() < 120  # of 1,200 pairs
+    bound = df.limit(200).select("a", "b", ratio_bound(letter_counts(F.col("a")), letter_counts(F.col("b"))).alias("m")).collect()
+    assert all(ratio(r.a, r.b) <= r.m + 0.0006 for r in bound)
+    empty = spark.createDataFrame([(1, 1, "", None, 0.0)], df.schema)
+    assert [r.similarity for r in linking.ranked(empty, "q", "c", F.col("a"), F.col("b"), 2).collect()] == [0.0]

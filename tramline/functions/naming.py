@@ -14,11 +14,16 @@ TECH = (
     "web-dl", "web-dlrip", "webrip", "bdrip", "bluray", "blu-ray", "remux", "dvdrip", "hdtv", "hdtvrip", "iptv", "dvb", "dvbrip", "satrip", "2160p", "1080p", "1080i", "720p", "4k", "uhd",
     "hdr10+", "hdr10", "hdr", "sdr", "hevc", "avc", "x264", "x265", "h264", "h265", "mp3", "flac", "ape", "alac", "fb2", "epub", "mobi", "pdf",
 )
-TECH_TOKENS = TECH + ("web", "webdl", "webdlrip", "2160", "1080", "720", "rip", "ру", "rus", "sub", "subs", "ст", "дб", "пм", "лм", "пд", "по")
+TECH_TOKENS = (
+    "web-dl", "web-dlrip", "webrip", "bdrip", "bluray", "blu-ray", "remux", "dvdrip", "hdtv", "hdtvrip", "iptv", "dvb", "dvbrip", "satrip", "2160p", "1080p", "1080i", "720p", "4k", "uhd",
+    "hdr10+", "hdr10", "hdr", "sdr", "hevc", "avc", "x264", "x265", "h264", "h265", "mp3", "flac", "ape", "alac", "fb2", "epub", "mobi", "pdf",
+    "web", "webdl", "webdlrip", "2160", "1080", "720", "rip", "ру", "rus", "sub", "subs", "ст", "дб", "пм", "лм", "пд", "по",
+)
 GROUPS = (
     "lostfilm", "tvshows?", r"hdrezka(?:\s*studio)?", "coldfilm", "newstudio", "baibako", r"red\s*head\s*sound", r"dragon\s*money\s*studio", r"greb\s*&\s*creative", "dezidenizi", r"le(?:d)?[\s\-]*production",
     "anilibria", "ani(?:dub|star)", "softbox", "dub(?:lik|club)", "ru?dub", r"voice\s*project\s*studio", "reanimedia",
 )
+SOUND_WORDS = ("subs?", r"dolby\s*vision", "dolby", "vision", "aac", "ac3", "dts")
 OTHER_WORDS = ("subs?", r"dolby\s*vision", "dolby", "vision", "aac", "ac3", "dts", "portable", "windows", "linux", "macos", "pc")
 EPISODE_WORDS = ("сезон", "сезона", "сезоны", "серия", "серии", "серий", "выпуск", "выпуски", "выпусков", "эпизод", "эпизоды", "эпизодов")
 
@@ -104,7 +109,7 @@ def usable(c: Column) -> Column:
 def _is_mark(part: Column) -> Column:
     """Years, audio labels, release types and technical words, which are no names."""
     rest = F.regexp_replace(_without(part, _LABEL), r"[\s,;+&|/.\-]+", "")
-    tech = F.regexp_replace(_without(part, rf"(?<!\w)(?:{'|'.join(map(_spelled, TECH))}|{'|'.join(OTHER_WORDS[:7])}|sub|\d+)(?!\w)"), r"[\s,;:+/&|()\[\]]+", "")
+    tech = F.regexp_replace(_without(part, rf"(?<!\w)(?:{'|'.join(map(_spelled, TECH))}|{'|'.join(SOUND_WORDS)}|sub|\d+)(?!\w)"), r"[\s,;:+/&|()\[\]]+", "")
     number = _is(part, r"\d{2,3}") & ~part.isin("720", "1080")
     return _is(part, YEARS) | (rest == "") | (release_type(part) != "") | ((tech == "") & ~number)
 

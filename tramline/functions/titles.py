@@ -6,9 +6,12 @@ import re
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tramline.functions.text import let
+
 _AUDIO = re.compile(r"^(?:\d+\s*[xх×]\s*)?(?:ДБ|ПМ|ЛМ|ЛД|ПО|ПД|СТ|РУ|БП|АП|МВО|ДВО|AVO|DVO|MVO|VO|SUB|Оригинал)\b", re.I)
 _TYPE = re.compile(r"blu-?ray|web-?dl|web-?rip|bdrip|dvdrip|hdtv|remux", re.I)
 _TECH = re.compile(r"\b(?:720|1080|2160)[pi]?\b|\b4k\b|hevc|x26[45]|hdr", re.I)
@@ -94,3 +97,24 @@ def best_ratio(a: list[str], b: list[str]) -> float:
 def best_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """The same for two columns of arrays; empty arrays have 0."""
     return pd.Series([best_ratio(list(x), list(y)) if x is not None and y is not None else 0.0 for x, y in zip(a, b)], dtype=float)
+
+
+#: Characters that are counted one by one for the bound of a ratio; all others count as one.
+COUNTED = "abcdefghijklmnopqrstuvwxyzабвгдежзийклмнопрстуфхцчшщъыьэюяё0123456789 "
+
+
+def letter_counts(c: Column) -> Column:
+    """How often each of COUNTED, and any other character, is in the lower-cased text."""
+
+    def count(low: Column) -> Column:
+        own = [F.length(low) - F.length(F.replace(low, F.lit(ch), F.lit(""))) for ch in COUNTED]
+        return F.array(*own, F.length(F.translate(low, COUNTED, "")))
+
+    return let(F.lower(F.coalesce(c, F.lit(""))), count)
+
+
+def ratio_bound(a: Column, b: Column) -> Column:
+    """The most that the ratio of two texts can be, given their letter counts; 0 if either is empty."""
+    size = lambda x: F.aggregate(x, F.lit(0), lambda n, y: n + y)
+    shared = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda n, y: n + y)
+    return F.when((size(a) > 0) & (size(b) > 0), 2 * shared / (size(a) + size(b))).otherwise(0.0)

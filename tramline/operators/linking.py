@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tramline.functions.text import token_overlap, tokens
-from tramline.functions.titles import similarity
+from tramline.functions.titles import letter_counts, ratio_bound, similarity
 from tramline.operators.shared import cut
 
 
@@ -61,11 +61,28 @@ def top_ranked(candidates: DataFrame, query: str, candidate: str, top: int) -> D
     return scored.withColumn("place", place).filter(F.col("place") <= top)
 
 
+def matched(candidates: DataFrame, query: str, candidate: str, query_text: Column, candidate_text: Column, top: int) -> DataFrame:
+    """The candidates, with `similarity`, that may be among the best `top` of their query; all others cannot be.
+
+    candidates have `overlap`; texts depend on their ids alone. Letter counts bound each pair's similarity from above.
+    The `top` pairs of each query by that bound are matched first, and of the rest only those whose bound reaches the
+    least score found there.
+    """
+    once = candidates.dropDuplicates([query, candidate])
+    counts = lambda d, key, text, name: d.select(key, text.alias("text")).dropDuplicates([key]).select(key, letter_counts(F.col("text")).alias(name))
+    rows = once.join(counts(once, query, query_text, "_a"), query).join(counts(once, candidate, candidate_text, "_b"), candidate)
+    bound = F.least(F.lit(1.0), ratio_bound(F.col("_a"), F.col("_b")) + 0.001)
+    rows = cut(rows.withColumn("_most", 0.9 * bound + 0.7 * F.col("overlap") + 0.001).drop("_a", "_b").withColumn("_place", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("_most"), candidate))))
+    first = cut(rows.filter(F.col("_place") <= top).withColumn("similarity", similarity(query_text, candidate_text)))
+    least = first.groupBy(query).agg(F.min(F.round(0.9 * F.col("similarity") + 0.7 * F.col("overlap"), 3)).alias("_least"))
+    rest = rows.filter(F.col("_place") > top).join(least, query).filter(F.col("_most") >= F.col("_least")).drop("_least").withColumn("similarity", similarity(query_text, candidate_text))
+    return first.unionByName(rest).drop("_most", "_place")
+
+
 def ranked(candidates: DataFrame, query: str, candidate: str, query_text: Column, candidate_text: Column, top: int) -> DataFrame:
-    """The same for texts; an `overlap` that candidates bring is taken as it is, and repeated pairs count once."""
-    once = candidates.dropDuplicates([query, candidate]).withColumn("similarity", similarity(query_text, candidate_text))
-    once = once if "overlap" in candidates.columns else once.withColumn("overlap", token_overlap(tokens(query_text), tokens(candidate_text)))
-    return top_ranked(once, query, candidate, top)
+    """top_ranked() for texts; an `overlap` that candidates bring is taken as it is, and repeated pairs count once."""
+    once = candidates if "overlap" in candidates.columns else candidates.withColumn("overlap", token_overlap(tokens(query_text), tokens(candidate_text)))
+    return top_ranked(matched(once, query, candidate, query_text, candidate_text, top), query, candidate, top)
 
 
 def confidence(exact: Column, sim: Column, overlap: Column, year_gap: Column) -> Column:
