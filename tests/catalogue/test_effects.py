@@ -131,12 +131,19 @@ def test_window_ends():
     assert holds.window_end(at(2024, 3, 31, 0, 30), 1, 8, "Europe/Berlin") == at(2024, 3, 31, 6)  # the clock goes forward meanwhile
 
 
-def test_stream_of_holds_agrees_with_its_batch_twin(spark, tmp_path):
+@pytest.fixture
+def rocksdb(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(name)
+
+
+def test_stream_of_holds_agrees_with_its_batch_twin(spark, tmp_path, rocksdb):
     """A week of events and the profiles of their users, in files out of order, against release()."""
     sf = "/root/testdata/sf0.001"
     from tramline.plans.views import frame
 
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     end = 1704067200 + 7 * 86400
     events = frame(spark, sf, "timed_events").filter(F.col("happened") < end).select("user_id", F.col("event_id").cast("string").alias("event_key"), F.col("happened").alias("at"))
     profiles = frame(spark, sf, "quiet_profiles").withColumnRenamed("since", "at")
