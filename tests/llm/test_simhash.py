@@ -99,3 +99,13 @@ def test_components(spark):
     want = brute_components(nodes, [p for p in pairs if p[0] != p[1]])
     assert dict(map(tuple, components(spark.createDataFrame(pairs, "u long, v long")).collect())) == want
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_exploded_index_is_not_broadcast(spark, monkeypatch):
+    prints = spark.range(200).selectExpr("id * 7919 AS fp")
+    kept, stored = [], simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, tag: kept.append(df) or stored(df, tag))
+    for split_over in (256, 1):
+        kept.append(simhash.links(prints, split_over))
+    for df in kept:
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()

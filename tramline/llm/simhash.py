@@ -82,7 +82,8 @@ def links(prints: DataFrame, split_over: int = SPLIT_OVER) -> DataFrame:
     keyed = prints.select("fp", F.explode(_variants(F.col("fp"), (0, 32), 32)).alias("key"))
     # counted before the shuffle and joined back, where AQE splits a hot key
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    keyed = stored(keyed.join(shared, "key"), "simhash-index")  # few keys are shared, so this is much smaller than the index
+    # the size of exploded rows is guessed from those before, so these joins must not be left to a broadcast
+    keyed = stored(keyed.hint("merge").join(shared, "key"), "simhash-index")  # few keys are shared, so this is much smaller than the index
 
     def pairs(index: DataFrame, on: list[str], extra) -> DataFrame:
         a, b = index.alias("a"), index.alias("b")
@@ -91,7 +92,7 @@ def links(prints: DataFrame, split_over: int = SPLIT_OVER) -> DataFrame:
         found = (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(apart) <= MOST_BITS) & _first_shared(F.col("a.key"), halves)
         for name in on:
             found = found & (F.col(f"a.{name}") == F.col(f"b.{name}"))
-        return a.join(b, found & extra(apart)).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+        return a.hint("merge").join(b, found & extra(apart)).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
     cold = pairs(keyed.filter(F.col("n") <= split_over), ["key"], lambda apart: F.lit(True))
     other = F.when(F.shiftright("key", 40) == 0, _low(F.col("fp"), 32, 32)).otherwise(_low(F.col("fp"), 0, 32))
