@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tramline.functions import naming, search, text, times
+from tramline.operators import aliases
 
 
 def one(spark, column):
@@ -69,3 +70,12 @@ def test_times(spark):
 def test_technical_keywords(spark):
     hit = lambda hay, tech, word: one(spark, text.keyword_hit(F.lit(hay), F.lit(word), F.lit(tech)))
     assert hit("x", "dolby vision", "hdr") and not hit("hdr", "x", "hdr") and hit("x", "uhd 4k", "2160") and hit("x", "web dl", "web-dl") and not hit("x", "русалка", "ру") and hit("x", "русский", "ру")
+
+
+def test_alias_texts_are_looked_up_once(spark, monkeypatch):
+    titles = spark.createDataFrame([(f"Red{' ' * n}House: 2",) for n in range(1, 9)], "title string")
+    entries = spark.createDataFrame([(n, "red-house" if n % 2 else "RED HOUSE") for n in range(20)], "alias long, name string")
+    asked, rarest = [], aliases._rarest
+    monkeypatch.setattr(aliases, "_rarest", lambda rows, *rest: asked.append(rows.count()) or rarest(rows, *rest))
+    assert aliases.alias_hits(titles, "title", entries).count() == 8 * 20
+    assert asked == [1, 1, 1]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tramline.functions.text import normalized
+from tramline.operators.shared import cut
 
 
 #: Characters of the pieces of a name by which one text is found inside another.
@@ -43,23 +44,27 @@ def alias_hits(titles: DataFrame, title: str, aliases: DataFrame) -> DataFrame:
     # distinct by a digest, so that conditions on the normalized texts are not tried on every repeat of a title
     once = lambda d, c, *keep: d.groupBy(F.md5(c).alias("digest"), *keep).agg(F.first(c).alias("text")).drop("digest")
     words = lambda c: F.filter(F.array_distinct(F.split(c, " ")), lambda w: w != "")
-    own = once(titles, title).select(F.col("text").alias("title"), normalized(F.col("text")).alias("t"))
-    other = once(aliases, "name", "alias").select("alias", normalized(F.col("text")).alias("e"))
+    titles_of = once(titles, title).select(F.col("text").alias("title"), normalized(F.col("text")).alias("t"))
+    aliases_of = once(aliases, "name", "alias").select("alias", normalized(F.col("text")).alias("e"))
+    # many titles and many entries are one text each once normalized, and each pair of texts is checked once
+    own, other = (cut(d.select(c).filter(F.col(c) != "").distinct()) for d, c in ((titles_of, "t"), (aliases_of, "e")))
     count = lambda c: other.select(F.explode(c).alias("k")).groupBy("k").count()
     n = F.size("words")
     other = other.withColumn("words", words("e")).withColumn("grams", _grams(F.col("e")))
-    by_word = _rarest(other, ["alias", "e"], "words", count(words("e")), F.when(n >= 3, 2).otherwise(1))
-    by_gram = _rarest(other, ["alias", "e"], "grams", count(_grams(F.col("e"))), 1)
-    inside = _rarest(own.withColumn("grams", _grams(F.col("t"))), ["title", "t"], "grams", count(_grams(F.col("e"))), 1)
+    by_word = _rarest(other, ["e"], "words", count(words("e")), F.when(n >= 3, 2).otherwise(1))
+    by_gram = _rarest(other, ["e"], "grams", count(_grams(F.col("e"))), 1)
+    inside = _rarest(own.withColumn("grams", _grams(F.col("t"))), ["t"], "grams", count(_grams(F.col("e"))), 1)
     # a text that is shorter than GRAM is a run of its own, so the other side asks with its short runs too
-    marked = lambda mark, c: F.transform(c, lambda k: F.concat(F.lit(mark), k))
-    asked = own.select("title", "t", F.explode(F.concat(marked("w", words("t")), marked("g", F.array_union(_grams(F.col("t")), _short_runs(F.col("t")))))).alias("k"))
-    waiting = by_word.withColumn("k", F.concat(F.lit("w"), "k")).unionByName(by_gram.withColumn("k", F.concat(F.lit("g"), "k")))
-    held = other.select("alias", "e", F.explode(F.array_union(F.col("grams"), _short_runs(F.col("e")))).alias("k"))
-    pairs = asked.join(waiting, "k").select("title", "t", "alias", "e").unionByName(inside.join(held, "k").select("title", "t", "alias", "e"))
+    asked = lambda keys: own.select("t", F.explode(keys).alias("k"))
+    held = other.select("e", F.explode(F.array_union(F.col("grams"), _short_runs(F.col("e")))).alias("k"))
     needed, shared = F.size(words("e")), F.size(F.array_intersect(words("t"), words("e")))
-    hit = F.contains("t", F.col("e")) | F.contains("e", F.col("t")) | (shared == needed) | ((needed >= 2) & (shared >= F.greatest(F.lit(2), needed - 1)))
-    return pairs.filter(hit).select("title", "alias").distinct()
+    named = (shared == needed) | ((needed >= 2) & (shared >= F.greatest(F.lit(2), needed - 1)))
+    # the keys of each join find all pairs of its own condition, so no join tests that of another
+    pairs = asked(words("t")).join(by_word, "k").select("t", "e").distinct().filter(named)
+    pairs = pairs.unionByName(asked(F.array_union(_grams(F.col("t")), _short_runs(F.col("t")))).join(by_gram, "k").select("t", "e").filter(F.contains("t", F.col("e"))))
+    pairs = pairs.unionByName(inside.join(held, "k").select("t", "e").filter(F.contains("e", F.col("t"))))
+    found = pairs.distinct()
+    return found.join(aliases_of, "e").join(titles_of, "t").select("title", "alias").distinct()
 
 
 def query_class(query: Column) -> Column:
