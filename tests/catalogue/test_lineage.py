@@ -100,3 +100,22 @@ def test_ranking_matches_few_pairs_and_loses_none(spark):
     assert all(ratio(r.a, r.b) <= r.m + 0.0006 for r in bound)
     empty = spark.createDataFrame([(1, 1, "", None, 0.0)], df.schema)
     assert [r.similarity for r in linking.ranked(empty, "q", "c", F.col("a"), F.col("b"), 2).collect()] == [0.0]
+
+
+def test_texts_are_compared_once(spark, monkeypatch):
+    items = spark.range(12).selectExpr(
+        "id AS item_id", "if(id % 2 = 0, 'Красный дом / Red House / 2001', 'Nova') AS source_title", "'Red House' AS cleaned_title", "CAST(NULL AS STRING) AS progress", "'' AS description", "'' AS category_name",
+        "if(id % 3 = 0, 'tv', 'movie') AS media_type", "'' AS bucket", "0 AS anime_score", "CAST(1990 + id AS STRING) AS year_text", "'Red House' AS query", "'movie' AS requested_media", "CAST(NULL AS ARRAY<STRING>) AS aliases",
+    )
+    entries = spark.range(10).selectExpr(
+        "id AS entry_id", "'movie' AS media_type", "'Red House' AS title", "'' AS original_title", "'' AS match_title", "'' AS match_original_title", "concat(1990 + id, '-01-01') AS release_date", "'en' AS language",
+        "'Ended' AS status", "1 AS seasons", "12 AS episodes", "0 AS search_rank",
+    )
+    pairs = items.select("item_id").crossJoin(entries.select("entry_id"))
+    whole = pairs.join(lineage.item_side(items, 2026).select("item_id", "item"), "item_id").join(lineage.entry_side(entries, 2026).select("entry_id", "entry"), "entry_id")
+    want = lineage.features(whole, lineage.best_similarity).drop("item", "entry")
+    compared, of_texts = [], lineage._of_texts
+    monkeypatch.setattr(lineage, "_of_texts", lambda rows, *rest: compared.append(rows.count()) or of_texts(rows, *rest))
+    got = lineage.linked(pairs, items, entries, 2026)
+    assert compared == [2]
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))

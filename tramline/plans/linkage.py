@@ -117,10 +117,8 @@ FEATURES_SQL = f"""WITH item AS (
 def linked(get) -> DataFrame:
     """The pairs of the views with all their features."""
     items = get("link_items").withColumn("aliases", F.when(F.col("alias_name") != "", F.array("alias_name")))
-    items = lineage.item_side(items, AS_OF_YEAR + 30).select("item_id", "item")
     entries = get("link_entries").withColumn("match_title", F.lit("")).withColumn("match_original_title", F.lit(None).cast("string"))
-    entries = lineage.entry_side(entries, AS_OF_YEAR + 30).select("entry_id", "entry")
-    return lineage.features(get("link_pairs").join(items, "item_id").join(entries, "entry_id"), char_likeness)
+    return lineage.linked(get("link_pairs"), items, entries, AS_OF_YEAR + 30, char_likeness)
 
 
 _ROUNDED = ("overlap", "similarity", "main_overlap", "main_similarity")
