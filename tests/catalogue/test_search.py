@@ -79,3 +79,12 @@ def test_alias_texts_are_looked_up_once(spark, monkeypatch):
     monkeypatch.setattr(aliases, "_rarest", lambda rows, *rest: asked.append(rows.count()) or rarest(rows, *rest))
     assert aliases.alias_hits(titles, "title", entries).count() == 8 * 20
     assert asked == [1, 1, 1]
+
+
+def test_titles_are_named_once(spark):
+    titles = ["Красный дом / Red House / 2001", "Nova (Zeta) / WEBRip (1080p)", "", None]
+    rows = spark.createDataFrame([(n, titles[n % 4]) for n in range(40)], "n long, raw string")
+    made = naming.named_once(rows, "raw")
+    want = rows.select("n", naming.cleaned(F.col("raw")).alias("cleaned"), naming.by_script(F.col("raw")).alias("s")).select("n", "cleaned", "s.ru", "s.en")
+    assert sorted(made.select("n", "cleaned", "ru", "en").collect()) == sorted(want.collect())
+    assert "Aggregate" in made._jdf.queryExecution().optimizedPlan().toString()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.functions import progress
@@ -152,6 +152,15 @@ def by_script(title: Column) -> Column:
     return let(names(title), pick)
 
 
+def named_once(rows: DataFrame, title: str) -> DataFrame:
+    """rows with `cleaned`, `ru` and `en` of a title, made once for each distinct title; a null one counts as blank."""
+    rows = rows.withColumn(title, F.coalesce(title, F.lit("")))
+    # few bytes may be much work, and a given number of partitions is not merged by their sizes
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    once = rows.select(title).distinct().repartition(n, title).select(title, cleaned(F.col(title)).alias("cleaned"), by_script(F.col(title)).alias("s"))
+    return rows.join(once, title).select(*rows.columns, "cleaned", "s.ru", "s.en")
+
+
 def queries(title: Column) -> Column:
     """Search queries for a title, most specific first, distinct.
 
