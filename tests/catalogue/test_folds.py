@@ -67,3 +67,11 @@ def test_repeated_regressions_alert_once(spark):
     known = spark.createDataFrame([(3, 5, 4)], "k long, old_value long, new_value long")
     rows = audit.holds(audit.regressions(seen, "k", "p", ["n"]), "k", "p", ["n"], matched, known)
     assert sorted((r.k, r.n, r.held, r.alert) for r in rows.collect()) == [(1, 2, True, True), (1, 3, True, False), (1, 4, True, True), (2, 2, False, False), (3, 2, True, False)]
+
+
+def test_keys_of_few_rows_are_folded_without_summaries(spark, monkeypatch):
+    df = spark.range(400).selectExpr("id % 40 AS k", "id AS n", "nullif(id * 37 % 11, 3) AS v", "id AS name")
+    higher = lambda x, y: x >= y
+    want = {r.k: r.name for r in folds.last_step(df, "k", "v", ["n"], ["name"], higher, 2).collect()}
+    monkeypatch.delattr(folds, "numbered")
+    assert {r.k: r.name for r in folds.last_step(df, "k", "v", ["n"], ["name"], higher).collect()} == want

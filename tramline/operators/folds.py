@@ -39,9 +39,35 @@ def last_step(rows: DataFrame, key: str, value: str, order: list[str], keep: lis
     The first row begins; a row whose value is null is only ever replaced, and a value by no null. higher may be any
     relation of two values, also one that is no order: where null, the best stays. The summary of a piece is what the
     fold would end with for each value that it may come in with, so its size is the number of distinct values of the key.
+    A key of no more rows than a piece has is folded as it is.
     """
-    kept = F.struct(*[F.col(c) for c in keep])
-    rows = numbered(rows.select(key, F.col(value).alias("value"), *[F.col(c).alias(f"order_{n}") for n, c in enumerate(order)], kept.alias("kept")), key, *[f"order_{n}" for n in range(len(order))], F.col("kept"))
+    kept, orders = F.struct(*[F.col(c) for c in keep]), [f"order_{n}" for n in range(len(order))]
+    rows = rows.select(key, F.col(value).alias("value"), *[F.col(c).alias(o) for c, o in zip(order, orders)], kept.alias("kept"))
+    long = cut(rows.groupBy(key).count().filter(F.col("count") > 1 << bits).select(key, F.lit(True).alias("long")))
+    if long.isEmpty():
+        return _whole_fold(rows, key, orders, higher)
+    rows = _along(rows, long, key)
+    short = _whole_fold(rows.filter("long IS NULL"), key, orders, higher)
+    return short.unionByName(_pieces_fold(rows.filter("long").drop("long"), key, orders, higher, bits))
+
+
+def _whole_fold(rows: DataFrame, key: str, orders: list[str], higher: Callable[[Column, Column], Column]) -> DataFrame:
+    """The fold of last_step() for keys of few rows, each in one go."""
+    kept_type, value_type = rows.schema["kept"].dataType, rows.schema["value"].dataType
+    state = lambda kept, value, begun: F.struct(kept.alias("kept"), value.alias("value"), begun.alias("begun"))
+
+    def step(best: Column, x: Column) -> Column:
+        moves = F.when(~best["begun"], True).when(best["value"].isNull(), x["value"].isNotNull()).when(x["value"].isNull(), False).otherwise(F.coalesce(higher(x["value"], best["value"]), F.lit(False)))
+        return F.when(moves, state(x["kept"], x["value"], F.lit(True))).otherwise(best)
+
+    own = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*orders, "kept", "value"))).alias("rows"))
+    ended = F.aggregate("rows", state(F.lit(None).cast(kept_type), F.lit(None).cast(value_type), F.lit(False)), step)
+    return own.select(key, ended["kept"].alias("kept")).select(key, "kept.*")
+
+
+def _pieces_fold(rows: DataFrame, key: str, orders: list[str], higher: Callable[[Column, Column], Column], bits: int) -> DataFrame:
+    """The fold of last_step() for keys of any size, by the summaries of their pieces."""
+    rows = numbered(rows, key, *orders, F.col("kept"))
     kept_type, key_type = rows.schema["kept"].dataType, rows.schema[key].dataType
     values = rows.filter("value IS NOT NULL").groupBy(key).agg(F.collect_set("value").alias("values"))
     rows = _along(rows, values, key).withColumn("values", F.coalesce("values", F.array().cast(T.ArrayType(rows.schema["value"].dataType))))
