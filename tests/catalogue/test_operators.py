@@ -70,6 +70,32 @@ def test_match_counts_a_pair_once(spark):
     assert sorted(x.item_id for x in rules.match(r, i).collect()) == [0, 1]
 
 
+def test_match_counts_equal_the_counted_pairs(spark):
+    """Counts by cells and classes are those of the pairs, with keywords, several years, unknown ratings and repeated rules."""
+    rs = "rule_id long, user_id long, is_enabled int, preset_key string, media_type string, year_from int, year_to int, min_rating double, bucket_filter string, formats array<string>, genre_ids array<int>, countries array<string>, excluded array<string>, include array<string>, exclude array<string>"
+    its = "item_id long, media_type string, years array<int>, video_format string, rating double, bucket string, genres array<int>, countries array<string>, haystack string, tech string, ignored boolean"
+    pick = lambda n, *of: of[n % len(of)]
+    rows = [(n, n, pick(n // 7, 1, 1, 1, 0), pick(n, "", "world"), pick(n, "any", "tv", "movie"), pick(n // 3, None, 2000, 2003), pick(n // 5, None, 2004, 2001), pick(n // 2, None, 5.0, 8.0), pick(n, "any", "only_anime", "exclude_anime"), pick(n // 2, [], ["720", "1080"]), pick(n // 4, [], [1, 2]),
+             pick(n // 3, [], ["US", "JP"]), pick(n // 6, [], ["JP"]), pick(n // 2, [], ["red", "hdr"], ["blue sky"]), pick(n // 9, [], ["mp3"])) for n in range(60)]
+    r = spark.createDataFrame([*rows, *[(row[0] + 100, *row[1:]) for row in rows[:20]]], rs)
+    items = [(n, pick(n, "tv", "movie", "other"), pick(n // 2, [2001], [1999, 2002, 2005], [], None), pick(n, "720", "1080", None), pick(n // 3, None, 5.0, 9.0), pick(n, "anime", "regular", None), pick(n // 2, [1], [2, 1, 3], None), pick(n // 5, ["US"], ["JP", "US"], [], None),
+              pick(n, "red house", "reddish", "a blue sky"), pick(n // 4, "x", "hdr10 mp3"), n % 17 == 0) for n in range(120)]
+    i = spark.createDataFrame(items, its)
+    counted = rules.match(r, i).groupBy("rule_id").agg(F.count("*"), F.min("item_id"), F.max("item_id"))
+    got = {tuple(x) for x in rules.match_counts(r, i).collect()}
+    assert got == {tuple(x) for x in counted.collect()} and len(got) > 20
+
+
+def test_listed_texts_are_parsed_only_where_they_begin_like_arrays(spark):
+    from tramline.functions import text
+
+    cases = {' ["a", "A", null, " b "]': ["a", "b"], "a, B ,b,,": ["a", "B"], "[a": ["[a"], '"a"': ['"a"'], '{"x": 1}': ['{"x": 1}'], "": [], "null": ["null"], '\n[1, [2]]': ["1", "[2]"]}
+    rows = spark.createDataFrame([(c,) for c in [*cases, None]], "c string")
+    assert [x[0] for x in rows.select(text.listed(F.col("c"))).collect()] == [*cases.values(), []]
+    plan = rows.select(text.listed(F.col("c")).alias("l"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
 def test_highest_progress_is_an_ordered_fold(spark):
     from tramline.functions import progress
 

@@ -64,10 +64,12 @@ def video_format(c: Column) -> Column:
 
 def listed(c: Column) -> Column:
     """A JSON array or comma-separated text as an array: trimmed, without blanks, first spelling of each kept."""
-    raw = F.coalesce(F.from_json(c, "array<string>"), F.split(F.coalesce(c, F.lit("")), ","))
+    # a parse that fails is dear, so only what begins like an array is parsed, and each text once
+    parsed = F.when(F.rlike(c, F.lit(r"^[\x{FEFF}\s]*\[")), F.from_json(c, "array<string>"))
+    raw = F.coalesce(parsed, F.split(F.coalesce(c, F.lit("")), ","))
     clean = F.filter(F.transform(raw, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
-    lows = F.transform(clean, lambda x: F.lower(x))
-    return F.filter(clean, lambda x, i: F.array_position(lows, F.lower(x)) == i + 1)
+    firsts = lambda own, lows: F.filter(own, lambda x, i: F.array_position(lows, F.lower(x)) == i + 1)
+    return let(clean, lambda own: let(F.transform(own, lambda x: F.lower(x)), lambda lows: firsts(own, lows)))
 
 
 def unwrapped(c: Column, levels: int = 4) -> Column:
