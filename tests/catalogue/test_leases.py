@@ -68,3 +68,14 @@ def test_stalls(spark):
     got = sorted((r.rule, r.since, r.until) for r in leases.stalls(df, "rule", "at").collect())
     assert got == [("a", 1001, 1200), ("a", 2101, 200_000), ("a", 200_901, None), ("b", 906, None)]
     assert [tuple(r) for r in leases.recent(df.filter("rule = 'b'").distinct(), "rule", "at", 10).collect()] == [("b", 5, 15)]
+
+
+def test_a_round_looks_up_takes_alone(spark):
+    """What follows a take is found with it, and a round joins neither reports nor withdrawals again."""
+    takes = spark.createDataFrame([(100, "w", 500), (90_000, "v", None)], "at long, worker string, reclaim long")
+    wanted = spark.createDataFrame([(1, 100), (2, 101), (3, 90_001), (4, -5), (5, None)], "entry long, ready long")
+    found = leases._next_take(wanted, leases._spans(takes, 300), 300)
+    got = {x.entry: x.take and tuple(x.take) for x in found.collect()}
+    assert got == {1: (100, "w", 500), 2: (90_000, "v", None), 3: None, 4: (100, "w", 500), 5: None}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan

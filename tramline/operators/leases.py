@@ -39,9 +39,17 @@ def stalled(finishes: DataFrame, source: str, at: str, as_of: Column, seconds: i
 QUEUE_LEASE_S = 300
 
 
-def _next_take(wanted: DataFrame, takes: DataFrame, key: list[str], bucket_s: int) -> DataFrame:
-    """wanted(key, ready) with `taken_at` and `worker` of the first take at or after ready; both null where none follows."""
-    buckets = takes.groupBy(F.floor(F.col("at") / bucket_s).alias("bucket")).agg(F.array_sort(F.collect_set(F.struct("at", "worker"))).alias("takes"))
+#: Spans of takes up to this number are broadcast to those who look a take up.
+FEW_SPANS = 20_000
+
+
+def _spans(takes: DataFrame, bucket_s: int) -> tuple[DataFrame, DataFrame]:
+    """What _next_take() looks up, made once: (bucket, takes, after) of each time bucket, and (first_bucket, very_first) in one row.
+
+    takes(at, worker) may have more columns, which are found with them.
+    """
+    more = [c for c in takes.columns if c not in ("at", "worker")]
+    buckets = takes.groupBy(F.floor(F.col("at") / bucket_s).alias("bucket")).agg(F.array_sort(F.collect_set(F.struct("at", "worker", *more))).alias("takes"))
     # buckets of takes are as many as time is long; each day of them is one window, the days are another
     day = F.floor(F.col("bucket") * bucket_s / 86_400)
     first = F.element_at("takes", 1)
@@ -49,16 +57,22 @@ def _next_take(wanted: DataFrame, takes: DataFrame, key: list[str], bucket_s: in
     days = rows.groupBy("day").agg(F.min(first).alias("day_first"))
     days = days.withColumn("next_day", F.lead("day_first").over(Window.partitionBy(F.lit(0)).orderBy("day")))
     rows = rows.withColumn("after", F.lead(first).over(Window.partitionBy("day").orderBy("bucket"))).join(days.select("day", "next_day"), "day")
-    rows = rows.select("bucket", "takes", F.coalesce("after", "next_day").alias("after"))
-    own = wanted.withColumn("bucket", F.floor(F.col("ready") / bucket_s))
+    rows = cut(rows.select("bucket", "takes", F.coalesce("after", "next_day").alias("after")))
     # a bucket without takes stands in the last one that has some: each spans up to the next one's start
     spans = rows.withColumn("to", F.coalesce(F.floor(F.col("after.at") / bucket_s) - 1, F.col("bucket")))
-    least = rows.orderBy("bucket").limit(1).select(F.col("bucket").alias("first_bucket"), F.element_at("takes", 1).alias("very_first"))
-    covered = spans.select(F.explode(F.sequence("bucket", "to")).alias("bucket"), "takes", "after")
+    least = cut(rows.orderBy("bucket").limit(1).select(F.col("bucket").alias("first_bucket"), F.element_at("takes", 1).alias("very_first")))
+    covered = cut(spans.select(F.explode(F.sequence("bucket", "to")).alias("bucket"), "takes", "after"))
+    return F.broadcast(covered) if covered.count() <= FEW_SPANS else covered, least
+
+
+def _next_take(wanted: DataFrame, spans: tuple[DataFrame, DataFrame], bucket_s: int) -> DataFrame:
+    """wanted(ready, ...) with the first take at or after ready as `take`; null where none follows."""
+    covered, least = spans
+    own = wanted.withColumn("bucket", F.floor(F.col("ready") / bucket_s))
     found = own.join(covered, "bucket", "left").join(F.broadcast(least), F.col("bucket") < F.col("first_bucket"), "left")
     later = F.get(F.filter("takes", lambda t: t["at"] >= F.col("ready")), F.lit(0))
     take = F.when(F.col("very_first").isNotNull(), F.col("very_first")).otherwise(F.coalesce(later, F.col("after")))
-    return found.select(*key, "ready", take["at"].alias("taken_at"), take["worker"].alias("worker"))
+    return found.select(*wanted.columns, take.alias("take"))
 
 
 def replay_leases(entries: DataFrame, takes: DataFrame, reports: DataFrame, lease_s: int = QUEUE_LEASE_S, most_leases: int = 1000) -> DataFrame:
@@ -71,28 +85,36 @@ def replay_leases(entries: DataFrame, takes: DataFrame, reports: DataFrame, leas
     that comes later but before the reclaim still counts, one after it is fenced off. A lease that nobody reclaims is
     open and has no end.
 
-    Each round gives one more lease to the entries that are not done, by joins on time and worker, so no task holds the
-    log of a queue or of a worker.
+    Each round gives one more lease to the entries that are not done. Who may reclaim after a take depends on the take alone
+    and is looked up once; an entry carries its own reports along, so a round needs no more than the join on time, and no
+    task holds the log of a queue or of a worker.
     """
-    takes, reports = cut(takes.select("worker", "at").distinct()), cut(reports.select("entry", F.col("worker").alias("by"), F.col("at").alias("told_at"), "done").distinct())
-    once = cut(entries.groupBy("entry").agg(F.min("due").alias("ready"), F.min("gone_at").alias("gone_at")))
-    now, gone = once.select("entry", "ready", F.lit(0).alias("fence")), once.select("entry", "gone_at")
-    stays = F.col("gone_at").isNull() | (F.col("taken_at") < F.col("gone_at"))
+    takes = cut(takes.select("at", "worker").distinct())
+    again = _next_take(takes.withColumn("ready", F.col("at") + lease_s), _spans(takes, lease_s), lease_s)
+    spans = _spans(again.select("at", "worker", F.col("take.at").alias("reclaim")), lease_s)
+    # of reports at one moment done counts
+    told = F.struct(F.col("at").alias("told_at"), (~F.col("done")).alias("released"), F.col("worker").alias("by"))
+    said = reports.groupBy("entry").agg(F.array_sort(F.collect_set(told)).alias("said"))
+    once = entries.filter("entry IS NOT NULL").groupBy("entry").agg(F.min("due").alias("ready"), F.min("gone_at").alias("gone_at"))
+    now = cut(once.join(said, "entry", "left").withColumn("fence", F.lit(0)))
+    gone, reclaim = F.col("gone_at"), F.col("take.reclaim")
     out = None
     for _ in range(most_leases):
-        held = _next_take(now, takes, ["entry", "fence"], lease_s).filter("taken_at IS NOT NULL").join(gone, "entry").filter(stays).drop("gone_at")
-        ends = _next_take(held.select("entry", "fence", F.col("taken_at").alias("leased_at"), F.col("worker").alias("owner"), (F.col("taken_at") + lease_s).alias("ready")), takes, ["entry", "fence", "leased_at", "owner"], lease_s)
-        ends = ends.join(gone, "entry").withColumn("taken_at", F.when(stays, F.col("taken_at"))).drop("gone_at")
-        heard = (F.col("e.entry") == F.col("r.entry")) & (F.col("owner") == F.col("by")) & (F.col("told_at") >= F.col("leased_at")) & (F.col("taken_at").isNull() | (F.col("told_at") < F.col("taken_at")))
-        # of reports at one moment done counts
-        said = F.min(F.when(F.col("told_at").isNotNull(), F.struct("told_at", (~F.col("done")).alias("released"))))
-        rows = ends.alias("e").join(reports.alias("r"), heard, "left").groupBy("e.entry", "fence", "leased_at", "owner", "ready", "taken_at").agg(said.alias("said"))
-        outcome = F.when(F.col("said").isNull(), F.when(F.col("taken_at").isNull(), "open").otherwise("expired")).when(F.col("said.released"), "released").otherwise("done")
-        ended = F.when(F.col("said").isNotNull(), F.col("said.told_at")).when(F.col("taken_at").isNotNull(), F.col("ready"))
-        rows = cut(rows.select("entry", (F.col("fence") + 1).alias("fence"), F.col("owner").alias("worker"), "leased_at", ended.alias("ended_at"), outcome.alias("outcome")))
-        out = rows if out is None else out.unionByName(rows)
+        held = _next_take(now, spans, lease_s).filter(F.col("take").isNotNull() & (gone.isNull() | (F.col("take.at") < gone)))
+        held = held.select("entry", "fence", "gone_at", "said", F.col("take.worker").alias("worker"), F.col("take.at").alias("leased_at"), F.when(gone.isNull() | (reclaim < gone), reclaim).alias("reclaimed"))
+        until = F.col("reclaimed")
+        heard = F.filter("said", lambda x: (x["by"] == F.col("worker")) & (x["told_at"] >= F.col("leased_at")) & (until.isNull() | (x["told_at"] < until)))
+        rows = held.withColumn("heard", F.get(heard, F.lit(0)))
+        outcome = F.when(F.col("heard").isNull(), F.when(until.isNull(), "open").otherwise("expired")).when(F.col("heard.released"), "released").otherwise("done")
+        ended = F.when(F.col("heard").isNotNull(), F.col("heard.told_at")).when(until.isNotNull(), F.col("leased_at") + lease_s)
+        rows = rows.select("entry", (F.col("fence") + 1).alias("fence"), "worker", "leased_at", ended.alias("ended_at"), outcome.alias("outcome"), "gone_at", "said")
+        # what was told before a lease cannot count for a later one
+        goes_on = F.col("outcome").isin("expired", "released")
+        rows = cut(rows.withColumn("said", F.when(goes_on, F.filter("said", lambda x: x["told_at"] >= F.col("leased_at")))))
+        lease = rows.drop("gone_at", "said")
+        out = lease if out is None else out.unionByName(lease)
         # a take gives an entry once, so one that is released at once waits for a later take
-        now = rows.filter("outcome IN ('expired', 'released')").select("entry", F.greatest("ended_at", F.col("leased_at") + 1).alias("ready"), "fence")
+        now = rows.filter(goes_on).select("entry", F.greatest("ended_at", F.col("leased_at") + 1).alias("ready"), "gone_at", "said", "fence")
         if now.isEmpty():
             return out
     raise RuntimeError(f"entries are still leased after {most_leases} leases")
