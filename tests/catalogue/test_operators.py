@@ -96,6 +96,14 @@ def test_listed_texts_are_parsed_only_where_they_begin_like_arrays(spark):
     assert plan.count("from_json") == 1
 
 
+def test_group_sizes_count_without_a_join(spark):
+    rows = spark.createDataFrame([(1, 5), (1, 5), (1, None), (1, None), (None, 5), (None, 5), (2, 5)], "u long, g long")
+    sizes = delivery.group_sizes(rows, "u", "g")
+    assert {tuple(x) for x in sizes.collect()} == {(1, 5, 2, True), (1, None, 2, False), (None, 5, 2, False), (2, 5, 1, False)}
+    assert "Join" not in sizes._jdf.queryExecution().executedPlan().toString()
+    assert sorted(x.as_group for x in delivery.grouped(rows, "u", "g").collect()) == [False] * 5 + [True] * 2
+
+
 def test_highest_progress_is_an_ordered_fold(spark):
     from tramline.functions import progress
 

@@ -54,9 +54,15 @@ def latest(facts_: DataFrame, keys: list[str], order: list[Column], keep: list[s
     return best.select(*keys, *[F.col(f"best.{c}").alias(c) for c in keep])
 
 
+def group_sizes(deliveries: DataFrame, user: str, group: str) -> DataFrame:
+    """(user, group, n, as_group): how many deliveries of one user share a group; two or more go out as one message."""
+    known = F.col(user).isNotNull() & F.col(group).isNotNull()
+    return deliveries.groupBy(user, group).agg(F.count("*").alias("n")).withColumn("as_group", known & (F.col("n") >= 2))
+
+
 def grouped(deliveries: DataFrame, user: str, group: str) -> DataFrame:
     """deliveries with `as_group`: two or more of one user share a group and go out as one message."""
-    sizes = deliveries.filter(F.col(group).isNotNull()).groupBy(user, group).agg((F.count("*") >= 2).alias("as_group"))
+    sizes = group_sizes(deliveries.filter(F.col(group).isNotNull()), user, group).drop("n")
     return deliveries.join(sizes, [user, group], "left").withColumn("as_group", F.coalesce("as_group", F.lit(False)))
 
 
