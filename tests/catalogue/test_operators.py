@@ -104,6 +104,13 @@ def test_group_sizes_count_without_a_join(spark):
     assert sorted(x.as_group for x in delivery.grouped(rows, "u", "g").collect()) == [False] * 5 + [True] * 2
 
 
+def test_origin_totals_count_users_and_items_apart(spark):
+    rows = spark.sql("SELECT * FROM VALUES ('live', 1, 7, TIMESTAMP '2020-01-01'), ('live', 1, 8, TIMESTAMP '2020-01-03'), ('live', NULL, 8, NULL), ('claim', 2, NULL, NULL) AS t(origin, user_id, item_id, delivered_at)")
+    found = delivery.origin_totals(rows)
+    assert {tuple(x) for x in found.collect()} == {("live", 3, 1, 2, "2020-01-03 00:00:00"), ("claim", 1, 1, 0, None)}
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_highest_progress_is_an_ordered_fold(spark):
     from tramline.functions import progress
 

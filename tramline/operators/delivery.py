@@ -66,6 +66,17 @@ def grouped(deliveries: DataFrame, user: str, group: str) -> DataFrame:
     return deliveries.join(sizes, [user, group], "left").withColumn("as_group", F.coalesce("as_group", F.lit(False)))
 
 
+def origin_totals(every: DataFrame) -> DataFrame:
+    """(origin, n, users, items, last_at) of facts(): rows, distinct users and items, and the last delivered_at as text.
+
+    Users and items are counted apart, each after its rows are combined, so no task holds every user with every item.
+    """
+    users = every.groupBy("origin", "user_id").agg(F.count("*").alias("n"), F.max("delivered_at").alias("last"))
+    users = users.groupBy("origin").agg(F.sum("n").alias("n"), F.count("user_id").alias("users"), F.max("last").alias("last"))
+    items = every.select("origin", "item_id").distinct().groupBy("origin").agg(F.count("item_id").alias("items"))
+    return users.join(items, "origin").select("origin", "n", "users", "items", F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("last_at"))
+
+
 def sliding_rate(events: DataFrame, key: str, at: str, tie: str, seconds: int) -> DataFrame:
     """events with `recent`: how many of the same key fall into the seconds up to each."""
     own = Window.partitionBy(key).orderBy(at).rangeBetween(-(seconds - 1), 0)
