@@ -214,3 +214,27 @@ def test_explained_pairs_are_dealt_by_rule_and_hashed(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ShuffledHashJoin") == 1 and "BroadcastHashJoin" not in plan  # the same plan at every size, the wide side unsorted
     assert found.groupBy("reason").count().filter("reason = 'passed'").first()["count"] == 3
+
+
+def test_overlaps_read_each_text_once_and_equal_brute_force(spark):
+    rng = random.Random(5)
+    words = [f"w{n}" for n in range(60)] + [f"only{n}" for n in range(200)]
+    sides = [[(n, " ".join(rng.sample(words if side else words[:60] + [f"own{k}" for k in range(90)], rng.choice([0, 1, 3, 8, 20, 60])))) for n in range(80)] for side in (0, 1)]
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    left, right = (spark.createDataFrame(rows, "id long, text string") for rows in sides)
+    left = left.select(F.col("id").alias("a"), seen("text").alias("text"))
+    found = linking.overlaps(left, right.withColumnRenamed("id", "b"), "a", "b", "text", "text", 0.15).collect()
+    want = {}
+    for a, x in sides[0]:
+        for b, y in sides[1]:
+            s, t = set(x.split()), set(y.split())
+            if s and t and round(len(s & t) / max(len(s), len(t)), 3) >= 0.15:
+                want[a, b] = round(len(s & t) / max(len(s), len(t)), 3)
+    assert want and {(r.a, r.b): r.overlap for r in found} == want and len(found) == len(want)
+    assert read.value == len(sides[0])  # a filter on the tokens made them, and read the texts, a second time

@@ -145,13 +145,19 @@ def normalized(c: Column) -> Column:
     """Lower-cased letters of two scripts and digits with one space between; markup and accents are dropped."""
     single, plain_forms, several = _folded()
 
-    def folded(text: Column) -> Column:
-        low = F.regexp_replace(F.translate(text, single, plain_forms), r"\p{M}+", "")
-        longer = lambda t: reduce(lambda out, x: F.replace(out, F.lit(x[0]), F.lit(x[1])), several.items(), t)
-        return let(low, lambda t: F.when(F.translate(t, "".join(several), "") != t, longer(t)).otherwise(t))
+    others = r"[^\x00-\x7Fа-ик-я\x{2000}-\x{206F}]"
+
+    def longer(low: Column) -> Column:
+        low = F.regexp_replace(low, r"\p{M}+", "")
+        spelled = lambda t: reduce(lambda out, x: F.replace(out, F.lit(x[0]), F.lit(x[1])), several.items(), t)
+        return let(low, lambda t: F.when(F.translate(t, "".join(several), "") != t, spelled(t)).otherwise(t))
+
+    # most texts have only letters with one plain form
+    folded = lambda text: let(F.translate(text, single, plain_forms), lambda t: F.when(F.rlike(t, F.lit(others)), longer(t)).otherwise(t))
 
     # texts of ASCII, plain Cyrillic letters and common punctuation have nothing to fold
-    low = let(F.lower(strip_html(c)), lambda t: F.when(F.rlike(t, F.lit(r"[^\x00-\x7Fа-ик-я\x{2000}-\x{206F}]")), folded(t)).otherwise(t))
+    bare = let(c, lambda t: F.when(F.contains(t, F.lit("<")) | F.contains(t, F.lit("&")), strip_html(t)).otherwise(F.coalesce(t, F.lit(""))))
+    low = let(F.lower(bare), lambda t: F.when(F.rlike(t, F.lit(others)), folded(t)).otherwise(t))
     return F.trim(F.regexp_replace(low, "[^a-zа-яё0-9]+", " "))
 
 
@@ -177,7 +183,7 @@ def tokens_of(norm: Column) -> Column:
     def kept(every: Column) -> Column:
         return let(F.array_except(every, stop), lambda some: F.when(F.size(some) > 0, some).otherwise(every))
 
-    return F.array_sort(let(F.array_except(F.split(norm, " "), F.array(F.lit(""))), kept))
+    return F.sort_array(let(F.array_except(F.split(norm, " "), F.array(F.lit(""))), kept))
 
 
 def tokens(c: Column) -> Column:

@@ -29,25 +29,34 @@ def overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str, lef
     """(left_id, right_id, overlap) of pairs whose distinct tokens overlap to at least `least` of the larger set.
 
     Each side's tokens are made once and stored. A set of n tokens must share one of its first n - ceil(least * n) + 1
-    rarest tokens, so only these meet in the equality join, and only with sets of a near enough size; the tokens that a
-    pair shares there are counted with what each side has left, and only pairs that can still reach the bound fetch
-    their whole sets. Ids are unique on each side. The overlap is rounded to three digits before it is compared.
+    in any order of all tokens; here those come first that the other side lacks, then those that would bring the fewest
+    pairs. Only tokens of both sides are listed, so a set that has too few of them to reach the bound asks nothing. The
+    first tokens meet in the equality join, and only with sets of a near enough size; the tokens that a pair shares
+    there are counted with what each side has left, and only pairs that can still reach the bound fetch their whole
+    sets. Ids are unique on each side. The overlap is rounded to three digits before it is compared.
     """
     least_exact = least - 0.0005
-    a, b = (cut(d.select(F.col(i).alias("id"), tokens(F.col(t)).alias("tokens")).filter(F.size("tokens") > 0)) for d, i, t in ((left, left_id, left_text), (right, right_id, right_text)))
-    often = a.select(F.explode("tokens").alias("token")).unionAll(b.select(F.explode("tokens").alias("token"))).groupBy("token").count()
+    # stored before they are filtered, as a filter on them would make the tokens twice
+    a, b = (cut(d.select(F.col(i).alias("id"), tokens(F.col(t)).alias("tokens"))).filter(F.size("tokens") > 0) for d, i, t in ((left, left_id, left_text), (right, right_id, right_text)))
+    size = F.size("tokens")
+    ends = lambda d: F.broadcast(d.agg(F.min(size).alias("least_n"), F.max(size).alias("most_n")))
+    fits = (size >= F.col("least_n") * least_exact) & (size * least_exact <= F.col("most_n"))
+    a, b = a.join(ends(b), fits).select("id", "tokens"), b.join(ends(a), fits).select("id", "tokens")
+    counted = lambda d, name: d.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias(name))
+    often = cut(counted(a, "left_n").join(counted(b, "right_n"), "token").select("token", (F.col("left_n") * F.col("right_n")).alias("count")))
 
     def heads(d: DataFrame) -> DataFrame:
         rare = d.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(often, "token")
         listed = rare.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("by_rarity"))
-        first = F.slice("by_rarity", 1, (F.col("n") - F.ceil(F.col("n") * least_exact) + 1).cast("int"))
-        return listed.select("id", "n", F.size(first).alias("asked"), F.posexplode(first).alias("place", "t")).select("id", "n", "place", F.col("t.token").alias("token"))
+        known = F.size("by_rarity")
+        listed = listed.withColumn("asked", (known - F.ceil(F.col("n") * least_exact) + 1).cast("int")).filter("asked > 0")
+        return listed.select("id", "n", known.alias("known"), F.posexplode(F.slice("by_rarity", 1, F.col("asked"))).alias("place", "t")).select("id", "n", "known", "place", F.col("t.token").alias("token"))
 
     near = (F.col("token") == F.col("right_token")) & (F.col("right_n") >= F.col("n") * least_exact) & (F.col("n") >= F.col("right_n") * least_exact)
-    other = heads(b).select(F.col("token").alias("right_token"), F.col("id").alias("right_id"), F.col("n").alias("right_n"), F.col("place").alias("right_place"))
+    other = heads(b).select(F.col("token").alias("right_token"), *[F.col(c).alias(f"right_{c}") for c in ("id", "n", "known", "place")])
     # after the last shared token of the join no more than the shorter rest of the two can be shared
-    met = heads(a).join(other, near).groupBy("id", "right_id", "n", "right_n").agg(F.count("*").alias("shared"), F.max("place").alias("last"), F.max("right_place").alias("right_last"))
-    can = F.col("shared") + F.least(F.col("n") - F.col("last"), F.col("right_n") - F.col("right_last")) - 1
+    met = heads(a).join(other, near).groupBy("id", "right_id", "n", "right_n", "known", "right_known").agg(F.count("*").alias("shared"), F.max("place").alias("last"), F.max("right_place").alias("right_last"))
+    can = F.col("shared") + F.least(F.col("known") - F.col("last"), F.col("right_known") - F.col("right_last")) - 1
     pairs = met.filter(can >= F.greatest("n", "right_n") * least_exact).select("id", "right_id")
     pairs = pairs.join(b.select(F.col("id").alias("right_id"), F.col("tokens").alias("right_tokens")), "right_id").join(a, "id")
     found = pairs.select(F.col("id").alias(left_id), F.col("right_id").alias(right_id), token_overlap(F.col("tokens"), F.col("right_tokens")).alias("overlap"))
