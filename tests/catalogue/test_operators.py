@@ -238,3 +238,10 @@ def test_overlaps_read_each_text_once_and_equal_brute_force(spark):
                 want[a, b] = round(len(s & t) / max(len(s), len(t)), 3)
     assert want and {(r.a, r.b): r.overlap for r in found} == want and len(found) == len(want)
     assert read.value == len(sides[0])  # a filter on the tokens made them, and read the texts, a second time
+
+
+def test_matching_is_dealt_over_all_partitions(spark):
+    pairs = spark.range(60).selectExpr("id % 6 AS q", "id AS c", "0.5D AS overlap", "concat('some text ', id % 6) AS x", "concat('some text ', id) AS y")
+    found = linking.matched(pairs, "q", "c", F.col("x"), F.col("y"), 2)
+    assert found.rdd.getNumPartitions() == 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert found.groupBy("q").count().filter("count >= 2").count() == 6

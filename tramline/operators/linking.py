@@ -82,9 +82,11 @@ def matched(candidates: DataFrame, query: str, candidate: str, query_text: Colum
     rows = once.join(counts(once, query, query_text, "_a"), query).join(counts(once, candidate, candidate_text, "_b"), candidate)
     bound = F.least(F.lit(1.0), ratio_bound(F.col("_a"), F.col("_b")) + 0.001)
     rows = cut(rows.withColumn("_most", 0.9 * bound + 0.7 * F.col("overlap") + 0.001).drop("_a", "_b").withColumn("_place", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("_most"), candidate))))
-    first = cut(rows.filter(F.col("_place") <= top).withColumn("similarity", similarity(query_text, candidate_text)))
+    # matching is slow and its rows are few, so they are dealt over all partitions instead of a few by their size
+    dealt = lambda d: d.repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    first = cut(dealt(rows.filter(F.col("_place") <= top)).withColumn("similarity", similarity(query_text, candidate_text)))
     least = first.groupBy(query).agg(F.min(F.round(0.9 * F.col("similarity") + 0.7 * F.col("overlap"), 3)).alias("_least"))
-    rest = rows.filter(F.col("_place") > top).join(least, query).filter(F.col("_most") >= F.col("_least")).drop("_least").withColumn("similarity", similarity(query_text, candidate_text))
+    rest = dealt(rows.filter(F.col("_place") > top).join(least, query).filter(F.col("_most") >= F.col("_least")).drop("_least")).withColumn("similarity", similarity(query_text, candidate_text))
     return first.unionByName(rest).drop("_most", "_place")
 
 
