@@ -2,7 +2,7 @@ import corpus_pipeline
 from tests.llm.test_dac import _expected
 from tests.llm.test_simhash import brute_components, brute_fingerprint
 from tests.llm.test_tiling import brute_tiles
-from tramline.llm import mixing, quality, tiling
+from tramline.llm import mixing, quality, simhash, tiling
 from tramline.llm.common import id_remainder
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +42,11 @@ def test_stages_against_brute_force(spark, tmp_path):
             assert sorted((tuple(r) for r in rows), key=lambda r: r[1]) == _expected(before, lambda d: order[d.doc_id])
         docs = result
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_dedup_stage_does_not_broadcast_its_index(spark, monkeypatch):
+    kept, stored = {}, simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, tag: kept.setdefault(tag, df) and stored(df, tag))
+    corpus_pipeline.deduplicate(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    plan = kept["simhash-index"]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
