@@ -54,3 +54,17 @@ def test_cut_keeps_rows(spark):
     from tramline.operators.shared import cut
 
     assert cut(spark.range(5).withColumn("x", F.col("id") * 2)).count() == 5
+
+
+def test_rounds_hold_rejected_items_only(spark, monkeypatch):
+    held, columns = {}, []
+    cut, stored = cascade.cut, cascade.stored
+    monkeypatch.setattr(cascade, "cut", lambda df: columns.append(df.columns) or cut(df))
+    monkeypatch.setattr(cascade, "stored", lambda df, tag: held.setdefault(tag, stored(df, tag)))
+    items = [(n, "t", 10 * n, "tv", "", 2000) for n in range(1, 6)] + [(6, "u", 1, "tv", "", 2000), (7, None, 1, "tv", "", None)]
+    # items 2 and 3 get the resolver's entry, which replaces another external one; item 6 has a manual entry
+    resolver = [(2, 4, "tv", "high"), (3, 4, "tv", "high"), (4, 5, "tv", "high")]
+    got = _linked(spark, items, _same(7, {1: 0.9, 2: 0.8}), external=[(3, 3), (4, 5)], resolver=resolver, manual=[("u", 9)], reviews=[(2, 0), (6, 0), (99, 0)], memory=[("t", 3, 0)])
+    assert got == {1: (1, "search", 0), 2: (4, "resolver", 0), 3: (1, "search", 2), 4: (5, "external", 0), 5: (1, "search", 0), 6: (9, "manual", 0), 7: (1, "search", 0)}
+    assert {r.item_id for r in held["cascade-rejected"].collect()} == {2}
+    assert columns and not any("item_id" in c for c in columns)

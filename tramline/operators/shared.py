@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,3 +23,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder by an eager checkpoint, so that what follows does not compute it again."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read back: for wide results of which later steps read some columns only."""
+    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
