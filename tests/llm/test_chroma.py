@@ -117,3 +117,44 @@ def test_search_finds_what_brute_force_over_all_offsets_finds(spark):
     # unrelated recordings hardly ever align by chance
     assert sum(b < 1_000_000 for _, b in want) < 5
     assert np.mean([(1_000_000 + 20 * n, 2_000_001 + 20 * n) in got for n in range(60)]) > 0.95
+
+
+def _near(codes, share):
+    """The same codes with a share of all bits turned."""
+    return codes ^ np.packbits(RNG.random((len(codes), 32)) < share, axis=1).view(np.uint32).ravel()
+
+
+def test_histograms_are_short_and_drop_no_alignment(monkeypatch):
+    """Sizes that differ, excerpts with as many errors as the bounds allow or nearly so, and both ways to transform back."""
+    whole = [np.repeat(RNG.integers(0, 1 << 32, 40, np.uint32), 4)[: int(RNG.integers(40, 150))] for _ in range(12)]
+    cuts = [_near(c[int(RNG.integers(0, 20)) : len(c) - int(RNG.integers(0, 15))], share) for c in whole for share in (0.16, 0.2, 0.24, 0.25, 0.26)]
+    asked, rows = whole + cuts[::3], cuts + whole
+    want = set()
+    for i, x in enumerate(asked):
+        for j, y in enumerate(rows):
+            tried = []
+            for o in range(16 - len(y), len(x) - 15):
+                a, b = x[max(o, 0) :], y[max(-o, 0) :]
+                n = min(len(a), len(b))
+                errors = np.bitwise_count(a[:n] ^ b[:n]).sum() / (32 * n)
+                if errors <= chroma.bound(n):
+                    tried.append((errors, abs(o), o, n))
+            if tried:
+                errors, _, o, n = min(tried)
+                want.add((i, 1000 + j, o, n, round(float(errors), 9)))
+    assert len(want) > 60
+    for most in (chroma.MOST_POINTS, 0):
+        monkeypatch.setattr(chroma, "MOST_POINTS", most)
+        got = set()
+        for a in chroma._by_length(np.arange(len(asked)), asked):
+            for b in chroma._by_length(1000 + np.arange(len(rows)), rows):
+                i, j, offset, overlap, errors = chroma.matches(a, b, chroma.MOST_ERRORS, chroma.LEAST_OVERLAP)
+                got |= set(zip(i.tolist(), j.tolist(), offset.tolist(), overlap.tolist(), errors.round(9).tolist()))
+        assert got == want
+
+
+def test_spectra_are_as_short_as_the_overlaps_allow():
+    """10 kB a query at most; 34 kB where all frequencies of a signal of over twice both lengths were taken."""
+    kept, (some,) = {}, chroma._by_length(np.arange(64), [RNG.integers(0, 1 << 32, 47, np.uint32) for _ in range(64)])
+    chroma.matches(some, some, chroma.MOST_ERRORS, chroma.LEAST_OVERLAP, kept)
+    assert 0 < sum(k.nbytes for k in kept.values()) / 64 < 10_000

@@ -8,9 +8,11 @@ overlap decides how and whether they align.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +34,16 @@ OUTER = {2: 0.45, 4: 0.30, 6: 0.22, 8: 0.18}
 LEAST_OVERLAP = 16
 MOST_ERRORS = 0.25
 CHANCE, CHANCE_OFF, SIGMAS = 0.456, 0.104, 5.0
-#: Codes of query recordings that are searched together, counts of a histogram tile, and numbers of the spectra that a
-#: worker keeps; all bound memory.
+#: Codes of query recordings that are searched together, counts of a histogram tile and recordings of one of its sides,
+#: and numbers of the spectra that a worker keeps; all bound memory.
 BLOCK_CODES = 200_000
 TILE = 2_000_000
+TILE_SIDE = 64
+#: The share of the frequencies of codes by which pairs are first compared; it decides the time only.
+LOW = 0.7
 MOST_SPECTRA = 40_000_000
+#: Up to so long a signal is transformed back by a matrix product, which is faster then.
+MOST_POINTS = 256
 
 
 def bound(overlap: np.ndarray, most_errors: float = MOST_ERRORS) -> np.ndarray:
@@ -78,12 +85,30 @@ def chroma(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     out = np.empty((len(frames), 12))
     for at in range(0, len(frames), 256):  # bounds memory for long recordings
-        spectrum = np.fft.rfft(frames[at : at + 256] * _window(), axis=1)
-        out[at : at + 256] = (spectrum.real**2 + spectrum.imag**2) @ _classes(rate)
+        some = frames[at : at + 256]
+        power = np.empty((len(some), FRAME // 2 + 1), np.float32)
+        for n in range(0, len(some), 16):  # spectra that stay in a core's cache
+            spectrum = np.fft.rfft(some[n : n + 16] * _window(), axis=1)
+            np.add(spectrum.real**2, spectrum.imag**2, out=power[n : n + 16])
+        out[at : at + 256] = power @ _classes(rate)
     total = out.sum(axis=1, keepdims=True)
     return np.divide(out, total, out=np.zeros_like(out), where=total > 1e-9)
 
 
+@lru_cache(1)
+def _sides() -> tuple[np.ndarray, ...]:
+    """Of each filter: the first and past frames and classes of the two rectangles of its one side, its classes, that side's share and its outer value."""
+    half, third = WINDOW // 2, WINDOW // 3
+    one, two = [], []
+    for kind, low, height in filters():
+        high, middle = low + height, low + height // 2
+        one.append(((0, WINDOW, low, middle), (0, half, low, high), (0, half, low, middle), (third, WINDOW - third, low, high))[kind])
+        two.append((half, WINDOW, middle, high) if kind == 2 else (0, 0, 0, 0))
+    kinds, lows, heights = np.array(filters()).T
+    share = np.where(kinds == 3, (WINDOW - 2 * third) / WINDOW, 0.5)
+    return np.array(one).T, np.array(two).T, lows, lows + heights, share, np.array([OUTER[h] for h in heights])
+
+
 def fingerprint(frames: np.ndarray) -> np.ndarray:
     """Unsigned packed integers, one for each run of WINDOW frames."""
     n = len(frames) - WINDOW + 1
@@ -91,33 +116,21 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint32)
     image = np.zeros((len(frames) + 1, 13))
     image[1:, 1:] = frames.cumsum(axis=0).cumsum(axis=1)
-    at = np.arange(n)
+    at = np.arange(n)[:, None]
 
-    def area(first: int, past: int, low: int, high: int) -> np.ndarray:
-        """Sums of frames first..past and classes low..high of every window."""
+    def area(first: np.ndarray | int, past: np.ndarray | int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Sums of frames first..past and classes low..high of every window, for every filter."""
         return image[at + past, high] - image[at + first, high] - image[at + past, low] + image[at + first, low]
 
-    out = np.zeros(n, np.uint32)
-    half, third = WINDOW // 2, WINDOW // 3
-    for kind, low, height in filters():
-        high, middle = low + height, low + height // 2
-        whole = area(0, WINDOW, low, high)
-        if kind == 0:
-            a = area(0, WINDOW, low, middle)
-        elif kind == 1:
-            a = area(0, half, low, high)
-        elif kind == 2:
-            a = area(0, half, low, middle) + area(half, WINDOW, middle, high)
-        else:
-            a = area(third, WINDOW - third, low, high)
-        # energy a cell of the one side against the other's, from -1 to 1; 0 where both are silent
-        share = (WINDOW - 2 * third) / WINDOW if kind == 3 else 0.5
-        a, b = a / share, (whole - a) / (1 - share)
-        value = np.divide(a - b, a + b, out=np.zeros(n), where=a + b > 1e-6)
-        # neighbouring quarters differ in one bit
-        level = (value > -OUTER[height]).astype(np.uint32) + (value > 0) + (value > OUTER[height])
-        out = (out << np.uint32(2)) | np.array([0, 1, 3, 2], np.uint32)[level]
-    return out
+    one, two, low, high, share, outer = _sides()
+    whole = area(0, WINDOW, low, high)
+    a = area(*one) + area(*two)
+    # energy a cell of the one side against the other's, from -1 to 1; 0 where both are silent
+    a, b = a / share, (whole - a) / (1 - share)
+    value = np.divide(a - b, a + b, out=np.zeros(a.shape), where=a + b > 1e-6)
+    # neighbouring quarters differ in one bit
+    level = (value > -outer).astype(np.uint32) + (value > 0) + (value > outer)
+    return (np.array([0, 1, 3, 2], np.uint32)[level] << np.arange(30, -2, -2, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
 
 
 def _prints(rate: int):
@@ -145,7 +158,7 @@ def _spread(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Prints:
-    """Recordings of at most `longest` codes, and their spectra: a signal of signs for each bit and one of ones."""
+    """Recordings of at most `longest` codes, and the low frequencies of their spectra: a signal of signs for each bit."""
 
     def __init__(self, ids: np.ndarray, codes: list[np.ndarray], longest: int) -> None:
         self.ids, self.longest = ids, longest
@@ -156,41 +169,93 @@ class Prints:
     def most(self) -> int:
         return int(self.sizes.max(initial=0))
 
-    def spectra(self, some: slice, points: int, last: float) -> np.ndarray:
-        """(frequency, recording, signal); the signal of ones is scaled by `last`."""
+    def spectra(self, some: slice, points: int) -> np.ndarray:
+        """(frequency, recording, signal), real parts of all signals before their imaginary ones.
+
+        A last signal has at frequency 0 what the dropped frequencies can add to a product at most, a share of each side.
+        """
         own, place = _spread(self.sizes[some])
         flat = self.codes[self.starts[some][:1].sum() : self.starts[some][:1].sum() + len(own)]
-        signs = np.zeros((len(self.sizes[some]), points, 33), np.float32)
-        signs[own, place, :32] = 1 - 2 * (flat[:, None] >> np.arange(32, dtype=np.uint32) & 1).astype(np.float32)
-        signs[own, place, 32] = last
-        return np.ascontiguousarray(np.fft.rfft(signs, axis=1).transpose(1, 0, 2))
+        signs = np.zeros((len(self.sizes[some]), points, 32), np.float32)
+        signs[own, place] = 1 - 2 * (flat[:, None] >> np.arange(32, dtype=np.uint32) & 1).astype(np.float32)
+        made = np.fft.rfft(signs, axis=1).transpose(1, 0, 2)
+        low, high = made[: _low(points)], made[_low(points) :]
+        rest = np.zeros((*low.shape[:2], 1), np.float32)
+        energy = (_shares(points)[_low(points) :, None] * (high.real**2 + high.imag**2).sum(axis=2)).sum(axis=0)
+        rest[0, :, 0] = np.sqrt(energy * points)
+        return np.concatenate([low.real, rest, low.imag, np.zeros_like(rest)], axis=2)
+
+
+def _points(least: int) -> int:
+    """The least even length of signals that the transform takes fast."""
+    return next(n for n in count(least + least % 2, 2) if 60**32 % n == 0)
+
+
+def _low(points: int) -> int:
+    """How many frequencies are kept."""
+    return max(1, round((points // 2 + 1) * LOW))
+
+
+def _shares(points: int) -> np.ndarray:
+    """What each frequency counts in a signal."""
+    return np.r_[1.0, np.full(points // 2 - 1, 2.0), 1.0] / points
+
+
+@lru_cache(64)
+def _back(points: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Map the real and the imaginary parts of a spectrum to the even and the odd part of its values at offsets 0..n."""
+    turn = 2 * np.pi / points * np.outer(np.arange(n), np.arange(_low(points)))
+    share = _shares(points)[: _low(points)]
+    return (np.cos(turn) * share).astype(np.float32), (np.sin(turn) * share).astype(np.float32)
 
 
 def matches(asked: Prints, rows: Prints, most_errors: float, least_overlap: int, kept: dict | None = None) -> tuple[np.ndarray, ...]:
     """(query, row, offset, overlap, bit errors) of all pairs of other ids within the bounds.
 
-    The histogram of a pair counts the agreeing bits at every offset at once: it is the product of the spectra, less the
-    share of bits that must agree. Where it does not fall below zero the codes themselves are compared.
+    The histogram of a pair counts, for every offset at once, by how many the bits that agree outnumber those that differ:
+    it is the product of the spectra. The product of the low frequencies, and by the Cauchy-Schwarz inequality the
+    most that the others can add, is never below it; where that reaches what an alignment needs, the codes themselves are
+    compared. Signals are so long that no offset of enough overlap meets one that lies a whole length away. Products, and
+    histograms of short signals, are real matrix products over tiles that stay in a core's cache.
     """
-    points = 1 << int(asked.longest + rows.longest).bit_length()
-    tile = max(1, TILE // points)
-    n_asked, n_rows = max(1, min(len(asked.ids), tile // 64)), max(1, min(64, tile))
-    kept = {} if kept is None else kept
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    if min(asked.most(), rows.most()) < least_overlap:
+        return none
+    # offsets either way at which the longest recordings may overlap enough
+    n = max(asked.most(), rows.most()) - least_overlap + 1
+    points = _points(max(asked.longest, rows.longest, asked.longest + rows.longest - least_overlap))
+    side = max(1, min(TILE_SIDE, math.isqrt(TILE // points)))
+    kept, low = {} if kept is None else kept, _low(points)
+    spaces = [np.empty(most * side * side, np.float32) for most in (low, low, n, n)]
+    # the overlap at each offset either way is this at least; what is off covers the rounding of single precision
+    overlaps, off = np.maximum(min(asked.sizes.min(), rows.sizes.min()) - np.arange(n), least_overlap), 0.5 + 0.0005 * points
+    needed = (32 * overlaps * (1 - 2 * bound(overlaps, most_errors)) - off).astype(np.float32)[:, None]
     found: list[list[np.ndarray]] = []
-    for r in range(0, len(rows.ids), n_rows):
-        theirs = rows.spectra(slice(r, r + n_rows), points, -32 * (1 - 2 * most_errors)).conj().transpose(0, 2, 1)
-        for q in range(0, len(asked.ids), n_asked):
-            some = slice(q, q + n_asked)
+    for r in range(0, len(rows.ids), side):
+        theirs = np.ascontiguousarray(rows.spectra(slice(r, r + side), points).transpose(0, 2, 1))
+        turned = np.concatenate([-theirs[:, 33:], theirs[:, :33]], axis=1)
+        for q in range(0, len(asked.ids), side):
             if (points, q) not in kept:
-                if len(kept) * tile * 33 > MOST_SPECTRA:
+                if sum(k.size for k in kept.values()) > MOST_SPECTRA:
                     kept.clear()
-                kept[points, q] = asked.spectra(some, points, 1.0)
-            above = np.fft.irfft(kept[points, q] @ theirs, points, axis=0)
-            # only offsets at which the longest recordings overlap enough; negative ones lie at the end
-            shifts = np.r_[0 : max(0, asked.most() - least_overlap + 1), points - max(0, rows.most() - least_overlap) : points]
-            at, x, y = np.nonzero(above[shifts] > -0.5)
-            at = shifts[at]
-            x, y, offset = x + q, y + r, np.where(at >= points // 2, at - points, at)
+                kept[points, q] = asked.spectra(slice(q, q + side), points)
+            # the products with the conjugates of theirs
+            width = kept[points, q].shape[1] * theirs.shape[2]
+            real, imaginary, above, other = (space[: rows_ * width].reshape(rows_, width) for space, rows_ in zip(spaces, (low, low, n, n)))
+            np.matmul(kept[points, q], theirs, out=real.reshape(low, -1, theirs.shape[2]))
+            np.matmul(kept[points, q], turned, out=imaginary.reshape(low, -1, theirs.shape[2]))
+            if points <= MOST_POINTS:
+                cosines, sines = _back(points, n)
+                np.abs(np.matmul(sines, imaginary, out=above), out=above)
+                above += np.matmul(cosines, real, out=other)
+            else:
+                whole = np.fft.irfft(real + 1j * imaginary, points, axis=0)
+                above = np.maximum(whole[:n], whole[-np.arange(n)])
+            # the larger one of each offset and its negative was looked at
+            at, pair = np.divmod(np.flatnonzero((above > needed).ravel()), above.shape[1])
+            offset, pair = np.r_[at, -at[at > 0]], np.r_[pair, pair[at > 0]]
+            x, y = np.divmod(pair, theirs.shape[2])
+            x, y = x + q, y + r
             valid = (offset <= asked.sizes[x] - least_overlap) & (-offset <= rows.sizes[y] - least_overlap) & (asked.ids[x] != rows.ids[y])
             x, y, offset = x[valid], y[valid], offset[valid]
             p, o = np.maximum(offset, 0), np.maximum(-offset, 0)
@@ -200,7 +265,7 @@ def matches(asked: Prints, rows: Prints, most_errors: float, least_overlap: int,
             errors = np.bincount(pair, bits, minlength=len(x)) / (32 * np.maximum(overlap, 1))
             good = errors <= bound(overlap, most_errors)
             found.append([v[good] for v in (x, y, offset, overlap, errors)])
-    x, y, offset, overlap, errors = (np.concatenate(v) for v in zip(*found)) if found else (np.zeros(0, np.int64),) * 5
+    x, y, offset, overlap, errors = (np.concatenate(v) for v in zip(*found)) if found else none
     order = np.lexsort((offset, np.abs(offset), errors, x, y))
     x, y, offset, overlap, errors = (v[order] for v in (x, y, offset, overlap, errors))
     best = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])] if len(x) else np.zeros(0, bool)
@@ -208,9 +273,10 @@ def matches(asked: Prints, rows: Prints, most_errors: float, least_overlap: int,
 
 
 def _by_length(ids: np.ndarray, codes: list[np.ndarray]) -> list[Prints]:
-    """Recordings in classes of lengths up to a power of two."""
-    classes = np.array([max(5, (len(c) - 1).bit_length()) for c in codes], np.int64)
-    return [Prints(ids[own], [codes[n] for n in own], 1 << int(c)) for c in np.unique(classes) for own in (np.flatnonzero(classes == c),)]
+    """Recordings in classes of lengths, each up to a quarter of a power of two longer than the one before."""
+    steps = [1 << max(3, (len(c) - 1).bit_length() - 3) for c in codes]
+    longest = np.array([-(-max(1, len(c)) // step) * step for c, step in zip(codes, steps)], np.int64)
+    return [Prints(ids[own], [codes[n] for n in own], int(n)) for n in np.unique(longest) for own in (np.flatnonzero(longest == n),)]
 
 
 def _unsigned(column: pa.ListArray) -> list[np.ndarray]:

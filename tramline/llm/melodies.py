@@ -20,9 +20,18 @@ def melody(values: list[float] | None, rate: int = RATE) -> bytes:
     if not values:
         return b""
     steps = np.clip(np.round(np.nan_to_num(np.array([np.nan if v is None else v for v in values], float), nan=0.0, posinf=3.0, neginf=-3.0) * SEMITONES), -36, 36)
-    hertz = np.repeat(440.0 * 2 ** (steps / 12), round(NOTE_SECONDS * rate))
-    turn = (np.cumsum(2 * np.pi * hertz / rate) % (2 * np.pi)).astype(np.float32)
-    return np.round((np.sin(turn) + 0.5 * np.sin(2 * turn)) * 16000).astype("<i2").tobytes()
+    step, size, last = 2 * np.pi * (440.0 * 2 ** (steps / 12)) / rate, round(NOTE_SECONDS * rate), 0.0
+    out = np.empty(len(step) * size, "<i2")
+    for at in range(0, len(step), 8):  # so few notes stay in a core's cache
+        turn = np.repeat(step[at : at + 8], size)
+        turn[0] += last
+        np.cumsum(turn, out=turn)
+        last = turn[-1]
+        # the remainder of whole turns in two exact steps, as np.mod is slow
+        whole, most = np.floor(turn / (2 * np.pi)), float(np.float32(2 * np.pi))
+        turn = (turn - whole * most - whole * (2 * np.pi - most)).astype(np.float32)
+        out[at * size : at * size + len(turn)] = np.round((np.sin(turn) + 0.5 * np.sin(2 * turn)) * 16000)
+    return out.tobytes()
 
 
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
