@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -81,6 +82,37 @@ def test_alias_texts_are_looked_up_once(spark, monkeypatch):
     assert asked == [1, 1, 1]
 
 
+def test_alias_pairs_are_made_once(spark):
+    """600 titles have all words but one of each of 600 entries, whose rarest such word is in all of them."""
+    titles = spark.createDataFrame([(f"archive green river {10_000 + n}",) for n in range(600)], "title string")
+    entries = spark.createDataFrame([(n, f"green river {20_000 + n}") for n in range(600)], "alias long, name string")
+    context = spark.sparkContext._jsc.sc()
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None))}
+    before = stages()
+    assert aliases.alias_hits(titles, "title", entries).count() == 600 * 600
+    context.listenerBus().waitUntilEmpty()
+    assert sum(n for stage, n in stages().items() if stage not in before) < 600 * 600 / 2
+
+
+def test_alias_word_sets(spark, monkeypatch):
+    """Entries of many words, sets that are divided into blocks, and aliases of several texts, against every pair."""
+    rng = random.Random(5)
+    texts = lambda n, *sizes: [" ".join(rng.sample([f"word{c}" for c in "abcdefg"] + ["a", "ab", "abcdefghij"], rng.choice(sizes))) for _ in range(n)]
+    asked, known = texts(60, 1, 3, 5, 9) + ["ordab", "abcdefghijk"], texts(40, 1, 2, 3, 4, 7)
+    entries = [(n // 2 if n < 20 else n, name) for n, name in enumerate(known)]
+
+    def hit(t, e):
+        a, b = set(t.split()), set(e.split())
+        return e in t or t in e or b <= a or (len(b) >= 2 and len(a & b) >= max(2, len(b) - 1))
+
+    want = sorted({(t, n) for t in asked for n, e in entries if hit(t, e)})
+    got = lambda: sorted(map(tuple, aliases.alias_hits(spark.createDataFrame([(t,) for t in asked], "title string"), "title", spark.createDataFrame(entries, "alias long, name string")).collect()))
+    assert got() == want and len(want) > 200
+    for name, value in (("MOST_WORDS", 3), ("PAIRS", 4), ("SIDE", 3)):
+        monkeypatch.setattr(aliases, name, value)
+    assert got() == want
+
+
 def test_titles_are_named_once(spark):
     titles = ["Красный дом / Red House / 2001", "Nova (Zeta) / WEBRip (1080p)", "", None]
     rows = spark.createDataFrame([(n, titles[n % 4]) for n in range(40)], "n long, raw string")

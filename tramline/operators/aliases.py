@@ -10,20 +10,38 @@ from tramline.functions.text import normalized
 from tramline.operators.shared import cut
 
 
-#: Characters of the pieces of a name by which one text is found inside another.
-GRAM = 3
+#: Characters of the pieces of a text by which it is found inside another.
+GRAM = 8
+#: An entry of more words is looked up by two of them, not by each set that lacks one.
+MOST_WORDS = 16
+#: A set of words that so many pairs share is divided into blocks of so many titles and aliases.
+PAIRS, SIDE = 1_000_000, 1_000
 
 
-def _grams(c: Column) -> Column:
-    """The distinct runs of GRAM characters of a text, or the whole of a shorter one."""
-    every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (GRAM - 1), F.lit(1))), lambda n: F.substring(c, n, F.lit(GRAM)))
-    return F.filter(F.array_distinct(every), lambda g: g != "")
+def _runs(c: Column, size: int) -> Column:
+    """The runs of so many characters of a text, or the whole of a shorter one."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (size - 1), F.lit(1))), lambda n: F.substring(c, n, F.lit(size)))
 
 
-def _short_runs(c: Column) -> Column:
-    """The distinct runs of fewer than GRAM characters of a text."""
-    runs = F.transform(F.sequence(F.lit(1), F.lit(GRAM - 1)), lambda size: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda at: F.substring(c, at, size)))
-    return F.filter(F.array_distinct(F.flatten(runs)), lambda x: x != "")
+def _grams(c: Column, *shorter: int) -> Column:
+    """The distinct runs of GRAM characters of a text, or the whole of a shorter one, and its runs of the other sizes."""
+    return F.filter(F.array_distinct(F.concat(_runs(c, GRAM), *[_runs(c, size) for size in shorter])), lambda g: g != "")
+
+
+def _words(c: Column) -> Column:
+    """The distinct words of a normalized text, sorted."""
+    return F.sort_array(F.filter(F.array_distinct(F.split(c, " ")), lambda w: w != ""))
+
+
+def _word_sets(c: Column) -> Column:
+    """(words, lacking, but) of an entry's text: a title with all words of a set but `lacking` names the entry.
+
+    One set has all words. The others lack one each, `but`, of three or more; a title that has it names the entry by all words.
+    """
+    one = lambda words, lacking, but: F.struct(words.alias("words"), F.lit(lacking).alias("lacking"), but.alias("but"))
+    none, words = F.lit(None).cast("string"), _words(c)
+    less = F.when(F.size(words) >= 3, F.transform(words, lambda w: one(F.array_remove(words, w), 0, w))).otherwise(F.array())
+    return F.when(F.size(words) > MOST_WORDS, F.array(one(words, 1, none))).otherwise(F.concat(F.array(one(words, 0, none)), less))
 
 
 def _rarest(rows: DataFrame, key: list[str], keys: str, often: DataFrame, n: Column | int) -> DataFrame:
@@ -33,38 +51,69 @@ def _rarest(rows: DataFrame, key: list[str], keys: str, often: DataFrame, n: Col
     return flat.withColumn("place", place).filter("place <= n").select(*key, "k")
 
 
+def _sized(c: Column, texts: DataFrame) -> list[int]:
+    """The lengths under GRAM that texts have."""
+    return sorted(r.n for r in texts.select(F.length(c).alias("n")).filter(F.col("n") < GRAM).distinct().collect())
+
+
+def _dealt(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The equality join by key, in which no task holds more than some blocks of the pairs of a key."""
+    counted = left.groupBy(key).agg(F.count("*").alias("m")).join(right.groupBy(key).agg(F.count("*").alias("n")), key).filter(F.col("m") * F.col("n") > PAIRS)
+    hot = F.broadcast(counted.select(key, F.ceil(F.col("m") / SIDE).alias("m"), F.ceil(F.col("n") / SIDE).alias("n")))
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def blocks(rows: DataFrame, own: str, of: str, other: str, others: str) -> DataFrame:
+        drawn = F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.coalesce(F.col(of), F.lit(1)))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(others), F.lit(1)) - 1))
+        return rows.join(hot, key, "left").select(*rows.columns, drawn.alias(own), every.alias(other)).repartition(tasks, key, "i", "j")
+
+    return blocks(left, "i", "m", "j", "n").join(blocks(right, "j", "n", "i", "m"), [key, "i", "j"]).drop("i", "j")
+
+
 def alias_hits(titles: DataFrame, title: str, aliases: DataFrame) -> DataFrame:
     """(title, alias) of distinct titles that name an alias entry (name, alias).
 
     Both are normalized. A title names an entry if either text lies in the other, if it has all of the entry's words, or
-    all but one of three or more. No loop over the dictionary: an entry waits under its rarest words (two of them where
-    one may be missing) and its rarest run of GRAM characters, a title asks with all of its own, and the other way round
-    for titles inside entries; each candidate is then checked. Texts without a word name nothing.
+    all but one of three or more. No loop over the dictionary: entries of the same words, or of the same but one, are one
+    set, which waits under its rarest word, and a title asks with all of its own. A title is paired with the aliases of
+    its sets at the end, once each, so a set that very many share makes no more rows than the result has. An entry
+    also waits under its rarest run of GRAM characters, a title asks with all of its own, and the other way round for titles
+    inside entries; each candidate is then checked. Texts without a word name nothing.
     """
     # distinct by a digest, so that conditions on the normalized texts are not tried on every repeat of a title
     once = lambda d, c, *keep: d.groupBy(F.md5(c).alias("digest"), *keep).agg(F.first(c).alias("text")).drop("digest")
-    words = lambda c: F.filter(F.array_distinct(F.split(c, " ")), lambda w: w != "")
-    titles_of = once(titles, title).select(F.col("text").alias("title"), normalized(F.col("text")).alias("t"))
-    aliases_of = once(aliases, "name", "alias").select("alias", normalized(F.col("text")).alias("e"))
+    titles_of = cut(once(titles, title).select(F.col("text").alias("title"), normalized(F.col("text")).alias("t")).filter("t <> ''"))
+    aliases_of = once(aliases, "name", "alias").select("alias", normalized(F.col("text")).alias("e")).filter("e <> ''").distinct()
+    aliases_of = cut(aliases_of.withColumn("several", F.count("*").over(Window.partitionBy("alias")) > 1))
     # many titles and many entries are one text each once normalized, and each pair of texts is checked once
-    own, other = (cut(d.select(c).filter(F.col(c) != "").distinct()) for d, c in ((titles_of, "t"), (aliases_of, "e")))
+    own, other = (cut(d.select(c).distinct()) for d, c in ((titles_of, "t"), (aliases_of, "e")))
     count = lambda c: other.select(F.explode(c).alias("k")).groupBy("k").count()
-    n = F.size("words")
-    other = other.withColumn("words", words("e")).withColumn("grams", _grams(F.col("e")))
-    by_word = _rarest(other, ["e"], "words", count(words("e")), F.when(n >= 3, 2).otherwise(1))
-    by_gram = _rarest(other, ["e"], "grams", count(_grams(F.col("e"))), 1)
-    inside = _rarest(own.withColumn("grams", _grams(F.col("t"))), ["t"], "grams", count(_grams(F.col("e"))), 1)
-    # a text that is shorter than GRAM is a run of its own, so the other side asks with its short runs too
     asked = lambda keys: own.select("t", F.explode(keys).alias("k"))
-    held = other.select("e", F.explode(F.array_union(F.col("grams"), _short_runs(F.col("e")))).alias("k"))
-    needed, shared = F.size(words("e")), F.size(F.array_intersect(words("t"), words("e")))
+
+    entries = other.select("e", F.explode(_word_sets(F.col("e"))).alias("set")).select("e", "set.*")
+    entries = cut(entries.withColumn("words_id", F.md5(F.concat_ws(" ", F.col("lacking").cast("string"), "words"))))
+    sets = entries.groupBy("words_id").agg(F.first("words").alias("words"), F.first("lacking").alias("lacking"))
+    by_word = _rarest(sets, ["words_id"], "words", count(_words(F.col("e"))), F.col("lacking") + 1).join(sets, "words_id")
+    held = asked(_words(F.col("t"))).join(by_word, "k").filter(F.size(F.array_except("words", _words(F.col("t")))) <= F.col("lacking"))
+    held = cut(held.select("t", "words_id").distinct())
+
+    # a text that is shorter than GRAM is a run of its own, so the other side asks with its runs of that size too
+    by_gram = _rarest(other.withColumn("grams", _grams(F.col("e"))), ["e"], "grams", count(_grams(F.col("e"))), 1)
+    inside = _rarest(own.withColumn("grams", _grams(F.col("t"))), ["t"], "grams", count(_grams(F.col("e"))), 1)
+    runs = other.select("e", F.explode(_grams(F.col("e"), *_sized(F.col("t"), own))).alias("k"))
+    needed, shared = F.size(_words(F.col("e"))), F.size(F.array_intersect(_words(F.col("t")), _words(F.col("e"))))
     named = (shared == needed) | ((needed >= 2) & (shared >= F.greatest(F.lit(2), needed - 1)))
-    # the keys of each join find all pairs of its own condition, so no join tests that of another
-    pairs = asked(words("t")).join(by_word, "k").select("t", "e").distinct().filter(named)
-    pairs = pairs.unionByName(asked(F.array_union(_grams(F.col("t")), _short_runs(F.col("t")))).join(by_gram, "k").select("t", "e").filter(F.contains("t", F.col("e"))))
-    pairs = pairs.unionByName(inside.join(held, "k").select("t", "e").filter(F.contains("e", F.col("t"))))
-    found = pairs.distinct()
-    return found.join(aliases_of, "e").join(titles_of, "t").select("title", "alias").distinct()
+    found = asked(_grams(F.col("t"), *_sized(F.col("e"), other))).join(by_gram, "k").select("t", "e").filter(F.contains("t", F.col("e")))
+    found = found.unionByName(inside.join(runs, "k").select("t", "e").filter(F.contains("e", F.col("t")) & ~F.contains("t", F.col("e"))))
+    found = cut(found.filter(~named))
+
+    def pairs(some: DataFrame) -> DataFrame:
+        by_set = _dealt(held.join(titles_of, "t").select("words_id", "title", _words(F.col("t")).alias("has")), entries.join(some, "e").select("words_id", "alias", "but"), "words_id")
+        by_set = by_set.filter(F.col("but").isNull() | ~F.array_contains("has", F.col("but")))
+        return by_set.select("title", "alias").unionByName(found.join(some, "e").join(titles_of, "t").select("title", "alias"))
+
+    # each pair of texts is there once, so only an alias of several texts can meet a title twice
+    return pairs(aliases_of.filter("NOT several")).unionByName(pairs(aliases_of.filter("several")).distinct())
 
 
 def query_class(query: Column) -> Column:
