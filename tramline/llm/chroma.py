@@ -34,11 +34,12 @@ OUTER = {2: 0.45, 4: 0.30, 6: 0.22, 8: 0.18}
 LEAST_OVERLAP = 16
 MOST_ERRORS = 0.25
 CHANCE, CHANCE_OFF, SIGMAS = 0.456, 0.104, 5.0
-#: Codes of query recordings that are searched together, counts of a histogram tile and recordings of one of its sides,
-#: and numbers of the spectra that a worker keeps; all bound memory.
+#: Codes of query recordings that are searched together, counts of a histogram tile, recordings of one of its sides, its
+#: pairs that are transformed back together, and numbers of the spectra that a worker keeps; all bound memory.
 BLOCK_CODES = 200_000
 TILE = 2_000_000
 TILE_SIDE = 64
+CHUNK = 1024
 #: The share of the frequencies of codes by which pairs are first compared; it decides the time only.
 LOW = 0.7
 MOST_SPECTRA = 40_000_000
@@ -209,6 +210,26 @@ def _back(points: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.cos(turn) * share).astype(np.float32), (np.sin(turn) * share).astype(np.float32)
 
 
+def _set(flags: np.ndarray) -> np.ndarray:
+    """The places of the set ones of many flags, a multiple of eight of which few are set."""
+    eights = np.flatnonzero(flags.view(np.uint64))
+    return (8 * eights[:, None] + np.arange(8))[flags.reshape(-1, 8)[eights]]
+
+
+def _aligned(asked: Prints, rows: Prints, x: np.ndarray, y: np.ndarray, offset: np.ndarray, most_errors: float, least_overlap: int) -> list[np.ndarray]:
+    """(x, y, offset, overlap, bit errors) of those of the pairs, at each offset and its negative, that lie within the bounds."""
+    x, y, offset = np.r_[x, x[offset > 0]], np.r_[y, y[offset > 0]], np.r_[offset, -offset[offset > 0]]
+    valid = (offset <= asked.sizes[x] - least_overlap) & (-offset <= rows.sizes[y] - least_overlap) & (asked.ids[x] != rows.ids[y])
+    x, y, offset = x[valid], y[valid], offset[valid]
+    p, o = np.maximum(offset, 0), np.maximum(-offset, 0)
+    overlap = np.minimum(asked.sizes[x] - p, rows.sizes[y] - o)
+    pair, nth = _spread(overlap)
+    bits = np.bitwise_count(asked.codes[(asked.starts[x] + p)[pair] + nth] ^ rows.codes[(rows.starts[y] + o)[pair] + nth])
+    errors = np.bincount(pair, bits, minlength=len(x)) / (32 * np.maximum(overlap, 1))
+    good = errors <= bound(overlap, most_errors)
+    return [v[good] for v in (x, y, offset, overlap, errors)]
+
+
 def matches(asked: Prints, rows: Prints, most_errors: float, least_overlap: int, kept: dict | None = None) -> tuple[np.ndarray, ...]:
     """(query, row, offset, overlap, bit errors) of all pairs of other ids within the bounds.
 
@@ -226,11 +247,19 @@ def matches(asked: Prints, rows: Prints, most_errors: float, least_overlap: int,
     points = _points(max(asked.longest, rows.longest, asked.longest + rows.longest - least_overlap))
     side = max(1, min(TILE_SIDE, math.isqrt(TILE // points)))
     kept, low = {} if kept is None else kept, _low(points)
-    spaces = [np.empty(most * side * side, np.float32) for most in (low, low, n, n)]
+    spaces = [np.empty(low * side * side, np.float32) for _ in range(2)]
+    flags, (above, other) = np.empty(n * side * side + 8, bool), np.empty((2, n if points <= MOST_POINTS else 0, CHUNK), np.float32)
     # the overlap at each offset either way is this at least; what is off covers the rounding of single precision
     overlaps, off = np.maximum(min(asked.sizes.min(), rows.sizes.min()) - np.arange(n), least_overlap), 0.5 + 0.0005 * points
     needed = (32 * overlaps * (1 - 2 * bound(overlaps, most_errors)) - off).astype(np.float32)[:, None]
-    found: list[list[np.ndarray]] = []
+    found, waiting, most = [], [], max(1, TILE // min(asked.most(), rows.most()))
+
+    def compare() -> None:
+        hits = [np.concatenate(v) for v in zip(*waiting)] if waiting else none
+        for start in range(0, len(hits[0]), most):
+            found.append(_aligned(asked, rows, *[v[start : start + most] for v in hits[:3]], most_errors, least_overlap))
+        waiting.clear()
+
     for r in range(0, len(rows.ids), side):
         theirs = np.ascontiguousarray(rows.spectra(slice(r, r + side), points).transpose(0, 2, 1))
         turned = np.concatenate([-theirs[:, 33:], theirs[:, :33]], axis=1)
@@ -241,30 +270,29 @@ def matches(asked: Prints, rows: Prints, most_errors: float, least_overlap: int,
                 kept[points, q] = asked.spectra(slice(q, q + side), points)
             # the products with the conjugates of theirs
             width = kept[points, q].shape[1] * theirs.shape[2]
-            real, imaginary, above, other = (space[: rows_ * width].reshape(rows_, width) for space, rows_ in zip(spaces, (low, low, n, n)))
+            real, imaginary = (space[: low * width].reshape(low, width) for space in spaces)
             np.matmul(kept[points, q], theirs, out=real.reshape(low, -1, theirs.shape[2]))
             np.matmul(kept[points, q], turned, out=imaginary.reshape(low, -1, theirs.shape[2]))
+            # the larger one of each offset and its negative is looked at
+            flags[n * width : n * width + 8] = False
+            high = flags[: n * width].reshape(n, width)
             if points <= MOST_POINTS:
                 cosines, sines = _back(points, n)
-                np.abs(np.matmul(sines, imaginary, out=above), out=above)
-                above += np.matmul(cosines, real, out=other)
+                for at in range(0, width, CHUNK):
+                    to = min(at + CHUNK, width)
+                    odd, even = above[:, : to - at], other[:, : to - at]
+                    np.abs(np.matmul(sines, imaginary[:, at:to], out=odd), out=odd)
+                    odd += np.matmul(cosines, real[:, at:to], out=even)
+                    np.greater(odd, needed, out=high[:, at:to])
             else:
                 whole = np.fft.irfft(real + 1j * imaginary, points, axis=0)
-                above = np.maximum(whole[:n], whole[-np.arange(n)])
-            # the larger one of each offset and its negative was looked at
-            at, pair = np.divmod(np.flatnonzero((above > needed).ravel()), above.shape[1])
-            offset, pair = np.r_[at, -at[at > 0]], np.r_[pair, pair[at > 0]]
+                np.greater(np.maximum(whole[:n], whole[-np.arange(n)]), needed, out=high)
+            at, pair = np.divmod(_set(flags[: -(-n * width // 8) * 8]), width)
             x, y = np.divmod(pair, theirs.shape[2])
-            x, y = x + q, y + r
-            valid = (offset <= asked.sizes[x] - least_overlap) & (-offset <= rows.sizes[y] - least_overlap) & (asked.ids[x] != rows.ids[y])
-            x, y, offset = x[valid], y[valid], offset[valid]
-            p, o = np.maximum(offset, 0), np.maximum(-offset, 0)
-            overlap = np.minimum(asked.sizes[x] - p, rows.sizes[y] - o)
-            pair, nth = _spread(overlap)
-            bits = np.bitwise_count(asked.codes[(asked.starts[x] + p)[pair] + nth] ^ rows.codes[(rows.starts[y] + o)[pair] + nth])
-            errors = np.bincount(pair, bits, minlength=len(x)) / (32 * np.maximum(overlap, 1))
-            good = errors <= bound(overlap, most_errors)
-            found.append([v[good] for v in (x, y, offset, overlap, errors)])
+            waiting.append((x + q, y + r, at))
+            if sum(len(v[0]) for v in waiting) >= most:
+                compare()
+        compare()
     x, y, offset, overlap, errors = (np.concatenate(v) for v in zip(*found)) if found else none
     order = np.lexsort((offset, np.abs(offset), errors, x, y))
     x, y, offset, overlap, errors = (v[order] for v in (x, y, offset, overlap, errors))
